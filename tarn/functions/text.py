@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
 
 
+# Whitespace in the Unicode sense, as the inside of a character class.
+SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def nonblank(column: Column) -> Column:
     """The value as text, NULL when empty or whitespace only."""
     text = column.cast("string")
-    return F.when(F.trim(text) != "", text)
+    return F.when(text.rlike(rf"[^{SPACE}]"), text)
 
 
 def first_nonblank(*columns: Column) -> Column:
@@ -44,9 +52,8 @@ def human_size(num_bytes: Column) -> Column:
 
 def slugify(name: Column) -> Column:
     """Lower case, symbols dropped, runs of space, underscore and hyphen to one hyphen."""
-    space = r"\s\x1c-\x1f\x85\p{Z}"
-    kept = F.regexp_replace(F.lower(name), rf"[^\p{{L}}\p{{N}}_{space}-]", "")
-    hyphens = F.regexp_replace(kept, rf"[{space}_-]+", "-")
+    kept = F.regexp_replace(F.lower(name), rf"[^\p{{L}}\p{{N}}_{SPACE}-]", "")
+    hyphens = F.regexp_replace(kept, rf"[{SPACE}_-]+", "-")
     slug = F.regexp_replace(hyphens, r"^-+|-+$", "")
     return F.coalesce(F.nullif(slug, F.lit("")), F.lit("item"))
 

@@ -12,6 +12,7 @@ from tarn.functions.moments import AsOf
 from tarn.operators.ranking import first_per_key
 from tarn.sources.lake import Lake, write_day
 from tarn.sources.landing import typed
+from tarn.sources.paths import PARTITIONS
 
 # Layers every catalog has.
 LAYERS = ("bronze", "silver", "gold")
@@ -35,7 +36,12 @@ def to_silver(
 
 
 def to_gold(report: DataFrame, lake: Lake, catalog: str, table: str, day: AsOf) -> str:
-    """Store a report as a gold table of a catalog and register its name."""
+    """Store a report as a gold table of a catalog and register its name.
+
+    Period columns named like a partition column are stored as ``<name>_start``.
+    """
+    for name in set(PARTITIONS) & set(report.columns):
+        report = report.withColumnRenamed(name, f"{name}_start")
     write_day(report, lake.root, day, catalog=catalog, schema="gold", table=table)
     name = f"{catalog}.gold.{table}"
     lake.register(name)

@@ -30,16 +30,15 @@ def top_n_per_group(
     order: Sequence[Column],
     n: int,
     rank: str = "rank",
-    spread: Sequence[str] = (),
     salts: int = 32,
 ) -> DataFrame:
     """The first ``n`` rows of every group, ranked from 1.
 
     Two rounds: the best ``n`` of each slice of a group, then the best ``n`` of those. Before either
-    shuffle each task already drops all but ``n`` rows per group, and slicing by a hash of
-    ``spread`` keeps one hot group from meeting in one task.
+    shuffle each task already drops all but ``n`` rows per group, and a slice takes the rows of only
+    some of the tasks, so a hot group never meets in one place before it is small.
     """
-    salt = F.pmod(F.xxhash64(*(spread or df.columns)), F.lit(salts))
+    salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     first = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))
     final = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return (

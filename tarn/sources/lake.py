@@ -19,13 +19,25 @@ from tarn.sources.paths import PARTITIONS, day_parts, pattern_of, root_of, table
 def read_table(spark: SparkSession, pattern: str, merge_schema: bool = False) -> DataFrame:
     """All Parquet files under a path or path pattern, with their partition columns.
 
-    ``merge_schema`` is for tables whose files differ in columns; it reads every footer.
+    ``merge_schema`` is for tables whose files differ in columns; it reads every footer. A folder
+    that holds several tables is read file by file, without partition columns.
     """
     root = root_of(pattern)
     reader = spark.read.option("mergeSchema", str(merge_schema).lower())
-    if not root.endswith(".parquet"):
-        reader = reader.option("basePath", root)
-    return reader.parquet(root)
+    if root.endswith(".parquet"):
+        return reader.parquet(root)
+    try:
+        return reader.option("basePath", root).parquet(root)
+    except Exception as problem:
+        if "CONFLICTING_DIRECTORY_STRUCTURES" not in str(problem):
+            raise
+    return read_tree(spark, pattern, merge_schema)
+
+
+def read_tree(spark: SparkSession, pattern: str, merge_schema: bool = False) -> DataFrame:
+    """All Parquet files of several tables below one folder."""
+    reader = spark.read.option("mergeSchema", str(merge_schema).lower())
+    return reader.option("recursiveFileLookup", "true").parquet(root_of(pattern))
 
 
 def read_day(spark: SparkSession, pattern: str, day: AsOf, merge_schema: bool = False) -> DataFrame:
@@ -44,6 +56,12 @@ def with_source_date(df: DataFrame, day: AsOf) -> DataFrame:
     return df.withColumn("source_date", F.lit(parse_day(day)).cast("date"))
 
 
+def _free_of_partition_names(df: DataFrame) -> None:
+    taken = sorted(set(PARTITIONS) & set(df.columns))
+    if taken:
+        raise ValueError(f"columns {taken} would be lost to the day partition; rename them")
+
+
 def _write(df: DataFrame, root: str, partitions: Iterable[str], max_records: int) -> None:
     (
         df.write.mode("overwrite")
@@ -63,6 +81,7 @@ def write_day(
     catalog: str | None = None,
     schema: str | None = None,
     table: str | None = None,
+    area: str = "raw",
     max_records: int = 5_000_000,
 ) -> str:
     """Replace one day of a table; other days stay. An empty frame writes nothing.
@@ -70,7 +89,8 @@ def write_day(
     The rows keep the partitioning they arrive with, so a large day is written by many tasks.
     Returns the table's folder.
     """
-    root = table_root(lake_root, source=source, catalog=catalog, schema=schema, table=table)
+    root = table_root(lake_root, source=source, catalog=catalog, schema=schema, table=table, area=area)
+    _free_of_partition_names(df)
     for name, value in day_parts(day).items():
         df = df.withColumn(name, F.lit(value))
     _write(df, root, PARTITIONS, max_records)
@@ -86,6 +106,7 @@ def write_days(
     catalog: str | None = None,
     schema: str | None = None,
     table: str | None = None,
+    area: str = "raw",
     max_records: int = 5_000_000,
 ) -> str:
     """Backfill: replace every day that occurs in ``df``.
@@ -93,7 +114,8 @@ def write_days(
     The rebalance hint gathers each day into few files, and lets adaptive execution split a day that
     is far larger than the others.
     """
-    root = table_root(lake_root, source=source, catalog=catalog, schema=schema, table=table)
+    root = table_root(lake_root, source=source, catalog=catalog, schema=schema, table=table, area=area)
+    _free_of_partition_names(df)
     day = F.col(date_column)
     for name, fmt in zip(PARTITIONS, ("yyyy", "MM", "dd")):
         df = df.withColumn(name, F.date_format(day, fmt))

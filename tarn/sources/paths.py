@@ -32,13 +32,14 @@ def table_root(
     catalog: str | None = None,
     schema: str | None = None,
     table: str | None = None,
+    area: str = "raw",
 ) -> str:
-    """``<lake>/<catalog>/<schema>/<table>``, or ``<lake>/raw/<source>`` for a plain source."""
+    """``<lake>/<catalog>/<schema>/<table>``, or ``<lake>/<area>/<source>`` for a plain source."""
     base = lake_root.rstrip("/")
     if catalog and schema and table:
         return f"{base}/{catalog}/{schema}/{table}"
     if source:
-        return f"{base}/raw/{source}"
+        return f"{base}/{area}/{source}"
     raise ValueError("name a source, or all of catalog, schema and table")
 
 
