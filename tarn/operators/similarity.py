@@ -6,11 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.operators.ranking import top_n_per_group
+from tarn.session import cut_lineage
 
 # Scores are compared after rounding, so the last bits of a sum never decide between copies.
 SCORE_DIGITS = 9
@@ -165,17 +168,32 @@ def cosine_topk(
     return _final(vectors.mapInPandas(best, schema), ties, k)
 
 
-def signatures(vector: Column, dim: int, tables: int, bits: int, seed: int) -> Column:
-    """Bucket of a vector in each hash table: the signs of ``bits`` random projections."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    weights = 1 << np.arange(bits)
+def fit_cells(
+    vectors: DataFrame, rows: int, cells: int, seed: int = 42, per_cell: int = 256, vector: str = "embedding"
+) -> np.ndarray:
+    """Unit centres of a k-means over about ``per_cell`` rows a cell, drawn from ``rows`` rows.
+
+    ``cells x dim`` numbers come to the driver.
+    """
+    nonzero = F.exists(F.col(vector), lambda x: x != 0)
+    drawn = vectors.select(vector).sample(min(1.0, cells * per_cell / max(1, rows)), seed)
+    sample = drawn.where(nonzero).select(array_to_vector(F.col(vector)).alias("features"))
+    means = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine", initSteps=2)
+    return _unit_rows(np.array(means.fit(cut_lineage(sample)).clusterCenters()))[0]
+
+
+def nearest_cells(vector: Column, centres: np.ndarray, probes: int, session: SparkSession) -> Column:
+    """The ``probes`` nearest cells of a vector, none for a vector of length zero."""
+    shared, dim = session.sparkContext.broadcast(centres), centres.shape[1]
+    probes = min(probes, len(centres))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def signs(vectors: pd.Series) -> pd.Series:
-        above = (_matrix(vectors, dim) @ planes > 0).reshape(len(vectors), tables, bits)
-        return pd.Series(list((above * weights).sum(axis=2).astype(np.int32)))
+    def cells(vectors: pd.Series) -> pd.Series:
+        units, usable = _unit_rows(_matrix(vectors, dim))
+        near = np.argsort(-(units @ shared.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+        return pd.Series([row if ok else row[:0] for row, ok in zip(near, usable)])
 
-    return signs(vector)
+    return cells(vector)
 
 
 def ann_topk(
@@ -184,29 +202,39 @@ def ann_topk(
     k: int = 10,
     dim: int | None = None,
     *,
-    tables: int = 12,
-    bits: int = 6,
+    cells: int | None = None,
+    probes: int = 8,
     seed: int = 42,
     ties: Sequence[str] = ("id",),
     vector: str = "embedding",
 ) -> DataFrame:
-    """Approximate top-k for many questions: rows sharing a hash bucket are ranked by exact cosine.
+    """Approximate top-k for many questions: rows of the nearest cells, ranked by exact cosine.
 
-    More tables raise recall, more bits make buckets smaller. Buckets no question falls into are
-    dropped before the shuffle of the rows, and large buckets are split, so neighbours within a bucket are all seen.
+    Every row belongs to the cell of its nearest centre and is shuffled once; a question looks into
+    its ``probes`` nearest cells and sees all their rows. More probes raise recall; with all cells
+    probed the answer is exact. Cells no question looks into are dropped before the shuffle, and
+    full cells are split. By default there are as many cells as the square root of the row count,
+    at most 4096.
     """
-    ties = list(ties)
+    ties, spark = list(ties), vectors.sparkSession
     asked = queries.select("query_id", F.col(vector).alias("query_vector"))
-    if dim is None:
-        first = asked.first()
-        dim = len(first.query_vector) if first else 0
+    rows = vectors.count()
+    if cells is None:
+        cells = max(2, min(4096, int(rows**0.5)))
+    centres = fit_cells(vectors, rows, cells, seed, vector=vector)
+    if dim is not None and centres.shape[1] != dim:
+        raise ValueError(f"expected {dim} values, found {centres.shape[1]}")
 
-    def bucketed(df: DataFrame, name: str) -> DataFrame:
-        found = signatures(F.col(name), dim, tables, bits, seed)
-        return df.select("*", F.posexplode(found).alias("_table", "_bucket"))
+    def placed(df: DataFrame, name: str, count: int) -> DataFrame:
+        return df.select("*", F.explode(nearest_cells(F.col(name), centres, count, spark)).alias("_cell"))
 
     hits = _grouped_topk(
-        bucketed(vectors, vector), bucketed(asked, "query_vector"), ["_table", "_bucket"], vector, ties, dim, k
+        placed(vectors, vector, 1),
+        placed(asked, "query_vector", probes),
+        ["_cell"],
+        vector,
+        ties,
+        centres.shape[1],
+        k,
     )
-    # A row may be met in several tables.
-    return _final(hits.dropDuplicates(["query_id", *ties]), ties, k)
+    return _final(hits, ties, k)

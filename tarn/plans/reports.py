@@ -109,19 +109,37 @@ def monthly_churn(subscriptions: DataFrame, as_of: AsOf, months: int = 6) -> Dat
 
 
 def top_products_net(
-    line_items: DataFrame, orders: DataFrame, as_of: AsOf, limit: int = 20
+    line_items: DataFrame,
+    orders: DataFrame,
+    as_of: AsOf,
+    limit: int = 20,
+    products: DataFrame | None = None,
 ) -> DataFrame:
-    """Best sellers of the anchor's quarter by revenue after discounts."""
+    """Best sellers of the anchor's quarter by revenue after discounts.
+
+    When titles live in a ``products`` table (``product_id, title``), sales are summed per product
+    first, so the join with it carries one row per product.
+    """
     in_quarter = orders.where(
         F.col("created_at") >= _period_start(orders, "created_at", as_of, "quarter")
     ).select("order_id")
     net = F.col("price_usd") * F.col("quantity") - F.col("total_discount_usd")
-    return (
+    sales = (
         line_items.join(in_quarter, "order_id")
-        .groupBy("title")
-        .agg(
-            F.sum("quantity").cast("bigint").alias("units_sold"),
-            money.total(net, scale=4).alias("net_revenue"),
+        .groupBy("title" if products is None else "product_id")
+        .agg(F.sum("quantity").alias("units"), F.sum(money.exact(net, 4)).alias("net"))
+    )
+    if products is not None:
+        sales = (
+            sales.join(products.select("product_id", "title"), "product_id")
+            .groupBy("title")
+            .agg(F.sum("units").alias("units"), F.sum("net").alias("net"))
+        )
+    return (
+        sales.select(
+            "title",
+            F.col("units").cast("bigint").alias("units_sold"),
+            F.round("net", 2).cast("double").alias("net_revenue"),
         )
         .orderBy(F.col("net_revenue").desc_nulls_last(), "title")
         .limit(limit)

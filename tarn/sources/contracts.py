@@ -4,9 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES: dict[str, T.DataType] = {
+    "string": T.StringType(),
+    "boolean": T.BooleanType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
+def contract(columns: str) -> T.StructType:
+    """``"name type, name type"`` as a schema; needs no running session."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
-def contract(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+
+def array_of(element: T.DataType) -> T.ArrayType:
+    return T.ArrayType(element)
 
 
 # Column names and types of the documented sources.
@@ -17,7 +33,7 @@ CONTRACTS = {
         "created_at timestamp"
     ),
     "subscriptions": contract(
-        "subscription_id string, customer_id string, plan_name string, `interval` string, "
+        "subscription_id string, customer_id string, plan_name string, interval string, "
         "amount_usd double, status string, current_period_start timestamp, "
         "current_period_end timestamp, canceled_at timestamp, created_at timestamp"
     ),
@@ -42,9 +58,7 @@ CONTRACTS = {
         "devname string, serial string, model string, size bigint, rotationrate int, "
         "description string"
     ),
-    "activity": contract(
-        "Id string, Name string, Type string, ShortOverview string, Date string"
-    ),
+    "activity": contract("Id string, Name string, Type string, ShortOverview string, Date string"),
     "pool": contract("id string, name string, status string, allocated bigint, free bigint"),
 }
 
@@ -58,10 +72,12 @@ HOURLY_FIELDS = (
     "cloud_cover",
 )
 
-HOURLY_PAYLOAD = contract(
-    "hourly struct<time:array<string>,"
-    + ",".join(f"{name}:array<double>" for name in HOURLY_FIELDS)
-    + ">"
+HOURLY_PAYLOAD = T.StructType().add(
+    "hourly",
+    T.StructType(
+        [T.StructField("time", array_of(T.StringType()))]
+        + [T.StructField(name, array_of(T.DoubleType())) for name in HOURLY_FIELDS]
+    ),
 )
 
 JOURNAL_LINE = contract(
@@ -69,7 +85,10 @@ JOURNAL_LINE = contract(
     "__REALTIME_TIMESTAMP string"
 )
 
-ALERT = contract(
-    "formatted string, text string, args string, datetime struct<`$date`:string>, source string, "
-    "level string"
+ALERT = T.StructType(
+    [
+        *contract("formatted string, text string, args string").fields,
+        T.StructField("datetime", contract("$date string")),
+        *contract("source string, level string").fields,
+    ]
 )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.functions.moments import newest
 from tarn.sources import landing
@@ -83,7 +84,8 @@ def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One payload per message with its text in an item list; first turns have no list at all."""
-    shape = contract("Items array<struct<Id string, Name string, Type string, ShortOverview string>>")
+    activity = contract("Id string, Name string, Type string, ShortOverview string")
+    shape = T.StructType().add("Items", T.ArrayType(activity))
     item = F.struct(
         F.concat_ws("-", "conv_id", "turn").alias("Id"),
         F.col("role").alias("Name"),
@@ -98,7 +100,7 @@ def activity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     payload = F.to_json(F.struct(F.when(F.col("turn") > 0, F.array(item, echo)).alias("Items")))
     rows = table(spark, sf_dir, "conversations").select(F.from_json(payload, shape).alias("p")).select("p.*")
-    return landing.explode_items(rows, shape["Items"].dataType.elementType)
+    return landing.explode_items(rows, activity)
 
 
 def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:

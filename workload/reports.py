@@ -75,16 +75,18 @@ def monthly_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_products_net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    line_items = items.join(part, items.l_partkey == part.p_partkey).select(
+    line_items = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
-        F.col("p_name").alias("title"),
+        F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price_usd"),
         (F.col("l_extendedprice") * F.col("l_discount")).alias("total_discount_usd"),
     )
+    products = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title")
+    )
     orders = shop_orders(spark, sf_dir)
-    return reports.top_products_net(line_items, orders, newest(orders, "created_at"))
+    return reports.top_products_net(line_items, orders, newest(orders, "created_at"), products=products)
 
 
 def aov_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
