@@ -148,6 +148,9 @@ def cosine_topk(
     fits = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
     head = asked.limit(fits + 1).toPandas()
     carried = [c for c in vectors.columns if c != vector]
+    schema = _hit_schema(vectors, carried, queries.schema["query_id"].dataType)
+    if head.empty:
+        return _final(spark.createDataFrame([], schema), ties, k)
     if len(head) > fits:
         one = F.lit(0).alias("_all")
         hits = _grouped_topk(vectors.select("*", one), asked.select("*", one), ["_all"], vector, ties, dim, k)
@@ -164,7 +167,6 @@ def cosine_topk(
         if pool is not None:
             yield pool[["query_id", *carried, "score"]]
 
-    schema = _hit_schema(vectors, carried, queries.schema["query_id"].dataType)
     return _final(vectors.mapInPandas(best, schema), ties, k)
 
 

@@ -1,0 +1,189 @@
+"""Daily jobs, streaming landing and hot keys."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tarn.operators.ranking import first_per_key, top_n_per_group
+from tarn.plans import daily
+from tarn.plans.reports import signups_vs_won
+from tarn.session import cut_lineage, shared_folder
+from tarn.sources.contracts import contract
+from tarn.sources.lake import Lake, read_table, with_source_date, write_day
+from tarn.streaming.landing import append_batch, stream_land
+from tests.conftest import rows
+
+DAY = "2025-05-27"
+
+
+@pytest.fixture(scope="module")
+def lake(spark, tmp_path_factory):
+    lk = Lake(spark, str(tmp_path_factory.mktemp("lake")))
+    media = spark.createDataFrame(
+        [("m1", "The red harbour", "Movie", "Boats at sea"), ("m2", "Mountain song", "Audio", None)],
+        "Id string, Name string, Type string, ShortOverview string",
+    )
+    pools = spark.createDataFrame([("tank", "ONLINE", 1 << 30, 1 << 31)], "name string, status string, allocated long, free long")
+    for source, df in (("jellyfin", media), ("truenas", pools)):
+        write_day(with_source_date(df, DAY), lk.root, DAY, source=source)
+    return lk
+
+
+def test_embed_digest_ask(spark, lake):
+    written = daily.embed_sources(lake, DAY)
+    assert set(written) == {"jellyfin", "truenas"}
+    daily.embed_sources(lake, DAY)
+    stored = daily.embeddings(lake)
+    assert rows(stored.groupBy("source").count()) == [("jellyfin", 2), ("truenas", 1)]
+    assert stored.columns == ["id", "source", "content", "embedding", "source_date", "ingested_at"]
+
+    assert set(daily.digest_sources(lake, DAY)) == {"jellyfin", "truenas"}
+    digest = read_table(spark, f"{lake.root}/raw/summaries/jellyfin")
+    assert rows(digest, "source", "summary") == [("jellyfin", "- Mountain song\n- The red harbour")]
+
+    questions = spark.createDataFrame([(1, "which boats are in the harbour"), (2, "is the tank online")], "query_id int, question string")
+    got = {r.query_id: r.answer for r in daily.ask(lake, questions, k=1).collect()}
+    assert got[1] == "- [jellyfin] The red harbour | Movie | Boats at sea"
+    assert got[2].startswith("- [truenas] Pool tank: ONLINE, 1.0GB used")
+    cited = daily.ask(lake, questions, k=2, style="cited").first()
+    assert "(score=" in cited.prompt
+
+
+def test_outlier_job_stores_scores(spark, lake):
+    report = daily.flag_outliers(lake, "jellyfin", DAY, contamination=0.5).first()
+    assert report.source == "jellyfin"
+    stored = read_table(spark, f"{lake.root}/anomalies/jellyfin")
+    assert stored.count() == 2 and {"score", "is_anomaly", "content"} <= set(stored.columns)
+
+
+def test_missing_source_is_skipped(lake):
+    assert daily.embed_source(lake, "weather", DAY) is None
+    assert daily.raw_day(lake, "jellyfin", "2020-01-01").isEmpty()
+
+
+PAYLOAD = contract("id string, v int")
+
+
+def deliver(folder, name, records, mtime):
+    path = folder / name
+    path.write_text("\n".join(json.dumps(r) for r in records))
+    os.utime(path, (mtime, mtime))
+
+
+def test_snapshot_stream_keeps_newest_payload_of_a_day(spark, tmp_path):
+    landing, root = tmp_path / "landing", f"{tmp_path}/raw/s"
+    landing.mkdir()
+
+    def stamped(batch):
+        return batch.withColumn("source_date", F.to_date("_file_time"))
+
+    def run():
+        stream_land(spark, str(landing), PAYLOAD, stamped, root, f"{tmp_path}/cp", mode="snapshot").awaitTermination()
+
+    noon = 1748347200
+    deliver(landing, "a.json", [{"id": "x", "v": 1}, {"id": "y", "v": 1}], noon)
+    deliver(landing, "b.json", [{"id": "x", "v": 2}], noon + 3600)
+    deliver(landing, "c.json", [{"id": "z", "v": 9}], noon + 86400)
+    run()
+    assert rows(read_table(spark, root), "id", "v", "day") == [("x", 2, "27"), ("z", 9, "28")]
+    deliver(landing, "d.json", [{"id": "x", "v": 3}, {"id": "w", "v": 3}], noon + 7200)
+    run()
+    run()
+    assert rows(read_table(spark, root), "id", "v", "day") == [("w", 3, "27"), ("x", 3, "27"), ("z", 9, "28")]
+
+
+def test_append_batch_can_be_replayed(spark, tmp_path):
+    df = with_source_date(spark.range(4), DAY)
+    for batch in (0, 1, 1):
+        append_batch(df, batch, str(tmp_path / "t"))
+    assert read_table(spark, str(tmp_path / "t")).count() == 8
+
+
+def test_text_lines_stream(spark, tmp_path):
+    from tarn.sources.landing import normalize_journal
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "j.log").write_text('{"MESSAGE": "hot", "PRIORITY": "2"}\nbroken\n')
+    stream_land(
+        spark, str(landing), PAYLOAD, lambda b: with_source_date(normalize_journal(b, DAY), DAY),
+        f"{tmp_path}/out", f"{tmp_path}/cp", text_lines=True,
+    ).awaitTermination()
+    assert rows(read_table(spark, f"{tmp_path}/out"), "unit", "priority", "message") == [("kernel", "CRITICAL", "hot")]
+    with pytest.raises(ValueError):
+        stream_land(spark, str(landing), PAYLOAD, lambda b: b, "x", "y", mode="other")
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """One key holds a third of all rows."""
+    return spark.range(60_000).select(
+        F.when(F.col("id") < 20_000, 0).otherwise(F.col("id") % 500).alias("k"),
+        F.xxhash64("id").alias("v"),
+        "id",
+    ).repartition(16).cache()
+
+
+def test_top_n_with_a_hot_key(skewed):
+    order = [F.col("v").desc(), F.col("id")]
+    plain = skewed.withColumn("rank", F.row_number().over(W.partitionBy("k").orderBy(*order))).where("rank <= 7")
+    got = top_n_per_group(skewed, ["k"], order, 7, salts=4)
+    assert rows(got, "k", "v", "id", "rank") == rows(plain, "k", "v", "id", "rank")
+
+
+def shuffled_rows(df):
+    """Rows written by each shuffle of an executed plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan.finalPhysicalPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_hot_key_is_cut_before_the_shuffle(skewed):
+    """20 000 rows of the hot key leave each of 16 tasks as at most seven."""
+    hot = skewed.where("k = 0")
+    counts = shuffled_rows(top_n_per_group(hot, ["k"], [F.col("v")], 7))
+    assert counts and max(counts) <= 16 * 7
+    counts = shuffled_rows(first_per_key(hot, ["k"], [F.col("v")]))
+    assert counts and max(counts) <= 16
+
+
+def test_signups_equal_the_left_join(spark):
+    users = spark.range(3000).select(
+        F.col("id").alias("user_id"),
+        F.when(F.col("id") < 1000, "a@x").otherwise(F.concat(F.lit("u"), F.col("id") % 50)).alias("email"),
+        (F.lit("2025-01-01").cast("timestamp") + F.make_dt_interval((F.col("id") % 60).cast("int"))).alias("created_at"),
+    )
+    deals = spark.range(400).select(
+        F.col("id").alias("deal_id"),
+        F.when(F.col("id") < 130, "a@x").otherwise(F.concat(F.lit("u"), F.col("id") % 70)).alias("owner_name"),
+        F.when(F.col("id") % 3 == 0, "closedwon").otherwise("open").alias("stage"),
+    )
+    users.createOrReplaceTempView("u")
+    deals.createOrReplaceTempView("d")
+    expected = spark.sql(
+        """SELECT date_trunc('week', u.created_at) AS week, count(distinct u.user_id) AS signups,
+                  count(distinct d.deal_id) AS closed_won
+           FROM u LEFT JOIN d ON u.email = d.owner_name AND d.stage = 'closedwon'
+           GROUP BY 1 ORDER BY 1 DESC LIMIT 12"""
+    )
+    assert rows(signups_vs_won(users, deals)) == rows(expected)
+
+
+def test_staging_uses_the_shared_folder(spark):
+    df = cut_lineage(spark.range(5))
+    assert df.count() == 5
+    assert shared_folder(spark) == spark.sparkContext.getCheckpointDir().rstrip("/") or spark.conf.get("spark.checkpoint.dir")
