@@ -12,6 +12,15 @@ DEFAULT_DIM = 768
 VECTOR = T.ArrayType(T.DoubleType())
 
 
+def once(function):
+    """Keep the optimizer from evaluating a costly function a second time.
+
+    A filter on the result, also one that Spark infers from an explode, would otherwise be pushed
+    below it together with a copy of the call.
+    """
+    return function.asNondeterministic()
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -43,7 +52,7 @@ def hashed_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
 
         return buckets.map(one)
 
-    return unit_counts(token_buckets(F.coalesce(text, F.lit("")), dim))
+    return once(unit_counts)(token_buckets(F.coalesce(text, F.lit("")), dim))
 
 
 def numeric_vector(*columns: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from tarn.functions.moments import AsOf, parse_day
 from tarn.functions.text import join_nonblank, nonblank, one_decimal, strip
-from tarn.functions.vectors import DEFAULT_DIM, VECTOR, hashed_vector
+from tarn.functions.vectors import DEFAULT_DIM, VECTOR, hashed_vector, once
+from tarn.session import spread
 from tarn.sources.landing import utterance
 
 # A rule sees the frame's columns and answers with the text of a row.
@@ -137,6 +138,7 @@ def embed(
 
     Only the text column crosses to Python, whatever else the frame carries.
     """
+    df = spread(df)
     if embedder is None:
         return df.withColumn(name, hashed_vector(F.col(text), dim))
     model, width, size = embedder, embedder.dim, embedder.batch
@@ -151,7 +153,7 @@ def embed(
                 raise ValueError(f"the model must return {width} values per text")
             yield pd.Series(values, index=texts.index)
 
-    return df.withColumn(name, call_model(F.col(text)))
+    return df.withColumn(name, once(call_model)(F.col(text)))
 
 
 def embedding_rows(

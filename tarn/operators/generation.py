@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.moments import AsOf, parse_day
 from tarn.functions.text import nonblank
+from tarn.functions.vectors import once
 from tarn.operators.ranking import joined_text, top_n_per_group
 
 # Prompt texts, row limits and the message for an empty report.
@@ -53,7 +54,7 @@ def generated(prompt: Column, context: Column, generator: Generator | None, line
                 texts += model.generate(prompts.iloc[start : start + size].tolist())
             yield pd.Series(texts, index=prompts.index)
 
-    return call_model(prompt)
+    return once(call_model)(prompt)
 
 
 def python_float(value: Column, digits: int) -> Column:

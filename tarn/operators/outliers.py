@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.vectors import once
 from tarn.operators.ranking import newest_rows, top_n_per_group
-from tarn.session import cut_lineage
+from tarn.session import cut_lineage, spread
 
-TREE_SCHEMA = "tree int, feature array<int>, threshold array<double>, left array<int>, length array<double>"
+TREE_SCHEMA = "tree int, depth int, feature array<int>, threshold array<double>, left array<int>, length array<double>"
 
 
 def mean_path(n: float) -> float:
@@ -26,14 +27,16 @@ def mean_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
-def _grow(points: np.ndarray, seed: int) -> dict[str, list]:
+def _grow(points: np.ndarray, seed: int) -> dict:
     """One tree as arrays. A leaf has ``left = -1``; the right child follows the left one."""
     rng = np.random.default_rng(seed)
     limit = math.ceil(math.log2(max(2, len(points))))
     feature, threshold, left, length = [0], [0.0], [-1], [0.0]
+    deepest = 0
     todo = [(0, points, 0)]
     while todo:
         node, rows, depth = todo.pop()
+        deepest = max(deepest, depth)
         length[node] = depth + mean_path(len(rows))
         if depth >= limit or len(rows) <= 1:
             continue
@@ -51,29 +54,46 @@ def _grow(points: np.ndarray, seed: int) -> dict[str, list]:
             threshold.append(0.0)
             left.append(-1)
             length.append(0.0)
-    return {"feature": feature, "threshold": threshold, "left": left, "length": length}
+    return {"depth": deepest, "feature": feature, "threshold": threshold, "left": left, "length": length}
 
 
 @dataclass(frozen=True)
 class Forest:
-    """Fitted trees: at most ``trees x 2 x sample`` nodes, whatever the size of the table."""
+    """Fitted trees: at most ``trees x 2 x sample`` nodes, whatever the size of the table.
+
+    A leaf points to itself and has an infinite threshold, so all rows can take the same number of
+    steps without asking who has arrived.
+    """
 
     trees: list[dict[str, np.ndarray]]
     sample: int
 
+    @classmethod
+    def of(cls, grown: list, sample: int) -> Forest:
+        trees = []
+        for t in grown:
+            left = np.array(t.left, dtype=np.int32)
+            leaf = left < 0
+            trees.append(
+                {
+                    "feature": np.array(t.feature, dtype=np.int32),
+                    "threshold": np.where(leaf, np.inf, np.array(t.threshold)),
+                    "left": np.where(leaf, np.arange(len(left), dtype=np.int32), left).astype(np.int32),
+                    "length": np.array(t.length),
+                    "depth": t.depth,
+                }
+            )
+        return cls(trees, sample)
+
     def score(self, points: np.ndarray) -> np.ndarray:
         total = np.zeros(len(points))
-        rows = np.arange(len(points))
+        flat, start = points.ravel(), np.arange(len(points)) * points.shape[1]
         for tree in self.trees:
-            node = np.zeros(len(points), dtype=np.int64)
-            while True:
-                left = tree["left"][node]
-                inner = left >= 0
-                if not inner.any():
-                    break
-                right = points[rows, tree["feature"][node]] > tree["threshold"][node]
-                node = np.where(inner, left + right, node)
-            total += tree["length"][node]
+            node = np.zeros(len(points), dtype=np.int32)
+            for _ in range(tree["depth"]):
+                value = flat.take(start + tree["feature"].take(node))
+                node = tree["left"].take(node) + (value > tree["threshold"].take(node))
+            total += tree["length"].take(node)
         normal = mean_path(self.sample) or 1.0
         return np.power(2.0, -total / max(1, len(self.trees)) / normal)
 
@@ -123,16 +143,7 @@ def fit_forest(
         return pd.DataFrame([{"tree": tree, **_grow(_as_points(rows["_features"]), seed * 100_003 + tree)}])
 
     grown = sampled.groupBy("tree").applyInPandas(grow, TREE_SCHEMA).orderBy("tree").collect()
-    arrays = [
-        {
-            "feature": np.array(t.feature, dtype=np.int64),
-            "threshold": np.array(t.threshold),
-            "left": np.array(t.left, dtype=np.int64),
-            "length": np.array(t.length),
-        }
-        for t in grown
-    ]
-    return Forest(arrays, size)
+    return Forest.of(grown, size)
 
 
 def score_rows(df: DataFrame, features: str, forest: Forest) -> DataFrame:
@@ -143,7 +154,7 @@ def score_rows(df: DataFrame, features: str, forest: Forest) -> DataFrame:
     def score(vectors: pd.Series) -> pd.Series:
         return pd.Series(shared.value.score(_as_points(vectors)) if len(vectors) else [], dtype=float)
 
-    return df.withColumn("score", score(F.col(features)))
+    return spread(df).withColumn("score", once(score)(F.col(features)))
 
 
 def isolation_forest(

@@ -38,7 +38,10 @@ def dataset_prefix(pattern: Column, lake_root: str) -> Column:
     """Key prefix of a path pattern: lake root and everything from the first wildcard dropped."""
     root = lake_root.rstrip("/") + "/"
     key = F.when(F.startswith(pattern, F.lit(root)), F.substring(pattern, F.lit(len(root) + 1), F.length(pattern)))
-    return F.regexp_replace(F.regexp_replace(key, r"(^|/)[^/]*\*.*$", ""), r"/+$", "")
+    fixed = F.substring_index(key, "*", 1)
+    cut_segment = F.substring_index(fixed, "/", -1)
+    folder = F.substring(fixed, F.lit(1), F.length(fixed) - F.length(cut_segment))
+    return F.rtrim(F.when(F.contains(key, F.lit("*")), folder).otherwise(key), F.lit("/"))
 
 
 def due_prefixes(due: DataFrame, tables: DataFrame, lake_root: str) -> DataFrame:

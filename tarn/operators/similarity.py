@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.functions.vectors import once
 from tarn.operators.ranking import top_n_per_group
-from tarn.session import cut_lineage
+from tarn.session import cut_lineage, spread
 
 # Scores are compared after rounding, so the last bits of a sum never decide between copies.
 SCORE_DIGITS = 9
@@ -40,9 +41,17 @@ def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best_of_batch(
-    rows: pd.DataFrame, vector: str, ties: list[str], query_ids: np.ndarray, queries: np.ndarray, k: int
+    rows: pd.DataFrame,
+    vector: str,
+    ties: list[str],
+    queries: np.ndarray,
+    k: int,
+    floor: np.ndarray | None = None,
 ) -> pd.DataFrame:
-    """The best ``k`` rows of a batch per question; equal scores go by the tie columns."""
+    """The best ``k`` rows of a batch per question (its number in ``_q``); equal scores go by the ties.
+
+    Rows scoring below a question's ``floor`` are left out: it already has ``k`` better ones.
+    """
     rows = rows.sort_values(ties, kind="stable", ignore_index=True)
     units, usable = _unit_rows(_matrix(rows[vector], queries.shape[1]))
     rows, units = rows.drop(columns=vector)[usable].reset_index(drop=True), units[usable]
@@ -51,6 +60,8 @@ def _best_of_batch(
     for start in range(0, len(queries) if keep else 0, QUERY_BLOCK):
         block = np.round(queries[start : start + QUERY_BLOCK] @ units.T, SCORE_DIGITS)
         edge = np.partition(block, len(rows) - keep, axis=1)[:, len(rows) - keep]
+        if floor is not None:
+            edge = np.maximum(edge, floor[start : start + QUERY_BLOCK])
         for i, row in enumerate(block):
             above = np.flatnonzero(row > edge[i])
             level = np.flatnonzero(row == edge[i])[: keep - len(above)]
@@ -59,14 +70,23 @@ def _best_of_batch(
             owners.append(np.full(len(chosen), start + i))
             scores.append(row[chosen])
     if not picked:
-        return rows.iloc[:0].assign(query_id=query_ids[:0], score=np.empty(0))
+        return rows.iloc[:0].assign(_q=np.empty(0, dtype=int), score=np.empty(0))
     out = rows.iloc[np.concatenate(picked)].reset_index(drop=True)
-    return out.assign(query_id=query_ids[np.concatenate(owners)], score=np.concatenate(scores))
+    return out.assign(_q=np.concatenate(owners), score=np.concatenate(scores))
 
 
 def _prune(pool: pd.DataFrame, ties: list[str], k: int) -> pd.DataFrame:
     ordered = pool.sort_values(["score", *ties], ascending=[False] + [True] * len(ties), kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k)
+    return ordered.groupby("_q", sort=False).head(k)
+
+
+def _floors(pool: pd.DataFrame, count: int, k: int) -> np.ndarray:
+    """The k-th best score so far per question, minus infinity for those with fewer."""
+    groups = pool.groupby("_q")["score"]
+    full = groups.min()[groups.size() == k]
+    floor = np.full(count, -np.inf)
+    floor[full.index.to_numpy(dtype=int)] = full.to_numpy()
+    return floor
 
 
 def _hit_schema(vectors: DataFrame, carried: list[str], query_type: T.DataType) -> T.StructType:
@@ -90,7 +110,8 @@ def _grouped_topk(
     questions and questions once per slice of rows; a group answers with at most ``k`` rows a question.
     """
     carried = [c for c in vectors.columns if c not in (vector, *keys)]
-    sizes = (
+    # One row per key, stored, as both sides need it and counting scores every row.
+    sizes = cut_lineage(
         vectors.groupBy(*keys)
         .agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_slices"))
         .join(
@@ -110,10 +131,9 @@ def _grouped_topk(
 
     def match(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         units, usable = _unit_rows(_matrix(asked["query_vector"], dim))
-        found = _best_of_batch(
-            rows[carried + [vector]], vector, ties, asked["query_id"].to_numpy()[usable], units[usable], k
-        )
-        return found[["query_id", *carried, "score"]]
+        found = _best_of_batch(rows[carried + [vector]], vector, ties, units[usable], k)
+        ids = asked["query_id"].to_numpy()[usable]
+        return found.assign(query_id=ids[found["_q"]])[["query_id", *carried, "score"]]
 
     schema = _hit_schema(vectors, carried, queries.schema["query_id"].dataType)
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(match, schema)
@@ -160,14 +180,15 @@ def cosine_topk(
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
-        pool = None
+        pool, floor = None, None
         for rows in batches:
-            found = _best_of_batch(rows, vector, ties, ids, matrix, k)
+            found = _best_of_batch(rows, vector, ties, matrix, k, floor)
             pool = found if pool is None else _prune(pd.concat([pool, found], ignore_index=True), ties, k)
+            floor = _floors(pool, len(ids), k)
         if pool is not None:
-            yield pool[["query_id", *carried, "score"]]
+            yield pool.assign(query_id=ids[pool["_q"]])[["query_id", *carried, "score"]]
 
-    return _final(vectors.mapInPandas(best, schema), ties, k)
+    return _final(spread(vectors).mapInPandas(best, schema), ties, k)
 
 
 def fit_cells(
@@ -195,7 +216,7 @@ def nearest_cells(vector: Column, centres: np.ndarray, probes: int, session: Spa
         near = np.argsort(-(units @ shared.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
         return pd.Series([row if ok else row[:0] for row, ok in zip(near, usable)])
 
-    return cells(vector)
+    return once(cells)(vector)
 
 
 def ann_topk(
@@ -228,7 +249,8 @@ def ann_topk(
         raise ValueError(f"expected {dim} values, found {centres.shape[1]}")
 
     def placed(df: DataFrame, name: str, count: int) -> DataFrame:
-        return df.select("*", F.explode(nearest_cells(F.col(name), centres, count, spark)).alias("_cell"))
+        found = spread(df).withColumn("_cells", nearest_cells(F.col(name), centres, count, spark))
+        return found.withColumn("_cell", F.explode("_cells")).drop("_cells")
 
     hits = _grouped_topk(
         placed(vectors, vector, 1),

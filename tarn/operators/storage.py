@@ -49,7 +49,8 @@ def dataset_listing(objects: DataFrame, lake_root: str) -> DataFrame:
 
 def folders(objects: DataFrame) -> DataFrame:
     """Usage per folder: the listing shrunk before anything is joined to it."""
-    folder = F.regexp_extract("key", r"^(.*)/[^/]*$", 1)
+    name = F.substring_index("key", "/", -1)
+    folder = F.substring(F.col("key"), F.lit(1), F.length("key") - F.length(name) - 1)
     return objects.groupBy(folder.alias("folder")).agg(*_usage())
 
 

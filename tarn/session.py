@@ -93,3 +93,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+SPLIT_BYTES = 128 << 20
+TOO_SMALL_TO_SPREAD = 256 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a table too small to be read in that many pieces.
+
+    A file with one row group is read by one task, whatever the cluster. Tables that fill the cores
+    by themselves, and tables whose size Spark does not know, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if TOO_SMALL_TO_SPREAD < size < cores * SPLIT_BYTES:
+        return df.repartition(cores)
+    return df

@@ -63,6 +63,21 @@ def test_exact_topk_equals_brute_force(spark, data, limit, monkeypatch):
         assert np.allclose([s for _, s in got[q]], [s for _, s in expected[q]], atol=1e-8)
 
 
+def test_many_batches_per_task(spark, data):
+    vectors, queries = data
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = answers(
+            similarity.cosine_topk(table(spark, vectors, "id").coalesce(1), table(spark, queries, "query_id"), 12)
+        )
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = brute(vectors, queries, 12)
+    assert {q: [i for i, _ in hits] for q, hits in got.items()} == {
+        q: [i for i, _ in hits] for q, hits in expected.items()
+    }
+
+
 def test_all_cells_probed_is_exact(spark, data, monkeypatch):
     monkeypatch.setattr(similarity, "GROUP_ROWS", 50)
     vectors, queries = data

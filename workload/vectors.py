@@ -66,9 +66,8 @@ def content_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = content.embedding_rows(activities(spark, sf_dir), "jellyfin", DAY)
-    return rows.select("id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0").select(
-        "id", "bucket", F.round("weight", 9).alias("weight")
-    )
+    entries = rows.select("id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
+    return entries.withColumn("weight", F.round("weight", 9))
 
 
 def embed_day(spark: SparkSession, sf_dir: str) -> DataFrame:
