@@ -1,4 +1,4 @@
-"""Anchor dates. Nothing here reads a clock: the caller says what "now" is."""
+"""Anchor dates. Reports never read a clock: the caller says what "now" is."""
 
 from __future__ import annotations
 
@@ -36,6 +36,11 @@ def parse_day(day: AsOf) -> str:
     return text
 
 
+def day_or_today(day: AsOf | None) -> str:
+    """The day to load for; today when the caller names none."""
+    return date.today().isoformat() if day is None else parse_day(day)
+
+
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Difference of two timestamps in seconds, exact to the microsecond."""
     micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))

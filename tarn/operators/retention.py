@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,26 +37,23 @@ def due_catalogs(catalogs: DataFrame, as_of: AsOf, workspaces: DataFrame | None
 
 
 def dataset_prefix(pattern: Column, lake_root: str) -> Column:
-    """Key prefix of a path pattern: lake root and everything from the first wildcard dropped."""
-    root = lake_root.rstrip("/") + "/"
-    key = F.when(F.startswith(pattern, F.lit(root)), F.substring(pattern, F.lit(len(root) + 1), F.length(pattern)))
-    fixed = F.substring_index(key, "*", 1)
-    cut_segment = F.substring_index(fixed, "/", -1)
-    folder = F.substring(fixed, F.lit(1), F.length(fixed) - F.length(cut_segment))
-    return F.rtrim(F.when(F.contains(key, F.lit("*")), folder).otherwise(key), F.lit("/"))
+    """Key prefix of a path pattern: lake root and everything from the first wildcard dropped.
+
+    Empty for a pattern outside the lake and for one that would cover the whole lake.
+    """
+    root = re.escape(lake_root.rstrip("/"))
+    return F.regexp_extract(pattern, rf"^{root}/((?:[^/*]+/)*[^/*]+)/*(?:/[^/]*\*.*)?$", 1)
 
 
 def due_prefixes(due: DataFrame, tables: DataFrame, lake_root: str) -> DataFrame:
     """Prefixes of the tables of due catalogs: ``catalog_id, table_id, prefix``.
 
-    A pattern outside the lake, or one that would cover the whole lake, has no prefix and is left out.
+    Patterns without a prefix are left out.
     """
-    prefixed = tables.where(F.col("path_pattern").isNotNull()).withColumn(
-        "prefix", dataset_prefix(F.col("path_pattern"), lake_root)
-    )
     return (
-        prefixed.where(F.col("prefix") != "")
-        .join(due, "catalog_id", "left_semi")
+        tables.join(due, "catalog_id", "left_semi")
+        .withColumn("prefix", dataset_prefix(F.col("path_pattern"), lake_root))
+        .where(F.col("prefix") != "")
         .select("catalog_id", "table_id", "prefix")
     )
 

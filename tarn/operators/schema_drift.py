@@ -61,6 +61,16 @@ def merge_columns(recorded: DataFrame, inferred: DataFrame) -> DataFrame:
     )
 
 
+def table_drift(merged: DataFrame) -> DataFrame:
+    """Per table: column counts and whether anything changed since the last refresh."""
+    return merged.groupBy("table_id").agg(
+        F.count("*").alias("columns"),
+        F.count_if("deprecated").alias("deprecated"),
+        F.count_if("changed").alias("changes"),
+        F.bool_or("changed").alias("schema_drift"),
+    )
+
+
 def column_lists(merged: DataFrame) -> DataFrame:
     """Merged columns gathered per table: ``table_id, column_defs, schema_drift``."""
     entry = F.struct(

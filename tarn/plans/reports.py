@@ -230,23 +230,29 @@ def signups_vs_won(
 ) -> DataFrame:
     """Distinct signups and distinct won deals matched to them, per signup week.
 
-    The left join only adds deals to a week; signups come from the users alone. So the two counts
-    are computed apart: no expand over two distinct columns, and a user with many deals is joined
-    once per week rather than once per signup row.
+    A left join only adds deals to a week; signups come from the users alone, so the two counts are
+    computed apart. A deal that always carries the same key is counted per key before the join, which
+    then moves one number per key instead of a pair for every deal and week; only deals seen under
+    several keys are joined one by one, to be counted once per week.
     """
     signed_up = users.withColumn("week", F.date_trunc("week", "created_at"))
     signups = signed_up.groupBy("week").agg(F.count_distinct("user_id").alias("signups"))
+    keys = signed_up.select("week", F.col(user_key).alias("match_key")).distinct()
+    is_won = (F.col("stage") == won) & F.col(deal_key).isNotNull()
+    pairs = deals.where(is_won).select(F.col(deal_key).alias("match_key"), "deal_id").distinct()
+    per_deal = pairs.groupBy("deal_id").agg(F.count("*").alias("n"), F.min("match_key").alias("match_key"))
+    counted = per_deal.where("n = 1").groupBy("match_key").agg(F.count("deal_id").alias("closed_won"))
+    shared = pairs.join(per_deal.where("n > 1").select("deal_id"), "deal_id", "left_semi")
     matched = (
-        signed_up.select("week", F.col(user_key).alias("match_key"))
-        .distinct()
-        .join(
-            deals.where(F.col("stage") == won)
-            .select(F.col(deal_key).alias("match_key"), "deal_id")
-            .distinct(),
-            "match_key",
+        keys.join(counted, "match_key")
+        .select("week", "closed_won")
+        .unionByName(
+            keys.join(shared, "match_key")
+            .groupBy("week")
+            .agg(F.count_distinct("deal_id").alias("closed_won"))
         )
         .groupBy("week")
-        .agg(F.count_distinct("deal_id").alias("closed_won"))
+        .agg(F.sum("closed_won").alias("closed_won"))
     )
     return (
         signups.alias("s")

@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions.moments import AsOf, parse_day
+from tarn.functions.moments import AsOf, day_or_today, parse_day
 from tarn.session import configure
 from tarn.sources.paths import PARTITIONS, day_parts, pattern_of, root_of, table_root
 
@@ -51,9 +51,9 @@ def read_day(spark: SparkSession, pattern: str, day: AsOf, merge_schema: bool =
     return rows
 
 
-def with_source_date(df: DataFrame, day: AsOf) -> DataFrame:
+def with_source_date(df: DataFrame, day: AsOf | None = None) -> DataFrame:
     """Stamp a payload with the day it was loaded for."""
-    return df.withColumn("source_date", F.lit(parse_day(day)).cast("date"))
+    return df.withColumn("source_date", F.lit(day_or_today(day)).cast("date"))
 
 
 def _free_of_partition_names(df: DataFrame) -> None:
@@ -75,7 +75,7 @@ def _write(df: DataFrame, root: str, partitions: Iterable[str], max_records: int
 def write_day(
     df: DataFrame,
     lake_root: str,
-    day: AsOf,
+    day: AsOf | None = None,
     *,
     source: str | None = None,
     catalog: str | None = None,
@@ -84,14 +84,14 @@ def write_day(
     area: str = "raw",
     max_records: int = 5_000_000,
 ) -> str:
-    """Replace one day of a table; other days stay. An empty frame writes nothing.
+    """Replace one day of a table, by default today; other days stay. An empty frame writes nothing.
 
     The rows keep the partitioning they arrive with, so a large day is written by many tasks.
     Returns the table's folder.
     """
     root = table_root(lake_root, source=source, catalog=catalog, schema=schema, table=table, area=area)
     _free_of_partition_names(df)
-    for name, value in day_parts(day).items():
+    for name, value in day_parts(day_or_today(day)).items():
         df = df.withColumn(name, F.lit(value))
     _write(df, root, PARTITIONS, max_records)
     return root
@@ -174,6 +174,17 @@ class Lake:
         self.patterns[name] = pattern
         return pattern
 
+    def register_source(self, source: str) -> str:
+        """Name a plain source ``raw.sources.<source>``; its files stay where they are."""
+        name = f"raw.sources.{source}"
+        self.register(name, pattern_of(table_root(self.root, source=source)))
+        return name
+
+    def tables_of(self, catalogs: Iterable[str]) -> list[str]:
+        """Registered tables of the given catalogs, e.g. those a user may see."""
+        wanted = set(catalogs)
+        return [name for name in self.patterns if name.split(".")[0] in wanted]
+
     def table(self, name: str, merge_schema: bool = False) -> DataFrame:
         if name not in self.patterns:
             raise KeyError(f"unknown table {name}")

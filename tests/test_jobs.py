@@ -172,6 +172,10 @@ def test_signups_equal_the_left_join(spark):
         F.when(F.col("id") < 130, "a@x").otherwise(F.concat(F.lit("u"), F.col("id") % 70)).alias("owner_name"),
         F.when(F.col("id") % 3 == 0, "closedwon").otherwise("open").alias("stage"),
     )
+    # Some deals changed hands, some have no owner.
+    moved = deals.where("deal_id % 7 = 0").withColumn("owner_name", F.lit("u3"))
+    orphans = deals.where("deal_id % 11 = 0").withColumn("owner_name", F.lit(None).cast("string"))
+    deals = deals.union(moved).union(moved.withColumn("owner_name", F.lit("u4"))).union(orphans)
     users.createOrReplaceTempView("u")
     deals.createOrReplaceTempView("d")
     expected = spark.sql(

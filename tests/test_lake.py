@@ -45,6 +45,11 @@ def test_day_write_replaces_one_day(spark, tmp_path):
     assert lake.read_day(spark, path, "2025-05-07").count() == 2
 
 
+def test_day_defaults_to_today(spark, tmp_path):
+    root = lake.write_day(lake.with_source_date(spark.range(2)), str(tmp_path), source="s")
+    assert lake.read_day(spark, root, date.today()).count() == 2
+
+
 def test_day_read_prunes_partitions(spark, tmp_path):
     df = spark.range(30).withColumn("source_date", F.date_add(F.lit("2025-05-01").cast("date"), F.col("id").cast("int")))
     root = lake.write_days(df, str(tmp_path), source="s")
@@ -97,20 +102,33 @@ def test_lake_names_and_sql(spark, tmp_path):
         lk.table("shop.sales.none")
 
 
-SHIPPED_SQL = {
-    "mrr": """SELECT plan_name, count(*) AS active_subscribers, round(sum(amount_usd), 2) AS mrr_usd
-              FROM read_parquet('{root}/raw/subscriptions/**/*.parquet')
-              WHERE status = 'active' GROUP BY 1 ORDER BY mrr_usd DESC;""",
-    "daily": """SELECT date_trunc('day', created_at) AS day,
-                round(sum(amount_usd) FILTER (WHERE status = 'succeeded'), 2) AS gross_revenue,
-                round(sum(amount_usd) FILTER (WHERE refunded = true), 2) AS refunds,
-                count(*) FILTER (WHERE dispute = true) AS disputes
-                FROM read_parquet('{root}/raw/charges/**/*.parquet')
-                WHERE created_at >= current_date - INTERVAL 30000 DAYS GROUP BY 1 ORDER BY 1;""",
-    "unfulfilled": """SELECT order_id, order_number, email, total_usd, created_at
-                FROM read_parquet('{root}/raw/shop_orders/**/*.parquet')
-                WHERE fulfillment_status IS NULL AND financial_status = 'paid'
-                  AND created_at < now() - INTERVAL 48 HOURS ORDER BY created_at;""",
+# What console users write: file functions, ordinals, filtered aggregates, plural intervals, casts.
+DIALECT_SQL = {
+    "filtered aggregates": (
+        """SELECT status, count(*) FILTER (WHERE dispute) AS disputed, max(amount_usd)::INT AS top
+           FROM read_parquet('{root}/raw/charges/**/*.parquet')
+           WHERE created_at >= current_date - INTERVAL 30000 DAYS GROUP BY 1 ORDER BY 2 DESC LIMIT 5;""",
+        [("failed", 0, 4), ("succeeded", 1, 10)],
+    ),
+    "periods": (
+        """select count(distinct date_trunc('week', created_at)) weeks, min(date_trunc('quarter', created_at)) q
+           from READ_PARQUET('{root}/raw/shop_orders/**/*.parquet')
+           where created_at < now() - interval 48 hours and fulfillment_status is null""",
+        [(1, datetime(2025, 4, 1))],
+    ),
+    "join using": (
+        """SELECT a.order_id, round(b.total_usd * 2, 1) AS twice
+           FROM read_parquet('{root}/raw/shop_orders/**/*.parquet') a
+           JOIN read_parquet('{root}/raw/shop_orders/**/*.parquet') b USING (order_id)
+           WHERE b.total_usd IS NOT NULL AND a.order_id NOT IN ('9')""",
+        [("1", 10.0)],
+    ),
+    "left join with a condition": (
+        """SELECT s.plan_name, count(c.status) AS n FROM raw.sources.subscriptions s
+           LEFT JOIN raw.sources.charges c ON c.amount_usd = s.amount_usd AND c.status = 'succeeded'
+           GROUP BY 1""",
+        [("Basic", 1), ("Pro", 0)],
+    ),
 }
 
 
@@ -141,9 +159,21 @@ def shop(spark, tmp_path_factory):
     return lake.Lake(spark, root)
 
 
-@pytest.mark.parametrize("name", sorted(SHIPPED_SQL))
-def test_shipped_sql_runs_unchanged(shop, name):
-    assert shop.sql(SHIPPED_SQL[name].format(root=shop.root)).count() >= 1
+@pytest.mark.parametrize("name", sorted(DIALECT_SQL))
+def test_console_sql(shop, name):
+    text, expected = DIALECT_SQL[name]
+    for source in ("charges", "subscriptions"):
+        shop.register_source(source)
+    assert rows(shop.sql(text.format(root=shop.root))) == expected
+
+
+def test_tables_of_visible_catalogs(shop):
+    shop.register("other.s.t")
+    seen = shop.tables_of(["raw"])
+    assert seen and all(n.startswith("raw.sources.") for n in seen)
+    assert shop.sql("SELECT count(*) AS n FROM raw.sources.charges", names=seen).first().n == 2
+    with pytest.raises(Exception):
+        shop.sql("SELECT count(*) AS n FROM raw.sources.charges", names=[])
 
 
 def test_reports_on_contract_tables(spark, shop):

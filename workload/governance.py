@@ -66,10 +66,7 @@ def schema_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_drift_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = schema_drift.column_lists(schema_merge(spark, sf_dir))
-    return lists.select(
-        "table_id", F.concat_ws(",", F.col("column_defs.name")).alias("names"), "schema_drift"
-    )
+    return schema_drift.table_drift(schema_merge(spark, sf_dir))
 
 
 def refresh_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,8 +400,8 @@ ORACLE = {
     "schema_merge": f"{_MERGE} SELECT * FROM merged",
     "schema_drift_flags": f"""
         {_MERGE}
-        SELECT table_id, string_agg(name, ',' ORDER BY NOT in_files, pos, name) AS names,
-               bool_or(changed) AS schema_drift
+        SELECT table_id, count(*) AS columns, count(*) FILTER (WHERE deprecated) AS deprecated,
+               count(*) FILTER (WHERE changed) AS changes, bool_or(changed) AS schema_drift
         FROM merged GROUP BY 1
     """,
     "refresh_catalog": """
