@@ -127,7 +127,7 @@ def top_products_net(
     sales = (
         line_items.join(in_quarter, "order_id")
         .groupBy("title" if products is None else "product_id")
-        .agg(F.sum("quantity").alias("units"), F.sum(money.exact(net, 4)).alias("net"))
+        .agg(F.sum("quantity").alias("units"), money.exact_sum(net).alias("net"))
     )
     if products is not None:
         sales = (
@@ -270,7 +270,7 @@ def signups_vs_won(
 def daily_weather(weather: DataFrame) -> DataFrame:
     """Hourly readings rolled up to one row per day."""
     return weather.groupBy(F.date_trunc("day", "timestamp").alias("date")).agg(
-        F.sum(money.exact(F.col("precipitation"), 4)).cast("double").alias("precipitation_sum")
+        money.exact_sum(F.col("precipitation")).cast("double").alias("precipitation_sum")
     )
 
 
@@ -282,7 +282,7 @@ def orders_by_weather(orders: DataFrame, weather: DataFrame) -> DataFrame:
     per_day = orders.groupBy(F.date_trunc("day", "created_at").alias("date")).agg(
         F.count("order_id").alias("n_orders"),
         F.count("total_usd").alias("n_values"),
-        F.sum(money.exact(F.col("total_usd"))).alias("value"),
+        money.exact_sum(F.col("total_usd")).alias("value"),
     )
     return (
         per_day.join(daily_weather(weather), "date")

@@ -29,7 +29,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else repr(value)
+        # Zero has one value, whatever its sign.
+        return "nan" if math.isnan(value) else repr(value + 0.0)
     return str(value)
 
 
