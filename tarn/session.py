@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -30,18 +31,27 @@ _shipped: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Give the Python workers this package, once per application.
 
-    Functions that run in tasks import it by name. Where it is installed on the executors, or sent
-    along with ``--py-files``, this adds nothing new.
+    Functions that run in tasks import it by name. The archive travels through the shared folder;
+    a cluster without one needs ``--py-files``.
     """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    try:
+        folder = shared_folder(spark)
+    except RuntimeError:
+        return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tarn-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as bundle:
+    bundle = io.BytesIO()
+    with zipfile.ZipFile(bundle, "w") as archive:
         for source in sorted(package.rglob("*.py")):
-            bundle.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
+            archive.write(source, source.relative_to(package.parent))
+    target = f"{folder}/code-{context.applicationId}/{package.name}.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bundle.getvalue())
+    stream.close()
+    context.addPyFile(target)
     _shipped.add(context.applicationId)
 
 
