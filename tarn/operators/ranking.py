@@ -8,10 +8,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.functions.moments import like_column
+
+
+def _order(order: Sequence[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+
+
+def top_rows(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> DataFrame:
+    """The first ``n`` whole rows by ``(column, ascending)`` pairs, nulls last, in that order.
+
+    The n-th position is found from the ordering columns alone. Whole rows are then read behind a
+    filter on that position, which reaches the file reader: wide rows of other positions are neither
+    decoded nor sent to the task that puts the last ``n`` in order.
+    """
+    names = [c for c, _ in order]
+    narrow = df.select(*names, F.lit(0).alias("_all"))
+    last = top_n_per_group(narrow, ["_all"], _order(order), n, salts=256).where(F.col("rank") == n).first()
+    if last is not None:
+        reached, level = F.lit(False), F.lit(True)
+        for name, up in order:
+            value, column = last[name], F.col(name)
+            if value is None:
+                ahead, same = column.isNotNull(), column.isNull()
+            else:
+                limit = like_column(df, name, value)
+                ahead, same = (column < limit if up else column > limit), column == limit
+            reached, level = reached | (level & ahead), level & same
+        df = df.where(reached | level)
+    return df.orderBy(*_order(order)).limit(n)
+
 
 def newest_rows(df: DataFrame, column: str, n: int, tie: str) -> DataFrame:
     """The ``n`` newest rows; equal dates are ordered by ``tie``."""
-    return df.orderBy(F.col(column).desc_nulls_last(), F.col(tie)).limit(n)
+    return top_rows(df, [(column, False), (tie, True)], n)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

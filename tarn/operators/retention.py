@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.moments import AsOf
+from tarn.functions.moments import AsOf, instant
 from tarn.operators.storage import folders
 from tarn.session import cut_lineage
 
@@ -25,7 +25,7 @@ def purge_date(deleted_at: Column, days: int = GRACE_DAYS) -> Column:
 
 def due_catalogs(catalogs: DataFrame, as_of: AsOf, workspaces: DataFrame | None = None) -> DataFrame:
     """Ids of catalogs to purge: deleted and due, or owned by an inactive workspace that is due."""
-    now = F.lit(as_of).cast("timestamp")
+    now = instant(as_of)
     due = F.col("scheduled_purge_at").isNotNull() & (F.col("scheduled_purge_at") <= now)
     own = catalogs.where(due & F.col("deleted_at").isNotNull()).select("catalog_id")
     if workspaces is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.moments import AsOf
+from tarn.functions.moments import AsOf, instant
 from tarn.functions.text import freshness, human_size, segments, timestamp_label
 from tarn.sources.paths import GLOB
 
@@ -74,7 +74,7 @@ def source_freshness(objects: DataFrame, sources: DataFrame, as_of: AsOf) -> Dat
         .groupBy("source")
         .agg(F.max("last_modified").alias("last_modified"))
     )
-    at = F.lit(as_of).cast("timestamp")
+    at = instant(as_of)
     return sources.select("source").join(named, "source", "left").select(
         "source",
         "last_modified",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import money
 from tarn.functions.moments import AsOf, day_start, days_between, moment
+from tarn.operators.ranking import top_rows
 
 WON, LOST = "closedwon", "closedlost"
 
@@ -24,7 +25,7 @@ def _period_start(df: DataFrame, column: str, as_of: AsOf, unit: str) -> Column:
 
 def recent_charges(charges: DataFrame, limit: int = 20) -> DataFrame:
     """Newest charges, complete rows."""
-    return charges.orderBy(F.col("created_at").desc(), F.col("charge_id")).limit(limit)
+    return top_rows(charges, [("created_at", False), ("charge_id", True)], limit)
 
 
 def top_products(line_items: DataFrame, limit: int = 20) -> DataFrame:

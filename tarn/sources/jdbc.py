@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions.moments import like_column
+
 
 def jdbc_options(
     url: str,
@@ -48,7 +50,7 @@ def incremental(rows: DataFrame, column: str, last_max: Any | None) -> DataFrame
     """
     if last_max is None:
         return rows
-    return rows.where(F.col(column) > F.lit(last_max).cast(rows.schema[column].dataType))
+    return rows.where(F.col(column) > like_column(rows, column, last_max))
 
 
 def jdbc_incremental(

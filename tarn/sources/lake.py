@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.moments import AsOf, day_or_today, parse_day
+from tarn.operators.ranking import top_rows
 from tarn.session import configure
 from tarn.sources.paths import PARTITIONS, day_parts, pattern_of, root_of, table_root
 
@@ -123,9 +124,10 @@ def write_days(
     return root
 
 
-def preview(df: DataFrame, n: int = 100, order_by: tuple = ()) -> DataFrame:
-    """First rows of a table; name an order if the answer must repeat."""
-    return (df.orderBy(*order_by) if order_by else df).limit(n)
+def preview(df: DataFrame, n: int = 100, order_by: Iterable[str] = ()) -> DataFrame:
+    """Some rows of a table; the first ones by the columns of ``order_by`` if the answer must repeat."""
+    order = [(name, True) for name in order_by]
+    return top_rows(df, order, n) if order else df.limit(n)
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.operators.ranking import first_per_key, top_n_per_group
+from tarn.operators.ranking import first_per_key, top_n_per_group, top_rows
 from tarn.plans import daily
 from tarn.plans.reports import signups_vs_won
 from tarn.session import cut_lineage, shared_folder
@@ -152,6 +152,25 @@ def shuffled_rows(df):
     return found
 
 
+@pytest.mark.parametrize("n", [1, 7, 40, 500, 2000])
+def test_top_rows_equals_a_full_sort(spark, n):
+    """Ties, nulls in both columns, and a boundary inside copies of one row."""
+    df = spark.range(1000).select(
+        F.when(F.col("id") % 10 != 0, F.date_add(F.lit("2025-05-01").cast("date"), (F.col("id") % 3).cast("int"))).alias("d"),
+        F.when(F.col("id") % 7 != 0, F.when(F.col("id") < 330, "same").otherwise(F.col("id").cast("string"))).alias("t"),
+        F.lit("wide").alias("w"),
+    ).repartition(5)
+    got = [tuple(r) for r in top_rows(df, [("d", False), ("t", True)], n).collect()]
+    expected = df.orderBy(F.col("d").desc_nulls_last(), F.col("t").asc_nulls_last()).limit(n).collect()
+    assert got == [tuple(r) for r in expected]
+
+
+def test_top_rows_filter_reaches_the_reader(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id * 2 AS v").write.parquet(str(tmp_path / "t"))
+    plan = top_rows(spark.read.parquet(str(tmp_path / "t")), [("id", False)], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(id,997)" in plan
+
+
 def test_hot_key_is_cut_before_the_shuffle(skewed):
     """20 000 rows of the hot key leave each of 16 tasks as at most seven."""
     hot = skewed.where("k = 0")

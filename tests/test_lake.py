@@ -73,6 +73,13 @@ def test_files_with_different_columns(spark, tmp_path):
     assert rows(merged, "a", "b") == [(1, None), (None, "x")]
 
 
+def test_folder_of_several_tables(spark, tmp_path):
+    for name in ("a", "b"):
+        lake.write_day(spark.range(2).withColumn("source", F.lit(name)), str(tmp_path), "2025-05-01", source=name)
+    everything = lake.read_table(spark, f"{tmp_path}/raw/**/*.parquet")
+    assert everything.columns == ["id", "source"] and everything.count() == 4
+
+
 def test_result_envelope(spark):
     got = lake.collect_result(spark.range(5), cap=3)
     assert (got["ok"], got["columns"], got["row_count"], got["truncated"]) == (True, ["id"], 3, True)
