@@ -99,7 +99,9 @@ class Forest:
 
 
 def _as_points(vectors: pd.Series) -> np.ndarray:
-    return np.nan_to_num(np.array(vectors.tolist(), dtype=np.float64))
+    """Vectors as a matrix; a missing number counts as zero."""
+    points = np.concatenate(vectors.tolist()).astype(np.float64, copy=False).reshape(len(vectors), -1)
+    return np.nan_to_num(points)
 
 
 def _tree_choice(key: Sequence[str], n: int, trees: int, sample: int, seed: int) -> Column:

@@ -23,6 +23,7 @@ MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 512
 GROUP_QUERIES = 2_000
 GROUP_ROWS = 50_000
+GROUP_BYTES = 96 << 20
 
 
 def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
@@ -30,7 +31,9 @@ def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
     for row in rows:
         if row is None or len(row) != dim:
             raise ValueError(f"expected {dim} values, found {0 if row is None else len(row)}")
-    return np.asarray(rows, dtype=np.float64).reshape(len(rows), dim)
+    if not rows:
+        return np.empty((0, dim))
+    return np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), dim)
 
 
 def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,10 +113,11 @@ def _grouped_topk(
     questions and questions once per slice of rows; a group answers with at most ``k`` rows a question.
     """
     carried = [c for c in vectors.columns if c not in (vector, *keys)]
+    group_rows = max(1, min(GROUP_ROWS, GROUP_BYTES // (8 * max(dim, 1))))
     # One row per key, stored, as both sides need it and counting scores every row.
     sizes = cut_lineage(
         vectors.groupBy(*keys)
-        .agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_slices"))
+        .agg(F.ceil(F.count("*") / group_rows).cast("int").alias("_slices"))
         .join(
             queries.groupBy(*keys).agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("_blocks")),
             keys,

@@ -30,9 +30,9 @@ def _overwrite(df: DataFrame, root: str, *partitions: str) -> None:
     )
 
 
-def append_batch(df: DataFrame, batch_id: int, root: str) -> None:
+def append_batch(df: DataFrame, batch: str, root: str) -> None:
     """Log sources: keep all rows. A batch that is run again replaces its own folders."""
-    _overwrite(_with_day(df).withColumn(BATCH, F.lit(str(batch_id))), root, *PARTITIONS, BATCH)
+    _overwrite(_with_day(df).withColumn(BATCH, F.lit(batch)), root, *PARTITIONS, BATCH)
 
 
 def replace_days(df: DataFrame, root: str) -> None:
@@ -82,7 +82,9 @@ def stream_land(
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = normalise(batch)
         if mode == "append":
-            append_batch(rows, batch_id, root)
+            # Batch numbers start over with a new checkpoint; the query's id does not repeat.
+            query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            append_batch(rows, f"{query}-{batch_id}", root)
         else:
             replace_days(rows, root)
 

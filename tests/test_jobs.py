@@ -97,11 +97,25 @@ def test_snapshot_stream_keeps_newest_payload_of_a_day(spark, tmp_path):
 
 def test_append_batch_can_be_replayed(spark, tmp_path):
     df = with_source_date(spark.range(4), DAY)
-    for batch in (0, 1, 1):
+    for batch in ("q-0", "q-1", "q-1"):
         append_batch(df, batch, str(tmp_path / "t"))
     assert read_table(spark, str(tmp_path / "t")).count() == 8
 
 
+def test_new_checkpoint_keeps_what_has_landed(spark, tmp_path):
+    landing, root = tmp_path / "landing", f"{tmp_path}/raw/s"
+    landing.mkdir()
+    deliver(landing, "a.json", [{"id": "x", "v": 1}], 1748347200)
+    for checkpoint in ("cp1", "cp1", "cp2"):
+        stream_land(
+            spark, str(landing), PAYLOAD, lambda b: with_source_date(b, DAY), root, f"{tmp_path}/{checkpoint}"
+        ).awaitTermination()
+    landed = read_table(spark, root)
+    assert landed.count() == 2
+    batches = [r[0] for r in landed.select("landing_batch").collect()]
+    assert len(set(batches)) == 2 and all(b.endswith("-0") and not b.startswith("None") for b in batches)
+
+
 def test_text_lines_stream(spark, tmp_path):
     from tarn.sources.landing import normalize_journal
 

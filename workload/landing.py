@@ -108,7 +108,7 @@ def flatten_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct("conv_id", F.struct("turn", F.struct("role").alias("by")).alias("msg")).alias("rec"),
         F.length("text").cast("bigint").alias("size"),
     )
-    return landing.flatten_struct(nested)
+    return landing.flatten_struct(nested, sep="_")
 
 
 def disk_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,7 @@ ORACLE = {
         FROM conversations WHERE turn > 0
     """,
     "flatten_nested": """
-        SELECT conv_id AS "rec.conv_id", turn AS "rec.msg.turn", role AS "rec.msg.by.role",
+        SELECT conv_id AS rec_conv_id, turn AS rec_msg_turn, role AS rec_msg_by_role,
                length(text) AS size FROM conversations
     """,
     "disk_inventory": """

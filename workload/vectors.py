@@ -10,6 +10,8 @@ from tarn.operators import content, generation, outliers, similarity
 from tarn.plans import daily
 from tarn.session import scratch_path
 from tarn.sources.lake import Lake, with_source_date, write_day
+from workload.landing import ORACLE as LANDING_ORACLE
+from workload.landing import log_table
 from workload.tables import table
 
 DAY = "2024-01-15"
@@ -64,6 +66,11 @@ def content_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.with_record_id(rows).select("id", "content")
 
 
+def content_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = content.build_content(log_table(spark, sf_dir), "truenas_logs")
+    return content.with_record_id(rows).select("id", "log_type", "content")
+
+
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = content.embedding_rows(activities(spark, sf_dir), "jellyfin", DAY)
     entries = rows.select("id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
@@ -178,6 +185,7 @@ QUERIES = {
     "content_pool": content_pool,
     "content_weather": content_weather,
     "content_voice": content_voice,
+    "content_logs": content_logs,
     "embed_documents": embed_documents,
     "embed_day": embed_day,
     "cosine_topk": cosine_topk,
@@ -286,6 +294,7 @@ ORACLE = {
         )
         SELECT md5(content) AS id, content FROM c
     """,
+    "content_logs": f"SELECT id, log_type, content FROM ({LANDING_ORACLE['log_table']})",
     "embed_documents": f"""
         WITH m AS ({_MEDIA})
         SELECT id, CAST(bucket AS INTEGER) AS bucket, round(weight, 9) AS weight
