@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.moments import like_column
+from tarn.session import SPLIT_BYTES, estimated_bytes
+
+# Rows one task may receive to put in order.
+MAX_SORTED_ROWS = 100_000
 
 
 def _order(order: Sequence[tuple[str, bool]]) -> list[Column]:
@@ -18,10 +22,13 @@ def _order(order: Sequence[tuple[str, bool]]) -> list[Column]:
 def top_rows(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> DataFrame:
     """The first ``n`` whole rows by ``(column, ascending)`` pairs, nulls last, in that order.
 
-    The n-th position is found from the ordering columns alone. Whole rows are then read behind a
-    filter on that position, which reaches the file reader: wide rows of other positions are neither
-    decoded nor sent to the task that puts the last ``n`` in order.
+    Spark's sorted limit sends ``n`` whole rows of every task to one task. When that would be many,
+    the n-th position is first found from the ordering columns alone. Whole rows are then read behind
+    a filter on that position, which reaches the file reader: wide rows of other positions are neither
+    decoded nor sent.
     """
+    if (estimated_bytes(df) // SPLIT_BYTES + 1) * n <= MAX_SORTED_ROWS:
+        return df.orderBy(*_order(order)).limit(n)
     names = [c for c, _ in order]
     narrow = df.select(*names, F.lit(0).alias("_all"))
     last = top_n_per_group(narrow, ["_all"], _order(order), n, salts=256).where(F.col("rank") == n).first()

@@ -109,6 +109,11 @@ SPLIT_BYTES = 128 << 20
 TOO_SMALL_TO_SPREAD = 256 << 10
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own size estimate of a plan; very large when it does not know."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly work on a table too small to be read in that many pieces.
 
@@ -116,7 +121,7 @@ def spread(df: DataFrame) -> DataFrame:
     by themselves, and tables whose size Spark does not know, are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    size = estimated_bytes(df)
     if TOO_SMALL_TO_SPREAD < size < cores * SPLIT_BYTES:
         return df.repartition(cores)
     return df

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarn.operators import ranking
 from tarn.operators.ranking import first_per_key, top_n_per_group, top_rows
 from tarn.plans import daily
 from tarn.plans.reports import signups_vs_won
@@ -166,9 +167,11 @@ def shuffled_rows(df):
     return found
 
 
+@pytest.mark.parametrize("limit", [0, 10**9])
 @pytest.mark.parametrize("n", [1, 7, 40, 500, 2000])
-def test_top_rows_equals_a_full_sort(spark, n):
+def test_top_rows_equals_a_full_sort(spark, n, limit, monkeypatch):
     """Ties, nulls in both columns, and a boundary inside copies of one row."""
+    monkeypatch.setattr(ranking, "MAX_SORTED_ROWS", limit)
     df = spark.range(1000).select(
         F.when(F.col("id") % 10 != 0, F.date_add(F.lit("2025-05-01").cast("date"), (F.col("id") % 3).cast("int"))).alias("d"),
         F.when(F.col("id") % 7 != 0, F.when(F.col("id") < 330, "same").otherwise(F.col("id").cast("string"))).alias("t"),
@@ -179,7 +182,8 @@ def test_top_rows_equals_a_full_sort(spark, n):
     assert got == [tuple(r) for r in expected]
 
 
-def test_top_rows_filter_reaches_the_reader(spark, tmp_path):
+def test_top_rows_filter_reaches_the_reader(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ranking, "MAX_SORTED_ROWS", 0)
     spark.range(1000).selectExpr("id", "id * 2 AS v").write.parquet(str(tmp_path / "t"))
     plan = top_rows(spark.read.parquet(str(tmp_path / "t")), [("id", False)], 3)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,997)" in plan
