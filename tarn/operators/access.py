@@ -57,11 +57,30 @@ def effective_access(
             ((F.col("_role") == SUPERUSER) | F.coalesce("_own", F.lit(False))).alias("_owner"),
         )
     )
-    # Grants are looked up only for pairs not settled yet, by the few workspaces of the user.
-    granted = (
+    # Grants are looked up only for pairs not settled yet, through the shorter of two lists: the user's
+    # workspaces or the workspaces the catalog is shared with. So neither a user in very many
+    # workspaces nor a catalog shared with very many multiplies the pairs it occurs in.
+    force = _in_force(grants).select("catalog_id", "workspace_id", "mode")
+    degrees = (
         described.where(~F.coalesce("_owner", F.lit(False)))
+        .join(membership.groupBy("user_id").agg(F.count("*").alias("_workspaces")), "user_id")
+        .join(force.groupBy("catalog_id").agg(F.count("*").alias("_shares")), "catalog_id")
+    )
+    short = F.col("_workspaces") <= F.col("_shares")
+    by_user = (
+        degrees.where(short)
         .join(membership, "user_id")
-        .join(_in_force(grants).select("catalog_id", "workspace_id", "mode"), ["catalog_id", "workspace_id"])
+        .join(force, ["catalog_id", "workspace_id"])
+        .select("user_id", "catalog_id", "mode")
+    )
+    by_catalog = (
+        degrees.where(~short)
+        .join(force, "catalog_id")
+        .join(membership, ["user_id", "workspace_id"], "left_semi")
+        .select("user_id", "catalog_id", "mode")
+    )
+    granted = (
+        by_user.unionByName(by_catalog)
         .groupBy("user_id", "catalog_id")
         .agg(F.max(_rank(F.col("mode"))).alias("_grant"))
     )

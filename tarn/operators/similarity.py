@@ -246,10 +246,16 @@ def ann_topk(
     ties, spark = list(ties), vectors.sparkSession
     asked = queries.select("query_id", F.col(vector).alias("query_vector"))
     rows = vectors.count()
+    if dim is None:
+        first = asked.first()
+        dim = len(first.query_vector) if first else 1
+    most = MAX_BROADCAST_BYTES // (8 * dim)
     if cells is None:
-        cells = max(2, min(4096, int(rows**0.5)))
+        cells = max(2, min(4096, most, int(rows**0.5)))
+    if cells > most:
+        raise ValueError(f"at most {most} cells of {dim} numbers can be sent to every task")
     centres = fit_cells(vectors, rows, cells, seed, vector=vector)
-    if dim is not None and centres.shape[1] != dim:
+    if centres.shape[1] != dim:
         raise ValueError(f"expected {dim} values, found {centres.shape[1]}")
 
     def placed(df: DataFrame, name: str, count: int) -> DataFrame:

@@ -42,11 +42,23 @@ def read_tree(spark: SparkSession, pattern: str, merge_schema: bool = False) ->
 
 
 def read_day(spark: SparkSession, pattern: str, day: AsOf, merge_schema: bool = False) -> DataFrame:
-    """Rows of one day. The partition filter prunes folders; ``source_date`` decides."""
-    rows = read_table(spark, pattern, merge_schema)
-    for name, value in day_parts(day).items():
-        if name in rows.columns:
-            rows = rows.where(F.col(name) == value)
+    """Rows of one day: only its folder is listed, and ``source_date`` decides.
+
+    A table without that folder is filtered as a whole, which gives no rows unless its files are not
+    kept by day.
+    """
+    root, parts = root_of(pattern), day_parts(day)
+    folder = "/".join([root, *(f"{name}={value}" for name, value in parts.items())])
+    reader = spark.read.option("mergeSchema", str(merge_schema).lower()).option("basePath", root)
+    try:
+        rows = reader.parquet(folder)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = read_table(spark, pattern)
+        for name, value in parts.items():
+            if name in rows.columns:
+                rows = rows.where(F.col(name) == value)
     if "source_date" in rows.columns:
         rows = rows.where(F.col("source_date") == F.lit(parse_day(day)).cast("date"))
     return rows
