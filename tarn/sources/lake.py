@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.functions.moments import AsOf, day_or_today, parse_day
 from tarn.operators.ranking import top_rows
@@ -17,14 +18,19 @@ from tarn.session import configure
 from tarn.sources.paths import PARTITIONS, day_parts, pattern_of, root_of, table_root
 
 
-def read_table(spark: SparkSession, pattern: str, merge_schema: bool = False) -> DataFrame:
+def read_table(
+    spark: SparkSession, pattern: str, merge_schema: bool = False, schema: T.StructType | None = None
+) -> DataFrame:
     """All Parquet files under a path or path pattern, with their partition columns.
 
-    ``merge_schema`` is for tables whose files differ in columns; it reads every footer. A folder
-    that holds several tables is read file by file, without partition columns.
+    ``merge_schema`` is for tables whose files differ in columns; it reads every footer. ``schema``
+    is for tables whose column types were widened over time: files of the narrower type are read as
+    the wider one. A folder that holds several tables is read file by file, without partition columns.
     """
     root = root_of(pattern)
     reader = spark.read.option("mergeSchema", str(merge_schema).lower())
+    if schema is not None:
+        reader = reader.schema(schema)
     if root.endswith(".parquet"):
         return reader.parquet(root)
     try:
@@ -35,6 +41,17 @@ def read_table(spark: SparkSession, pattern: str, merge_schema: bool = False) ->
     return read_tree(spark, pattern, merge_schema)
 
 
+def table_schema(spark: SparkSession, pattern: str, merge_schema: bool = True) -> T.StructType:
+    """Columns of a table, from file footers. Where files disagree on a type the newest day decides."""
+    try:
+        return read_table(spark, pattern, merge_schema).schema
+    except Exception as problem:
+        if "CANNOT_MERGE_SCHEMAS" not in str(problem):
+            raise
+    last = max(read_table(spark, pattern).inputFiles())
+    return spark.read.option("basePath", root_of(pattern)).parquet(last).schema
+
+
 def read_tree(spark: SparkSession, pattern: str, merge_schema: bool = False) -> DataFrame:
     """All Parquet files of several tables below one folder."""
     reader = spark.read.option("mergeSchema", str(merge_schema).lower())
@@ -199,10 +216,10 @@ class Lake:
         wanted = set(catalogs)
         return [name for name in self.patterns if name.split(".")[0] in wanted]
 
-    def table(self, name: str, merge_schema: bool = False) -> DataFrame:
+    def table(self, name: str, merge_schema: bool = False, schema: T.StructType | None = None) -> DataFrame:
         if name not in self.patterns:
             raise KeyError(f"unknown table {name}")
-        return read_table(self.spark, self.patterns[name], merge_schema)
+        return read_table(self.spark, self.patterns[name], merge_schema, schema)
 
     def describe_table(self, name: str) -> DataFrame:
         return describe(self.table(name))
@@ -251,7 +268,7 @@ class Lake:
 
         def columns(name: str):
             try:
-                fields = self.table(name, merge_schema).schema.fields
+                fields = table_schema(self.spark, self.patterns[name], merge_schema).fields
             except AnalysisException:
                 return name, None
             return name, [(f.name, f.dataType.simpleString()) for f in fields]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import layers, schema_drift
 from tarn.plans import reports
+from tarn.session import cut_lineage
 from tarn.sources import lake
 from tarn.sources.contracts import CONTRACTS
 from tarn.sources.paths import day_parts, root_of, table_root
@@ -261,6 +262,21 @@ def test_refresh_leaves_unreadable_tables_alone(spark, tmp_path):
     assert not any(r.schema_drift for r in again.collect())
 
 
+def test_changed_type_is_drift_and_stays_readable(spark, tmp_path):
+    lk = lake.Lake(spark, str(tmp_path))
+    lk.register("c.s.t")
+    target = {"catalog": "c", "schema": "s", "table": "t"}
+    lake.write_day(spark.range(2).selectExpr("CAST(id AS INT) AS id", "'x' AS old"), lk.root, "2025-05-01", **target)
+    before = schema_drift.refresh_catalog(lk, registry(spark, []).withColumn("table_id", F.lit("c.s.t")))
+    before = cut_lineage(before)
+    lake.write_day(spark.range(3), lk.root, "2025-05-02", **target)
+    after = schema_drift.refresh_catalog(lk, before).first()
+    types = {c.name: (c.type, c.deprecated) for c in after.column_defs}
+    assert after.schema_drift and types["id"] == ("bigint", False) and types["old"] == ("string", True)
+    wide = lake.table_schema(spark, lk.patterns["c.s.t"])
+    assert lk.table("c.s.t", schema=wide).agg(F.sum("id")).first()[0] == 4
+
+
 def test_silver_and_layers(spark):
     df = spark.createDataFrame(
         [("1", "5", "2025-05-01"), ("1", "x", "2025-05-02"), ("2", "7", "2025-05-01")],
