@@ -21,6 +21,8 @@ SCORE_DIGITS = 9
 # Questions up to this size are sent to every task; more of them are matched by shuffled blocks.
 MAX_BROADCAST_BYTES = 64 << 20
 QUERY_BLOCK = 512
+CELL = "_cell"
+MAX_CELLS = 4096
 GROUP_QUERIES = 2_000
 GROUP_ROWS = 50_000
 GROUP_BYTES = 96 << 20
@@ -223,6 +225,30 @@ def nearest_cells(vector: Column, centres: np.ndarray, probes: int, session: Spa
     return once(cells)(vector)
 
 
+def _placed(df: DataFrame, vector: str, centres: np.ndarray, probes: int) -> DataFrame:
+    """A row per row and cell it belongs to or looks into."""
+    found = spread(df).withColumn("_cells", nearest_cells(F.col(vector), centres, probes, df.sparkSession))
+    return found.withColumn(CELL, F.explode("_cells")).drop("_cells")
+
+
+def _centres_for(vectors: DataFrame, dim: int, cells: int | None, seed: int, vector: str) -> np.ndarray:
+    rows = vectors.count()
+    most = MAX_BROADCAST_BYTES // (8 * dim)
+    if cells is None:
+        cells = max(2, min(MAX_CELLS, most, int(rows**0.5)))
+    if cells > most:
+        raise ValueError(f"at most {most} cells of {dim} numbers can be sent to every task")
+    centres = fit_cells(vectors, rows, cells, seed, vector=vector)
+    if centres.shape[1] != dim:
+        raise ValueError(f"expected {dim} values, found {centres.shape[1]}")
+    return centres
+
+
+def _dim_of(df: DataFrame, vector: str) -> int:
+    first = df.select(F.size(vector).alias("n")).first()
+    return first.n if first else 1
+
+
 def ann_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -243,32 +269,61 @@ def ann_topk(
     full cells are split. By default there are as many cells as the square root of the row count,
     at most 4096.
     """
-    ties, spark = list(ties), vectors.sparkSession
     asked = queries.select("query_id", F.col(vector).alias("query_vector"))
-    rows = vectors.count()
-    if dim is None:
-        first = asked.first()
-        dim = len(first.query_vector) if first else 1
-    most = MAX_BROADCAST_BYTES // (8 * dim)
-    if cells is None:
-        cells = max(2, min(4096, most, int(rows**0.5)))
-    if cells > most:
-        raise ValueError(f"at most {most} cells of {dim} numbers can be sent to every task")
-    centres = fit_cells(vectors, rows, cells, seed, vector=vector)
-    if centres.shape[1] != dim:
-        raise ValueError(f"expected {dim} values, found {centres.shape[1]}")
-
-    def placed(df: DataFrame, name: str, count: int) -> DataFrame:
-        found = spread(df).withColumn("_cells", nearest_cells(F.col(name), centres, count, spark))
-        return found.withColumn("_cell", F.explode("_cells")).drop("_cells")
-
+    dim = _dim_of(queries, vector) if dim is None else dim
+    centres = _centres_for(vectors, dim, cells, seed, vector)
     hits = _grouped_topk(
-        placed(vectors, vector, 1),
-        placed(asked, "query_vector", probes),
-        ["_cell"],
+        _placed(vectors, vector, centres, 1),
+        _placed(asked, "query_vector", centres, probes),
+        [CELL],
         vector,
-        ties,
-        centres.shape[1],
+        list(ties),
+        dim,
         k,
     )
-    return _final(hits, ties, k)
+    return _final(hits, list(ties), k)
+
+
+def build_index(
+    vectors: DataFrame,
+    path: str,
+    dim: int | None = None,
+    *,
+    cells: int | None = None,
+    seed: int = 42,
+    vector: str = "embedding",
+) -> None:
+    """Store the rows by cell, and the centres beside them, for searches that read few cells.
+
+    The rebalance hint gathers a cell into few files and splits one that is far larger than others.
+    Rows of length zero, which match nothing, are not stored.
+    """
+    centres = _centres_for(vectors, _dim_of(vectors, vector) if dim is None else dim, cells, seed, vector)
+    rows = _placed(vectors, vector, centres, 1).hint("rebalance", CELL)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(CELL).parquet(f"{path}/rows")
+    numbered = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    stored = vectors.sparkSession.createDataFrame(numbered, "cell int, centre array<double>")
+    stored.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def search_index(
+    spark: SparkSession,
+    path: str,
+    queries: DataFrame,
+    k: int = 10,
+    *,
+    probes: int = 8,
+    ties: Sequence[str] = ("id",),
+    vector: str = "embedding",
+) -> DataFrame:
+    """``ann_topk`` over a stored index: only the files of cells some question looks into are read."""
+    stored = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()
+    centres = np.array([r.centre for r in stored])
+    asked = queries.select("query_id", F.col(vector).alias("query_vector"))
+    asked = _placed(asked, "query_vector", centres, probes).withColumn(CELL, F.col(CELL).cast("string"))
+    wanted = [r[0] for r in asked.select(CELL).distinct().collect()]
+    rows = spark.read.parquet(f"{path}/rows").withColumn(CELL, F.col(CELL).cast("string"))
+    hits = _grouped_topk(
+        rows.where(F.col(CELL).isin(wanted)), asked, [CELL], vector, list(ties), centres.shape[1], k
+    )
+    return _final(hits, list(ties), k)

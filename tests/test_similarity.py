@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,25 @@ def test_all_cells_probed_is_exact(spark, data, monkeypatch):
     }
 
 
+def test_stored_index_gives_the_same_and_reads_few_cells(spark, data, tmp_path):
+    vectors, queries = data
+    rows_, asked = table(spark, vectors, "id"), table(spark, queries[3:5], "query_id")
+    path = str(tmp_path / "index")
+    similarity.build_index(rows_, path, cells=12)
+    assert spark.read.parquet(f"{path}/rows").count() == 590
+    got = similarity.search_index(spark, path, asked, 5, probes=2)
+    expected = similarity.ann_topk(rows_, asked, 5, cells=12, probes=2)
+    assert answers(got) == answers(expected)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    pruned = [f for f in filters if "_cell" in f]
+    assert pruned and all(0 < len(set(re.findall(r"\bIN \((.*?)\)", f)[0].split(","))) <= 4 for f in pruned), filters
+    everything = similarity.search_index(spark, path, table(spark, queries, "query_id"), 5, probes=12)
+    assert {q: [i for i, _ in h] for q, h in answers(everything).items()} == {
+        q: [i for i, _ in h] for q, h in brute(vectors, queries, 5).items()
+    }
+
+
 def test_recall_on_clustered_rows(spark):
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((20, 16)) * 4

@@ -116,6 +116,14 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(similarity.ann_topk(*_vectors(spark, sf_dir), k=10, dim=64))
 
 
+def ann_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over rows stored by cell."""
+    rows, questions = _vectors(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    similarity.build_index(rows, path, 64)
+    return _hits(similarity.search_index(spark, path, questions, k=10))
+
+
 def _document_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark texts as questions to the documents."""
     questions = table(spark, sf_dir, "benchmark").select(
@@ -191,6 +199,7 @@ QUERIES = {
     "cosine_topk": cosine_topk,
     "cosine_topk_blocks": cosine_topk_blocks,
     "ann_topk": ann_topk,
+    "ann_index": ann_index,
     "rag_context": rag_context,
     "rag_context_cited": rag_context_cited,
     "rag_answer": rag_answer,
