@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions.text import same_name
 from tarn.operators.ranking import first_per_key
 
 # Role and access names.
@@ -220,5 +221,5 @@ def workspace_usage(workspaces: DataFrame, members: DataFrame, catalogs: DataFra
 
 def default_catalogs(catalogs: DataFrame, name: str = "default") -> DataFrame:
     """The oldest catalog of each owner that bears the default name, in any case."""
-    named = catalogs.where(F.lower("name") == name)
+    named = catalogs.where(same_name(F.col("name"), F.lit(name)))
     return first_per_key(named, ["owner_workspace_id"], [F.col("created_at").asc(), F.col("catalog_id").asc()])

@@ -172,7 +172,3 @@ def anomaly_report(
         F.when(F.col("context") == "", NO_ANOMALIES).otherwise(text).alias("report"),
     )
 
-
-def blank_free(df: DataFrame, text: str) -> DataFrame:
-    """Rows with something to read."""
-    return df.where(nonblank(F.col(text)).isNotNull())

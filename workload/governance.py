@@ -12,6 +12,7 @@ from tarn.functions.moments import newest
 from tarn.operators import access, layers, retention, schema_drift, storage
 from tarn.sources.contracts import contract
 from tarn.sources.objects import list_objects
+from workload.lake import ORACLE as LAKE_ORACLE
 from workload.lake import TABLES, fixture_lake
 from workload.tables import table
 
@@ -30,11 +31,10 @@ def silver_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
         "l_linestatus string, l_shipdate timestamp, l_comment string"
     )
-    newest_first = [F.col("l_shipdate").desc()] + [
-        F.col(c)
-        for c in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    ]
-    return layers.to_silver(items, ["l_orderkey", "l_linenumber"], newest_first, shape, {"l_comment": "none"})
+    key = ["l_orderkey", "l_linenumber"]
+    # The key has real duplicates; all other columns make the choice repeatable.
+    others = [F.col(f.name) for f in shape.fields if f.name not in (*key, "l_shipdate", "l_comment")]
+    return layers.to_silver(items, key, [F.col("l_shipdate").desc(), *others], shape, {"l_comment": "none"})
 
 
 # Schema drift
@@ -98,7 +98,9 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey")
     return table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("/", area, source, F.date_format("l_shipdate", "'year='yyyy"), F.concat(name, F.lit(".parquet"))).alias("key"),
+        F.concat_ws(
+            "/", area, source, F.date_format("l_shipdate", "'year='yyyy"), F.concat(name, F.lit(".parquet"))
+        ).alias("key"),
         (F.col("l_extendedprice") * 1000).cast("bigint").alias("size"),
         F.col("l_shipdate").cast("timestamp").alias("last_modified"),
     )
@@ -161,7 +163,8 @@ def _catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     owners = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min("l_suppkey").alias("owner_workspace_id"))
     created = F.lit("1998-01-01").cast("timestamp") + F.make_dt_interval(F.col("p_size"))
     deleted = F.when(F.col("p_size") > 40, created + F.expr("INTERVAL 10 DAYS"))
-    name = F.when(F.col("p_brand") == "Brand#1", "Default").when(F.col("p_brand") == "Brand#2", "DEFAULT").otherwise(F.col("p_name"))
+    brand = F.col("p_brand")
+    name = F.when(brand == "Brand#1", "Default").when(brand == "Brand#2", "DEFAULT").otherwise(F.col("p_name"))
     return (
         table(spark, sf_dir, "part")
         .join(owners, F.col("p_partkey") == F.col("l_partkey"))
@@ -404,10 +407,10 @@ ORACLE = {
                count(*) FILTER (WHERE changed) AS changes, bool_or(changed) AS schema_drift
         FROM merged GROUP BY 1
     """,
-    "refresh_catalog": """
+    "refresh_catalog": f"""
         SELECT 'fixture.raw.' || table_name AS table_id, true AS schema_drift, pos, column_name AS name,
                column_type AS type
-        FROM ({describe})
+        FROM ({LAKE_ORACLE['describe_tables']})
     """,
     "storage_totals": f"""
         SELECT count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, {_human('sum(size)')} AS size
@@ -544,7 +547,3 @@ ORACLE = {
         SELECT owner_workspace_id, deleted_at IS NULL AS live, name, catalog_id FROM catalogs
     """,
 }
-
-from workload.lake import ORACLE as _LAKE_ORACLE  # noqa: E402
-
-ORACLE["refresh_catalog"] = ORACLE["refresh_catalog"].replace("{describe}", _LAKE_ORACLE["describe_tables"])

@@ -148,9 +148,8 @@ def land_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     payload = orders.select(F.to_json(F.struct("*")).alias("value"))
     rows = landing.land(payload, CONTRACTS["shop_orders"], DAY)
-    return _show_day(
-        rows.select("order_id", "order_number", "financial_status", "fulfillment_status", "total_usd", "created_at", "source_date")
-    )
+    shown = ("order_id", "order_number", "financial_status", "fulfillment_status", "total_usd", "created_at")
+    return _show_day(rows.select(*shown, "source_date"))
 
 
 def incremental_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.vectors import DEFAULT_DIM, numeric_vector
 from tarn.operators import content, generation, outliers, similarity
+from tarn.operators.ranking import newest_rows
 from tarn.plans import daily
 from tarn.session import scratch_path
 from tarn.sources.lake import Lake, with_source_date, write_day
@@ -129,7 +130,9 @@ def _document_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     questions = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
     )
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.col("text").alias("content"))
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), "source", F.col("text").alias("content")
+    )
     rows = content.embed(rows).withColumn("ingested_at", F.lit("2024-01-16 06:30:00").cast("timestamp"))
     asked = content.embed(questions, text="question").select("query_id", "embedding")
     return questions, similarity.cosine_topk(rows, asked, k=5, dim=DEFAULT_DIM)
@@ -166,7 +169,9 @@ def numeric_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
-        numeric_vector(*[F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]).alias("features"),
+        numeric_vector(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")).alias(
+            "features"
+        ),
     )
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return outliers.isolation_forest(rows, "features", key)
@@ -182,8 +187,6 @@ def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest rows, as the outlier job may be told to use."""
-    from tarn.operators.ranking import newest_rows
-
     events = table(spark, sf_dir, "events")
     return newest_rows(events, "ts", 5000, "event_id")
 
