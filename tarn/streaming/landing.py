@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tarn.session import cut_lineage
+from tarn.sources.lake import read_table
 from tarn.sources.paths import PARTITIONS
 
 BATCH = "landing_batch"
@@ -35,18 +38,37 @@ def append_batch(df: DataFrame, batch: str, root: str) -> None:
     _overwrite(_with_day(df).withColumn(BATCH, F.lit(batch)), root, *PARTITIONS, BATCH)
 
 
+def _landed(spark: SparkSession, root: str, days: DataFrame) -> DataFrame:
+    """When the payload a day holds was delivered, for the given days of a table that may not exist."""
+    try:
+        table = read_table(spark, root)
+    except AnalysisException:
+        return days.select("source_date", F.lit(None).cast("timestamp").alias("_landed")).limit(0)
+    wanted = _with_day(days.select("source_date")).drop("source_date")
+    return (
+        table.select("source_date", "landed_at", *PARTITIONS)
+        .join(wanted, list(PARTITIONS), "left_semi")
+        .groupBy("source_date")
+        .agg(F.max("landed_at").alias("_landed"))
+    )
+
+
 def replace_days(df: DataFrame, root: str) -> None:
-    """Snapshot sources: each day holds its newest payload.
+    """Snapshot sources: each day holds its newest payload, also when an older one arrives late.
 
     The newest file per day is found from one small row per file and day; rows are then filtered by
-    an equality join with it.
+    an equality join with it. ``landed_at`` keeps the time of the payload a day came from.
     """
     files = df.groupBy("source_date", "_file").agg(F.max("_file_time").alias("_time"))
     latest = F.row_number().over(
         W.partitionBy("source_date").orderBy(F.col("_time").desc(), F.col("_file").desc())
     )
-    newest = files.withColumn("_n", latest).where("_n = 1").select("source_date", "_file")
-    rows = df.join(newest, ["source_date", "_file"], "left_semi").drop("_file", "_file_time")
+    # Stored: one row per day, needed to look up the table and again after the table is replaced.
+    newest = cut_lineage(files.withColumn("_n", latest).where("_n = 1").select("source_date", "_file", "_time"))
+    current = newest.join(_landed(df.sparkSession, root, newest), "source_date", "left")
+    current = cut_lineage(current.where(F.col("_landed").isNull() | (F.col("_time") >= F.col("_landed"))))
+    rows = df.join(current.select("source_date", "_file"), ["source_date", "_file"], "left_semi")
+    rows = rows.withColumnRenamed("_file_time", "landed_at").drop("_file")
     _overwrite(_with_day(rows), root, *PARTITIONS)
 
 

@@ -94,6 +94,11 @@ def test_snapshot_stream_keeps_newest_payload_of_a_day(spark, tmp_path):
     run()
     run()
     assert rows(read_table(spark, root), "id", "v", "day") == [("w", 3, "27"), ("x", 3, "27"), ("z", 9, "28")]
+    # An older payload that arrives late changes nothing; a newer one for the other day counts.
+    deliver(landing, "e.json", [{"id": "old", "v": 0}], noon + 60)
+    deliver(landing, "f.json", [{"id": "z", "v": 10}], noon + 90000)
+    run()
+    assert rows(read_table(spark, root), "id", "v", "day") == [("w", 3, "27"), ("x", 3, "27"), ("z", 10, "28")]
 
 
 def test_append_batch_can_be_replayed(spark, tmp_path):
