@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,21 +37,39 @@ def token_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
     )
 
 
+def matrix_of(vectors: pa.Array, dim: int | None = None) -> np.ndarray:
+    """A list column as a matrix, without an object per row; every list must have the same length."""
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    if not len(vectors):
+        return np.empty((0, dim or 0))
+    dim = int(np.nan_to_num(lengths[0])) if dim is None else dim
+    wrong = np.flatnonzero(lengths != dim)
+    if len(wrong):
+        raise ValueError(f"expected {dim} values, found {int(np.nan_to_num(lengths[wrong[0]]))}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
+
+
+def lists_of(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive values cut into lists of the given lengths."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def hashed_vector(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """Token counts per bucket, scaled to length one; no tokens give the zero vector.
 
-    Splitting and hashing stay in the JVM. Only the small integer arrays go to numpy, because
-    counting into ``dim`` slots has no built-in that is linear in the number of tokens.
+    Splitting and hashing stay in the JVM. Only the small integer arrays go to numpy, which counts a
+    whole batch at once: no built-in counts into ``dim`` slots in time linear in the tokens.
     """
 
-    @F.pandas_udf(VECTOR)
-    def unit_counts(buckets: pd.Series) -> pd.Series:
-        def one(row):
-            counts = np.bincount(np.asarray(row, dtype=np.int64), minlength=dim).astype(float)
-            length = np.sqrt((counts * counts).sum())
-            return counts / length if length else counts
-
-        return buckets.map(one)
+    @F.arrow_udf(VECTOR)
+    def unit_counts(buckets: pa.Array) -> pa.Array:
+        lengths = pc.list_value_length(buckets).to_numpy(zero_copy_only=False)
+        slots = np.repeat(np.arange(len(buckets)) * dim, lengths) + buckets.flatten().to_numpy()
+        counts = np.bincount(slots, minlength=len(buckets) * dim).reshape(-1, dim).astype(float)
+        norms = np.sqrt((counts * counts).sum(axis=1))
+        units = counts / np.where(norms > 0, norms, 1.0)[:, None]
+        return lists_of(units.ravel(), np.full(len(buckets), dim))
 
     return once(unit_counts)(token_buckets(F.coalesce(text, F.lit("")), dim))
 

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.vectors import once
+from tarn.functions.vectors import matrix_of, once
 from tarn.operators.ranking import newest_rows, top_n_per_group
 from tarn.session import cut_lineage, spread
 
@@ -152,9 +153,9 @@ def score_rows(df: DataFrame, features: str, forest: Forest) -> DataFrame:
     """Add ``score``: near one for rows that few splits set apart."""
     shared = df.sparkSession.sparkContext.broadcast(forest)
 
-    @F.pandas_udf("double")
-    def score(vectors: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(_as_points(vectors)) if len(vectors) else [], dtype=float)
+    @F.arrow_udf("double")
+    def score(vectors: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(np.nan_to_num(matrix_of(vectors))))
 
     return spread(df).withColumn("score", once(score)(F.col(features)))
 

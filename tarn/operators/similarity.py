@@ -6,13 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions.vectors import once
+from tarn.functions.vectors import lists_of, matrix_of, once
 from tarn.operators.ranking import top_n_per_group
 from tarn.session import cut_lineage, spread
 
@@ -208,7 +209,7 @@ def fit_cells(
     drawn = vectors.select(vector).sample(min(1.0, cells * per_cell / max(1, rows)), seed)
     sample = drawn.where(nonzero).select(array_to_vector(F.col(vector)).alias("features"))
     means = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine", initSteps=2)
-    return _unit_rows(np.array(means.fit(cut_lineage(sample)).clusterCenters()))[0]
+    return _unit_rows(np.array(means.fit(sample).clusterCenters()))[0]
 
 
 def nearest_cells(vector: Column, centres: np.ndarray, probes: int, session: SparkSession) -> Column:
@@ -216,11 +217,11 @@ def nearest_cells(vector: Column, centres: np.ndarray, probes: int, session: Spa
     shared, dim = session.sparkContext.broadcast(centres), centres.shape[1]
     probes = min(probes, len(centres))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def cells(vectors: pd.Series) -> pd.Series:
-        units, usable = _unit_rows(_matrix(vectors, dim))
-        near = np.argsort(-(units @ shared.value.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-        return pd.Series([row if ok else row[:0] for row, ok in zip(near, usable)])
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def cells(vectors: pa.Array) -> pa.Array:
+        units, usable = _unit_rows(matrix_of(vectors, dim))
+        near = np.argsort(-(units @ shared.value.T), axis=1, kind="stable")[usable, :probes]
+        return lists_of(near.astype(np.int32).ravel(), np.where(usable, probes, 0))
 
     return once(cells)(vector)
 

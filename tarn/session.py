@@ -97,12 +97,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so a lost executor never replays its inputs."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Store ``df`` in the shared folder and go on from there: a lost executor never replays its inputs.
+
+    A Parquet table, so that later passes read only the columns they use and Spark knows its size.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 SPLIT_BYTES = 128 << 20
