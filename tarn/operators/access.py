@@ -80,15 +80,13 @@ def effective_access(
         .join(membership, ["user_id", "workspace_id"], "left_semi")
         .select("user_id", "catalog_id", "mode")
     )
-    granted = (
-        by_user.unionByName(by_catalog)
+    # One aggregation over what is known and what was found, instead of a join back.
+    settled = described.select("user_id", "catalog_id", F.when(F.col("_owner"), "owner").alias("mode"))
+    return (
+        settled.unionByName(by_user)
+        .unionByName(by_catalog)
         .groupBy("user_id", "catalog_id")
-        .agg(F.max(_rank(F.col("mode"))).alias("_grant"))
-    )
-    return described.join(granted, ["user_id", "catalog_id"], "left").select(
-        "user_id",
-        "catalog_id",
-        _mode(F.when(F.col("_owner"), RANKS["owner"]).otherwise(F.col("_grant"))).alias("access"),
+        .agg(_mode(F.max(_rank(F.col("mode")))).alias("access"))
     )
 
 
