@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,16 +30,6 @@ GROUP_ROWS = 50_000
 GROUP_BYTES = 96 << 20
 
 
-def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
-    rows = vectors.tolist()
-    for row in rows:
-        if row is None or len(row) != dim:
-            raise ValueError(f"expected {dim} values, found {0 if row is None else len(row)}")
-    if not rows:
-        return np.empty((0, dim))
-    return np.concatenate(rows).astype(np.float64, copy=False).reshape(len(rows), dim)
-
-
 def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows scaled to length one, and which rows have a length at all."""
     length = np.sqrt((matrix * matrix).sum(axis=1))
@@ -46,53 +37,72 @@ def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix / np.where(usable, length, 1.0)[:, None], usable
 
 
-def _best_of_batch(
-    rows: pd.DataFrame,
-    vector: str,
-    ties: list[str],
-    queries: np.ndarray,
-    k: int,
-    floor: np.ndarray | None = None,
-) -> pd.DataFrame:
-    """The best ``k`` rows of a batch per question (its number in ``_q``); equal scores go by the ties.
+def _pick(
+    matrix: np.ndarray, queries: np.ndarray, k: int, ranks: Callable[[], np.ndarray], floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the best ``k`` rows per question, the questions' numbers, and the scores.
 
+    ``queries`` have length one. Equal scores go by ``ranks``, which is asked for only if it matters.
     Rows scoring below a question's ``floor`` are left out: it already has ``k`` better ones.
     """
-    rows = rows.sort_values(ties, kind="stable", ignore_index=True)
-    units, usable = _unit_rows(_matrix(rows[vector], queries.shape[1]))
-    rows, units = rows.drop(columns=vector)[usable].reset_index(drop=True), units[usable]
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    usable = norms > 0
+    keep = min(k, int(usable.sum()))
     picked, owners, scores = [], [], []
-    keep = min(k, len(rows))
+    scale = 1.0 / np.where(usable, norms, 1.0)
     for start in range(0, len(queries) if keep else 0, QUERY_BLOCK):
-        block = np.round(queries[start : start + QUERY_BLOCK] @ units.T, SCORE_DIGITS)
-        edge = np.partition(block, len(rows) - keep, axis=1)[:, len(rows) - keep]
+        block = np.round(queries[start : start + QUERY_BLOCK] @ matrix.T * scale, SCORE_DIGITS)
+        block[:, ~usable] = -np.inf
+        edge = np.partition(block, len(matrix) - keep, axis=1)[:, len(matrix) - keep]
         if floor is not None:
             edge = np.maximum(edge, floor[start : start + QUERY_BLOCK])
         for i, row in enumerate(block):
-            above = np.flatnonzero(row > edge[i])
-            level = np.flatnonzero(row == edge[i])[: keep - len(above)]
-            chosen = np.concatenate([above, level])
+            chosen, level = np.flatnonzero(row > edge[i]), np.flatnonzero(row == edge[i])
+            wanted = keep - len(chosen)
+            if len(level) > wanted:
+                level = level[np.argsort(ranks()[level], kind="stable")[:wanted]]
+            chosen = np.concatenate([chosen, level])
             picked.append(chosen)
             owners.append(np.full(len(chosen), start + i))
             scores.append(row[chosen])
     if not picked:
-        return rows.iloc[:0].assign(_q=np.empty(0, dtype=int), score=np.empty(0))
-    out = rows.iloc[np.concatenate(picked)].reset_index(drop=True)
-    return out.assign(_q=np.concatenate(owners), score=np.concatenate(scores))
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return np.concatenate(picked), np.concatenate(owners), np.concatenate(scores)
+
+
+def _tie_ranks(rows: pa.Table, ties: list[str]) -> Callable[[], np.ndarray]:
+    """Each row's place in the order of the tie columns, nulls first as in Spark."""
+
+    @functools.cache
+    def ranks() -> np.ndarray:
+        keys = [(name, "ascending") for name in ties]
+        order = pc.sort_indices(rows, sort_keys=keys, null_placement="at_start").to_numpy()
+        places = np.empty(len(order), dtype=np.int64)
+        places[order] = np.arange(len(order))
+        return places
+
+    return ranks
+
+
+def _found(rows: pa.Table, picked: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+    positions, owners, scores = picked
+    return rows.take(pa.array(positions)).append_column("_q", pa.array(owners)).append_column("score", pa.array(scores))
 
 
-def _prune(pool: pd.DataFrame, ties: list[str], k: int) -> pd.DataFrame:
-    ordered = pool.sort_values(["score", *ties], ascending=[False] + [True] * len(ties), kind="stable")
-    return ordered.groupby("_q", sort=False).head(k)
+def _prune(pool: pa.Table, ties: list[str], k: int) -> pa.Table:
+    """The best ``k`` rows per question."""
+    keys = [("_q", "ascending"), ("score", "descending"), *((name, "ascending") for name in ties)]
+    pool = pool.take(pc.sort_indices(pool, sort_keys=keys, null_placement="at_start"))
+    owners = pool["_q"].to_numpy()
+    place = np.arange(len(owners)) - np.searchsorted(owners, owners)
+    return pool.filter(pa.array(place < k))
 
 
-def _floors(pool: pd.DataFrame, count: int, k: int) -> np.ndarray:
+def _floors(pool: pa.Table, count: int, k: int) -> np.ndarray:
     """The k-th best score so far per question, minus infinity for those with fewer."""
-    groups = pool.groupby("_q")["score"]
-    full = groups.min()[groups.size() == k]
-    floor = np.full(count, -np.inf)
-    floor[full.index.to_numpy(dtype=int)] = full.to_numpy()
-    return floor
+    owners, floor = pool["_q"].to_numpy(), np.full(count, np.inf)
+    np.minimum.at(floor, owners, pool["score"].to_numpy())
+    return np.where(np.bincount(owners, minlength=count) >= k, floor, -np.inf)
 
 
 def _hit_schema(vectors: DataFrame, carried: list[str], query_type: T.DataType) -> T.StructType:
@@ -136,14 +146,15 @@ def _grouped_topk(
     right = cut(queries, "_block", "_blocks", "_slice", "_slices", ["query_id"])
     group = [*keys, "_block", "_slice"]
 
-    def match(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        units, usable = _unit_rows(_matrix(asked["query_vector"], dim))
-        found = _best_of_batch(rows[carried + [vector]], vector, ties, units[usable], k)
-        ids = asked["query_id"].to_numpy()[usable]
-        return found.assign(query_id=ids[found["_q"]])[["query_id", *carried, "score"]]
+    def match(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        units, usable = _unit_rows(matrix_of(asked["query_vector"].combine_chunks(), dim))
+        ids = asked["query_id"].filter(pa.array(usable))
+        matrix, rows = matrix_of(rows[vector].combine_chunks(), dim), rows.select(carried)
+        found = _found(rows, _pick(matrix, units[usable], k, _tie_ranks(rows, ties)))
+        return found.append_column("query_id", ids.take(found["_q"])).select(["query_id", *carried, "score"])
 
     schema = _hit_schema(vectors, carried, queries.schema["query_id"].dataType)
-    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(match, schema)
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(match, schema)
 
 
 def cosine_topk(
@@ -173,29 +184,32 @@ def cosine_topk(
         first = asked.first()
         dim = len(first.query_vector) if first else 0
     fits = max(1, max_broadcast_bytes // (8 * max(dim, 1)))
-    head = asked.limit(fits + 1).toPandas()
+    head = asked.limit(fits + 1).toArrow()
     carried = [c for c in vectors.columns if c != vector]
     schema = _hit_schema(vectors, carried, queries.schema["query_id"].dataType)
-    if head.empty:
+    if not head.num_rows:
         return _final(spark.createDataFrame([], schema), ties, k)
-    if len(head) > fits:
+    if head.num_rows > fits:
         one = F.lit(0).alias("_all")
         hits = _grouped_topk(vectors.select("*", one), asked.select("*", one), ["_all"], vector, ties, dim, k)
         return _final(hits, ties, k)
-    units, usable = _unit_rows(_matrix(head["query_vector"], dim))
-    shared = spark.sparkContext.broadcast((head["query_id"].to_numpy()[usable], units[usable]))
+    units, usable = _unit_rows(matrix_of(head["query_vector"].combine_chunks(), dim))
+    known = head["query_id"].combine_chunks().filter(pa.array(usable))
+    shared = spark.sparkContext.broadcast((known, units[usable]))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = shared.value
         pool, floor = None, None
-        for rows in batches:
-            found = _best_of_batch(rows, vector, ties, matrix, k, floor)
-            pool = found if pool is None else _prune(pd.concat([pool, found], ignore_index=True), ties, k)
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).select(carried)
+            found = _found(rows, _pick(matrix_of(batch.column(vector), dim), matrix, k, _tie_ranks(rows, ties), floor))
+            pool = found if pool is None else _prune(pa.concat_tables([pool, found]), ties, k)
             floor = _floors(pool, len(ids), k)
         if pool is not None:
-            yield pool.assign(query_id=ids[pool["_q"]])[["query_id", *carried, "score"]]
+            out = pool.append_column("query_id", ids.take(pool["_q"].combine_chunks()))
+            yield from out.select(["query_id", *carried, "score"]).combine_chunks().to_batches()
 
-    return _final(spread(vectors).mapInPandas(best, schema), ties, k)
+    return _final(spread(vectors).mapInArrow(best, schema), ties, k)
 
 
 def fit_cells(

@@ -117,6 +117,11 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(similarity.ann_topk(*_vectors(spark, sf_dir), k=10, dim=64))
 
 
+def ann_every_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looking into all cells is exact."""
+    return _hits(similarity.ann_topk(*_vectors(spark, sf_dir), k=10, dim=64, cells=16, probes=16))
+
+
 def ann_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same search over rows stored by cell."""
     rows, questions = _vectors(spark, sf_dir)
@@ -202,6 +207,7 @@ QUERIES = {
     "cosine_topk": cosine_topk,
     "cosine_topk_blocks": cosine_topk_blocks,
     "ann_topk": ann_topk,
+    "ann_every_cell": ann_every_cell,
     "ann_index": ann_index,
     "rag_context": rag_context,
     "rag_context_cited": rag_context_cited,
@@ -320,6 +326,7 @@ ORACLE = {
     """,
     "cosine_topk": _TOPK,
     "cosine_topk_blocks": _TOPK,
+    "ann_every_cell": _TOPK,
     "rag_context": f"{_HITS} SELECT query_id, context FROM plain",
     "rag_context_cited": f"""
         {_HITS}
