@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fingerprints", "mixing", "sharding")
+MODULES = ("fingerprints", "mixing", "toxicity", "sharding", "compression")
 
 
 def _collect(attribute: str) -> dict:
