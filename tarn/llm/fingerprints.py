@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.llm.common import SPACE, free_name, let, table
+from tarn.llm.common import SPACE, free_name, let, stage, table
 
 SHINGLE_WORDS = 5
 #: One shingle hash in so many is kept.
@@ -107,6 +107,8 @@ def with_next(
         }
     ).withColumn(block, F.shiftright(at, BLOCK_BITS))
     follows = _next_blocks(placed.select(F.col(at).alias("top"))).select(F.col("top").alias(at), F.col("block").alias(wanted))
+    # Stored, so that Spark knows its size: as long as it fits a broadcast, the texts are not shuffled to find the copies.
+    follows = stage(follows)
     copies = placed.join(follows, at).withColumns({block: F.col(wanted), ghost: F.lit(1)}).drop(wanted)
     order = W.partitionBy(block).orderBy(ghost, F.col(at).desc(), F.col(tie).desc())
     return (
