@@ -46,3 +46,20 @@ def drop_stage(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def labelled_texts(
+    df: DataFrame, labelled: DataFrame, text: str, identity: str, label: str, sample: int, seed: int = 17
+) -> tuple[DataFrame, float]:
+    """About ``sample`` labelled texts as ``text`` and ``label``, and the share of label 1 among all labelled rows.
+
+    A hash of the identity picks them. ``sample`` bounds the labels that are broadcast and the texts that are stored.
+    """
+    usable = labelled.where(F.col(label).isNotNull() & F.col(identity).isNotNull())
+    n, prior = usable.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
+    share = min(1.0, sample / max(n, 1))
+    chosen = usable.select(F.col(identity).alias("labelled_id"), F.col(label).cast("int").alias("label")).where(
+        F.pmod(F.xxhash64(F.lit(seed), "labelled_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    )
+    texts = df.select(F.col(identity).alias("labelled_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "labelled_id")
+    return stage(texts.select("text", "label")), 0.1 if prior is None else float(prior)

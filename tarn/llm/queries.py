@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("fingerprints", "mixing", "toxicity", "sharding", "compression")
+MODULES = (
+    "fingerprints",
+    "mixing",
+    "toxicity",
+    "quality",
+    "chat",
+    "packing",
+    "html",
+    "sharding",
+    "compression",
+)
 
 
 def _collect(attribute: str) -> dict:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import stage, table
+from tarn.llm.common import labelled_texts, table
 from tarn.llm.linear import fit_logistic, sigmoid
 from tarn.llm.words import Texts, Words, hashes_of, passes
 
@@ -368,7 +368,7 @@ def toxicity_scores(
     Without labels the class balance is 0.1 and nothing is mined or calibrated. An empty table stays empty.
     """
     seen = df if train is None else df.where(train)
-    picked, prior = _labelled_texts(seen, labelled, text, identity, label, sample)
+    picked, prior = labelled_texts(seen, labelled, text, identity, label, sample)
     voters = mine_prefixes(picked, "text", "label")
     rows, both = moments(seen, text, voters)
     model = fit_label_model(rows, both, voters, min(max(prior, 1e-3), 0.5))
@@ -380,19 +380,6 @@ def toxicity_scores(
     return out.withColumn("score", 1 / (1 + F.exp(-(F.lit(slope) * odds + F.lit(shift)))))
 
 
-def _labelled_texts(df, labelled, text, identity, label, sample) -> tuple[DataFrame, float]:
-    """About ``sample`` labelled texts as ``text`` and ``label``, and the share of label 1 among all labelled rows."""
-    usable = labelled.where(F.col(label).isNotNull() & F.col(identity).isNotNull())
-    n, prior = usable.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
-    share = min(1.0, sample / max(n, 1))
-    chosen = usable.select(F.col(identity).alias("labelled_id"), F.col(label).cast("int").alias("label")).where(
-        F.pmod(F.xxhash64(F.lit(SEED), "labelled_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    )
-    # The sample's size is bounded, so a broadcast is safe.
-    texts = df.select(F.col(identity).alias("labelled_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "labelled_id")
-    return stage(texts.select("text", "label")), 0.1 if prior is None else float(prior)
-
-
 def with_score(df: DataFrame, text: str, voters: Voters, classifier: Classifier) -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
     at = df.columns.index(text)
