@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "fingerprints",
+    "ngram_join",
     "mixing",
     "toxicity",
     "quality",
