@@ -95,13 +95,14 @@ def mix(
         df.groupBy(F.col(source).alias("source"))
         .agg(F.sum(amount).alias("source_size"), F.count("*").alias("n_rows"), F.avg(rate).alias("mean_rate"))
     )
-    targets = source_targets(stats, weights, max_epochs).select(
+    # Stored, so that Spark knows its size and does not shuffle the rows by source to join it.
+    targets = stage(source_targets(stats, weights, max_epochs).select(
         F.struct(F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit(""))).alias(names["match"]),
         "source_size",
         "target",
         F.ceil(F.col("n_rows") / BUCKET_ROWS).alias(names["count"]),
         F.col("mean_rate").alias(names["rate"]),
-    )
+    ))
     keyed = (
         out.withColumn(names["match"], same)
         .withColumn(names["key"], sampling_key(F.col(identity), rate, seed))
