@@ -26,8 +26,13 @@ def _collect(attribute: str) -> dict:
 
 
 def queries() -> dict:
-    return _collect("QUERIES")
+    import corpus_pipeline
+
+    return {**_collect("QUERIES"), **corpus_pipeline.QUERIES}
 
 
 def oracle() -> dict:
-    return _collect("ORACLE")
+    import corpus_pipeline
+
+    own = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {**_collect("ORACLE"), **own}
