@@ -1,4 +1,4 @@
-"""Connected components by least labels."""
+"""Connected components by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -11,31 +11,44 @@ from tarn.llm.common import drop_stage, stage
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node`` and ``label``, the smallest node of its component. ``nodes``: node; ``edges``: a, b.
 
-    Every round a node takes the smallest label among its neighbours, and then the label of its label, so that chains
-    shorten by half; only counts come to the driver. Labels are stored after each round: a lost executor
-    repeats one round at most, and plans stay short.
+    Every round each node of the graph hooks onto its smallest lower neighbour, hooks are followed to their ends by
+    doubling, and the graph shrinks to those ends: edges within one are gone, parallel ones fall together. So the
+    work falls from round to round, also around nodes with very many edges. Only whether edges are left comes to the
+    driver. Rounds are stored: a lost executor repeats one at most, and plans stay short.
     """
-    both = edges.select(F.col("a").alias("of"), F.col("b").alias("to")).unionByName(
-        edges.select(F.col("b").alias("of"), F.col("a").alias("to"))
-    )
     labels = stage(nodes.select("node", F.col("node").alias("label")))
+    links = _ordered(edges.select("a", "b"))
+    while not links.isEmpty():
+        ends = _followed(stage(links.groupBy("b").agg(F.min("a").alias("end")).withColumnRenamed("b", "of")))
+        renamed = stage(labels.join(ends, F.col("label") == F.col("of"), "left").select("node", F.coalesce("end", "label").alias("label")))
+        shorter = links
+        for side in "ab":
+            shorter = shorter.join(ends, F.col(side) == F.col("of"), "left").withColumn(side, F.coalesce("end", side)).select("a", "b")
+        shorter = _ordered(shorter)
+        for old in (labels, links, ends):
+            drop_stage(old)
+        labels, links = renamed, shorter
+    drop_stage(links)
+    return labels
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """Edges between different nodes, once each, the smaller node first."""
+    different = edges.where(F.col("a") != F.col("b"))
+    return stage(different.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """``of, end``: where the hooks that start at each node end. Hooks lead downwards, so they do end."""
     while True:
-        heard = (
-            both.join(labels, F.col("of") == F.col("node"))
-            .groupBy("to")
-            .agg(F.min("label").alias("heard"))
-        )
-        nearer = labels.join(heard, F.col("node") == F.col("to"), "left").select(
-            "node", "label", F.least("label", "heard").alias("next")
-        )
-        held = labels.select(F.col("node").alias("held"), F.col("label").alias("above"))
-        jumped = stage(
-            nearer.join(held, F.col("next") == F.col("held"), "left").select(
-                "node", F.least("next", "above").alias("label"), (F.least("next", "above") < F.col("label")).alias("moved")
+        further = hooks.select(F.col("of").alias("next"), F.col("end").alias("beyond"))
+        doubled = stage(
+            hooks.join(further, F.col("end") == F.col("next"), "left").select(
+                "of", F.coalesce("beyond", "end").alias("end"), F.col("beyond").isNotNull().alias("moved")
             )
         )
-        moved = jumped.where("moved").limit(1).count()
-        drop_stage(labels)
-        labels = jumped.select("node", "label")
+        moved = not doubled.where("moved").isEmpty()
+        drop_stage(hooks)
+        hooks = doubled.select("of", "end")
         if not moved:
-            return labels
+            return hooks

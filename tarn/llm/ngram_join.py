@@ -312,7 +312,7 @@ def _near_first(key: tuple, rows: pa.Table) -> pa.Table:
         sets = [unsqueeze(packed[i], shared[i]) for i in group.tolist()]
         flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
         starts = np.cumsum(sizes) - sizes
-        free = np.ones(len(group), bool)
+        free, cluster = np.ones(len(group), bool), np.arange(len(group))
         for i, head in enumerate(sets):
             if not free[i]:
                 continue
@@ -320,10 +320,13 @@ def _near_first(key: tuple, rows: pa.Table) -> pa.Table:
             common = np.add.reduceat((head[at] == flat).astype(np.int64), starts)
             linked = common >= needed(n[group[i]], n[group])
             linked[: i + 1] = False
-            hits = np.flatnonzero(linked)
+            free[linked] = False
+            # One link to each cluster that is not known to be connected is enough.
+            met, first = np.unique(cluster[linked], return_index=True)
+            hits = np.flatnonzero(linked)[first[met != cluster[i]]]
             left += [node[group[i]]] * len(hits)
             right += node[group[hits]].tolist()
-            free[hits] = False
+            cluster[np.isin(cluster, met)] = cluster[i]
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
@@ -456,11 +459,15 @@ def jaccard_components(df: DataFrame, text: str = "text", identity: str = "doc_i
         .mapInArrow(_with_sign, _NODES + ", sign binary")
         .withColumn("node", F.monotonically_increasing_id())
     )
-    every = nodes.select("node")
-    first = stage(_first_links(nodes))
-    labels = components(every, first)
+    labels = components(nodes.select("node"), _first_links(nodes))
+    # The remaining links connect components, and there are few of them.
     others = stage(_other_links(nodes, labels))
-    labels = components(every, first.unionByName(others))
+    for side in "ab":
+        of = labels.select(F.col("node").alias(side), F.col("label").alias("_label"))
+        others = others.join(of, side).withColumn(side, F.col("_label")).drop("_label")
+    joined = components(others.select(F.explode(F.array("a", "b")).alias("node")).distinct(), others)
+    joined = joined.select(F.col("node").alias("of"), F.col("label").alias("end"))
+    labels = labels.join(joined, F.col("label") == F.col("of"), "left").select("node", F.coalesce("end", "label").alias("label"))
     named = nodes.select("node", "sign", "doc_id").join(labels, "node")
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_sign = named.join(smallest, "label").select("sign", "component_id")
