@@ -23,6 +23,16 @@ def _period_start(df: DataFrame, column: str, as_of: AsOf, unit: str) -> Column:
     return start.cast(df.schema[column].dataType)
 
 
+def _newest_periods(df: DataFrame, column: str, unit: str, n: int) -> DataFrame:
+    """Rows of the ``n`` newest periods. One value comes to the driver, and the filter reaches the reader."""
+    periods = df.select(F.date_trunc(unit, column).alias("period")).distinct()
+    newest = periods.orderBy(F.col("period").desc_nulls_last()).limit(n)
+    found = newest.agg(F.count("*").alias("n"), F.min("period").alias("start"), F.count("period").alias("dated")).first()
+    if found.n < n or found.dated < n:
+        return df  # all of them
+    return df.where(F.col(column) >= F.lit(found.start).cast(df.schema[column].dataType))
+
+
 def recent_charges(charges: DataFrame, limit: int = 20) -> DataFrame:
     """Newest charges, complete rows."""
     return top_rows(charges, [("created_at", False), ("charge_id", True)], limit)
@@ -98,8 +108,9 @@ def monthly_churn(subscriptions: DataFrame, as_of: AsOf, months: int = 6) -> Dat
     canceled = F.col("canceled_at").isNotNull() & (
         F.date_trunc("month", "canceled_at") == this_month
     )
+    recent = _newest_periods(subscriptions, "created_at", "month", months)
     return (
-        subscriptions.groupBy(F.date_trunc("month", "created_at").alias("month"))
+        recent.groupBy(F.date_trunc("month", "created_at").alias("month"))
         .agg(
             money.count_where(F.col("status") == "active").alias("new_subs"),
             money.count_where(canceled).alias("canceled"),
@@ -134,13 +145,13 @@ def top_products_net(
         sales = (
             sales.join(products.select("product_id", "title"), "product_id")
             .groupBy("title")
-            .agg(F.sum("units").alias("units"), F.sum("net").alias("net"))
+            .agg(F.sum("units").alias("units"), money.exact_sum(F.col("net")).alias("net"))
         )
     return (
         sales.select(
             "title",
             F.col("units").cast("bigint").alias("units_sold"),
-            F.round("net", 2).cast("double").alias("net_revenue"),
+            money.rounded(F.col("net"), 2).alias("net_revenue"),
         )
         .orderBy(F.col("net_revenue").desc_nulls_last(), "title")
         .limit(limit)
@@ -234,13 +245,15 @@ def signups_vs_won(
     A left join only adds deals to a week; signups come from the users alone, so the two counts are
     computed apart. A deal that always carries the same key is counted per key before the join, which
     then moves one number per key instead of a pair for every deal and week; only deals seen under
-    several keys are joined one by one, to be counted once per week.
+    several keys are joined one by one, to be counted once per week. Only users of the newest weeks, and deals with
+    a key of theirs, are looked at.
     """
-    signed_up = users.withColumn("week", F.date_trunc("week", "created_at"))
+    signed_up = _newest_periods(users, "created_at", "week", weeks).withColumn("week", F.date_trunc("week", "created_at"))
     signups = signed_up.groupBy("week").agg(F.count_distinct("user_id").alias("signups"))
     keys = signed_up.select("week", F.col(user_key).alias("match_key")).distinct()
     is_won = (F.col("stage") == won) & F.col(deal_key).isNotNull()
-    pairs = deals.where(is_won).select(F.col(deal_key).alias("match_key"), "deal_id").distinct()
+    pairs = deals.where(is_won).select(F.col(deal_key).alias("match_key"), "deal_id")
+    pairs = pairs.join(keys.select("match_key").distinct(), "match_key", "left_semi").distinct()
     per_deal = pairs.groupBy("deal_id").agg(F.count("*").alias("n"), F.min("match_key").alias("match_key"))
     counted = per_deal.where("n = 1").groupBy("match_key").agg(F.count("deal_id").alias("closed_won"))
     shared = pairs.join(per_deal.where("n > 1").select("deal_id"), "deal_id", "left_semi")
@@ -271,7 +284,7 @@ def signups_vs_won(
 def daily_weather(weather: DataFrame) -> DataFrame:
     """Hourly readings rolled up to one row per day."""
     return weather.groupBy(F.date_trunc("day", "timestamp").alias("date")).agg(
-        money.exact_sum(F.col("precipitation")).cast("double").alias("precipitation_sum")
+        money.rounded(money.exact_sum(F.col("precipitation")), 6).alias("precipitation_sum")
     )
 
 
@@ -290,8 +303,8 @@ def orders_by_weather(orders: DataFrame, weather: DataFrame) -> DataFrame:
         .groupBy(F.round("precipitation_sum", 0).alias("rain_mm"))
         .agg(
             F.sum("n_orders").alias("orders"),
-            F.round(
-                F.sum("value").cast("double") / F.nullif(F.sum("n_values"), F.lit(0)), 2
+            money.rounded(
+                money.exact_sum(F.col("value")) / F.nullif(F.sum("n_values"), F.lit(0)), 2
             ).alias("avg_order_value"),
         )
         .orderBy(F.col("rain_mm").asc_nulls_last())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.functions import money
 from tarn.functions.moments import newest
 from tarn.plans import reports
 from workload.tables import charges, order_deals, shop_orders, table
@@ -146,6 +147,14 @@ def orders_by_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.orders_by_weather(shop_orders(spark, sf_dir), weather)
 
 
+def micro_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts far below a cent count as they are."""
+    fee = F.col("l_partkey") * F.lit(0.00000049)
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        money.total(fee).alias("fees"), money.mean(fee, 6).alias("mean_fee")
+    )
+
+
 QUERIES = {
     "recent_charges": recent_charges,
     "top_products": top_products,
@@ -162,9 +171,15 @@ QUERIES = {
     "new_contacts": new_contacts,
     "signups_vs_won": signups_vs_won,
     "orders_by_weather": orders_by_weather,
+    "micro_fees": micro_fees,
 }
 
 ORACLE = {
+    "micro_fees": """
+        SELECT l_returnflag, CAST(round(sum(l_partkey * 0.00000049::DECIMAL(18,8)), 2) AS DOUBLE) AS fees,
+               round(CAST(sum(l_partkey * 0.00000049::DECIMAL(18,8)) AS DOUBLE) / count(*), 6) AS mean_fee
+        FROM lineitem GROUP BY 1
+    """,
     "recent_charges": """
         SELECT o_orderkey AS charge_id, o_totalprice AS amount_usd, o_orderstatus AS status,
                o_custkey AS customer_id, o_orderdate AS created_at
