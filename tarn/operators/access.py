@@ -124,6 +124,21 @@ def visible_catalogs(
     return seen.orderBy("created_at", "catalog_id")
 
 
+def visible_catalogs_of_all(
+    users: DataFrame, members: DataFrame, catalogs: DataFrame, grants: DataFrame
+) -> DataFrame:
+    """``user_id, catalog_id`` of every live catalog that each user sees through a workspace.
+
+    A superuser sees all of them and is listed once, without a catalog.
+    """
+    superusers = users.where(F.col("role") == SUPERUSER).select("user_id")
+    of_workspace = workspace_catalogs(catalogs, grants).select("workspace_id", "catalog_id")
+    membership = members.select("user_id", "workspace_id").distinct().join(superusers, "user_id", "left_anti")
+    seen = membership.join(of_workspace, "workspace_id").select("user_id", "catalog_id").distinct()
+    kind = catalogs.schema["catalog_id"].dataType
+    return seen.unionByName(superusers.withColumn("catalog_id", F.lit(None).cast(kind)))
+
+
 def catalog_directory(
     workspace_id: Any, catalogs: DataFrame, workspaces: DataFrame, schemas: DataFrame, grants: DataFrame
 ) -> DataFrame:

@@ -184,22 +184,53 @@ def test_purge(spark, tmp_path, metadata):
     tables.append((2, "beta.all", f"{root}/**/*.parquet"))
     tables = spark.createDataFrame(tables, "catalog_id int, table_id string, path_pattern string")
 
+    def due_at(as_of):
+        return retention.due_catalogs(metadata["catalogs"], as_of, metadata["workspaces"])
+
     def plan(as_of):
-        due = retention.due_catalogs(metadata["catalogs"], as_of, metadata["workspaces"])
-        return retention.purge_plan(retention.due_prefixes(due, tables, root), list_objects(spark, root))
+        return retention.purge_plan(retention.due_prefixes(due_at(as_of), tables, root), list_objects(spark, root))
 
     assert plan("2025-05-19").count() == 0
     assert rows(plan("2025-05-20"), "table_id") == [("gamma.s.t",)]
     due = plan("2025-06-01")
     files = {r.table_id: r.objects for r in due.collect()}
-    assert set(files) == {"beta.s.t", "beta.s.none", "gamma.s.t"}
+    assert set(files) == {"beta.s.t", "beta.s.none", "beta.all", "gamma.s.t"}
     assert files["beta.s.none"] == 0 and files["beta.s.t"] > 0
-    left = retention.purge_apply(due, root, metadata["catalogs"])
-    assert rows(left, "catalog_id") == [(1,), (3,), (4,)]
+    assert rows(retention.withheld(due), "catalog_id", "reason") == [(2, "no folder in the pattern")]
+    left = retention.purge_apply(due, root, metadata["catalogs"], due_at("2025-06-01"))
+    # A catalog with a pattern that names no folder stays, as data may remain.
+    assert rows(left, "catalog_id") == [(1,), (2,), (3,), (4,)]
     assert not (tmp_path / "beta/s/t").exists() and not (tmp_path / "gamma/s/t").exists()
     assert (tmp_path / "beta/s/t2").exists() and (tmp_path / "alpha/s/t").exists()
 
 
+@pytest.mark.parametrize(
+    "mine, live, refused",
+    [
+        ("shared/**", "shared/s/t/**/*.parquet", True),
+        ("shared/s/t/**", "shared/**/*.parquet", True),
+        ("shared/s/t/**", "shared/s/t/**", True),
+        ("shared/s/t/**", "shared/s/t2/**", False),
+        ("shared/s/t/**", "**/*.parquet", True),
+    ],
+)
+def test_purge_leaves_live_data_alone(spark, tmp_path, mine, live, refused):
+    root = str(tmp_path)
+    for name in ("t", "t2"):
+        write_day(spark.range(3), root, "2025-05-01", catalog="shared", schema="s", table=name)
+    tables = spark.createDataFrame(
+        [(1, "mine", f"{root}/{mine}"), (2, "live", f"{root}/{live}")], "catalog_id int, table_id string, path_pattern string"
+    )
+    catalogs = spark.createDataFrame([(1,), (2,), (3,)], "catalog_id int")
+    due = spark.createDataFrame([(1,), (3,)], "catalog_id int")
+    plan = retention.purge_plan(retention.due_prefixes(due, tables, root), list_objects(spark, root))
+    assert [r.overlaps for r in plan.collect()] == [refused]
+    left = retention.purge_apply(plan, root, catalogs, due)
+    # The due catalog without tables leaves the metadata in any case.
+    assert rows(left) == ([(1,), (2,)] if refused else [(2,)])
+    assert (tmp_path / "shared/s/t").exists() == refused and (tmp_path / "shared/s/t2").exists()
+
+
 def test_grace_period(spark):
     at = F.lit("2025-05-01").cast("timestamp")
     assert spark.range(1).select(retention.purge_date(at).alias("x")).first().x == datetime(2025, 5, 31)

@@ -11,11 +11,9 @@ from tarn.functions import text
 from tarn.functions.moments import newest
 from tarn.operators import access, layers, retention, schema_drift, storage
 from tarn.sources.contracts import contract
-from tarn.sources.objects import list_objects
-from workload.lake import ORACLE as LAKE_ORACLE
-from workload.lake import TABLES, fixture_lake
 from workload.tables import table
 
+# Names of sources.
 SOURCES = ("stripe", "shopify", "hubspot", "postgres", "weather")
 PURGE_AS_OF = "1998-03-28 00:00:00"
 LAKE = "s3a://lake"
@@ -54,7 +52,7 @@ def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = table(spark, sf_dir, "lineitem").where("l_shipdate >= '1998-01-01' AND l_quantity > 5")
+    new = table(spark, sf_dir, "lineitem").where("l_shipdate >= '1998-01-01'")
     return new.groupBy(
         F.col("l_suppkey").cast("string").alias("table_id"),
         F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("name"),
@@ -69,18 +67,6 @@ def schema_drift_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_drift.table_drift(schema_merge(spark, sf_dir))
 
 
-def refresh_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fixture tables, registered before their first load."""
-    registry = spark.createDataFrame(
-        [(f"fixture.raw.{name}", [], False) for name in TABLES],
-        f"table_id string, column_defs {schema_drift.COLUMN_DEFS}, schema_drift boolean",
-    )
-    fresh = schema_drift.refresh_catalog(fixture_lake(spark, sf_dir), registry)
-    return fresh.select("table_id", "schema_drift", F.posexplode("column_defs").alias("pos", "c")).select(
-        "table_id", "schema_drift", "pos", "c.name", "c.type"
-    )
-
-
 # Storage
 
 
@@ -125,11 +111,6 @@ def source_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.source_freshness(objects, sources, as_of)
 
 
-def lake_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture folder itself."""
-    return list_objects(spark, sf_dir).select("key", "size")
-
-
 def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id",
@@ -192,7 +173,6 @@ def _bought(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         _bought(spark, sf_dir)
-        .where("l_quantity > 40")
         .select(F.col("l_suppkey").alias("workspace_id"), F.col("o_custkey").alias("user_id"))
         .distinct()
     )
@@ -229,8 +209,9 @@ def _grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def purge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
-    folder = F.concat_ws(
-        "/", F.concat(F.lit("c"), "l_partkey"), F.lit("silver"), F.concat(F.lit("t"), "l_linenumber")
+    # All catalogs put their seventh table into one folder: a purge must leave it alone.
+    folder = F.when(F.col("l_linenumber") == 7, "shared/silver/t7").otherwise(
+        F.concat_ws("/", F.concat(F.lit("c"), "l_partkey"), F.lit("silver"), F.concat(F.lit("t"), "l_linenumber"))
     )
     objects = items.select(
         F.concat_ws("/", folder, F.concat(F.col("l_orderkey").cast("string"), F.lit(".parquet"))).alias("key"),
@@ -265,6 +246,12 @@ def visible_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("catalog_id", "name", "owner_workspace_id", "created_at")
 
 
+def visible_catalogs_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access.visible_catalogs_of_all(
+        _users(spark, sf_dir), _members(spark, sf_dir), _catalogs(spark, sf_dir), _grants(spark, sf_dir)
+    )
+
+
 def catalog_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.catalog_directory(
         7, _catalogs(spark, sf_dir), _workspaces(spark, sf_dir), _schemas(spark, sf_dir), _grants(spark, sf_dir)
@@ -293,18 +280,17 @@ QUERIES = {
     "silver_line_items": silver_line_items,
     "schema_merge": schema_merge,
     "schema_drift_flags": schema_drift_flags,
-    "refresh_catalog": refresh_catalog,
     "storage_totals": storage_totals,
     "storage_inventory": storage_inventory,
     "dataset_listing": dataset_listing,
     "source_freshness": source_freshness,
-    "lake_objects": lake_objects,
     "page_sizes": page_sizes,
     "page_slugs": page_slugs,
     "purge_plan": purge_plan,
     "effective_access": effective_access,
     "workspace_catalogs": workspace_catalogs,
     "visible_catalogs": visible_catalogs,
+    "visible_catalogs_of_all": visible_catalogs_of_all,
     "catalog_directory": catalog_directory,
     "pending_requests": pending_requests,
     "workspace_usage": workspace_usage,
@@ -322,7 +308,7 @@ _MERGE = """
     n AS (
         SELECT CAST(l_suppkey AS VARCHAR) AS table_id, 'c' || l_partkey AS name, min(l_linenumber) AS pos,
                max(l_returnflag) AS type
-        FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_quantity > 5 GROUP BY 1, 2
+        FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1, 2
     ),
     merged AS (
         SELECT coalesce(n.table_id, o.table_id) AS table_id, coalesce(n.name, o.name) AS name,
@@ -378,7 +364,7 @@ _META = """
     ),
     bought AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     members AS (
-        SELECT DISTINCT l_suppkey AS workspace_id, o_custkey AS user_id FROM bought WHERE l_quantity > 40
+        SELECT DISTINCT l_suppkey AS workspace_id, o_custkey AS user_id FROM bought
     ),
     grants AS (
         SELECT l_partkey || '-' || l_suppkey AS access_id, l_partkey AS catalog_id, l_suppkey AS workspace_id,
@@ -407,11 +393,6 @@ ORACLE = {
                count(*) FILTER (WHERE changed) AS changes, bool_or(changed) AS schema_drift
         FROM merged GROUP BY 1
     """,
-    "refresh_catalog": f"""
-        SELECT 'fixture.raw.' || table_name AS table_id, true AS schema_drift, pos, column_name AS name,
-               column_type AS type
-        FROM ({LAKE_ORACLE['describe_tables']})
-    """,
     "storage_totals": f"""
         SELECT count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes, {_human('sum(size)')} AS size
         FROM ({_OBJECTS})
@@ -471,12 +452,17 @@ ORACLE = {
             UNION
             SELECT catalog_id FROM catalogs JOIN workspaces w ON owner_workspace_id = w.workspace_id
             WHERE w.status = 'inactive' AND w.scheduled_purge_at <= TIMESTAMP '{PURGE_AS_OF}'
-        )
-        SELECT l_partkey AS catalog_id, 'c' || l_partkey || '/silver/t' || l_linenumber AS table_id,
-               'c' || l_partkey || '/silver/t' || l_linenumber AS prefix, count(*) AS objects,
-               CAST(sum(l_quantity) AS BIGINT) AS bytes
-        FROM lineitem WHERE l_partkey IN (SELECT catalog_id FROM due)
-        GROUP BY l_partkey, l_linenumber
+        ),
+        items AS (
+            SELECT l_partkey AS catalog_id, l_quantity,
+                   CASE l_linenumber WHEN 7 THEN 'shared/silver/t7'
+                        ELSE 'c' || l_partkey || '/silver/t' || l_linenumber END AS prefix
+            FROM lineitem
+        ),
+        usage AS (SELECT prefix, count(*) AS objects, CAST(sum(l_quantity) AS BIGINT) AS bytes FROM items GROUP BY 1)
+        SELECT DISTINCT catalog_id, prefix AS table_id, prefix, objects, bytes, true AS usable,
+               prefix IN (SELECT prefix FROM items WHERE catalog_id NOT IN (SELECT catalog_id FROM due)) AS overlaps
+        FROM items JOIN usage USING (prefix) WHERE catalog_id IN (SELECT catalog_id FROM due)
     """,
     "effective_access": f"""
         {_META},
@@ -512,6 +498,16 @@ ORACLE = {
                              (SELECT workspace_id FROM members WHERE user_id = 5))
         ORDER BY created_at, catalog_id
     """,
+    "visible_catalogs_of_all": f"""
+        {_META},
+        pairs AS (
+            SELECT workspace_id, catalog_id FROM live JOIN members ON owner_workspace_id = workspace_id
+            UNION SELECT workspace_id, catalog_id FROM in_force WHERE catalog_id IN (SELECT catalog_id FROM live)
+        )
+        SELECT DISTINCT m.user_id, p.catalog_id FROM members m JOIN pairs p USING (workspace_id)
+        WHERE m.user_id NOT IN (SELECT user_id FROM users WHERE role = 'superadmin')
+        UNION ALL SELECT user_id, NULL FROM users WHERE role = 'superadmin'
+    """,
     "catalog_directory": f"""
         {_META}
         SELECT c.catalog_id, c.name, owner_workspace_id, w.name AS owner_workspace_name,
