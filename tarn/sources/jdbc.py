@@ -39,6 +39,22 @@ def jdbc_options(
     return options
 
 
+def jdbc_split(
+    spark: SparkSession, url: str, query: str, split_column: str, rows_per_partition: int = 1_000_000, **connection: str
+) -> dict[str, str]:
+    """Reader options for parallel range queries; the database is asked once for the bounds and the number of rows.
+
+    An empty result is read by one query.
+    """
+    asked = f"SELECT min({split_column}) AS low, max({split_column}) AS high, count(*) AS n FROM ({query}) AS snapshot"
+    span = spark.read.format("jdbc").options(url=url, query=asked, **connection).load().first()
+    low, high, rows = tuple(span)
+    if not rows or low is None:
+        return jdbc_options(url, query, **connection)
+    partitions = max(1, -(-int(rows) // rows_per_partition))
+    return jdbc_options(url, query, split_column=split_column, bounds=(low, high), partitions=partitions, **connection)
+
+
 def jdbc_table(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     return spark.read.format("jdbc").options(**options).load()
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +16,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.moments import AsOf, day_or_today, parse_day
+from tarn.functions.vectors import register_functions
 from tarn.operators.ranking import top_rows
 from tarn.session import configure
 from tarn.sources.paths import PARTITIONS, day_parts, pattern_of, root_of, table_root
 
 
+# Conditions of a table that cannot be read: nothing there yet, or a broken file. Anything else is an error.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+BROKEN = ("CANNOT_READ_FILE_FOOTER", "FAILED_READ_FILE", "is not a Parquet file", "CANNOT_READ_FOOTER")
+
+
+def is_absent(problem: Exception) -> bool:
+    condition = problem.getCondition() if hasattr(problem, "getCondition") else None
+    return bool(condition) and condition.startswith(ABSENT)
+
+
+def _unreadable(problem: Exception) -> bool:
+    return is_absent(problem) or any(word in str(problem) for word in BROKEN)
+
+
 def read_table(
     spark: SparkSession, pattern: str, merge_schema: bool = False, schema: T.StructType | None = None
 ) -> DataFrame:
@@ -48,8 +66,13 @@ def table_schema(spark: SparkSession, pattern: str, merge_schema: bool = True) -
     except Exception as problem:
         if "CANNOT_MERGE_SCHEMAS" not in str(problem):
             raise
-    last = max(read_table(spark, pattern).inputFiles())
-    return spark.read.option("basePath", root_of(pattern)).parquet(last).schema
+    # The newest day by its partition values; only that folder is listed further.
+    days = [c for c in PARTITIONS if c in read_table(spark, pattern).columns]
+    last = read_table(spark, pattern).select(*days).orderBy(*[F.col(c).desc() for c in days]).first() if days else None
+    if last is None:
+        raise ValueError(f"files of {pattern} disagree on a type, and no day tells which is newest")
+    folder = "/".join([root_of(pattern), *(f"{name}={last[name]}" for name in days)])
+    return spark.read.option("mergeSchema", "true").option("basePath", root_of(pattern)).parquet(folder).schema
 
 
 def read_tree(spark: SparkSession, pattern: str, merge_schema: bool = False) -> DataFrame:
@@ -165,22 +188,79 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "pos int, column_name string, column_type string")
 
 
-def collect_result(df: DataFrame, cap: int = 1000) -> dict:
-    """Result envelope for a console. Never more than ``cap`` rows reach the driver."""
+def collect_result(df: DataFrame, page: int = 1000) -> dict:
+    """Result envelope for a console: ``row_count`` is the number of all rows, ``pages`` yields them page by page.
+
+    The driver holds one page at a time. An error while counting is reported in the envelope.
+    """
     try:
-        rows = df.limit(cap + 1).collect()
+        count = df.count()
     except Exception as problem:
         return {"ok": False, "error": str(problem)}
-    return {
-        "ok": True,
-        "columns": list(df.columns),
-        "rows": [tuple(r) for r in rows[:cap]],
-        "row_count": min(len(rows), cap),
-        "truncated": len(rows) > cap,
-    }
-
 
-_READ_PARQUET = re.compile(r"read_parquet\(\s*'([^']+)'\s*\)", re.IGNORECASE)
+    def pages() -> Iterator[list[tuple]]:
+        rows = df.toLocalIterator()
+        while found := [tuple(r) for r in islice(rows, page)]:
+            yield found
+
+    return {"ok": True, "columns": list(df.columns), "row_count": count, "pages": pages()}
+
+
+# A call of read_parquet, or what may hold its name without being one: strings, quoted names, comments.
+_CALL = re.compile(
+    r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|\b(read_parquet)\s*\(", re.S | re.I
+)
+_PATH = re.compile(r"'((?:[^'\\]|\\.|'')*)'|\"((?:[^\"\\]|\\.|\"\")*)\"")
+_OPTION = re.compile(r",\s*(\w+)\s*(?:=|:=|=>)\s*(\w+)\s*")
+
+
+def _parse_call(text: str, at: int) -> tuple[list[str], dict[str, str], int]:
+    """Paths, options and end of a ``read_parquet`` call whose arguments start at ``at``."""
+    paths, options = [], {}
+    listed = re.compile(r"\s*\[").match(text, at)
+    at = listed.end() if listed else at
+    while found := re.compile(rf"\s*,?\s*(?:{_PATH.pattern})", re.S).match(text, at):
+        paths.append((found[1] if found[1] is not None else found[2]).replace("''", "'"))
+        at = found.end()
+        if not listed:
+            break
+    if listed:
+        at = (re.compile(r"\s*\]").match(text, at) or _bad_call()).end()
+    while found := re.compile(r"\s*" + _OPTION.pattern).match(text, at):
+        options[found[1].lower()] = found[2].lower()
+        at = found.end()
+    end = re.compile(r"\s*\)").match(text, at)
+    if not paths or not end:
+        _bad_call()
+    return paths, options, end.end()
+
+
+def _bad_call() -> None:
+    raise ValueError("read_parquet takes a path or a list of paths, and options as name = value")
+
+
+def _named_relations(spark: SparkSession, text: str) -> tuple[list[tuple[list[str], int, int]], set[str]]:
+    """Tables a query names, each with its place in the text, and the names it defines itself, from the parsed plan."""
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    found, defined, todo = [], set(), [plan]
+
+    def items(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            place = node.origin()
+            if place.startIndex().isDefined() and place.stopIndex().isDefined():
+                parts = [str(p) for p in items(node.multipartIdentifier())]
+                found.append((parts, place.startIndex().get(), place.stopIndex().get()))
+        elif kind == "UnresolvedWith":
+            defined |= {str(pair._1()).lower() for pair in items(node.cteRelations())}
+        todo += items(node.children()) + items(node.innerChildren())
+        todo += [e for e in items(node.subqueriesAll().toSeq())]
+    # A subquery may be met on more than one way.
+    return list({start: (parts, start, stop) for parts, start, stop in found}.values()), defined
 
 
 @dataclass
@@ -211,6 +291,17 @@ class Lake:
         self.register(name, pattern_of(table_root(self.root, source=source)))
         return name
 
+    def save_registry(self, path: str) -> None:
+        """Store all names and patterns as a table: ``catalog, schema, table, path_pattern``."""
+        rows = [(*name.split("."), pattern) for name, pattern in sorted(self.patterns.items())]
+        stored = self.spark.createDataFrame(rows, "`catalog` string, `schema` string, `table` string, path_pattern string")
+        stored.coalesce(1).write.mode("overwrite").parquet(path)
+
+    def load_registry(self, registry: DataFrame) -> None:
+        """Add the names of a registry table (``catalog, schema, table, path_pattern``; a null pattern follows the name)."""
+        for row in registry.select("catalog", "schema", "table", "path_pattern").toLocalIterator():
+            self.register(f"{row.catalog}.{row.schema}.{row.table}", row.path_pattern)
+
     def tables_of(self, catalogs: Iterable[str]) -> list[str]:
         """Registered tables of the given catalogs, e.g. those a user may see."""
         wanted = set(catalogs)
@@ -236,32 +327,60 @@ class Lake:
         for name in self.patterns if names is None else names:
             try:
                 self.table(name).createOrReplaceTempView(f"`{name}`")
-            except AnalysisException:
+            except AnalysisException as problem:
+                if not _unreadable(problem):
+                    raise
                 continue
             made.append(name)
         return made
 
     def sql(self, text: str, names: Iterable[str] | None = None) -> DataFrame:
-        """Run Spark SQL. Tables may be written ``a.b.c`` or ``read_parquet('<pattern>')``.
+        """Run a Spark SQL query. Tables may be written ``a.b.c`` or ``read_parquet('<pattern>')``.
 
-        ``names`` restricts the query to the tables the caller may see.
+        ``read_parquet`` also takes a list of patterns, and the options ``union_by_name`` and ``hive_partitioning``.
+        Tables are found in the parsed query, so a name in a string or a comment stays what it is. Each call has views
+        of its own, which are dropped again. With ``names``, the query may use these tables and nothing else: another
+        table, view or file raises ``PermissionError``.
         """
+        register_functions(self.spark)
+        text = text.strip().rstrip(";")
         allowed = set(self.patterns if names is None else names)
-        for name in sorted(allowed):
-            mention = rf"(?<![\w.`']){re.escape(name)}(?![\w.`'])"
-            if re.search(mention, text):
-                self.create_views([name])
-                text = re.sub(mention, f"`{name}`", text)
-
-        def as_view(match: re.Match) -> str:
-            pattern = match.group(1)
-            if names is not None and pattern not in {self.patterns[n] for n in allowed}:
-                raise PermissionError(f"no access to {pattern}")
-            view = f"`{pattern}`"
-            read_table(self.spark, pattern).createOrReplaceTempView(view)
-            return view
-
-        return self.spark.sql(_READ_PARQUET.sub(as_view, text).rstrip().rstrip(";"))
+        patterns = {self.patterns[n] for n in allowed if n in self.patterns}
+        made: list[str] = []
+
+        def view(df: DataFrame) -> str:
+            name = f"lake_{uuid.uuid4().hex}"
+            df.createTempView(name)
+            made.append(name)
+            return name
+
+        try:
+            parts, at = [], 0
+            for call in _CALL.finditer(text):
+                if call[1] is None or call.start() < at:
+                    continue
+                paths, options, end = _parse_call(text, call.end())
+                if names is not None and not set(paths) <= patterns:
+                    raise PermissionError(f"no access to {sorted(set(paths) - patterns)}")
+                merge = options.get("union_by_name") in ("true", "1")
+                tables = [read_table(self.spark, p, merge) for p in paths]
+                if options.get("hive_partitioning") in ("false", "0"):
+                    tables = [t.drop(*[c for c in PARTITIONS if c in t.columns]) for t in tables]
+                rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=merge), tables)
+                parts += [text[at : call.start()], view(rows)]
+                at = end
+            text = "".join([*parts, text[at:]])
+            relations, defined = _named_relations(self.spark, text)
+            for parts, start, stop in sorted(relations, key=lambda r: -r[1]):
+                name = ".".join(parts)
+                if name in allowed and name in self.patterns:
+                    text = text[:start] + view(self.table(name)) + text[stop + 1 :]
+                elif names is not None and name not in made and name.lower() not in defined:
+                    raise PermissionError(f"no access to {name}")
+            return self.spark.sql(text)
+        finally:
+            for name in made:
+                self.spark.catalog.dropTempView(name)
 
     def schemas(self, merge_schema: bool = True, threads: int = 8) -> dict[str, list[tuple[str, str]]]:
         """Columns of every readable table from the file footers; unreadable tables are skipped."""
@@ -269,7 +388,9 @@ class Lake:
         def columns(name: str):
             try:
                 fields = table_schema(self.spark, self.patterns[name], merge_schema).fields
-            except AnalysisException:
+            except Exception as problem:
+                if not _unreadable(problem):
+                    raise
                 return name, None
             return name, [(f.name, f.dataType.simpleString()) for f in fields]
 

@@ -85,14 +85,62 @@ def test_folder_of_several_tables(spark, tmp_path):
 
 
 def test_result_envelope(spark):
-    got = lake.collect_result(spark.range(5), cap=3)
-    assert (got["ok"], got["columns"], got["row_count"], got["truncated"]) == (True, ["id"], 3, True)
-    assert not lake.collect_result(spark.range(2), cap=3)["truncated"]
-    broken = spark.range(1).select(F.raise_error(F.lit("boom")).cast("string").alias("x"))
+    got = lake.collect_result(spark.range(5000), page=2000)
+    assert (got["ok"], got["columns"], got["row_count"]) == (True, ["id"], 5000)
+    pages = list(got["pages"])
+    assert [len(p) for p in pages] == [2000, 2000, 1000]
+    assert sorted(r[0] for p in pages for r in p) == list(range(5000))
+    broken = spark.range(1).select(F.raise_error(F.lit("boom")).cast("string").alias("x")).where("x = 'y'")
     failed = lake.collect_result(broken)
     assert not failed["ok"] and "boom" in failed["error"]
 
 
+def test_sql_finds_tables_in_the_parsed_query(spark, tmp_path):
+    lk = lake.Lake(spark, str(tmp_path))
+    for name in ("orders", "more"):
+        lk.register(f"shop.sales.{name}")
+        lake.write_day(spark.range(4), str(tmp_path), "2025-05-01", catalog="shop", schema="sales", table=name)
+    assert lk.sql("SELECT 'see shop.sales.orders now' AS t, \"read_parquet('x')\" AS u").first() == (
+        "see shop.sales.orders now",
+        "read_parquet('x')",
+    )
+    nested = "SELECT count(*) AS n FROM shop.sales.orders WHERE id IN (SELECT max(id) FROM shop.sales.more)"
+    assert lk.sql(nested).first().n == 1
+    both = [lk.patterns["shop.sales.orders"], lk.patterns["shop.sales.more"]]
+    listed = f"SELECT count(*) AS n FROM read_parquet(['{both[0]}', \"{both[1]}\"], union_by_name = true)"
+    assert lk.sql(listed).first().n == 8
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lake_")]
+    spark.range(3).createOrReplaceTempView("private")
+    for text in ("SELECT * FROM private", "SELECT * FROM shop.sales.more", f"SELECT * FROM parquet.`{tmp_path}`", nested):
+        with pytest.raises(PermissionError):
+            lk.sql(text, names=["shop.sales.orders"])
+    with_cte = "WITH x AS (SELECT * FROM shop.sales.orders) SELECT count(*) AS n FROM x"
+    assert lk.sql(with_cte, names=["shop.sales.orders"]).first().n == 4
+    with pytest.raises(ValueError):
+        lk.sql("SELECT * FROM read_parquet(1)")
+
+
+def test_registry_is_a_table(spark, tmp_path):
+    lk = lake.Lake(spark, str(tmp_path))
+    lk.register("a.b.c", "s3a://x/y/**/*.parquet")
+    lk.register("a.b.d")
+    lk.save_registry(f"{tmp_path}/registry")
+    again = lake.Lake(spark, str(tmp_path))
+    again.load_registry(spark.read.parquet(f"{tmp_path}/registry"))
+    assert again.patterns == lk.patterns
+
+
+def test_a_broken_file_skips_its_table_only(spark, tmp_path):
+    lk = lake.Lake(spark, str(tmp_path))
+    for name in ("c.s.good", "c.s.bad", "c.s.none"):
+        lk.register(name)
+    lake.write_day(spark.range(1), str(tmp_path), "2025-05-01", catalog="c", schema="s", table="good")
+    folder = tmp_path / "c/s/bad/year=2025/month=05/day=01"
+    folder.mkdir(parents=True)
+    (folder / "x.parquet").write_bytes(b"this is no parquet file at all")
+    assert list(lk.schemas()) == ["c.s.good"]
+
+
 def test_lake_names_and_sql(spark, tmp_path):
     lk = lake.Lake(spark, str(tmp_path))
     assert lk.register("shop.sales.orders") == f"{tmp_path}/shop/sales/orders/**/*.parquet"

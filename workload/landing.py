@@ -9,7 +9,10 @@ from pyspark.sql import types as T
 from tarn.functions.moments import newest
 from tarn.sources import landing
 from tarn.sources.contracts import CONTRACTS, HOURLY_FIELDS, HOURLY_PAYLOAD, contract
+from tarn.session import scratch_path
 from tarn.sources.jdbc import incremental
+from tarn.sources.lake import read_table, with_source_date, write_day, write_days
+from tarn.sources.paths import pattern_of
 from workload.tables import table
 
 DAY = "2024-01-15"
@@ -152,6 +155,132 @@ def land_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _show_day(rows.select(*shown, "source_date"))
 
 
+# Every column of each contract, from the fixture tables; the expressions read the same in Spark and in DuckDB.
+_ORDER, _LINE = "CAST(o_orderkey AS STRING)", "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING)"
+CONTRACT_ROWS = {
+    "charges": (
+        "lineitem",
+        {
+            "charge_id": _LINE,
+            "amount_usd": "l_extendedprice",
+            "currency": "CASE WHEN l_returnflag = 'A' THEN 'usd' END",
+            "status": "l_returnflag",
+            "customer_id": "CAST(l_suppkey AS STRING)",
+            "customer_email": "'c' || CAST(l_partkey AS STRING) || '@x'",
+            "description": "l_linestatus",
+            "refunded": "l_returnflag = 'R'",
+            "dispute": "l_linestatus = 'O'",
+            "created_at": "l_shipdate",
+        },
+    ),
+    "subscriptions": (
+        "orders",
+        {
+            "subscription_id": _ORDER,
+            "customer_id": "CAST(o_custkey AS STRING)",
+            "plan_name": "o_orderpriority",
+            "interval": "CASE WHEN o_orderstatus = 'F' THEN 'month' ELSE 'year' END",
+            "amount_usd": "o_totalprice",
+            "status": "o_orderstatus",
+            "current_period_start": "o_orderdate",
+            "current_period_end": "o_orderdate + INTERVAL 30 DAYS",
+            "canceled_at": "CASE WHEN o_orderstatus = 'P' THEN o_orderdate END",
+            "created_at": "o_orderdate",
+        },
+    ),
+    "shop_orders": (
+        "orders",
+        {
+            "order_id": _ORDER,
+            "order_number": "CAST(o_orderkey AS INT)",
+            "email": "'c' || CAST(o_custkey AS STRING)",
+            "financial_status": "o_orderstatus",
+            "fulfillment_status": "CASE WHEN o_orderpriority = '1-URGENT' THEN 'fulfilled' END",
+            "subtotal_usd": "o_totalprice",
+            "total_discounts_usd": "o_totalprice / 4",
+            "total_usd": "o_totalprice / 2",
+            "line_item_count": "CAST(o_orderkey % 7 AS INT)",
+            "source_name": "o_orderpriority",
+            "created_at": "o_orderdate",
+        },
+    ),
+    "shop_line_items": (
+        "lineitem",
+        {
+            "order_id": "CAST(l_orderkey AS STRING)",
+            "product_id": "CAST(l_partkey AS STRING)",
+            "variant_id": "CAST(l_suppkey AS STRING)",
+            "title": "'part ' || CAST(l_partkey AS STRING)",
+            "sku": _LINE,
+            "quantity": "CAST(l_quantity AS INT)",
+            "price_usd": "l_extendedprice",
+            "total_discount_usd": "l_discount",
+            "fulfillable_quantity": "l_linenumber",
+        },
+    ),
+    "deals": (
+        "orders",
+        {
+            "deal_id": _ORDER,
+            "deal_name": f"'deal ' || {_ORDER}",
+            "stage": "o_orderpriority",
+            "amount_usd": "o_totalprice",
+            "close_date": "CAST(o_orderdate AS DATE)",
+            "owner_name": "CAST(o_custkey AS STRING)",
+            "pipeline": "o_orderstatus",
+            "created_at": "o_orderdate",
+            "last_modified_at": "o_orderdate + INTERVAL 3 DAYS",
+        },
+    ),
+    "contacts": (
+        "customer",
+        {
+            "contact_id": "CAST(c_custkey AS STRING)",
+            "email": "CASE WHEN c_nationkey > 3 THEN c_name || '@x' END",
+            "first_name": "c_mktsegment",
+            "last_name": "c_name",
+            "company": "CAST(c_nationkey AS STRING)",
+            "lifecycle_stage": "CASE WHEN c_acctbal > 0 THEN 'customer' ELSE 'lead' END",
+            "lead_source": "c_mktsegment",
+            "created_at": "TIMESTAMP '2024-01-01 00:00:00'",
+        },
+    ),
+}
+
+
+def _land_contract(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        source, columns = CONTRACT_ROWS[name]
+        rows = table(spark, sf_dir, source).select(*[F.expr(e).alias(c) for c, e in columns.items()])
+        landed = landing.land(rows.select(F.to_json(F.struct("*")).alias("value")), CONTRACTS[name], DAY)
+        return _show_day(landed)
+
+    return query
+
+
+def json_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers delivered as files of one nested object each."""
+    folder = scratch_path(spark, "delivery")
+    customers = table(spark, sf_dir, "customer")
+    batches = customers.groupBy(F.floor(F.col("c_custkey") / 100).alias("batch")).agg(
+        F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal")).alias("Items")
+    )
+    batches.write.option("maxRecordsPerFile", 1).json(folder)
+    shape = contract("c_custkey bigint, c_name string, c_acctbal double")
+    payload = T.StructType([T.StructField("batch", T.LongType()), T.StructField("Items", T.ArrayType(shape))])
+    return landing.explode_items(landing.read_json_folder(spark, folder, payload), shape)
+
+
+def empty_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A day that is loaded again without rows leaves the table as it is."""
+    events = table(spark, sf_dir, "events")
+    base = scratch_path(spark, "empty")
+    root = write_days(events.withColumn("source_date", F.to_date("ts")), base, source="events")
+    write_day(with_source_date(events, "2024-01-15").limit(0), base, "2024-01-15", source="events")
+    write_day(with_source_date(events, "2031-01-01").limit(0), base, "2031-01-01", source="events")
+    return read_table(spark, pattern_of(root)).groupBy("year", "month", "day").agg(F.count("*").alias("events"))
+
+
 def incremental_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders past the high-water mark of a load that stopped at the end of 1999."""
     orders = table(spark, sf_dir, "orders")
@@ -179,6 +308,9 @@ QUERIES = {
     "disk_inventory": disk_inventory,
     "hourly_rows": hourly_rows,
     "land_orders": land_orders,
+    **{f"land_{name}": _land_contract(name) for name in CONTRACT_ROWS},
+    "json_folder": json_folder,
+    "empty_day": empty_day,
     "incremental_orders": incremental_orders,
     "union_drifting": union_drifting,
 }
@@ -237,6 +369,17 @@ ORACLE = {
                '2024-01-15' AS source_date, 40.7128::DOUBLE AS latitude, (-74.006)::DOUBLE AS longitude
         FROM events CROSS JOIN (VALUES (0), (1)) AS h(hour)
     """,
+    **{
+        f"land_{name}": "SELECT "
+        + ", ".join(f'{e} AS "{c}"' for c, e in columns.items())
+        + f", '{DAY}' AS source_date FROM {source}"
+        for name, (source, columns) in CONTRACT_ROWS.items()
+    },
+    "json_folder": "SELECT c_custkey, c_name, c_acctbal FROM customer",
+    "empty_day": """
+        SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, count(*) AS events
+        FROM events GROUP BY ALL
+    """,
     "land_orders": """
         SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS INTEGER) AS order_number,
                o_orderstatus AS financial_status, CAST(NULL AS VARCHAR) AS fulfillment_status,
