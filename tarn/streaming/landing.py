@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tarn.session import cut_lineage
-from tarn.sources.lake import read_table
+from tarn.sources.lake import is_absent, read_table
 from tarn.sources.paths import PARTITIONS
 
 BATCH = "landing_batch"
@@ -39,18 +39,21 @@ def append_batch(df: DataFrame, batch: str, root: str) -> None:
 
 
 def _landed(spark: SparkSession, root: str, days: DataFrame) -> DataFrame:
-    """When the payload a day holds was delivered, for the given days of a table that may not exist."""
+    """When the payload a day holds was delivered, for the given days of a table that may not exist.
+
+    The batch's days (one row per day) become literals of the partition columns, so that only their folders are read.
+    """
     try:
         table = read_table(spark, root)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not is_absent(problem):
+            raise
         return days.select("source_date", F.lit(None).cast("timestamp").alias("_landed")).limit(0)
-    wanted = _with_day(days.select("source_date")).drop("source_date")
-    return (
-        table.select("source_date", "landed_at", *PARTITIONS)
-        .join(wanted, list(PARTITIONS), "left_semi")
-        .groupBy("source_date")
-        .agg(F.max("landed_at").alias("_landed"))
-    )
+    wanted = _with_day(days.select("source_date").distinct()).collect()
+    for name in PARTITIONS:
+        table = table.where(F.col(name).isin(sorted({row[name] for row in wanted if row[name] is not None})))
+    table = table.where(F.col("source_date").isin([row.source_date for row in wanted]))
+    return table.groupBy("source_date").agg(F.max("landed_at").alias("_landed"))
 
 
 def replace_days(df: DataFrame, root: str) -> None:

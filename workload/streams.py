@@ -33,9 +33,44 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, root).select("event_id", "ts", "event_type", "value", "props", "year", "month", "day")
 
 
-QUERIES = {"stream_events": stream_events}
+def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries of each day's state, the oldest last: every day keeps the newest payload."""
+    base = scratch_path(spark, "snapshot")
+    landing, root = f"{base}/landing", f"{base}/raw/state"
+    events = table(spark, sf_dir, "events")
+    state = events.select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event_type", "value", "props"
+    )
+    day = F.substring("at", 1, 10)
+    files = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for hours, kind in ((10, "view"), (20, "click"), (1, "signup")):
+        folder = f"{base}/{kind}"
+        state.where(F.col("event_type") == kind).repartition(4, day).write.json(folder)
+        for found in files.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+            path, name = found.getPath(), found.getPath().getName()
+            if name.endswith(".json"):
+                target = spark._jvm.org.apache.hadoop.fs.Path(f"{landing}/{kind}-{name}")
+                files.mkdirs(target.getParent())
+                files.rename(path, target)
+                files.setTimes(target, 1_700_000_000_000 + hours * 3_600_000, -1)
+        stream_land(spark, landing, PAYLOAD, _typed, root, f"{base}/checkpoint", mode="snapshot").awaitTermination()
+    return read_table(spark, root).select("event_id", "ts", "event_type", "value", "props", "year", "month", "day")
+
+
+QUERIES = {"stream_events": stream_events, "stream_snapshot": stream_snapshot}
 
 ORACLE = {
+    "stream_snapshot": """
+        WITH kinds AS (
+            SELECT *, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 WHEN 'signup' THEN 1 END AS age,
+                   max(CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 WHEN 'signup' THEN 1 END)
+                       OVER (PARTITION BY date_trunc('day', ts)) AS newest
+            FROM events
+        )
+        SELECT event_id, ts, event_type, value, props, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month,
+               strftime(ts, '%d') AS day
+        FROM kinds WHERE age = newest
+    """,
     "stream_events": """
         SELECT event_id, ts, event_type, value, props, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month,
                strftime(ts, '%d') AS day
