@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,3 +93,13 @@ def cosine(left: Column, right: Column) -> Column:
 
     lengths = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
     return dot(left, right) / F.nullif(lengths, F.lit(0.0))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``cosine(a, b)`` callable from SQL."""
+    dot = "aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0.0D, (s, x) -> s + x)"
+    lengths = f"sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')})"
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE "
+        f"RETURN {dot.format('a', 'b')} / nullif({lengths}, 0.0D)"
+    )

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from tarn.functions.moments import AsOf, parse_day
 from tarn.functions.text import join_nonblank, nonblank, one_decimal, strip
 from tarn.functions.vectors import DEFAULT_DIM, VECTOR, hashed_vector, once
-from tarn.session import spread
 from tarn.sources.landing import utterance
 
 # A rule sees the frame's columns and answers with the text of a row.
@@ -21,6 +20,8 @@ ContentRule = Callable[[DataFrame], Column]
 
 GIB = float(1024**3)
 
+# The texts that the rules below build.
+
 
 def _text(df: DataFrame, name: str, default: str = "") -> Column:
     """A column as text, or the default when it is absent or null."""
@@ -77,10 +78,10 @@ def weather(df: DataFrame) -> Column:
 
 
 def voice_export(df: DataFrame) -> Column:
-    """Spoken text; else the first five non-blank text columns."""
+    """Spoken text; else all non-blank text columns."""
     strings = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     present = F.filter(F.array(*[nonblank(c) for c in strings]), lambda v: v.isNotNull())
-    fallback = F.nullif(F.concat_ws(" | ", F.slice(present, 1, 5)), F.lit(""))
+    fallback = F.nullif(F.concat_ws(" | ", present), F.lit(""))
     return F.coalesce(utterance(df.columns), fallback, F.lit("Alexa activity"))
 
 
@@ -138,7 +139,6 @@ def embed(
 
     Only the text column crosses to Python, whatever else the frame carries.
     """
-    df = spread(df)
     if embedder is None:
         return df.withColumn(name, hashed_vector(F.col(text), dim))
     model, width, size = embedder, embedder.dim, embedder.batch

@@ -1,8 +1,8 @@
-"""Answers, digests and outlier notes: bounded context, prompt, generated text."""
+"""Answers, digests and outlier notes: context, prompt, generated text; long texts are folded chunk by chunk."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -12,19 +12,24 @@ from pyspark.sql import functions as F
 from tarn.functions.moments import AsOf, parse_day
 from tarn.functions.text import nonblank
 from tarn.functions.vectors import once
-from tarn.operators.ranking import joined_text, top_n_per_group
+from tarn.operators.ranking import joined_text
+from tarn.session import cut_lineage
 
-# Prompt texts, row limits and the message for an empty report.
+# Prompt texts and the message for an empty report.
 HOME_PROMPT = "You are an assistant that answers questions about home data.\n\nContext from data lake:\n"
 ANALYST_PROMPT = (
     "You are an analyst for a business datalakehouse. "
     "Answer the following question using the context snippets below. "
     "Be concise and cite which data sources support your answer.\n\nQuestion: "
 )
-DIGEST_ROWS = 200
-REPORT_ROWS = 20
+DIGEST_PROMPT = ("Summarize the following ", " activity from ", " in 3-5 bullet points:\n\n")
+OUTLIER_PROMPT = ("The following ", " entries were flagged as anomalies. Summarize what's unusual about them:\n\n")
 NO_ANOMALIES = "No anomalies detected."
 
+#: Text that one call of a model is given, and summaries that one call combines.
+CHUNK_BYTES = 32 << 10
+COMBINED = 64
+
 
 class Generator(Protocol):
     """An external text model, called inside Spark tasks with up to ``batch`` prompts."""
@@ -34,16 +39,18 @@ class Generator(Protocol):
     def generate(self, prompts: list[str]) -> list[str]: ...
 
 
-def extract(context: Column, lines: int) -> Column:
-    """Offline stand-in for a model: the first lines of the context as bullets."""
-    kept = F.filter(F.split(context, "\n"), lambda line: nonblank(line).isNotNull())
-    return F.concat_ws("\n", F.transform(F.slice(kept, 1, lines), lambda line: F.concat(F.lit("- "), line)))
+def lines_of(text: Column) -> Column:
+    """Lines of a text that hold something."""
+    return F.filter(F.split(text, "\n"), lambda line: nonblank(line).isNotNull())
+
+
+def extract(context: Column) -> Column:
+    """Offline stand-in for a model: the lines of the context as bullets."""
+    return F.concat_ws("\n", F.transform(lines_of(context), lambda line: F.concat(F.lit("- "), line)))
 
 
-def generated(prompt: Column, context: Column, generator: Generator | None, lines: int) -> Column:
-    """Model output for a prompt, or the extract of its context when there is no model."""
-    if generator is None:
-        return extract(context, lines)
+def generated(prompt: Column, generator: Generator) -> Column:
+    """Model output for a prompt."""
     model, size = generator, generator.batch
 
     @F.pandas_udf("string")
@@ -57,6 +64,74 @@ def generated(prompt: Column, context: Column, generator: Generator | None, line
     return once(call_model)(prompt)
 
 
+def folded(
+    df: DataFrame,
+    key: str,
+    text: str,
+    order: Sequence[str],
+    prompt: tuple[Column, Column],
+    generator: Generator | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """One summary per ``key`` of all its texts: ``key, summary``.
+
+    A hash of the ``order`` columns, which should identify a row, deals a key's rows into chunks of about
+    ``chunk_bytes``; a chunk's texts are joined in that order and summarized, and summaries are combined in
+    rounds until one is left. A key with a third of all rows is so spread like any other. ``prompt`` goes
+    before and after the key, and the texts follow it. Offline, a chunk's summary is its first line and its
+    number of rows, and the last line counts them all. Rows without a text are left out.
+    """
+    rows = df.select(key, *[c for c in dict.fromkeys(order) if c not in (key, text)], F.col(text).cast("string").alias("_text"))
+    rows = rows.where(F.col("_text").isNotNull())
+    order = [("_text" if c == text else c) for c in order]
+    # One row per key, stored so that Spark knows how small it is.
+    sizes = cut_lineage(
+        rows.groupBy(F.col(key).alias("_key")).agg(
+            F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("_text")) / chunk_bytes)).cast("bigint").alias("_chunks")
+        )
+    )
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    chunks = (
+        rows.join(sizes, F.col(key).eqNullSafe(F.col("_key")))
+        .withColumn("_part", F.pmod(place, F.col("_chunks")))
+        .groupBy(key, "_part")
+        .agg(
+            F.concat_ws(
+                "\n", F.array_sort(F.collect_list(F.struct(*order, F.col("_text").alias("_said")))).getField("_said")
+            ).alias("_texts"),
+            F.count("*").alias("_rows"),
+        )
+    )
+    before, after = prompt
+
+    def summarized(parts: DataFrame) -> DataFrame:
+        if generator is not None:
+            asked = F.concat(before, F.coalesce(F.col(key).cast("string"), F.lit("")), after, F.col("_texts"))
+            return parts.withColumn("_texts", generated(asked, generator))
+        first = F.coalesce(F.get(lines_of(F.col("_texts")), F.lit(0)), F.lit(""))
+        first = F.regexp_replace(first, r"^- | \(\d+ rows\)$", "")
+        return parts.withColumn("_texts", F.concat(F.lit("- "), first, F.lit(" ("), F.col("_rows"), F.lit(" rows)")))
+
+    def joined(parts: DataFrame, part: Column) -> DataFrame:
+        return parts.groupBy(key, part.alias("_part")).agg(
+            F.concat_ws("\n", F.array_sort(F.collect_list(F.struct("_part", "_texts"))).getField("_texts")).alias("_texts"),
+            F.sum("_rows").alias("_rows"),
+            F.count("*").alias("_joined"),
+        )
+
+    found = cut_lineage(summarized(chunks))
+    most = sizes.agg(F.max("_chunks")).first()[0] or 0
+    while most > COMBINED:
+        found = cut_lineage(summarized(joined(found, F.floor(F.col("_part") / COMBINED))).drop("_joined"))
+        most = -(-most // COMBINED)
+    final = joined(found, F.lit(0))
+    if generator is not None:
+        alone, several = final.where("_joined = 1"), final.where("_joined > 1")
+        return alone.unionByName(summarized(several)).select(key, F.col("_texts").alias("summary"))
+    return final.select(key, F.concat("_texts", F.lit("\n"), F.col("_rows"), F.lit(" rows")).alias("summary"))
+
+
 def python_float(value: Column, digits: int) -> Column:
     """A rounded number without padding: ``0.5``, ``0.0001``, ``1.0``."""
     fixed = F.format_string(f"%.{digits}f", F.round(value, digits))
@@ -105,15 +180,15 @@ def rag_answer(
     contexts: DataFrame,
     generator: Generator | None = None,
     style: str = "plain",
-    lines: int = 3,
 ) -> DataFrame:
-    """``query_id, question, prompt, answer`` for questions with a context."""
+    """``query_id, question, prompt, answer`` for questions with a context; offline the answer is all of the context."""
     prompt = rag_prompt(F.col("question"), F.col("context"), style)
+    answer = extract(F.col("context")) if generator is None else generated(F.col("prompt"), generator)
     return (
         questions.select("query_id", "question")
         .join(contexts, "query_id")
         .withColumn("prompt", prompt)
-        .withColumn("answer", generated(F.col("prompt"), F.col("context"), generator, lines))
+        .withColumn("answer", answer)
         .drop("context")
     )
 
@@ -122,53 +197,27 @@ def daily_digest(
     df: DataFrame,
     day: AsOf,
     text: str,
-    order: list[Column],
+    order: Sequence[str],
     generator: Generator | None = None,
-    n: int = DIGEST_ROWS,
-    lines: int = 5,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """One summary per source from at most ``n`` rows of a day; ``df`` has a ``source`` column.
-
-    The first ``n`` rows count whether or not they have a text, as the limit is on rows.
-    """
+    """One summary per source of all its rows of a day; ``df`` has a ``source`` column."""
     date = parse_day(day)
-    first = top_n_per_group(df, ["source"], order, n)
-    lined = first.withColumn("_text", F.col(text).cast("string")).where(F.col("_text").isNotNull())
-    content = joined_text(lined, ["source"], "rank", "_text")
-    prompt = F.concat(
-        F.lit("Summarize the following "),
-        "source",
-        F.lit(f" activity from {date} in 3-5 bullet points:\n\n"),
-        "context",
-    )
-    return content.select(
-        "source",
-        F.lit(date).cast("date").alias("date"),
-        generated(prompt, F.col("context"), generator, lines).alias("summary"),
-    )
+    head, middle, tail = DIGEST_PROMPT
+    found = folded(df, "source", text, order, (F.lit(head), F.lit(f"{middle}{date}{tail}")), generator, chunk_bytes)
+    return found.select("source", F.lit(date).cast("date").alias("date"), "summary")
 
 
 def anomaly_report(
     flagged: DataFrame,
     source: str,
-    order: list[Column],
+    order: Sequence[str],
     generator: Generator | None = None,
-    n: int = REPORT_ROWS,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
-    """One row ``source, report`` about the first ``n`` anomalies."""
-    top = top_n_per_group(flagged.where("is_anomaly").withColumn("_all", F.lit(0)), ["_all"], order, n)
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "content")))
-    context = top.agg(F.concat_ws("\n", ranked.getField("content")).alias("context"))
-    prompt = F.concat(
-        F.lit(
-            f"The following {source} entries were flagged as anomalies. "
-            "Summarize what's unusual about them:\n\n"
-        ),
-        "context",
-    )
-    text = generated(prompt, F.col("context"), generator, n)
-    return context.select(
-        F.lit(source).alias("source"),
-        F.when(F.col("context") == "", NO_ANOMALIES).otherwise(text).alias("report"),
-    )
-
+    """One row ``source, report`` about all anomalies."""
+    rows = flagged.where("is_anomaly").withColumn("_source", F.lit(source))
+    prompt = tuple(F.lit(part) for part in OUTLIER_PROMPT)
+    found = folded(rows, "_source", "content", order, prompt, generator, chunk_bytes)
+    report = F.coalesce(F.max("summary"), F.lit(NO_ANOMALIES))
+    return found.agg(report.alias("report")).select(F.lit(source).alias("source"), "report")

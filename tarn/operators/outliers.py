@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.vectors import matrix_of, once
 from tarn.operators.ranking import newest_rows, top_n_per_group
-from tarn.session import cut_lineage, spread
+from tarn.session import cut_lineage
 
 TREE_SCHEMA = "tree int, depth int, feature array<int>, threshold array<double>, left array<int>, length array<double>"
 
@@ -157,7 +157,36 @@ def score_rows(df: DataFrame, features: str, forest: Forest) -> DataFrame:
     def score(vectors: pa.Array) -> pa.Array:
         return pa.array(shared.value.score(np.nan_to_num(matrix_of(vectors))))
 
-    return spread(df).withColumn("score", once(score)(F.col(features)))
+    return df.withColumn("score", once(score)(F.col(features)))
+
+
+def order_statistic(df: DataFrame, column: str, rank: int, bins: int = 4096, small: int = 100_000) -> float:
+    """The exact ``rank``-th smallest value (from 1) of a column of numbers.
+
+    Values are counted in bins between known limits, and the bin that holds the rank is counted again, until it has
+    few rows or one value. A round brings at most ``bins`` counts to the driver, the last one ``small`` values.
+    """
+    low, high, rows = df.agg(F.min(column), F.max(column), F.count(column)).first()
+    value = F.col(column)
+    inside = df.select(column).where(value.isNotNull())
+    while low < high and rows > small:
+        width = (high - low) / bins
+        place = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+        counts = (
+            inside.where((value >= low) & (value <= high))
+            .groupBy(place.alias("bin"))
+            .agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+            .orderBy("bin")
+            .collect()
+        )
+        for c in counts:
+            if rank <= c.n:
+                low, high, rows = c.low, c.high, c.n
+                break
+            rank -= c.n
+    if low == high:
+        return low
+    return sorted(r[0] for r in inside.where((value >= low) & (value <= high)).collect())[rank - 1]
 
 
 def isolation_forest(
@@ -173,11 +202,14 @@ def isolation_forest(
     """Add ``score`` and ``is_anomaly``; the vector column is dropped.
 
     ``key`` identifies a row. ``newest=("source_date", 5000)`` restricts the run to the newest rows.
-    Scores are stored once and read twice, for the cut and for the result.
+    Scores are stored once and read again, for the exact cut and for the result.
     """
     if newest is not None:
         df = cut_lineage(newest_rows(df, newest[0], newest[1], key[0]))
     forest = fit_forest(df, features, key, seed, trees, sample)
     scored = cut_lineage(score_rows(df, features, forest).drop(features))
-    cut = scored.agg(F.percentile_approx("score", 1.0 - contamination, 100_000)).first()[0]
+    rows = scored.count()
+    if not rows:
+        return scored.withColumn("is_anomaly", F.lit(False))
+    cut = order_statistic(scored, "score", max(1, math.ceil((1.0 - contamination) * rows)))
     return scored.withColumn("is_anomaly", F.col("score") > F.lit(cut))

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.functions.moments import like_column
-from tarn.session import SPLIT_BYTES, estimated_bytes
-
-# Rows one task may receive to put in order.
-MAX_SORTED_ROWS = 100_000
-
-
 def _order(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
 
@@ -22,27 +16,8 @@ def _order(order: Sequence[tuple[str, bool]]) -> list[Column]:
 def top_rows(df: DataFrame, order: Sequence[tuple[str, bool]], n: int) -> DataFrame:
     """The first ``n`` whole rows by ``(column, ascending)`` pairs, nulls last, in that order.
 
-    Spark's sorted limit sends ``n`` whole rows of every task to one task. When that would be many,
-    the n-th position is first found from the ordering columns alone. Whole rows are then read behind
-    a filter on that position, which reaches the file reader: wide rows of other positions are neither
-    decoded nor sent.
+    Spark's sorted limit: every task hands on at most ``n`` rows.
     """
-    if (estimated_bytes(df) // SPLIT_BYTES + 1) * n <= MAX_SORTED_ROWS:
-        return df.orderBy(*_order(order)).limit(n)
-    names = [c for c, _ in order]
-    narrow = df.select(*names, F.lit(0).alias("_all"))
-    last = top_n_per_group(narrow, ["_all"], _order(order), n, salts=256).where(F.col("rank") == n).first()
-    if last is not None:
-        reached, level = F.lit(False), F.lit(True)
-        for name, up in order:
-            value, column = last[name], F.col(name)
-            if value is None:
-                ahead, same = column.isNotNull(), column.isNull()
-            else:
-                limit = like_column(df, name, value)
-                ahead, same = (column < limit if up else column > limit), column == limit
-            reached, level = reached | (level & ahead), level & same
-        df = df.where(reached | level)
     return df.orderBy(*_order(order)).limit(n)
 
 
@@ -67,14 +42,18 @@ def top_n_per_group(
     order: Sequence[Column],
     n: int,
     rank: str = "rank",
-    salts: int = 32,
+    salts: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of every group, ranked from 1.
 
     Two rounds: the best ``n`` of each slice of a group, then the best ``n`` of those. Before either
-    shuffle each task already drops all but ``n`` rows per group, and a slice takes the rows of only
-    some of the tasks, so a hot group never meets in one place before it is small.
+    shuffle each task already drops all but ``n`` rows per group (whatever ``n`` is: see
+    ``windowGroupLimitThreshold`` in ``RUNTIME_CONF``), and a slice takes the rows of only some of the tasks, so
+    a hot group never meets in one place before it is small. There are as many slices as the square root of the
+    number of shuffle partitions, which both rounds then share evenly.
     """
+    if salts is None:
+        salts = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
     salt = F.pmod(F.spark_partition_id(), F.lit(salts))
     first = F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))
     final = F.row_number().over(W.partitionBy(*keys).orderBy(*order))

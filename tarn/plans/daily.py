@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
@@ -14,7 +15,8 @@ from tarn.operators.content import Embedder, embed, embedding_rows
 from tarn.operators.generation import Generator, anomaly_report, daily_digest, rag_answer, rag_context
 from tarn.operators.outliers import isolation_forest
 from tarn.operators.similarity import cosine_topk
-from tarn.sources.lake import Lake, read_day, read_tree, write_day
+from tarn.sources.lake import Lake, is_absent, read_day, read_table, with_source_date, write_day
+from tarn.sources.objects import subfolders
 from tarn.sources.paths import pattern_of, table_root
 
 # Sources that are embedded, and the digest's text column per source.
@@ -26,7 +28,9 @@ def raw_day(lake: Lake, source: str, day: AsOf) -> DataFrame | None:
     """One day of a raw source, or None when the source was never loaded."""
     try:
         return read_day(lake.spark, pattern_of(table_root(lake.root, source=source)), day, merge_schema=True)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if not is_absent(problem):
+            raise
         return None
 
 
@@ -59,9 +63,11 @@ def embed_sources(
 
 
 def embeddings(lake: Lake, source: str | None = None) -> DataFrame:
-    """Stored vectors of one source, or of all."""
-    root = f"{lake.root}/embeddings" + (f"/{source}" if source else "")
-    return read_tree(lake.spark, root)
+    """Stored vectors of one source, or of all, with their day partitions."""
+    if source is not None:
+        return read_table(lake.spark, pattern_of(table_root(lake.root, source=source, area="embeddings")))
+    tables = [read_table(lake.spark, folder) for folder in subfolders(lake.spark, f"{lake.root}/embeddings")]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def digest_sources(
@@ -77,7 +83,7 @@ def digest_sources(
         if rows is None:
             continue
         texts = rows.select(F.lit(source).alias("source"), F.col(column).cast("string").alias("text"))
-        digest = daily_digest(texts, day, "text", [F.col("text").asc_nulls_last()], generator)
+        digest = daily_digest(texts, day, "text", ["text"], generator)
         written[source] = write_day(digest, lake.root, day, source=f"summaries/{source}")
     return written
 
@@ -90,7 +96,10 @@ def flag_outliers(
     newest: int | None = None,
     generator: Generator | None = None,
 ) -> DataFrame:
-    """Score the vectors of a source, store the scores under ``anomalies/<source>``, return the report."""
+    """Score the vectors of a source; scores go to ``anomalies/<source>``, the report to ``anomaly_reports/<source>``.
+
+    Returns the stored report.
+    """
     rows = embeddings(lake, source).select("id", "content", "embedding", "source_date")
     flagged = isolation_forest(
         rows,
@@ -100,8 +109,9 @@ def flag_outliers(
         newest=None if newest is None else ("source_date", newest),
     )
     write_day(flagged, lake.root, day, source=source, area="anomalies")
-    order = [F.col("source_date").desc(), F.col("score").desc(), F.col("id")]
-    return anomaly_report(flagged, source, order, generator)
+    report = anomaly_report(flagged, source, ["source_date", "id"], generator)
+    root = write_day(with_source_date(report, day), lake.root, day, source=source, area="anomaly_reports")
+    return read_day(lake.spark, pattern_of(root), day).select("source", "report")
 
 
 def ask(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import tempfile
 import uuid
@@ -22,10 +24,13 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Ranked rows are cut in each task before the shuffle, whatever the limit.
+    "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
 }
 
 
 _shipped: set[str] = set()
+_cleared_at_exit: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -76,7 +81,7 @@ def build_session(app: str = "tarn", master: str | None = None, **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as named in ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a folder on this machine.
+    Only where driver and tasks are one process (local mode, as in tests) is it set here if it is unset.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -84,45 +89,49 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="tarn-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/tarn-{spark.sparkContext.applicationId}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the shared folder and go on from there: a lost executor never replays its inputs.
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path under the shared folder, there until ``clear_scratch`` or the end of the application."""
+    context = spark.sparkContext
+    if context.applicationId not in _cleared_at_exit:
+        _cleared_at_exit.add(context.applicationId)
+        atexit.register(_clear_quietly, spark)
+    return f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
-    A Parquet table, so that later passes read only the columns they use and Spark knows its size.
-    """
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all staged tables of this application. Frames that read them can no longer be used."""
+    remove_path(spark, scratch_folder(spark))
 
 
-SPLIT_BYTES = 128 << 20
-TOO_SMALL_TO_SPREAD = 256 << 10
+def remove_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate of a plan; very large when it does not know."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def _clear_quietly(spark: SparkSession) -> None:
+    """At exit the session may be gone already; then its folder stays, as after a crash."""
+    with contextlib.suppress(Exception):
+        clear_scratch(spark)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly work on a table too small to be read in that many pieces.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store ``df`` in the shared folder and go on from there: a lost executor never replays its inputs.
 
-    A file with one row group is read by one task, whatever the cluster. Tables that fill the cores
-    by themselves, and tables whose size Spark does not know, are left alone.
+    A Parquet table, so that later passes read only the columns they use and Spark knows its size.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = estimated_bytes(df)
-    if TOO_SMALL_TO_SPREAD < size < cores * SPLIT_BYTES:
-        return df.repartition(cores)
-    return df
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

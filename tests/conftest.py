@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -12,7 +13,7 @@ from tarn import build_session
 def spark():
     session = build_session(
         "tests",
-        "local[8]",
+        f"local[{os.environ.get('TEST_CPUS', 8)}]",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
         spark__driver__memory="8g",

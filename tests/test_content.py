@@ -164,18 +164,38 @@ def test_answers_come_from_the_model(spark):
     assert got[0].prompt.endswith("Context from data lake:\n[a] x\n\nQuestion: why?")
 
 
-def test_digest_limit_counts_rows_before_nulls(spark):
+def test_digest_holds_every_row(spark):
     data = [("s", i, None if i < 3 else f"line {i}") for i in range(10)] + [("empty", 0, None)]
     df = spark.createDataFrame(data, "source string, n int, t string")
-    got = generation.daily_digest(df, "2025-05-27", "t", [F.col("n")], n=5)
-    assert rows(got.select("source", "summary")) == [("s", "- line 3\n- line 4")]
-    prompt = generation.daily_digest(df, "2025-05-27", "t", [F.col("n")], Echo(), n=5).first().summary
-    assert prompt == "SUMMARIZE THE FOLLOWING S ACTIVITY FROM 2025-05-27 IN 3-5 BULLET POINTS:\n\nLINE 3\nLINE 4"
+    got = generation.daily_digest(df, "2025-05-27", "t", ["n"])
+    assert rows(got.select("source", "summary")) == [("s", "- line 3 (7 rows)\n7 rows")]
+    prompt = generation.daily_digest(df, "2025-05-27", "t", ["n"], Echo()).first().summary
+    assert prompt == "SUMMARIZE THE FOLLOWING S ACTIVITY FROM 2025-05-27 IN 3-5 BULLET POINTS:\n\n" + "\n".join(
+        f"LINE {i}" for i in range(3, 10)
+    )
+
+
+class Count:
+    """Numbers in a prompt, summed up."""
+
+    batch = 50
+
+    def generate(self, prompts):
+        return [str(sum(int(w) for w in re.findall(r"\b\d+\b", p.split("points:")[1]))) for p in prompts]
+
+
+def test_rounds_lose_no_row(spark, monkeypatch):
+    monkeypatch.setattr(generation, "COMBINED", 4)
+    df = spark.range(2000).select(F.lit("s").alias("source"), "id", F.col("id").cast("string").alias("t"))
+    got = generation.daily_digest(df, "2025-05-27", "t", ["id"], Count(), chunk_bytes=64).first()
+    assert got.summary == str(sum(range(2000)))
+    offline = generation.daily_digest(df, "2025-05-27", "t", ["id"], chunk_bytes=64).first().summary
+    assert offline.endswith("\n2000 rows") and 2 <= len(offline.split("\n")) <= 5
 
 
 def test_anomaly_report(spark):
     df = spark.createDataFrame([(i, f"row {i}", i % 2 == 0) for i in range(100)], "id int, content string, is_anomaly boolean")
-    got = generation.anomaly_report(df, "logs", [F.col("id").desc()]).first()
-    assert got.report.split("\n") == [f"- row {i}" for i in range(98, 58, -2)]
-    none = generation.anomaly_report(df.where("not is_anomaly"), "logs", [F.col("id")]).first()
+    got = generation.anomaly_report(df, "logs", ["id"]).first()
+    assert got.report == "- row 0 (50 rows)\n50 rows"
+    none = generation.anomaly_report(df.where("not is_anomaly"), "logs", ["id"]).first()
     assert none.report == "No anomalies detected."

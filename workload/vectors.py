@@ -74,8 +74,9 @@ def content_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = content.embedding_rows(activities(spark, sf_dir), "jellyfin", DAY)
-    entries = rows.select("id", F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
-    return entries.withColumn("weight", F.round("weight", 9))
+    weighed = F.transform("embedding", lambda w, i: F.struct(i.alias("bucket"), w.alias("weight")))
+    entries = rows.select("id", F.explode(F.filter(weighed, lambda e: e["weight"] != 0)).alias("e"))
+    return entries.select("id", "e.bucket", F.round("e.weight", 9).alias("weight"))
 
 
 def embed_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +94,9 @@ def embed_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and all of them once more as questions."""
+    """All vectors, and those with an id divisible by 20 as questions."""
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.col("vec_id").alias("id"), "label", "embedding"), rows.select(
+    return rows.select(F.col("vec_id").alias("id"), "label", "embedding"), rows.where("vec_id % 20 = 0").select(
         F.col("vec_id").alias("query_id"), "embedding"
     )
 
@@ -108,9 +109,9 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(similarity.cosine_topk(*_vectors(spark, sf_dir), k=10, dim=64))
 
 
-def cosine_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same answer when the questions are too many to send to every task."""
-    return _hits(similarity.cosine_topk(*_vectors(spark, sf_dir), k=10, dim=64, max_broadcast_bytes=64 * 1024))
+def cosine_topk_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answer when the questions are too many to send to every task at once."""
+    return _hits(similarity.cosine_topk(*_vectors(spark, sf_dir), k=10, dim=64, question_bytes=4 * 1024))
 
 
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +119,7 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ann_every_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Looking into all cells is exact."""
+    """Every cell looked into at once."""
     return _hits(similarity.ann_topk(*_vectors(spark, sf_dir), k=10, dim=64, cells=16, probes=16))
 
 
@@ -158,36 +159,47 @@ def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("source", F.col("role"))
-    digest = generation.daily_digest(rows, DAY, "text", [F.col("conv_id"), F.col("turn")])
+    digest = generation.daily_digest(rows, DAY, "text", ["conv_id", "turn"])
     return digest.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
+def _share(rows: DataFrame, planted: str) -> float:
+    """The share of planted rows, so that as many rows are flagged."""
+    total, found = rows.agg(F.count("*"), F.count_if(F.expr(planted))).first()
+    return (found + 0.5) / total
+
+
+def _planted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors; one in fifty is many times longer than the others."""
+    rows = table(spark, sf_dir, "embeddings")
+    longer = F.transform("embedding", lambda x: x * F.when(F.expr("vec_id % 50 = 7"), 40.0).otherwise(1.0))
+    return rows.select("vec_id", "label", longer.alias("embedding"))
+
+
 def vector_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    return outliers.isolation_forest(rows, "embedding", ["vec_id"])
+    rows = _planted_vectors(spark, sf_dir)
+    flagged = outliers.isolation_forest(rows, "embedding", ["vec_id"], _share(rows, "vec_id % 50 = 7"))
+    return flagged.select("vec_id", "label", "is_anomaly")
 
 
 def numeric_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items; those of some orders are far larger in every number."""
+    planted = "l_orderkey % 97 = 3"
+    factor = F.when(F.expr(planted), 1000.0).otherwise(1.0)
     items = table(spark, sf_dir, "lineitem")
-    rows = items.select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        numeric_vector(F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")).alias(
-            "features"
-        ),
-    )
+    numbers = [F.col(c) * factor for c in ("l_quantity", "l_extendedprice")]
+    numbers += [(F.col(c) + 0.01) * factor for c in ("l_discount", "l_tax")]
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return outliers.isolation_forest(rows, "features", key)
+    rows = items.select(*key, numeric_vector(*numbers).alias("features"))
+    flagged = outliers.isolation_forest(rows, "features", key, _share(items, planted))
+    return flagged.groupBy("l_orderkey").agg(F.count_if("is_anomaly").alias("flagged"), F.count("*").alias("line_items"))
 
 
 def anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), F.concat(F.lit("vector "), "vec_id").alias("content"), "embedding"
-    )
-    flagged = outliers.isolation_forest(rows, "embedding", ["id"])
-    return generation.anomaly_report(flagged, "vectors", [F.col("score").desc(), F.col("id")])
+    rows = _planted_vectors(spark, sf_dir)
+    flagged = outliers.isolation_forest(rows, "embedding", ["vec_id"], _share(rows, "vec_id % 50 = 7"))
+    named = flagged.withColumn("content", F.concat(F.lit("vector "), "vec_id"))
+    return generation.anomaly_report(named, "vectors", ["vec_id"], chunk_bytes=64)
 
 
 def newest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +217,7 @@ QUERIES = {
     "embed_documents": embed_documents,
     "embed_day": embed_day,
     "cosine_topk": cosine_topk,
-    "cosine_topk_blocks": cosine_topk_blocks,
+    "cosine_topk_rounds": cosine_topk_rounds,
     "ann_topk": ann_topk,
     "ann_every_cell": ann_every_cell,
     "ann_index": ann_index,
@@ -248,7 +260,7 @@ _TOPK = """
         FROM (
             SELECT q.vec_id AS query_id, v.vec_id AS id, v.label,
                    round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score
-            FROM embeddings q CROSS JOIN embeddings v
+            FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 20 = 0
         ) WHERE NOT isnan(score)
     ) WHERE rank <= 10
 """
@@ -273,11 +285,32 @@ _HITS = f"""
 """
 
 
-def _extract(context: str, lines: int) -> str:
+def _lines(text: str) -> str:
+    return rf"list_filter(string_split({text}, chr(10)), lambda x: regexp_matches(x, '\S'))"
+
+
+def _extract(context: str) -> str:
+    return f"array_to_string(list_transform({_lines(context)}, lambda x: '- ' || x), chr(10))"
+
+
+def _folded(rows: str, order: str, chunk_bytes: int) -> str:
+    """Chunks of ``rows`` (source, text, place) and a summary per source."""
     return rf"""
-        array_to_string(list_transform(
-            list_filter(string_split({context}, chr(10)), lambda x: regexp_matches(x, '\S'))[1:{lines}],
-            lambda x: '- ' || x), chr(10))
+        sized AS (
+            SELECT *, greatest(1, CAST(ceil(sum(strlen(text)) OVER (PARTITION BY source) / {chunk_bytes}::DOUBLE) AS BIGINT))
+                AS chunks
+            FROM ({rows}) WHERE text IS NOT NULL
+        ),
+        chunks AS (
+            SELECT source, CAST(('0x' || substr(md5(place), 1, 8)) AS BIGINT) % chunks AS part,
+                   string_agg(text, chr(10) ORDER BY {order}) AS texts, count(*) AS n
+            FROM sized GROUP BY ALL
+        ),
+        folded AS (
+            SELECT source, string_agg('- ' || coalesce({_lines('texts')}[1], '') || ' (' || n || ' rows)', chr(10)
+                ORDER BY part) || chr(10) || sum(n) || ' rows' AS summary
+            FROM chunks GROUP BY source
+        )
     """
 
 
@@ -325,7 +358,9 @@ ORACLE = {
         FROM m JOIN w USING (id) GROUP BY id, content
     """,
     "cosine_topk": _TOPK,
-    "cosine_topk_blocks": _TOPK,
+    "cosine_topk_rounds": _TOPK,
+    "ann_topk": _TOPK,
+    "ann_index": _TOPK,
     "ann_every_cell": _TOPK,
     "rag_context": f"{_HITS} SELECT query_id, context FROM plain",
     "rag_context_cited": f"""
@@ -341,19 +376,23 @@ ORACLE = {
                'You are an assistant that answers questions about home data.' || chr(10) || chr(10) ||
                'Context from data lake:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text
                    AS prompt,
-               {_extract('context', 3)} AS answer
+               {_extract('context')} AS answer
         FROM plain JOIN benchmark ON item_id = query_id
     """,
     "daily_digest": f"""
-        WITH r AS (
-            SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rank
-            FROM conversations QUALIFY rank <= 200
-        ),
-        c AS (
-            SELECT role AS source, string_agg(text, chr(10) ORDER BY rank) AS context
-            FROM r WHERE text IS NOT NULL GROUP BY 1
-        )
-        SELECT source, '2024-01-15' AS date, {_extract('context', 5)} AS summary FROM c
+        WITH {_folded("SELECT role AS source, conv_id, turn, text, concat_ws('|', conv_id, turn) AS place FROM conversations",
+                      "conv_id, turn", 32768)}
+        SELECT source, '2024-01-15' AS date, summary FROM folded
+    """,
+    "vector_outliers": "SELECT vec_id, label, vec_id % 50 = 7 AS is_anomaly FROM embeddings",
+    "numeric_outliers": """
+        SELECT l_orderkey, CASE WHEN l_orderkey % 97 = 3 THEN count(*) ELSE 0 END AS flagged, count(*) AS line_items
+        FROM lineitem GROUP BY 1
+    """,
+    "anomaly_report": f"""
+        WITH {_folded("SELECT 'vectors' AS source, vec_id, 'vector ' || vec_id AS text, CAST(vec_id AS VARCHAR) AS place "
+                      "FROM embeddings WHERE vec_id % 50 = 7", "vec_id", 64)}
+        SELECT source, summary AS report FROM folded
     """,
     "newest_events": "SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 5000",
 }
