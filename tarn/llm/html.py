@@ -164,8 +164,8 @@ def main_text(html: str | None) -> str:
 
     Each paragraph earns points for its length and commas, less by its share of linked text; its parent gets them
     all, the grandparent half, those above a shrinking part. The container with most points (discounted by its own
-    share of links) is the article, or the ``article`` or ``main`` element around it; siblings that score like it,
-    and paragraphs beside it, belong to it. Elements that hold something else never count.
+    share of links) is the article, or the ``article`` or ``main`` element around it, or one inside with at least half
+    of its points; siblings that score like it, and paragraphs beside it, belong to it. Elements that hold something else never count.
     """
     blocks = [b for b in parse_page(html or "") if not b[0].outside]
     scored: dict[int, _Node] = {}
@@ -187,11 +187,13 @@ def main_text(html: str | None) -> str:
     if value[id(best)] <= 0:
         return ""
     around, up = best, best
-    while up:
-        if up.tag in ("article", "main"):
-            around = up
-            break
+    while up and up.tag not in ("article", "main"):
         up = up.parent
+    if up is None:
+        # The page's frame may have a little more than the article in it.
+        named = [n for n in scored.values() if n.tag in ("article", "main") and 2 * value[id(n)] >= value[id(best)]]
+        up = max(named, key=lambda n: (value[id(n)], -n.order), default=None)
+    around = up or best
     kept = {id(around)}
     if around.tag not in ("article", "main") and around.parent:
         least = 0.2 * value[id(best)]

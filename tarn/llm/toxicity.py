@@ -250,8 +250,8 @@ def fit_label_model(rows: int, both: np.ndarray, voters: Voters, prior: float) -
 
     Given the class, voters are taken as independent, so the correlation of two is the product of two factors, one of
     each; the factors are fitted to all pairs. Pairs that agree far more than that, and terms that exclude each
-    other (of different languages, say), are dependent, as are nested voters: they leave the fit, and votes that go
-    together count less. With ``prior``, the share of toxic texts, a voter's factor and its frequency give how often it
+    other (of different languages, say), are dependent, as are nested voters and twins: they leave the fit, and votes
+    that go together count less. With ``prior``, the share of toxic texts, a voter's factor and its frequency give how often it
     fires on either class. Silence is an abstention and says nothing.
     """
     m = len(both)
@@ -264,7 +264,8 @@ def fit_label_model(rows: int, both: np.ndarray, voters: Voters, prior: float) -
     noise = 1 / np.sqrt(max(rows, 1))
     term = np.arange(m) < voters.terms
     apart = use & np.outer(term, term) & (corr < 3 * noise)
-    nested = use & voters.nested()
+    either = np.add.outer(np.diag(both), np.diag(both)) - both
+    nested = use & (voters.nested() | (both > 0.8 * either))
     dependent = nested
     for _ in range(4):
         kept = (use & ~dependent & ~apart).astype(float)
