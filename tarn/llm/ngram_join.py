@@ -18,9 +18,9 @@ SHINGLE_WORDS = 5
 #: Two sets link when 100 * intersection >= 75 * union.
 SIMILAR = 75
 #: Text that a task indexes at a time, and documents at most (their place in it takes 16 bits).
-CHUNK_BYTES, CHUNK_DOCS = 16 << 20, 0xFFFF
+CHUNK_BYTES, CHUNK_DOCS = 8 << 20, 0xFFFF
 #: Index entries that one group of the inverted index should hold.
-GROUP_TOKENS = 1_500_000
+GROUP_TOKENS = 1_000_000
 #: A token in so many documents of a chunk is counted there; its documents stay with the chunk.
 COMMON = 16
 #: Members of one group that are compared with each other in one task; larger groups are cut.
