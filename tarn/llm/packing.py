@@ -21,31 +21,50 @@ PIECE = 1024
 #: Windows that one differencing balances.
 BATCH_WINDOWS = 128
 END_ID = 2
-#: Words a task remembers the tokens of.
-CACHE_WORDS = 200_000
+#: Words a task remembers the tokens of, twice.
+CACHE_WORDS = 700_000
 
 _GAPS = re.compile(r"[ \t\n\r]+")
+#: Latin letters, then ASCII punctuation without the apostrophe: the tokenizer cuts between the two.
+_ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 class WordTokens(dict):
-    """Token ids of words as little-endian unsigned 32-bit numbers; each word is encoded once."""
+    """Token ids of words as little-endian unsigned 32-bit numbers.
+
+    The tokenizer never joins words across white space, lowers case and cuts punctuation off, so each word
+    is looked up, then its lower-case letters, and only what is new is encoded. Of ``CACHE_WORDS`` words and
+    those before them, the ones that were used stay.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ended = _ENDED.fullmatch(word)
+            lower = word.lower() if ended is None and _LETTERS.fullmatch(word) else word
+            if ended is not None:
+                ids = self[ended[1]] + self[ended[2]]
+            elif lower != word:
+                ids = self[lower]
+            else:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text. The tokenizer never joins words across white space, so words are encoded alone."""
+        """The ids of a text."""
         return b"".join(map(self.__getitem__, _GAPS.split(text)))
 
 
