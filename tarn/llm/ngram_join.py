@@ -99,6 +99,9 @@ class _Chunk:
         self.bytes += len(texts.data)
         self.docs += len(texts)
 
+    def signatures(self) -> bytes:
+        return np.concatenate(self.signs).tobytes()
+
     def rows(self, chunk: int) -> pa.RecordBatch:
         keys = np.concatenate(self.keys)
         keys.sort()
@@ -107,7 +110,7 @@ class _Chunk:
         times = np.diff(np.append(starts, len(tokens)))
         common = np.repeat(times >= COMMON, times)
         out: list[tuple] = [
-            (-1 - chunk, chunk, _DOCS, self.docs, squeeze(np.concatenate(self.sizes)), np.concatenate(self.signs).tobytes(), _ids(self.ids)),
+            (-1 - chunk, chunk, _DOCS, self.docs, squeeze(np.concatenate(self.sizes)), self.signatures(), _ids(self.ids)),
             (-1 - chunk, chunk, _COMMONS, int(common.sum()), _rising(tokens[common]), squeeze(places[common]), b""),
         ]
         counted = starts[times >= COMMON]
@@ -287,7 +290,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out[3].append(np.minimum(np.bincount(cell.astype(np.int64), minlength=CLASSES * CELLS), 65535).astype("<u2").tobytes())
         types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
         arrays = [pa.array(o, t) for o, t in zip(out, types)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=["doc_id", "n", "n_shared", "marks", "keys", "prefix", "masks", "cells"])
+        names = ["doc_id", "n", "n_shared", "marks", "keys", "prefix", "masks", "cells"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=names)
 
 
 def _groups(rows: pa.Table, *keys: str) -> Iterator[np.ndarray]:

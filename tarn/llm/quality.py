@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm.common import free_name, labelled_texts, stage, table
-from tarn.llm.linear import fit_logistic, sigmoid
+from tarn.llm.linear import fit_logistic
 from tarn.llm.toxicity import held_out
 from tarn.llm.words import Texts, passes
 
