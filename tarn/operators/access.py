@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.text import same_name
 from tarn.operators.ranking import first_per_key
+from tarn.session import cut_lineage
 
 # Role and access names.
 SUPERUSER = "superadmin"
@@ -46,7 +47,8 @@ def effective_access(
     own = membership.select(
         "user_id", F.col("workspace_id").alias("owner_workspace_id"), F.lit(True).alias("_own")
     )
-    described = (
+    # Stored, as three branches read the asked pairs.
+    described = cut_lineage(
         asked.select("user_id", "catalog_id")
         .distinct()
         .join(users.select("user_id", F.col("role").alias("_role")), "user_id", "left")
