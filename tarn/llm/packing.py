@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
@@ -25,9 +26,10 @@ END_ID = 2
 CACHE_WORDS = 700_000
 
 _GAPS = re.compile(r"[ \t\n\r]+")
-#: Latin letters, then ASCII punctuation without the apostrophe: the tokenizer cuts between the two.
-_ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Python takes these for white space, the tokenizer does not.
+_NO_GAPS = "\x1c\x1d\x1e\x1f"
+#: ASCII punctuation without the apostrophe: the tokenizer cuts it off a word's letters.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokens(dict):
@@ -48,12 +50,13 @@ class WordTokens(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ended = _ENDED.fullmatch(word)
-            lower = word.lower() if ended is None and _LETTERS.fullmatch(word) else word
-            if ended is not None:
-                ids = self[ended[1]] + self[ended[2]]
-            elif lower != word:
-                ids = self[lower]
+            letters = word.rstrip(_PUNCTUATION)
+            # Beyond Latin letters, lower case may depend on neighbours.
+            plain = letters.isalpha() and max(letters) <= "ÿ"
+            if plain and letters != word:
+                ids = self[letters] + self[word[len(letters) :]]
+            elif plain and not word.islower():
+                ids = self[word.lower()]
             else:
                 ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE_WORDS:
@@ -65,7 +68,14 @@ class WordTokens(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a text."""
-        return b"".join(map(self.__getitem__, _GAPS.split(text)))
+        words = _GAPS.split(text) if any(c in text for c in _NO_GAPS) else text.split()
+        return b"".join(map(self.__getitem__, words))
+
+
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """One per worker process: what a task has looked up serves the next one."""
+    return WordTokens(path)
 
 
 def cuts(tokens: int, window: int, piece: int) -> Iterator[tuple[int, int]]:
@@ -135,7 +145,7 @@ def cut_documents(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

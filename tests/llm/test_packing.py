@@ -56,7 +56,7 @@ def test_odd_rows(odd_docs, odd_rows, no_docs, tokenizer):
 
 def test_words_are_encoded_like_whole_texts(tokenizer, odd_rows):
     words = packing.WordTokens(packing.tokenizer_path())
-    hard = ["Don't STOP  now", "a b c\x1cd\x85e", "ΣΟΦΟΣ İstanbul ǅ", "é ́x ﬁ", "<|endoftext|> x<|startoftext|>y", "1234 5,6\r\n\tx"]
+    hard = ["Don't STOP  now", "a b c\x1cd\x85e", "ΣΟΦΟΣ İstanbul ǅ", "é ́x ﬁ", "<|endoftext|> x<|startoftext|>y", "1234 5,6\r\n\tx", "Ärger--- straße?? x'y. ÉÉ!! İ! ª º.", "a\x0bb\x0cc\u2003d\u3000e\u1680f\u2028g"]
     for text in [*hard, *(t or "" for _, t, *_ in odd_rows)]:
         assert words.encode(text) == expected(tokenizer, text)[:-1].tobytes()
 
