@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +12,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import free_name, table
+from tarn.llm.common import free_name, stage, table
 from tarn.llm.words import Texts, passes
 
-#: Bytes of a chunk, and the largest share of a document's chunks that may lie outside their band.
+#: Bytes of a chunk, and the largest share of a document's chunks that may lie outside their band; one alone never decides.
 CHUNK_BYTES = 2048
 MOST_ODD_CHUNKS = 1 / 3
+#: Classes of length in an octave; rows that a class takes its statistics from at least, and over how many classes on
+#: each side it looks for them at least and at most.
+STEPS, LEAST_ROWS, NEAR, FAR = 16, 200, 4, 16
+#: Spreads that a ratio may lie below and above the centre of its class. Names, keys and rare words push
+#: honest texts up; nothing honest packs far better than its neighbours.
+BELOW, ABOVE, CHUNK_BELOW, CHUNK_ABOVE = 4.5, 6.0, 4.0, 6.0
+#: Width of the ratio bins that are counted, and the least spread.
+BIN, LEAST_SPREAD = 1 / 2000, 0.002
+WHOLE, FULL, REST = range(3)
 LEVEL = 3
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 3
 
 # Documents of at least so many bytes, least ratio, greatest ratio. Short texts compress badly whatever
-# they say, long ones better and better; a ratio below its band is repetition, one above it noise.
+# they say, long ones better and better; a ratio below its band is repetition, one above it noise. These hold for every
+# table; the limits that its own rows give (``learn_limits``) lie inside.
 BANDS = (
     (0, 0.0, 99.0),
     (64, 0.40, 1.45),
@@ -96,21 +107,113 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
     }
 
 
-def compression(texts: Texts, compressor: zstandard.ZstdCompressor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes in bytes, ratios of whole texts, and the share of each text's chunks that lie outside their band."""
+def compression(texts: Texts, compressor: zstandard.ZstdCompressor) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
+    """Sizes in bytes, ratios of whole texts, and the ratios of the chunks of each text that is longer than one."""
     sizes = np.diff(texts.bounds)
-    ratios, odd = np.zeros(len(texts)), np.zeros(len(texts))
+    ratios, chunks = np.zeros(len(texts)), []
     view = memoryview(np.ascontiguousarray(texts.data))
     for i, (start, end) in enumerate(zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist())):
-        if end == start:
-            continue
-        ratios[i] = len(compressor.compress(view[start:end])) / (end - start)
+        parts = []
+        if end > start:
+            ratios[i] = len(compressor.compress(view[start:end])) / (end - start)
         if end - start > CHUNK_BYTES:
-            cuts = np.arange(start, end, CHUNK_BYTES)
-            lengths = np.minimum(cuts + CHUNK_BYTES, end) - cuts
-            packed = [len(compressor.compress(view[a : a + n])) for a, n in zip(cuts.tolist(), lengths.tolist())]
-            odd[i] = 1 - in_band(lengths, np.array(packed) / lengths).mean()
-    return sizes, ratios, odd
+            cuts = [(a, min(a + CHUNK_BYTES, end)) for a in range(start, end, CHUNK_BYTES)]
+            parts = [len(compressor.compress(view[a:b])) / (b - a) for a, b in cuts]
+        chunks.append(parts)
+    return sizes, ratios, chunks
+
+
+@dataclass
+class Limits:
+    """Centre and spread of the ratios by class of length, where enough rows have about that length."""
+
+    classes: np.ndarray
+    centre: np.ndarray
+    spread: np.ndarray
+    below: float
+    above: float
+
+    def inside(self, sizes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+        """Whether each ratio lies in the fixed band and, where its length has statistics, in theirs."""
+        good = in_band(sizes, ratios)
+        if len(self.classes) and len(sizes):
+            at = np.log2(np.maximum(sizes, 1)) * STEPS
+            known = (at >= self.classes[0]) & (at < self.classes[-1] + 1)
+            off = ratios - np.interp(at - 0.5, self.classes, self.centre)
+            spread = np.interp(at - 0.5, self.classes, self.spread)
+            good &= ~known | ((off >= -self.below * spread) & (off <= self.above * spread))
+        return good
+
+
+def _quantiles(values: np.ndarray, weights: np.ndarray, *shares: float) -> np.ndarray:
+    order = np.argsort(values, kind="stable")
+    passed = np.cumsum(weights[order])
+    at = np.searchsorted(passed, np.array(shares) * passed[-1])
+    return values[order][np.minimum(at, len(values) - 1)]
+
+
+def fit_limits(classes: np.ndarray, ratios: np.ndarray, counts: np.ndarray, below: float, above: float) -> Limits:
+    """Limits from the number of rows by class and ratio.
+
+    A class looks at its neighbours until it sees enough rows, and takes out how the ratio falls with length there (a line
+    through the medians of the shorter and of the longer half). Centre and spread are the median and the quartile
+    range of what is left, so a quarter of the rows may be junk without moving them far.
+    """
+    order = np.argsort(classes, kind="stable")
+    classes, ratios, counts = classes[order], ratios[order], counts[order]
+    found = []
+    for k in np.unique(classes).tolist():
+        for reach in range(NEAR, FAR + 1):
+            near = slice(*np.searchsorted(classes, [k - reach, k + reach + 1]))
+            if counts[near].sum() >= LEAST_ROWS:
+                break
+        else:
+            continue
+        x, y, n = classes[near] - k, ratios[near], counts[near]
+        shorter = x <= _quantiles(x, n, 0.5)[0]
+        slope = 0.0
+        if not shorter.all():
+            x0, x1 = (np.average(x[half], weights=n[half]) for half in (shorter, ~shorter))
+            y0, y1 = (_quantiles(y[half], n[half], 0.5)[0] for half in (shorter, ~shorter))
+            slope = min(0.0, (y1 - y0) / (x1 - x0))
+        low, centre, high = _quantiles(y - slope * x, n, 0.25, 0.5, 0.75)
+        found.append((k, centre, max((high - low) / 1.349, LEAST_SPREAD)))
+    table_ = np.array(found, float).reshape(-1, 3)
+    return Limits(table_[:, 0], table_[:, 1], table_[:, 2], below, above)
+
+
+def learn_limits(measured: DataFrame, digest: str, size: str, chunks: str) -> list[Limits]:
+    """Limits of whole texts, of chunks of full length and of last chunks, from all rows that pass the base rules.
+
+    Equal texts count once. The driver sees a count for each class of length and bin of ratios.
+    """
+    full = F.floor(F.col(size) / CHUNK_BYTES)
+    part = lambda kind, n, r: F.struct(F.lit(kind).alias("kind"), n.cast("long").alias("n"), r.alias("ratio"))
+    parts = F.transform(
+        F.col(chunks),
+        lambda r, i: F.when(i < full, part(FULL, F.lit(CHUNK_BYTES), r)).otherwise(part(REST, F.col(size) % CHUNK_BYTES, r)),
+    )
+    texts = measured.where(~F.col("base_failed")).select(digest, size, "ratio", chunks).distinct()
+    counts = (
+        texts.select(F.inline(F.concat(F.array(part(WHOLE, F.col(size), F.col("ratio"))), parts)))
+        .groupBy("kind", F.floor(F.log2("n") * STEPS).alias("class"), F.floor(F.col("ratio") / BIN).alias("bin"))
+        .agg(F.count("*").alias("n"))
+        .collect()
+    )
+    rows = np.array([tuple(r) for r in counts], np.int64).reshape(-1, 4)
+    kinds = [rows[rows[:, 0] == kind] for kind in (WHOLE, FULL, REST)]
+    spreads = ((BELOW, ABOVE), (CHUNK_BELOW, CHUNK_ABOVE), (CHUNK_BELOW, CHUNK_ABOVE))
+    return [fit_limits(k[:, 1], (k[:, 2] + 0.5) * BIN, k[:, 3], *s) for k, s in zip(kinds, spreads)]
+
+
+def odd_chunks(sizes: np.ndarray, chunks: pa.Array, limits: list[Limits]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, how many of its chunks lie outside their limits, and how many it has."""
+    ratios, many = np.asarray(chunks.flatten()), np.asarray(chunks.value_lengths()).astype(np.int64)
+    owner = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(ratios)) - np.repeat(np.cumsum(many) - many, many)
+    lengths = np.minimum(sizes[owner] - place * CHUNK_BYTES, CHUNK_BYTES)
+    odd = np.where(lengths == CHUNK_BYTES, ~limits[FULL].inside(lengths, ratios), ~limits[REST].inside(lengths, ratios))
+    return np.bincount(owner[odd], minlength=len(many)), many
 
 
 def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
@@ -118,31 +221,50 @@ def quality_rules(df: DataFrame, text: str = "text") -> DataFrame:
 
     ``base_failed``: fewer than 50 words, or more than half of the words in windows of three that occur twice
     or more. ``kept``: not so, and the zstandard ratio of the whole text and of enough of its chunks of
-    ``CHUNK_BYTES`` bytes lie in the band for their length. Null and empty texts have no words and are
-    not kept. Columns of ``df`` with the names of results are left out. One pass, no shuffle.
+    ``CHUNK_BYTES`` bytes lie within the limits for their length: the fixed bands, and what the ratios of all rows
+    say (see ``learn_limits``). Null and empty texts have no words and are not kept. Columns of ``df`` with the names
+    of results are left out. Texts are read once; their figures are stored, and judged in a second pass.
     """
     names = [n for n, _ in FIELDS]
     keep = [c for c in df.columns if c != text and c.lower() not in names]
-    body = free_name(df, "body")
+    body, size, digest, chunks = (free_name(df, n) for n in ("body", "size", "digest", "chunks"))
     rows = df.select(*keep, F.col(text).cast("string").alias(body))
-    schema = T.StructType([f for f in rows.schema.fields if f.name != body] + [T.StructField(n, t) for n, t in FIELDS])
+    own = [f for f in rows.schema.fields if f.name != body]
+    schema = T.StructType(own + [T.StructField(n, t) for n, t in FIELDS])
+    first = [T.StructField(n, t) for n, t in FIELDS if n not in ("odd_chunks", "kept")]
+    inner = [(size, T.LongType()), (digest, T.LongType()), (chunks, T.ArrayType(T.DoubleType()))]
+    figures = T.StructType(own + first + [T.StructField(n, t) for n, t in inner])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=LEVEL)
         for batch in batches:
             for at, texts in passes(batch.column(body)):
                 found = base_counts(texts)
-                sizes, ratios, odd = compression(texts, compressor)
+                sizes, ratios, packed = compression(texts, compressor)
                 n, repeated = found["n_words"], found["n_repeat_words"]
-                failed = (n < 50) | (100 * repeated > 50 * n)
-                found |= {"ratio": ratios, "odd_chunks": odd, "base_failed": failed}
-                found["kept"] = ~failed & in_band(sizes, ratios) & (odd <= MOST_ODD_CHUNKS)
-                part = batch.slice(at, len(texts)).select([f.name for f in schema.fields[: -len(FIELDS)]])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, *[pa.array(found[c]) for c in names]], names=[*part.schema.names, *names]
-                )
-
-    return rows.mapInArrow(judge, schema)
+                found |= {"ratio": ratios, "base_failed": (n < 50) | (100 * repeated > 50 * n)}
+                hashes = texts.span_hashes(texts.bounds[:-1], texts.bounds[1:], lower=False)
+                columns = [pa.array(found[f.name]) for f in first]
+                columns += [pa.array(sizes, pa.int64()), pa.array(hashes.view(np.int64)), pa.array(packed, pa.list_(pa.float64()))]
+                part = batch.slice(at, len(texts)).select([f.name for f in own])
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=figures.names)
+
+    measured = stage(rows.mapInArrow(measure, figures))
+    limits = learn_limits(measured, digest, size, chunks)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.asarray(batch.column(size))
+            odd, many = odd_chunks(sizes, batch.column(chunks), limits)
+            share = odd / np.maximum(many, 1)
+            good = ~np.asarray(batch.column("base_failed").to_numpy(zero_copy_only=False))
+            good &= limits[WHOLE].inside(sizes, np.asarray(batch.column("ratio")))
+            good &= (share <= MOST_ODD_CHUNKS) | (odd < 2)
+            found = {"odd_chunks": pa.array(share, pa.float64()), "kept": pa.array(good)}
+            columns = [found[f.name] if f.name in found else batch.column(f.name) for f in schema.fields]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return measured.mapInArrow(judge, schema)
 
 
 def op10_compression_bands(spark, sf_dir):

@@ -71,3 +71,30 @@ def test_query_keeps_clean_documents(spark):
     assert got.count() == 10_000
     clean = got.join(labels, "doc_id").where("quality = 1 AND NOT base_failed")
     assert clean.where("NOT kept").count() == 0
+
+
+def test_junk_that_passes_the_base_rules_is_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size"))
+    got = compression.op10_compression_bands(spark, sf).where("NOT base_failed").join(labels, "doc_id").join(sizes, "doc_id").toPandas()
+    good, junk = got[got.quality == 1], got[got.quality == 0]
+    long = junk[junk["size"] >= 2048]
+    assert len(good) == 3243 and good.kept.all()
+    assert len(junk) == 291 and (~junk.kept).sum() >= 150
+    assert (~long.kept).mean() >= 0.95
+
+
+def test_limits_come_from_the_rows(spark):
+    rng = random.Random(8)
+    plain = [words(rng, rng.randint(450, 1400)) for _ in range(400)]
+    listed = [" | ".join(words(rng, rng.randint(450, 1400)).split()) for _ in range(12)]
+    copies = [plain[0]] * 300
+    df = spark.createDataFrame(list(enumerate([*plain, *listed, *copies])), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in compression.quality_rules(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[i].kept for i in range(400))
+    assert not any(got[400 + i].kept for i in range(12))
+    assert all(got[i].odd_chunks > compression.MOST_ODD_CHUNKS for i in range(400, 412))
+    assert all(got[412 + i].kept for i in range(300))
