@@ -42,6 +42,9 @@ OTHER_WORDS = frozenset(
 OWN_WORDS = frozenset("article post entry content main story body page wrapper container".split())
 READERS = frozenset("comment comments commentlist disqus respond reply replies ad ads advert advertisement sidebar cookie".split())
 KEPT_TAGS = frozenset("html body article main".split())
+FRAME = frozenset("html body main".split())
+#: A paragraph beside an article in the page's frame ends like a sentence or is so long.
+LONG_PARAGRAPH = 80
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*(?:>|\Z)"
@@ -51,21 +54,25 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _COMMAS = re.compile("[,、，،]")
+_SENTENCE = re.compile("[.!?。！？؟…][\"'”’»)]*$")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "outside", "score", "chars", "linked", "order")
+    __slots__ = ("tag", "parent", "outside", "other", "score", "chars", "linked", "order")
 
-    def __init__(self, tag: str, parent: _Node | None, outside: bool, order: int):
-        self.tag, self.parent, self.outside, self.order = tag, parent, outside, order
+    def __init__(self, tag: str, parent: _Node | None, outside: bool, order: int, other: bool = False):
+        self.tag, self.parent, self.outside, self.order, self.other = tag, parent, outside, order, other
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
 def _is_outside(tag: str, attributes: str) -> bool:
     """Whether an element holds something other than the article."""
-    if tag in OUTSIDE:
-        return True
-    if not attributes or tag in KEPT_TAGS:
+    return tag in OUTSIDE or (tag not in KEPT_TAGS and _is_other(attributes))
+
+
+def _is_other(attributes: str) -> bool:
+    """Whether attributes hide an element or name something other than the article."""
+    if not attributes:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
@@ -147,7 +154,7 @@ def parse_page(html: str) -> list[tuple[_Node, str, int]]:
                     continue
                 made += 1
                 outside = open_[-1].outside or _is_outside(tag, found[2])
-                open_.append(_Node(tag, open_[-1], outside, made))
+                open_.append(_Node(tag, open_[-1], outside, made, tag == "article" and _is_other(found[2])))
         elif found[3]:
             tag = found[3].lower()
             if tag == "a":
@@ -165,7 +172,9 @@ def main_text(html: str | None) -> str:
     Each paragraph earns points for its length and commas, less by its share of linked text; its parent gets them
     all, the grandparent half, those above a shrinking part. The container with most points (discounted by its own
     share of links) is the article, or the ``article`` or ``main`` element around it, or one inside with at least half
-    of its points; siblings that score like it, and paragraphs beside it, belong to it. Elements that hold something else never count.
+    of its points; siblings that score like it, and paragraphs beside it, belong to it. So they do beside an ``article``,
+    with the other articles that score like it, wherever they stand, and with what holds the page's title; in ``main``
+    all levels up to it count as beside. A ``main`` is whole. Elements that hold something else never count.
     """
     blocks = [b for b in parse_page(html or "") if not b[0].outside]
     scored: dict[int, _Node] = {}
@@ -195,9 +204,19 @@ def main_text(html: str | None) -> str:
         up = max(named, key=lambda n: (value[id(n)], -n.order), default=None)
     around = up or best
     kept = {id(around)}
-    if around.tag not in ("article", "main") and around.parent:
-        least = 0.2 * value[id(best)]
-        kept |= {key for key, n in scored.items() if n.parent is around.parent and value[key] >= least}
+    levels = {} if around.tag == "main" or not around.parent else _levels(around)
+    least = 0.2 * value[id(best)]
+    for key, n in scored.items():
+        near = id(n.parent) in levels or (around.tag == n.tag == "article")
+        if near and not n.other and not _holds(n, around) and value[key] >= least:
+            kept.add(key)
+    if around.tag == "article":
+        for node, _, _ in blocks:
+            up = node if node.tag == "h1" else None
+            while up and id(up.parent) not in levels:
+                up = up.parent
+            if up and not up.other and not _holds(up, around):
+                kept.add(id(up))
 
     def belongs(node: _Node, said: str, linked: int) -> bool:
         up: _Node | None = node
@@ -205,12 +224,39 @@ def main_text(html: str | None) -> str:
             if id(up) in kept:
                 return True
             up = up.parent
-        beside = around.tag not in ("article", "main") and node.tag in PARAGRAPHS and node.parent is around.parent
-        return beside and node.tag != "li" and linked * 4 <= len(said)
+        paragraph = node.tag in PARAGRAPHS
+        holder = levels.get(id(node.parent if paragraph else node))
+        if holder is None or node.tag == "li" or linked * 4 > len(said):
+            return False
+        if around.tag != "article":
+            return paragraph
+        sentence = len(said) >= LONG_PARAGRAPH or _SENTENCE.search(said) is not None
+        return sentence or node.tag in HEADINGS or (paragraph and holder.tag not in ("html", "body"))
 
     return "\n".join(said for node, said, linked in blocks if belongs(node, said, linked))
 
 
+def _holds(node: _Node, inner: _Node) -> bool:
+    up: _Node | None = inner
+    while up:
+        if up is node:
+            return True
+        up = up.parent
+    return False
+
+
+def _levels(around: _Node) -> dict[int, _Node]:
+    """The elements whose children stand beside a container: its parent, and for an article in ``main`` all up to that."""
+    line, up = [], around.parent
+    while up:
+        line.append(up)
+        if up.tag in FRAME:
+            break
+        up = up.parent
+    inside = around.tag == "article" and line[-1].tag == "main"
+    return {id(n): n for n in (line if inside else line[:1])}
+
+
 def extract_text(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` with ``text``, its pages' main text, in place of ``html``, and ``n_chars``, its code points.
 

@@ -66,3 +66,40 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "n", "body", "text", "n_chars"]
     assert sorted((r.n, r.text, r.n_chars) for r in got.collect()) == [(1, "", 0), (2, "x", 1), (3, "deep", 4)]
     assert html.extract_text(df.limit(0)).count() == 0
+
+
+LONG = ARTICLE + "".join(f"<p>Paragraph {i}, with commas, and many more words, so that it counts for more.</p>" for i in range(4))
+LONG_TEXT = "\n".join([TEXT, *(f"Paragraph {i}, with commas, and many more words, so that it counts for more." for i in range(4))])
+LEAD = "A lead, which says in a sentence what the article is about."
+
+
+@pytest.mark.parametrize("wrap", ["<body>{}</body>", "<main>{}</main>", "<body><div id=page>{}</div></body>"])
+def test_two_articles_of_unequal_length(wrap):
+    both = f"<article>{LONG}</article><article>{ARTICLE}</article>"
+    assert html.main_text(wrap.format(both)) == f"{LONG_TEXT}\n{TEXT}"
+    apart = f"<div><article>{ARTICLE}</article></div><div><article><div>{LONG}</div></article></div>"
+    assert html.main_text(wrap.format(apart)) == f"{TEXT}\n{LONG_TEXT}"
+
+
+def test_other_articles_stay_out():
+    teaser = "<article><p><a href=x>Some, other, story, to, read, next</a></p></article>"
+    comment = f"<article class='comment'>{ARTICLE}</article>"
+    assert html.main_text(f"<main><article>{LONG}</article>{teaser}{comment}</main>") == LONG_TEXT
+
+
+@pytest.mark.parametrize(
+    "before, after, text",
+    [
+        ("<h1>Heading</h1>", "", f"Heading\n{LONG_TEXT}"),
+        (f"<h1>Heading</h1><p>{LEAD}</p>", "<p>The end.</p>", f"Heading\n{LEAD}\n{LONG_TEXT}\nThe end."),
+        (f"<div><h1>Heading</h1><p>{LEAD}</p></div>", "", f"Heading\n{LEAD}\n{LONG_TEXT}"),
+        (f"{LEAD}", "", f"{LEAD}\n{LONG_TEXT}"),
+        ("<nav><p>Home, start.</p></nav><h1>Heading</h1>", "<p><a href=x>Next story.</a></p><ul><li>Tag.</ul>", f"Heading\n{LONG_TEXT}"),
+        ("<h1>Heading</h1>", "<aside><p>About, the author.</p></aside><div class=share><p>Share, it.</p></div>", f"Heading\n{LONG_TEXT}"),
+    ],
+)
+def test_heading_and_lead_beside_the_article(before, after, text):
+    for wrap in ("<body><main>{}</main></body>", "<body>{}</body>"):
+        assert html.main_text(wrap.format(f"{before}<article>{LONG}</article>{after}")) == text
+    inner = f"<body><p>Site, name</p><main>{before}<div class=row><article>{LONG}</article></div>{after}</main></body>"
+    assert html.main_text(inner) == text
