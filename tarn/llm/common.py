@@ -48,18 +48,28 @@ def drop_stage(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def drawn(share: float, seed: int, *columns: Column) -> Column:
+    """Whether a row is in a sample of ``share``: 53 bits of a hash of ``columns``, exact as a double, decide."""
+    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double")
+    return bits < F.lit(float(share) * 2.0**53)
+
+
 def labelled_texts(
     df: DataFrame, labelled: DataFrame, text: str, identity: str, label: str, sample: int, seed: int = 17
 ) -> tuple[DataFrame, float]:
     """About ``sample`` labelled texts as ``text`` and ``label``, and the share of label 1 among all labelled rows.
 
     A hash of the identity picks them. ``sample`` bounds the labels that are broadcast and the texts that are stored.
+    A sample without any text of a table that has rows is an error.
     """
     usable = labelled.where(F.col(label).isNotNull() & F.col(identity).isNotNull())
     n, prior = usable.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
     share = min(1.0, sample / max(n, 1))
     chosen = usable.select(F.col(identity).alias("labelled_id"), F.col(label).cast("int").alias("label")).where(
-        F.pmod(F.xxhash64(F.lit(seed), "labelled_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+        drawn(share, seed, F.col("labelled_id"))
     )
     texts = df.select(F.col(identity).alias("labelled_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "labelled_id")
-    return stage(texts.select("text", "label")), 0.1 if prior is None else float(prior)
+    found = stage(texts.select("text", "label"))
+    if share < 1 and found.isEmpty() and not df.isEmpty():
+        raise ValueError(f"none of about {sample} rows drawn from {n} labelled ones is in the table")
+    return found, 0.1 if prior is None else float(prior)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import labelled_texts, table
+from tarn.llm.common import drawn, labelled_texts, table
 from tarn.llm.linear import fit_logistic, sigmoid
 from tarn.llm.words import Texts, Words, hashes_of, passes
 
@@ -306,7 +306,7 @@ def fit_classifier(
 ) -> Classifier:
     """Fit to the label model's posteriors on about ``sample`` texts that a hash of identity and text picks."""
     share = min(1.0, sample / max(rows, 1))
-    pick = F.pmod(F.xxhash64(F.lit(SEED), F.col(identity), F.col(text)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    pick = drawn(share, SEED, F.col(identity), F.col(text))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,6 +322,8 @@ def fit_classifier(
     found = chosen.mapInArrow(label, "votes binary, words array<bigint>").toArrow()
     m = voters.count
     votes = np.frombuffer(b"".join(found.column("votes").to_pylist()), np.uint8).reshape(-1, m)
+    if rows and not len(votes):
+        raise ValueError(f"none of {rows} texts is in the sample of about {sample}")
     lists = found.column("words").combine_chunks()
     hashes = np.asarray(lists.flatten()).view(np.uint64)
     owner = np.repeat(np.arange(len(votes)), np.asarray(lists.value_lengths()))

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm import quality, toxicity
+from tarn.llm.common import labelled_texts
 from tarn.llm.linear import fit_logistic, sigmoid
 
 SF = "/root/testdata/sf0.1"
@@ -88,3 +89,25 @@ def test_logistic_fit():
     weights, bias = fit_logistic(x, y)
     assert np.allclose(weights, [2, -1, 0], atol=0.2) and abs(bias - 0.5) < 0.2
     assert fit_logistic(x[:0], y[:0])[0].tolist() == [0, 0, 0]
+
+
+def test_small_shares_still_draw_rows(spark):
+    """One row in more than 2**20: a share that a coarse threshold rounds to nothing."""
+    n = 6_000_000
+    ids = spark.range(n).withColumnsRenamed({"id": "doc_id"})
+    labels = ids.withColumn("toxic", (F.col("doc_id") % 2).cast("int"))
+    found, prior = labelled_texts(ids.withColumn("text", F.lit("a b c")), labels, "text", "doc_id", "toxic", sample=5)
+    assert 1 <= found.count() <= 20 and prior == 0.5
+
+
+def test_empty_samples_of_full_tables_fail(spark, no_docs):
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    other = spark.createDataFrame([(-1, "a b"), (-2, "c d")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="labelled"):
+        labelled_texts(other, labels, "text", "doc_id", "toxic", sample=100)
+    assert labelled_texts(no_docs, labels, "text", "doc_id", "toxic", sample=100)[0].count() == 0
+    assert labelled_texts(other, labels, "text", "doc_id", "toxic", sample=10_000)[0].count() == 0
+    voters = toxicity.Voters(np.arange(5, dtype=np.uint64), {})
+    model = toxicity.fit_label_model(2, np.zeros((voters.count, voters.count)), voters, 0.1)
+    with pytest.raises(ValueError, match="sample"):
+        toxicity.fit_classifier(other, "text", "doc_id", 10**15, voters, model)
