@@ -15,6 +15,7 @@ MODULES = (
     "html",
     "sharding",
     "compression",
+    "line_dedup",
 )
 
 
