@@ -16,6 +16,7 @@ MODULES = (
     "sharding",
     "compression",
     "line_dedup",
+    "runs",
 )
 
 
