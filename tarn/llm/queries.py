@@ -17,6 +17,7 @@ MODULES = (
     "compression",
     "line_dedup",
     "runs",
+    "collocations",
 )
 
 
