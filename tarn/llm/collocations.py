@@ -112,26 +112,27 @@ def parse(df: DataFrame, text: str, lang: str, overlap: int, modulus: int = MODU
 
 
 class Sieve:
-    """Which 64-bit keys may be frequent: one bit for all keys with the same ``SIEVE_BITS`` highest bits."""
+    """Which 64-bit keys may be frequent: one of ``marks``' bits for all keys that begin with the same bits."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, marks: np.ndarray):
+        self.bits = marks
+        self.unused = np.uint64(64 - (64 * len(marks) - 1).bit_length())
 
     def passed(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> np.uint64(64 - SIEVE_BITS)
+        at = keys >> self.unused
         return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def sieve_of(counts: DataFrame, least: int) -> Sieve:
-    """The sieve of all ``key`` with ``n`` of at least ``least``: 2**(SIEVE_BITS - 6) longs reach the driver at most."""
-    at = F.shiftrightunsigned("key", 64 - SIEVE_BITS)
+def sieve_of(counts: DataFrame, least: int, size: int) -> Sieve:
+    """The sieve of all ``key`` with ``n`` of at least ``least``: 2**size bits reach the driver at most, as longs."""
+    at = F.shiftrightunsigned("key", 64 - size)
     marked = (
         counts.where(F.col("n") >= least)
         .groupBy(F.shiftright(at, 6).alias("slot"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - SIEVE_BITS}) & 63 as int))")).alias("bits"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 as int))")).alias("bits"))
         .toArrow()
     )
-    bits = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    bits = np.zeros(1 << (size - 6), np.uint64)
     bits[np.asarray(marked.column("slot"))] = np.asarray(marked.column("bits")).view(np.uint64)
     return Sieve(bits)
 
@@ -193,7 +194,7 @@ def key_counts(chunks: DataFrame, size: int, sieves: list[Sieve]) -> DataFrame:
     return chunks.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(chunks: DataFrame, most: int, least: int) -> DataFrame:
+def phrase_counts(chunks: DataFrame, most: int, least: int, sieve_bits: int = SIEVE_BITS) -> DataFrame:
     """``lang``, ``size``, ``phrase`` and ``n`` of all runs of one to ``most`` words that occur at least ``least`` times.
 
     Size by size: a run can be frequent only if both its parts that are one word shorter are. Keys are counted first, and a
@@ -202,7 +203,7 @@ def phrase_counts(chunks: DataFrame, most: int, least: int) -> DataFrame:
     """
     sieves: list[Sieve] = []
     for size in range(1, most):
-        sieves.append(sieve_of(key_counts(chunks, size, sieves), least))
+        sieves.append(sieve_of(key_counts(chunks, size, sieves), least, sieve_bits))
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
