@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import free_name, let, table
+from tarn.llm.common import free_name, let, stage, table
 
 #: Lines whose key has fewer code points always stay.
 LEAST_CHARS = 20
@@ -49,7 +49,7 @@ def dedup_lines(
 
     Lines travel as 128-bit hashes. Documents are counted per hash in two steps, first each pair of hash and document
     once, then the pairs, so that a line which a third of all documents have is counted where these lie. Each hash over the threshold is
-    one row, which a join takes to its lines, however many there are. What is to be dropped from a text is found once for
+    one row of a stored table, which a join takes to its lines; Spark splits these where one key has very many. What is to be dropped from a text is found once for
     equal rows, as the set of its line numbers, so the text itself is shuffled once.
     """
     names = ("n_lines", "n_dropped")
@@ -73,6 +73,8 @@ def dedup_lines(
         .where(F.col("n") >= least_docs)
         .select(high, low, "keeper")
     )
+    # Stored, so that the join below deals both sides anew and Spark can split the lines of a common key over tasks.
+    shared = stage(shared)
     # The sets of equal rows are equal, and a set holds a line number once.
     dropped = (
         lines.join(shared, [high, low])
