@@ -12,7 +12,8 @@ from tarn.functions.moments import AsOf
 from tarn.operators.ranking import first_per_key
 from tarn.sources.lake import Lake, write_day
 from tarn.sources.landing import typed
-from tarn.sources.paths import PARTITIONS
+from tarn.sources.paths import PARTITIONS, table_root
+from tarn.sources.upserts import upsert_days
 
 # Layers every catalog has.
 LAYERS = ("bronze", "silver", "gold")
@@ -35,6 +36,29 @@ def to_silver(
     return clean.fillna(defaults) if defaults else clean
 
 
+def merge_silver(
+    batch: DataFrame,
+    lake: Lake,
+    catalog: str,
+    table: str,
+    key: Sequence[str],
+    version: Sequence[str],
+    shape: T.StructType,
+    defaults: dict[str, Any] | None = None,
+    day: str = "source_date",
+) -> list[str]:
+    """Bring a bronze batch into the stored silver table of a catalog and register its name; returns the days rewritten.
+
+    Rows are typed to ``shape`` and nulls filled; the newest per key by ``version`` stays, whether it comes with this batch or an
+    earlier one (see ``upsert_days``).
+    """
+    clean = typed(batch, shape)
+    clean = clean.fillna(defaults) if defaults else clean
+    days = upsert_days(clean, table_root(lake.root, catalog=catalog, schema="silver", table=table), key, version, day)
+    lake.register(f"{catalog}.silver.{table}")
+    return days
+
+
 def to_gold(report: DataFrame, lake: Lake, catalog: str, table: str, day: AsOf) -> str:
     """Store a report as a gold table of a catalog and register its name.
 
