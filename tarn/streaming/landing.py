@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from tarn.sources.lake import is_absent, read_table
 from tarn.sources.paths import PARTITIONS
 
 BATCH = "landing_batch"
+ARRIVED = "arrived_at"
 
 
 def _with_day(df: DataFrame) -> DataFrame:
@@ -33,6 +34,30 @@ def _overwrite(df: DataFrame, root: str, *partitions: str) -> None:
     )
 
 
+def without_repeats(rows: DataFrame, key: Sequence[str], remember: str = "1 day") -> DataFrame:
+    """A stream's rows without those whose ``key`` came before, in this trigger or within ``remember`` before it.
+
+    The keys are state of the stream: a restart goes on with them, and each is forgotten ``remember`` after it first arrived, so the
+    state holds the keys of that time and no more. Time is when a row arrives (``arrived_at``, added here), not what it says: a row from an
+    old day is as good as any and is never dropped as late; :func:`late_rows` counts these. Rows without a whole key repeat
+    nothing. The number of state partitions is that of ``spark.sql.shuffle.partitions`` at the first start.
+    """
+    unkeyed = F.greatest(*[F.isnull(c) for c in key], F.lit(False))
+    return (
+        rows.withColumn(ARRIVED, F.current_timestamp())
+        .withWatermark(ARRIVED, remember)
+        .withColumn("_unkeyed", F.when(unkeyed, F.uuid()))
+        .dropDuplicatesWithinWatermark([*key, "_unkeyed"])
+        .drop("_unkeyed")
+    )
+
+
+def late_rows(table: DataFrame, after: str = "1 day") -> DataFrame:
+    """Per ``source_date``: how many rows there are, and how many of them arrived more than ``after`` past its end."""
+    end = F.col("source_date").cast("timestamp") + F.expr("INTERVAL 1 DAY") + F.expr(f"INTERVAL {after}")
+    return table.groupBy("source_date").agg(F.count("*").alias("rows"), F.count_if(F.col(ARRIVED) > end).alias("late"))
+
+
 def append_batch(df: DataFrame, batch: str, root: str) -> None:
     """Log sources: keep all rows. A batch that is run again replaces its own folders."""
     _overwrite(_with_day(df).withColumn(BATCH, F.lit(batch)), root, *PARTITIONS, BATCH)
@@ -85,15 +110,20 @@ def stream_land(
     mode: str = "append",
     text_lines: bool = False,
     files_per_batch: int = 1000,
+    record_key: Sequence[str] | None = None,
+    remember: str = "1 day",
 ) -> StreamingQuery:
     """Process the files that arrived since the last run, then stop.
 
     ``normalise`` turns payload rows into table rows with a ``source_date``. ``mode`` is ``append``
     for logs or ``snapshot`` for current-state payloads; in snapshot mode ``normalise`` must keep the
-    columns ``_file`` and ``_file_time``.
+    columns ``_file`` and ``_file_time``. With ``record_key`` (columns of the normalised rows) a log record that
+    is delivered again within ``remember`` lands once (see ``without_repeats``); ``normalise`` then works on the stream itself.
     """
     if mode not in ("append", "snapshot"):
         raise ValueError(f"unknown mode {mode!r}")
+    if record_key is not None and mode != "append":
+        raise ValueError("a snapshot replaces its day; record keys are for logs")
     reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     files = reader.text(landing) if text_lines else reader.schema(schema).json(landing)
     if mode == "snapshot":
@@ -104,8 +134,11 @@ def stream_land(
             }
         )
 
+    if record_key is not None:
+        files = without_repeats(normalise(files), record_key, remember)
+
     def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = normalise(batch)
+        rows = batch if record_key is not None else normalise(batch)
         if mode == "append":
             # Batch numbers start over with a new checkpoint; the query's id does not repeat.
             query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")

@@ -57,7 +57,23 @@ def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, root).select("event_id", "ts", "event_type", "value", "props", "year", "month", "day")
 
 
-QUERIES = {"stream_events": stream_events, "stream_snapshot": stream_snapshot}
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries that repeat records of the same file, of the same trigger and of earlier ones; each record lands once."""
+    base = scratch_path(spark, "dedup")
+    landing, root = f"{base}/landing", f"{base}/raw/events"
+    events = table(spark, sf_dir, "events")
+    payload = events.select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event_type", "value", "props"
+    )
+    views, third = payload.where("event_type = 'view'"), payload.where("event_id % 3 = 0")
+    for delivery in (views.unionAll(views.where("event_id % 2 = 0")), third.unionAll(views), payload, third):
+        delivery.write.mode("append").json(landing)
+        stream = stream_land(spark, landing, PAYLOAD, _typed, root, f"{base}/checkpoint", record_key=["event_id"])
+        stream.awaitTermination()
+    return read_table(spark, root).select("event_id", "ts", "event_type", "value", "props", "year", "month", "day")
+
+
+QUERIES = {"stream_events": stream_events, "stream_snapshot": stream_snapshot, "stream_dedup": stream_dedup}
 
 ORACLE = {
     "stream_snapshot": """
@@ -71,6 +87,11 @@ ORACLE = {
                strftime(ts, '%d') AS day
         FROM kinds WHERE age = newest
     """,
+    "stream_dedup": """
+        SELECT event_id, ts, event_type, value, props, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month,
+               strftime(ts, '%d') AS day
+        FROM events
+    """,
     "stream_events": """
         SELECT event_id, ts, event_type, value, props, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month,
                strftime(ts, '%d') AS day

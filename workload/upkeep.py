@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators import layers
+from tarn.operators import layers, purging
 from tarn.session import scratch_path
 from tarn.sources.contracts import contract
 from tarn.sources.lake import Lake
@@ -65,13 +67,74 @@ def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"silver_upsert": silver_upsert, "incremental_load": incremental_load}
+def _stubborn(uri: str) -> None:
+    """Stands in for a store that refuses two tables of every seventh catalog."""
+    catalog, table_ = re.search(r"/c(\d+)/silver/t(\d+)$", uri).groups()
+    if int(catalog) % 7 == 0 and table_ in ("1", "4"):
+        raise PermissionError("refused")
+
+
+def _line_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every part is a due catalog; each of its line numbers is a table, line 7 one that has to be left alone."""
+    items = table(spark, sf_dir, "lineitem")
+    folder = F.concat_ws("/", F.concat(F.lit("c"), "l_partkey"), F.lit("silver"), F.concat(F.lit("t"), "l_linenumber"))
+    tables = items.select(
+        F.col("l_partkey").cast("string").alias("catalog_id"),
+        F.concat_ws("-", "l_partkey", "l_linenumber").alias("table_id"),
+        folder.alias("prefix"),
+        F.lit(True).alias("usable"),
+        ((F.col("l_linenumber") == 7) & (F.col("l_partkey") % 5 == 0)).alias("overlaps"),
+    )
+    return tables.distinct(), tables.select("catalog_id").distinct()
+
+
+def _purged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """A journal over all tables of all catalogs: the plan is written, the folders are deleted in two rounds, some of them fail."""
+    journal = scratch_path(spark, "journal")
+    plan, due = _line_plan(spark, sf_dir)
+    half = max(1, plan.count() // 2 + 1)
+    run = purging.run_purge(plan, due, journal, "s3a://lake", remove=_stubborn, tries=2, round_size=half)
+    return purging.read_journal(spark, journal), run
+
+
+def purge_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every planned folder."""
+    return purging.folder_states(*_purged(spark, sf_dir))
+
+
+def purge_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every due catalog: how many of its folders were deleted, and its own state."""
+    told, run = _purged(spark, sf_dir)
+    folders = purging.folder_states(told, run)
+    owner = F.regexp_extract("prefix", "^c([0-9]+)/", 1).alias("catalog_id")
+    counts = folders.groupBy(owner).agg(F.count("*").alias("folders"), F.count_if(F.col("step") == "deleted").alias("deleted"))
+    zero = F.lit(0).cast("bigint")
+    return purging.catalog_states(told, run).join(counts, "catalog_id", "left").select(
+        "catalog_id", "step", F.coalesce("folders", zero).alias("folders"), F.coalesce("deleted", zero).alias("deleted")
+    )
+
+
+QUERIES = {
+    "silver_upsert": silver_upsert,
+    "incremental_load": incremental_load,
+    "purge_journal": purge_journal,
+    "purge_catalogs": purge_catalogs,
+}
 
 _LINES = """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag,
            CAST(date_trunc('quarter', l_shipdate) AS DATE) AS source_date FROM lineitem
 """
 
+_PURGED = """
+    WITH folders AS (
+        SELECT DISTINCT l_partkey, 'c' || l_partkey || '/silver/t' || l_linenumber AS prefix,
+               CASE WHEN l_linenumber = 7 AND l_partkey % 5 = 0 THEN 'withheld'
+                    WHEN l_partkey % 7 = 0 AND l_linenumber IN (1, 4) THEN 'failed' ELSE 'deleted' END AS step
+        FROM lineitem
+    )
+"""
+
 ORACLE = {
     "silver_upsert": f"""
         WITH lines AS ({_LINES}),
@@ -90,6 +153,17 @@ ORACLE = {
         QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
             ORDER BY version DESC, batch, l_partkey, l_suppkey, l_quantity, l_returnflag, source_date) = 1
     """,
+    "purge_journal": f"""
+        {_PURGED} SELECT prefix, step, CASE step WHEN 'failed' THEN 2 ELSE 1 END AS attempts,
+                         CASE step WHEN 'failed' THEN 'PermissionError: refused' END AS error
+        FROM folders WHERE step <> 'withheld'
+    """,
+    "purge_catalogs": f"""
+        {_PURGED} SELECT CAST(l_partkey AS VARCHAR) AS catalog_id,
+               CASE WHEN bool_or(step = 'withheld') THEN 'withheld' WHEN bool_or(step = 'failed') THEN 'waiting' ELSE 'dropped' END AS step,
+               count(*) FILTER (WHERE step <> 'withheld') AS folders, count(*) FILTER (WHERE step = 'deleted') AS deleted
+        FROM folders GROUP BY l_partkey
+    """,
     "incremental_load": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, strftime(date_trunc('quarter', o_orderdate), '%Y') AS year,
                strftime(date_trunc('quarter', o_orderdate), '%m') AS month, '01' AS day
