@@ -15,6 +15,7 @@ from tarn.operators.content import Embedder, embed, embedding_rows
 from tarn.operators.generation import Generator, anomaly_report, daily_digest, rag_answer, rag_context
 from tarn.operators.outliers import isolation_forest
 from tarn.operators.similarity import cosine_topk
+from tarn.operators.vector_store import changed_embedding_rows
 from tarn.sources.lake import Lake, is_absent, read_day, read_table, with_source_date, write_day
 from tarn.sources.objects import subfolders
 from tarn.sources.paths import pattern_of, table_root
@@ -40,14 +41,24 @@ def embed_source(
     day: AsOf,
     embedder: Embedder | None = None,
     dim: int = DEFAULT_DIM,
+    model: str | None = None,
 ) -> str | None:
-    """Embed one day of a source into ``embeddings/<source>``."""
+    """Embed one day of a source into ``embeddings/<source>``.
+
+    With the name of a ``model``, texts that any source had on any day before keep the vector they got then
+    (in ``vectors/<model>``), and only new ones are embedded.
+    """
     rows = raw_day(lake, source, day)
     if rows is None:
         return None
     # Partition columns are no content.
     rows = rows.drop("year", "month", "day")
-    return write_day(embedding_rows(rows, source, day, embedder, dim), lake.root, day, source=source, area="embeddings")
+    if model is None:
+        made = embedding_rows(rows, source, day, embedder, dim)
+    else:
+        store = table_root(lake.root, source=model, area="vectors")
+        made = changed_embedding_rows(rows, source, day, store, embedder, dim).drop("first_day")
+    return write_day(made, lake.root, day, source=source, area="embeddings")
 
 
 def embed_sources(
@@ -56,9 +67,10 @@ def embed_sources(
     sources: Iterable[str] = EMBED_SOURCES,
     embedder: Embedder | None = None,
     dim: int = DEFAULT_DIM,
+    model: str | None = None,
 ) -> dict[str, str]:
-    """Embed all sources that have data; one Spark job each."""
-    written = {s: embed_source(lake, s, day, embedder, dim) for s in sources}
+    """Embed all sources that have data, one after the other."""
+    written = {s: embed_source(lake, s, day, embedder, dim, model) for s in sources}
     return {s: root for s, root in written.items() if root}
 
 

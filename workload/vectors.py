@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.vectors import DEFAULT_DIM, numeric_vector
-from tarn.operators import content, generation, outliers, similarity
+from tarn.operators import content, generation, outliers, similarity, vector_store
 from tarn.operators.ranking import newest_rows
 from tarn.plans import daily
 from tarn.session import scratch_path
@@ -93,6 +93,21 @@ def embed_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embed_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as activity on two days. On the second a third of the texts are new, the others keep their vectors."""
+    store = scratch_path(spark, "vectors")
+    first = activities(spark, sf_dir)
+    edited = F.when(F.col("Id") % 3 == 0, F.concat(F.lit("Edited "), "Name")).otherwise(F.col("Name"))
+    vector_store.changed_embedding_rows(first.where("Id % 7 <> 0"), "jellyfin", DAY, store).count()
+    second = vector_store.changed_embedding_rows(first.withColumn("Name", edited), "jellyfin", "2024-01-16", store)
+    return second.select(
+        "id",
+        F.md5("content").alias("content_md5"),
+        F.size(F.filter("embedding", lambda w: w != 0)).alias("buckets"),
+        F.date_format("first_day", "yyyy-MM-dd").alias("first_day"),
+    )
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All vectors, and those with an id divisible by 20 as questions."""
     rows = table(spark, sf_dir, "embeddings")
@@ -216,6 +231,7 @@ QUERIES = {
     "content_logs": content_logs,
     "embed_documents": embed_documents,
     "embed_day": embed_day,
+    "embed_changed": embed_changed,
     "cosine_topk": cosine_topk,
     "cosine_topk_rounds": cosine_topk_rounds,
     "ann_topk": ann_topk,
@@ -357,6 +373,16 @@ ORACLE = {
                '2024-01-15' AS source_date
         FROM m JOIN w USING (id) GROUP BY id, content
     """,
+    "embed_changed": f"""
+        WITH documents AS (
+            SELECT doc_id, lang, text, CASE WHEN doc_id % 3 = 0 THEN 'Edited ' || source ELSE source END AS source, source AS old_source
+            FROM main.documents
+        ),
+        m AS ({_MEDIA}), old AS ({_MEDIA.replace("source", "old_source")} WHERE doc_id % 7 <> 0), w AS ({_weights('m', 'id', 'content')})
+        SELECT id, md5(content) AS content_md5, CAST(count(*) AS INTEGER) AS buckets,
+               CASE WHEN content IN (SELECT content FROM old) THEN '2024-01-15' ELSE '2024-01-16' END AS first_day
+        FROM m JOIN w USING (id) GROUP BY id, content
+    """,
     "cosine_topk": _TOPK,
     "cosine_topk_rounds": _TOPK,
     "ann_topk": _TOPK,
