@@ -18,14 +18,14 @@ from pyspark.sql import types as T
 
 from tarn.functions.vectors import matrix_of, once
 from tarn.operators.ranking import top_n_per_group
-from tarn.session import cut_lineage, scratch_path
+from tarn.session import cut_lineage, remove_path, scratch_path
 
 # Scores are compared after rounding, so the last bits of a sum never decide between copies.
 SCORE_DIGITS = 9
 # Questions that go to every task at a time; more of them are asked in rounds.
 QUESTION_BYTES = 64 << 20
 QUERY_BLOCK = 512
-CELL, ANGLE = "_cell", "_angle"
+CELL, ANGLE, BATCH = "_cell", "_angle", "_batch"
 # Centres that go to every task.
 CENTRE_BYTES = 64 << 20
 
@@ -227,16 +227,17 @@ def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ centres.T, -1, 1))
 
 
-def _placed(df: DataFrame, vector: str, centres: np.ndarray) -> DataFrame:
+def _placed(df: DataFrame, vector: str, centres: np.ndarray, numbers: np.ndarray | None = None) -> DataFrame:
     """Each row with its nearest cell and the angle to its centre; rows of length zero are left out."""
     shared, dim = df.sparkSession.sparkContext.broadcast(centres), centres.shape[1]
+    cell_numbers = np.arange(len(centres)) if numbers is None else numbers
 
     @F.arrow_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
     def nearest(vectors: pa.Array) -> pa.Array:
         units, usable = _unit_rows(matrix_of(vectors, dim))
         angles = _angles(units, shared.value)
         cell = angles.argmin(axis=1)
-        cells = pa.array(cell.astype(np.int32), mask=~usable)
+        cells = pa.array(cell_numbers[cell].astype(np.int32), mask=~usable)
         return pa.StructArray.from_arrays([cells, pa.array(angles[np.arange(len(cell)), cell])], names=["cell", "angle"])
 
     found = df.withColumn("_nearest", once(nearest)(F.col(vector)))
@@ -279,8 +280,8 @@ def build_index(
     """
     spark = vectors.sparkSession
     centres = _centres_for(vectors, _dim_of(vectors, vector) if dim is None else dim, cells, seed, vector)
-    rows = _placed(vectors, vector, centres).hint("rebalance", CELL)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(CELL).parquet(f"{path}/rows")
+    rows = _placed(vectors, vector, centres).withColumn(BATCH, F.lit("first")).hint("rebalance", CELL)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(CELL, BATCH).parquet(f"{path}/rows")
     numbered = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
     stored = spark.createDataFrame(numbered, "cell int, centre array<double>")
     radii = (
@@ -288,7 +289,27 @@ def build_index(
         .groupBy(F.col(CELL).cast("int").alias("cell"))
         .agg(F.max(ANGLE).alias("radius"), F.count("*").alias("rows"))
     )
-    stored.join(radii, "cell").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    write_centres(stored.join(radii, "cell").withColumn("tried", F.lit(0).cast("long")), path, 0)
+
+
+def write_centres(centres: DataFrame, path: str, version: int) -> None:
+    """Store ``cell, centre, radius, rows, tried`` as a version of an index; version 0 replaces all others.
+
+    The newest version is what a search goes by. It appears as a whole, and the one before it stays for searches under way.
+    """
+    mode = "append" if version else "overwrite"
+    out = centres.withColumn("version", F.lit(version)).coalesce(1).write.mode(mode)
+    out.option("partitionOverwriteMode", "static").partitionBy("version").parquet(f"{path}/centres")
+    if version > 1:
+        remove_path(centres.sparkSession, f"{path}/centres/version={version - 2}")
+
+
+def read_centres(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The newest version of an index's cells, and its number (-1 for an index without cells)."""
+    stored = spark.read.schema("cell int, centre array<double>, radius double, rows long, tried long, version int").parquet(f"{path}/centres")
+    newest = stored.agg(F.max("version")).first()[0]
+    newest = -1 if newest is None else newest
+    return stored.where(F.col("version") == newest).drop("version"), newest
 
 
 def search_index(
@@ -308,12 +329,12 @@ def search_index(
     and no others. ``probes`` changes the work, not the answer. At worst every cell is read.
     """
     ties = list(ties)
-    stored = spark.read.parquet(f"{path}/centres")
+    stored, _ = read_centres(spark, path)
     size = stored.agg(F.count("*").alias("cells"), F.max(F.size("centre")).alias("dim")).first()
     if size.cells and size.cells * size.dim * 8 > CENTRE_BYTES:
         raise ValueError("the index has more centres than can be sent to every task")
     known = stored.orderBy("cell").collect()
-    rows = spark.read.parquet(f"{path}/rows").withColumn(CELL, F.col(CELL).cast("int"))
+    rows = spark.read.parquet(f"{path}/rows").withColumn(CELL, F.col(CELL).cast("int")).drop(BATCH)
     schema = _hit_schema(rows, ties, queries.schema["query_id"].dataType)
     if not known:
         return _with_rows(_final(spark.createDataFrame([], schema), ties, k), rows.drop(CELL, ANGLE), ties, vector)
@@ -348,7 +369,8 @@ def search_index(
             hits.append(look(asked, second))
     if not hits:
         hits = [spark.createDataFrame([], schema)]
-    rest = rows.drop(CELL, ANGLE)
+    # Folders of cells that were split are not part of the index.
+    rest = rows.where(F.col(CELL).isin([int(n) for n in numbers])).drop(CELL, ANGLE)
     return _with_rows(_final(functools.reduce(DataFrame.unionByName, hits), ties, k), rest, ties, vector)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.vectors import DEFAULT_DIM, numeric_vector
-from tarn.operators import content, generation, outliers, similarity, vector_store
+from tarn.operators import content, generation, growing_index, outliers, similarity, vector_store
 from tarn.operators.ranking import newest_rows
 from tarn.plans import daily
 from tarn.session import scratch_path
@@ -146,6 +146,16 @@ def ann_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(similarity.search_index(spark, path, questions, k=10))
 
 
+def ann_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index over a quarter of the vectors takes the rest in three batches, one of them twice; crowded cells are split."""
+    rows, questions = _vectors(spark, sf_dir)
+    path = scratch_path(spark, "grown")
+    similarity.build_index(rows.where("id % 4 = 0"), path, 64)
+    for part in (1, 2, 3, 2):
+        growing_index.append_index(spark, path, rows.where(F.col("id") % 4 == part), f"part {part}", most_rows=60)
+    return _hits(similarity.search_index(spark, path, questions, k=10))
+
+
 def _document_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark texts as questions to the documents."""
     questions = table(spark, sf_dir, "benchmark").select(
@@ -237,6 +247,7 @@ QUERIES = {
     "ann_topk": ann_topk,
     "ann_every_cell": ann_every_cell,
     "ann_index": ann_index,
+    "ann_append": ann_append,
     "rag_context": rag_context,
     "rag_context_cited": rag_context_cited,
     "rag_answer": rag_answer,
@@ -387,6 +398,7 @@ ORACLE = {
     "cosine_topk_rounds": _TOPK,
     "ann_topk": _TOPK,
     "ann_index": _TOPK,
+    "ann_append": _TOPK,
     "ann_every_cell": _TOPK,
     "rag_context": f"{_HITS} SELECT query_id, context FROM plain",
     "rag_context_cited": f"""
