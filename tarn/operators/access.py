@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import same_name
+from tarn.operators.intervals import at_day
 from tarn.operators.ranking import first_per_key
 from tarn.session import cut_lineage
 
@@ -141,6 +142,59 @@ def visible_catalogs_of_all(
     return seen.unionByName(superusers.withColumn("catalog_id", F.lit(None).cast(kind)))
 
 
+def access_as_of(asked: DataFrame, users: DataFrame, catalogs: DataFrame, members: DataFrame, grants: DataFrame) -> DataFrame:
+    """``asked`` (``user_id, catalog_id, day``) with the ``access`` that held on that day: owner, write, read or NULL.
+
+    ``members`` (``user_id, workspace_id``) and ``grants`` (``catalog_id, workspace_id, mode, status, suspended``) carry the days they are valid,
+    ``valid_from`` to before ``valid_to``; null ends are open. The rules are those of today's access: superusers and members of the
+    owning workspace own a catalog, else the strongest approved grant to a workspace counts that the user belonged to then, and that was not suspended.
+    A day asked twice is answered once.
+    """
+    asked = cut_lineage(asked.select("user_id", "catalog_id", "day").distinct())
+    was_member = cut_lineage(at_day(asked, members.select("user_id", "workspace_id", "valid_from", "valid_to"), ["user_id"], "day", "valid_from", "valid_to"))
+    was_member = was_member.select("user_id", "catalog_id", "day", "workspace_id").distinct()
+    owners = catalogs.select("catalog_id", F.col("owner_workspace_id").alias("workspace_id"))
+    superusers = users.where(F.col("role") == SUPERUSER).select("user_id")
+    live = _in_force(grants)
+    held = at_day(was_member, live.select("catalog_id", "workspace_id", "mode", "valid_from", "valid_to"), ["catalog_id", "workspace_id"], "day", "valid_from", "valid_to")
+    pair = ["user_id", "catalog_id", "day"]
+    found = (
+        asked.join(superusers, "user_id", "left_semi").select(*pair, F.lit("owner").alias("access"))
+        .unionByName(was_member.join(owners, ["catalog_id", "workspace_id"], "left_semi").select(*pair, F.lit("owner").alias("access")))
+        .unionByName(held.select(*pair, F.col("mode").alias("access")))
+    )
+    best = found.groupBy(*pair).agg(_mode(F.max(_rank(F.col("access")))).alias("access"))
+    return asked.join(best, pair, "left")
+
+
+def catalog_directories(catalogs: DataFrame, workspaces: DataFrame, schemas: DataFrame, grants: DataFrame) -> DataFrame:
+    """The directory of every workspace in one pass: all other workspaces' live catalogs that it has asked for.
+
+    The columns are those of :func:`catalog_directory` behind ``workspace_id``. A catalog a workspace has not asked for looks the
+    same to all of them, so those are not repeated for each: they are listed once, with a null ``workspace_id``, for whoever
+    does not own them.
+    """
+    live = catalogs.where(F.col("deleted_at").isNull()).select("catalog_id", "name", "owner_workspace_id")
+    counted = schemas.groupBy("catalog_id").agg(F.count("*").alias("schema_count"))
+    owners = workspaces.select(F.col("workspace_id").alias("owner_workspace_id"), F.col("name").alias("owner_workspace_name"))
+    listed = live.join(counted, "catalog_id", "left").join(owners, "owner_workspace_id", "left")
+    asked = grants.select("catalog_id", "workspace_id", "access_id", "status")
+    own = listed.join(asked, "catalog_id").where(F.col("workspace_id") != F.col("owner_workspace_id"))
+    kind = grants.schema["workspace_id"].dataType
+    rest = listed.withColumns({"workspace_id": F.lit(None).cast(kind), "access_id": F.lit(None).cast("string"), "status": F.lit(None).cast("string")})
+    state = F.when(F.col("status").isin("approved", "pending"), F.col("status")).otherwise("none")
+    return own.unionByName(rest).select(
+        "workspace_id",
+        "catalog_id",
+        "name",
+        "owner_workspace_id",
+        "owner_workspace_name",
+        F.coalesce("schema_count", F.lit(0).cast("bigint")).alias("schema_count"),
+        state.alias("access_status"),
+        "access_id",
+    )
+
+
 def catalog_directory(
     workspace_id: Any, catalogs: DataFrame, workspaces: DataFrame, schemas: DataFrame, grants: DataFrame
 ) -> DataFrame:

@@ -24,6 +24,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches to and from Python are cut by bytes; long texts would make ten thousand rows very large.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     # Ranked rows are cut in each task before the shuffle, whatever the limit.
     "spark.sql.optimizer.windowGroupLimitThreshold": str(2**31 - 1),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarn.functions import text
 from tarn.functions.moments import newest
 from tarn.operators import access, layers, retention, schema_drift, storage
+from tarn.operators.column_history import column_history
 from tarn.sources.contracts import contract
 from workload.tables import table
 
@@ -258,6 +259,51 @@ def catalog_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).fillna({"access_id": "-"})
 
 
+def catalog_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The directories of all workspaces at once."""
+    return access.catalog_directories(
+        _catalogs(spark, sf_dir), _workspaces(spark, sf_dir), _schemas(spark, sf_dir), _grants(spark, sf_dir)
+    ).fillna({"access_id": "-", "workspace_id": -1})
+
+
+def access_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access of every customer to every part they bought, on the day the order was placed and a year later.
+
+    Membership lasts 300 days from each purchase, grants as long as the quantity says; some of both are open.
+    """
+    bought = _bought(spark, sf_dir).withColumn("shipped", F.to_date("l_shipdate"))
+    day = F.to_date("o_orderdate")
+    asked = bought.select(
+        F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("catalog_id"), F.explode(F.array(day, F.date_add(day, 365))).alias("day")
+    )
+    members = bought.select(
+        F.col("o_custkey").alias("user_id"),
+        F.col("l_suppkey").alias("workspace_id"),
+        F.when(F.col("l_linenumber") > 1, F.col("shipped")).alias("valid_from"),
+        F.when(F.col("l_linenumber") < 6, F.date_add("shipped", 300)).alias("valid_to"),
+    )
+    grants = bought.select(
+        F.col("l_partkey").alias("catalog_id"),
+        F.col("l_suppkey").alias("workspace_id"),
+        F.when(F.col("l_discount") > 0.05, "write").otherwise("read").alias("mode"),
+        F.when(F.col("l_returnflag") == "R", "rejected").otherwise("approved").alias("status"),
+        (F.col("l_tax") >= 0.08).alias("suspended"),
+        F.date_sub("shipped", 100).alias("valid_from"),
+        F.when(F.col("l_quantity") < 45, F.date_add("shipped", F.col("l_quantity").cast("int") * 10)).alias("valid_to"),
+    )
+    return access.access_as_of(asked, _users(spark, sf_dir), _catalogs(spark, sf_dir), members, grants)
+
+
+def schema_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten refreshes of a table per supplier: columns come and go, and change their type, with the line items."""
+    observed = table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_suppkey").alias("table_id"),
+        (F.col("l_orderkey") % 10).cast("int").alias("refresh"),
+        F.concat(F.lit("c"), F.col("l_partkey") % 12).alias("name"),
+    ).agg(F.min("l_linenumber").alias("pos"), F.min("l_linestatus").alias("type"))
+    return column_history(observed.where("refresh <> 4 OR table_id % 2 = 0"))
+
+
 def pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.pending_requests(_catalogs(spark, sf_dir), _workspaces(spark, sf_dir), _grants(spark, sf_dir))
 
@@ -292,6 +338,9 @@ QUERIES = {
     "visible_catalogs": visible_catalogs,
     "visible_catalogs_of_all": visible_catalogs_of_all,
     "catalog_directory": catalog_directory,
+    "catalog_directories": catalog_directories,
+    "access_as_of": access_as_of,
+    "schema_history": schema_history,
     "pending_requests": pending_requests,
     "workspace_usage": workspace_usage,
     "default_catalogs": default_catalogs,
@@ -518,6 +567,76 @@ ORACLE = {
         LEFT JOIN workspaces w ON w.workspace_id = owner_workspace_id
         WHERE owner_workspace_id <> 7
     """,
+    "catalog_directories": f"""
+        {_META},
+        counted AS (SELECT l_partkey AS catalog_id, count(DISTINCT l_returnflag) AS schema_count FROM lineitem GROUP BY 1),
+        asked AS (SELECT workspace_id, catalog_id, access_id, status FROM grants
+                  UNION ALL SELECT -1, catalog_id, '-', NULL FROM live)
+        SELECT g.workspace_id, c.catalog_id, c.name, c.owner_workspace_id, w.name AS owner_workspace_name,
+               coalesce(schema_count, 0) AS schema_count,
+               CASE WHEN g.status IN ('approved', 'pending') THEN g.status ELSE 'none' END AS access_status, access_id
+        FROM live c JOIN asked g USING (catalog_id) LEFT JOIN counted USING (catalog_id)
+        LEFT JOIN workspaces w ON w.workspace_id = c.owner_workspace_id
+        WHERE g.workspace_id <> c.owner_workspace_id
+    """,
+    "access_as_of": f"""
+        {_META},
+        b AS (SELECT l.*, o_custkey, CAST(o_orderdate AS DATE) AS placed, CAST(l_shipdate AS DATE) AS shipped
+              FROM lineitem l JOIN orders ON l_orderkey = o_orderkey),
+        asked AS (SELECT o_custkey AS user_id, l_partkey AS catalog_id, placed AS day FROM b
+                  UNION SELECT o_custkey, l_partkey, placed + 365 FROM b),
+        m AS (SELECT o_custkey AS user_id, l_suppkey AS workspace_id, CASE WHEN l_linenumber > 1 THEN shipped END AS valid_from,
+                     CASE WHEN l_linenumber < 6 THEN shipped + 300 END AS valid_to FROM b),
+        g AS (SELECT l_partkey AS catalog_id, l_suppkey AS workspace_id, CASE WHEN l_discount > 0.05 THEN 2 ELSE 1 END AS level,
+                     shipped - 100 AS valid_from, CASE WHEN l_quantity < 45 THEN shipped + CAST(l_quantity AS INTEGER) * 10 END AS valid_to
+              FROM b WHERE l_returnflag <> 'R' AND l_tax < 0.08),
+        was AS (SELECT DISTINCT a.*, workspace_id FROM asked a JOIN m USING (user_id)
+                WHERE (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR day < valid_to)),
+        rules AS (
+            SELECT a.*, 3 AS level FROM asked a JOIN users USING (user_id) WHERE role = 'superadmin'
+            UNION ALL
+            SELECT user_id, w.catalog_id, day, 3 FROM was w JOIN catalogs c ON c.catalog_id = w.catalog_id AND c.owner_workspace_id = workspace_id
+            UNION ALL
+            SELECT user_id, w.catalog_id, day, level FROM was w JOIN g ON g.catalog_id = w.catalog_id AND g.workspace_id = w.workspace_id
+            WHERE (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR day < valid_to)
+        )
+        SELECT user_id, catalog_id, day, CASE max(level) WHEN 3 THEN 'owner' WHEN 2 THEN 'write' WHEN 1 THEN 'read' END AS access
+        FROM asked LEFT JOIN rules USING (user_id, catalog_id, day) GROUP BY 1, 2, 3
+    """,
+    "schema_history": """
+        WITH o AS (
+            SELECT * FROM (
+                SELECT l_suppkey AS table_id, CAST(l_orderkey % 10 AS INTEGER) AS refresh, 'c' || l_partkey % 12 AS name,
+                       min(l_linenumber) AS pos, min(l_linestatus) AS type
+                FROM lineitem GROUP BY 1, 2, 3
+            ) WHERE refresh <> 4 OR table_id % 2 = 0
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY refresh) AS n FROM (SELECT DISTINCT table_id, refresh FROM o)),
+        born AS (SELECT table_id, name, min(n) AS first FROM o JOIN r USING (table_id, refresh) GROUP BY 1, 2),
+        grid AS (
+            SELECT b.table_id, b.name, r.n, o.pos, o.type, coalesce(o.type, '-') AS state
+            FROM born b JOIN r ON r.table_id = b.table_id AND r.n >= b.first
+            LEFT JOIN o ON o.table_id = b.table_id AND o.name = b.name AND o.refresh = r.refresh
+        ),
+        marked AS (SELECT *, lag(state) OVER (PARTITION BY table_id, name ORDER BY n) AS before FROM grid),
+        folded AS (SELECT *, sum(CASE WHEN before = state THEN 0 ELSE 1 END) OVER (PARTITION BY table_id, name ORDER BY n) AS island FROM marked),
+        i AS (
+            SELECT table_id, name, island, min(n) AS first, max(n) AS last, min(state) AS state, arg_min(pos, n) AS pos, arg_min(type, n) AS type
+            FROM folded GROUP BY 1, 2, 3
+        ),
+        told AS (
+            SELECT table_id, name, first, last, state = '-' AS deprecated,
+                   coalesce(pos, lag(pos) OVER w) AS pos, coalesce(type, lag(type) OVER w) AS type,
+                   CASE WHEN state = '-' THEN 'deprecated' WHEN island = 1 AND first = 1 THEN 'initial' WHEN island = 1 THEN 'added'
+                        WHEN lag(state) OVER w = '-' THEN 'restored' ELSE 'retyped' END AS change
+            FROM i WINDOW w AS (PARTITION BY table_id, name ORDER BY island)
+        )
+        SELECT t.table_id, t.name, t.pos, t.type, t.deprecated, s.refresh AS since, u.refresh AS until, t.change,
+               CASE WHEN t.change = 'added' THEN (SELECT min(d.name) FROM told d WHERE d.deprecated AND d.table_id = t.table_id
+                    AND d.first = t.first AND d.pos = t.pos AND d.type = t.type) END AS renamed_from
+        FROM told t JOIN r s ON s.table_id = t.table_id AND s.n = t.first
+        LEFT JOIN r u ON u.table_id = t.table_id AND u.n = t.last + 1
+    """,
     "pending_requests": f"""
         {_META}
         SELECT owner_workspace_id, access_id, g.catalog_id, c.name AS catalog_name,

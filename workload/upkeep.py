@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,10 @@ from tarn.session import scratch_path
 from tarn.sources.contracts import contract
 from tarn.sources.lake import Lake
 from tarn.sources.paths import table_root
+from tarn.sources.quarantine import read_json_parts
+from tarn.sources.results import store_result
 from tarn.sources.upserts import load_increment, stored_rows
+from tarn.sources.widening import read_widened
 from workload.tables import table
 
 LINE = contract(
@@ -114,7 +118,50 @@ def purge_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by price, stored once: the first page, the eighth, the last, and one behind it."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    order = [("o_totalprice", False), ("o_orderkey", True)]
+    result = store_result(orders, scratch_path(spark, "result"), order, page_rows=100, block_rows=1000)
+    wanted = (0, 7, result.pages - 1, result.pages)
+    pages = [result.page(n).withColumns({"page": F.lit(n), "row_count": F.lit(result.row_count)}) for n in wanted]
+    return functools.reduce(DataFrame.unionByName, pages)
+
+
+def union_widening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders stored in three folders, each with other types and columns, read as one table."""
+    base = scratch_path(spark, "shapes")
+    orders = table(spark, sf_dir, "orders")
+    day, price = F.col("o_orderdate"), F.col("o_totalprice")
+    shapes = (
+        {"o_orderkey": F.col("o_orderkey").cast("int"), "price": price.cast("decimal(12,2)"), "customer": F.col("o_custkey").cast("int")},
+        {"o_orderkey": F.col("o_orderkey"), "price": price, "customer": F.col("o_custkey"), "placed": F.to_date(day)},
+        {"o_orderkey": F.col("o_orderkey").cast("int"), "customer": F.concat(F.lit("c"), "o_custkey"), "placed": day.cast("timestamp")},
+    )
+    for part, shape in enumerate(shapes):
+        rows = orders.where(F.col("o_orderkey") % 3 == part)
+        rows.select(*[c.alias(n) for n, c in shape.items()]).write.parquet(f"{base}/{part}")
+    return read_widened(spark, [f"{base}/{part}" for part in range(3)])
+
+
+def json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines, some cut off, some no objects, some with a text for a number: what lands and what is kept apart."""
+    base = scratch_path(spark, "payloads")
+    events, key = table(spark, sf_dir, "events"), F.col("event_id")
+    user = F.when(key % 91 == 0, '"n/a"').otherwise(F.col("user_id").cast("string"))
+    line = F.format_string('{"event_id": %d, "user_id": %s, "event_type": "%s"}', key, user, F.col("event_type"))
+    planted = F.when(key % 50 == 0, F.substring(line, 1, 24)).when(key % 77 == 0, F.concat(F.lit("["), key, F.lit("]"))).otherwise(line)
+    events.select(planted).write.text(f"{base}/lines")
+    shape = contract("event_id bigint, user_id bigint, event_type string")
+    good, bad = read_json_parts(spark, f"{base}/lines", shape, files="*.txt")
+    apart = bad.select(F.col("_reason").alias("reason"), F.col("_raw").alias("raw"))
+    return good.drop("_file", "_place").unionByName(apart, allowMissingColumns=True)
+
+
 QUERIES = {
+    "result_pages": result_pages,
+    "union_widening": union_widening,
+    "json_quarantine": json_quarantine,
     "silver_upsert": silver_upsert,
     "incremental_load": incremental_load,
     "purge_journal": purge_journal,
@@ -136,6 +183,36 @@ _PURGED = """
 """
 
 ORACLE = {
+    "result_pages": """
+        WITH numbered AS (
+            SELECT o_orderkey, o_totalprice, o_orderpriority, CAST((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) // 100 AS INTEGER) AS page,
+                   CAST(count(*) OVER () AS INTEGER) AS row_count
+            FROM orders
+        )
+        SELECT * FROM numbered WHERE page IN (0, 7, (row_count - 1) // 100)
+    """,
+    "union_widening": """
+        SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) WHEN 1 THEN o_totalprice END AS price,
+               CASE WHEN o_orderkey % 3 = 2 THEN 'c' ELSE '' END || o_custkey AS customer,
+               CASE o_orderkey % 3 WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) WHEN 2 THEN CAST(o_orderdate AS TIMESTAMP) END AS placed
+        FROM orders
+    """,
+    "json_quarantine": """
+        WITH lines AS (
+            SELECT event_id, user_id, event_type, '{"event_id": ' || event_id || ', "user_id": ' ||
+                   CASE WHEN event_id % 91 = 0 THEN '"n/a"' ELSE CAST(user_id AS VARCHAR) END || ', "event_type": "' || event_type || '"}' AS line
+            FROM events
+        ),
+        judged AS (
+            SELECT *, CASE WHEN event_id % 50 = 0 THEN 'not JSON' WHEN event_id % 77 = 0 THEN 'not an object'
+                           WHEN event_id % 91 = 0 THEN 'unreadable values: user_id' END AS reason,
+                   CASE WHEN event_id % 50 = 0 THEN substr(line, 1, 24) WHEN event_id % 77 = 0 THEN '[' || event_id || ']' ELSE line END AS raw
+            FROM lines
+        )
+        SELECT CASE WHEN reason IS NULL THEN event_id END AS event_id, CASE WHEN reason IS NULL THEN user_id END AS user_id,
+               CASE WHEN reason IS NULL THEN event_type END AS event_type, reason, CASE WHEN reason IS NOT NULL THEN raw END AS raw
+        FROM judged
+    """,
     "silver_upsert": f"""
         WITH lines AS ({_LINES}),
         batches AS (
