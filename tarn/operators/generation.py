@@ -64,6 +64,19 @@ def generated(prompt: Column, generator: Generator) -> Column:
     return once(call_model)(prompt)
 
 
+def _pieces(rows: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """Rows with ``_place``, a hash of the order columns, and long texts as several rows, numbered by ``_piece``."""
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
+    rows = rows.withColumn("_place", F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"))
+    chars = max(1, most // 4)  # a character takes four bytes at most
+    cut = F.transform(
+        F.sequence(F.lit(0), F.floor((F.char_length("_text") - 1) / chars).cast("int")),
+        lambda i: F.substring(F.col("_text"), i * chars + 1, F.lit(chars)),
+    )
+    pieces = F.when(F.octet_length("_text") > most, cut).otherwise(F.array("_text"))
+    return rows.select(*[c for c in rows.columns if c != "_text"], F.posexplode(pieces).alias("_piece", "_text"))
+
+
 def folded(
     df: DataFrame,
     key: str,
@@ -77,30 +90,36 @@ def folded(
 
     A hash of the ``order`` columns, which should identify a row, deals a key's rows into chunks of about
     ``chunk_bytes``; a chunk's texts are joined in that order and summarized, and summaries are combined in
-    rounds until one is left. A key with a third of all rows is so spread like any other. ``prompt`` goes
+    rounds until one is left. A key with a third of all rows is so spread like any other. Equal texts of a chunk are one line
+    with the number of times, counted before the shuffle, and a text of more than ``chunk_bytes`` is cut into pieces that are dealt
+    one by one; so no prompt grows with repeats or with a single text. ``prompt`` goes
     before and after the key, and the texts follow it. Offline, a chunk's summary is its first line and its
     number of rows, and the last line counts them all. Rows without a text are left out.
     """
     rows = df.select(key, *[c for c in dict.fromkeys(order) if c not in (key, text)], F.col(text).cast("string").alias("_text"))
     rows = rows.where(F.col("_text").isNotNull())
     order = [("_text" if c == text else c) for c in order]
+    rows = _pieces(rows, order, chunk_bytes)
     # One row per key, stored so that Spark knows how small it is.
     sizes = cut_lineage(
         rows.groupBy(F.col(key).alias("_key")).agg(
             F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("_text")) / chunk_bytes)).cast("bigint").alias("_chunks")
         )
     )
-    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
-    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    place = F.col("_place") + F.col("_piece")
+    times = F.when(F.col("_n") > 1, F.concat(F.lit(" ("), F.col("_n"), F.lit(" times)"))).otherwise("")
+    said = F.col("_text") if generator is None else F.concat("_text", times)
     chunks = (
         rows.join(sizes, F.col(key).eqNullSafe(F.col("_key")))
         .withColumn("_part", F.pmod(place, F.col("_chunks")))
+        .groupBy(key, "_part", "_text")
+        .agg(F.min(F.struct(*order, "_piece")).alias("_first"), F.count("*").alias("_n"), F.count_if(F.col("_piece") == 0).alias("_rows"))
         .groupBy(key, "_part")
         .agg(
             F.concat_ws(
-                "\n", F.array_sort(F.collect_list(F.struct(*order, F.col("_text").alias("_said")))).getField("_said")
+                "\n", F.array_sort(F.collect_list(F.struct("_first", said.alias("_said")))).getField("_said")
             ).alias("_texts"),
-            F.count("*").alias("_rows"),
+            F.sum("_rows").alias("_rows"),
         )
     )
     before, after = prompt

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.vectors import matrix_of, once
-from tarn.operators.ranking import top_n_per_group
+from tarn.operators.ranking import first_per_key, top_n_per_group
 from tarn.session import cut_lineage, remove_path, scratch_path
 
 # Scores are compared after rounding, so the last bits of a sum never decide between copies.
@@ -26,6 +26,7 @@ SCORE_DIGITS = 9
 QUESTION_BYTES = 64 << 20
 QUERY_BLOCK = 512
 CELL, ANGLE, BATCH = "_cell", "_angle", "_batch"
+ROW = "_row"
 # Centres that go to every task.
 CENTRE_BYTES = 64 << 20
 
@@ -115,17 +116,29 @@ def _final(hits: DataFrame, ties: list[str], k: int) -> DataFrame:
     return top_n_per_group(hits, ["query_id"], order, k)
 
 
+def _marked(vectors: DataFrame, apart: Sequence[str] = ()) -> DataFrame:
+    """Rows with a hash of all they hold: rows that share their tie columns are told apart unless they are equal."""
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields if f.name not in apart}
+    usable = [c for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind]
+    return vectors.withColumn(ROW, F.xxhash64(*[F.col(f"`{c}`") for c in usable]))
+
+
 def _with_rows(hits: DataFrame, vectors: DataFrame, ties: list[str], vector: str) -> DataFrame:
-    """The remaining columns of the rows that were found."""
-    rest = [c for c in vectors.columns if c != vector and c not in ties]
+    """The remaining columns of the rows that were found.
+
+    ``ties`` and the row's hash lead to it. Equal rows are each a hit of their own, and any of them has the columns of all; so one per
+    key is looked up, cut in each task, and a row that repeats very often is not multiplied by its hits.
+    """
+    own = [c for c in ties if c != ROW]
+    rest = [c for c in vectors.columns if c not in (vector, ROW, *own)]
     if not rest:
-        return hits.select("query_id", *ties, "score", "rank")
-    found = hits.alias("h").join(
-        vectors.drop(vector).alias("v"),
-        functools.reduce(operator.and_, [F.col(f"h.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ties]),
-    )
-    columns = [F.col(f"h.{c}" if c in ties else f"v.{c}") for c in vectors.columns if c != vector]
-    return found.select("h.query_id", *columns, "h.score", "h.rank")
+        return hits.select("query_id", *own, "score", "rank")
+    keys = hits.select(*ties).distinct()
+    same = lambda left, right: functools.reduce(operator.and_, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in ties])
+    met = vectors.drop(vector).alias("v").join(keys.alias("k"), same("v", "k"), "left_semi")
+    found = first_per_key(met, ties, [F.lit(1)])
+    columns = [F.col(f"h.{c}" if c in own else f"v.{c}") for c in vectors.columns if c not in (vector, ROW)]
+    return hits.alias("h").join(found.alias("v"), same("h", "v")).select("h.query_id", *columns, "h.score", "h.rank")
 
 
 @dataclass
@@ -200,7 +213,7 @@ def cosine_topk(
 
     Questions go to every task, in as many rounds as they need; each round reads the vectors once.
     """
-    ties = list(ties)
+    vectors, ties = _marked(vectors), [*ties, ROW]
     dim = _dim_of(queries, vector) if dim is None else dim
     schema = _hit_schema(vectors, ties, queries.schema["query_id"].dataType)
     rounds = (asked for asked in _rounds(queries, vector, dim, question_bytes) if len(asked.ids))
@@ -328,13 +341,14 @@ def search_index(
     than the angle to its centre less its radius; so a second look takes the cells that could hold a better row,
     and no others. ``probes`` changes the work, not the answer. At worst every cell is read.
     """
-    ties = list(ties)
+    ties = [*ties, ROW]
     stored, _ = read_centres(spark, path)
     size = stored.agg(F.count("*").alias("cells"), F.max(F.size("centre")).alias("dim")).first()
     if size.cells and size.cells * size.dim * 8 > CENTRE_BYTES:
         raise ValueError("the index has more centres than can be sent to every task")
     known = stored.orderBy("cell").collect()
-    rows = spark.read.parquet(f"{path}/rows").withColumn(CELL, F.col(CELL).cast("int")).drop(BATCH)
+    rows = spark.read.parquet(f"{path}/rows").drop(BATCH)
+    rows = _marked(rows, (CELL, ANGLE)).withColumn(CELL, F.col(CELL).cast("int"))
     schema = _hit_schema(rows, ties, queries.schema["query_id"].dataType)
     if not known:
         return _with_rows(_final(spark.createDataFrame([], schema), ties, k), rows.drop(CELL, ANGLE), ties, vector)

@@ -9,13 +9,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.moments import AsOf
+from tarn.functions.moments import AsOf, parse_day
 from tarn.functions.vectors import DEFAULT_DIM
 from tarn.operators.content import Embedder, embed, embedding_rows
 from tarn.operators.generation import Generator, anomaly_report, daily_digest, rag_answer, rag_context
 from tarn.operators.outliers import isolation_forest
 from tarn.operators.similarity import cosine_topk
 from tarn.operators.vector_store import changed_embedding_rows
+from tarn.session import cut_lineage
 from tarn.sources.lake import Lake, is_absent, read_day, read_table, with_source_date, write_day
 from tarn.sources.objects import subfolders
 from tarn.sources.paths import pattern_of, table_root
@@ -108,9 +109,10 @@ def flag_outliers(
     newest: int | None = None,
     generator: Generator | None = None,
 ) -> DataFrame:
-    """Score the vectors of a source; scores go to ``anomalies/<source>``, the report to ``anomaly_reports/<source>``.
+    """Score the vectors of a source; the day's scores go to ``anomalies/<source>``, the report to ``anomaly_reports/<source>``.
 
-    Returns the stored report.
+    All rows (or the ``newest``) make up the forest and the report, but each day stores the scores of its own rows only, so
+    that what is stored grows with the table. Returns the stored report.
     """
     rows = embeddings(lake, source).select("id", "content", "embedding", "source_date")
     flagged = isolation_forest(
@@ -120,7 +122,9 @@ def flag_outliers(
         contamination,
         newest=None if newest is None else ("source_date", newest),
     )
-    write_day(flagged, lake.root, day, source=source, area="anomalies")
+    flagged = cut_lineage(flagged)
+    own = flagged.where(F.col("source_date") == F.lit(parse_day(day)).cast("date"))
+    write_day(own, lake.root, day, source=source, area="anomalies")
     report = anomaly_report(flagged, source, ["source_date", "id"], generator)
     root = write_day(with_source_date(report, day), lake.root, day, source=source, area="anomaly_reports")
     return read_day(lake.spark, pattern_of(root), day).select("source", "report")

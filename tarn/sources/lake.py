@@ -375,13 +375,18 @@ class Lake:
                 name = ".".join(parts)
                 if name in allowed and name in self.patterns:
                     text = text[:start] + view(self.table(name)) + text[stop + 1 :]
-                elif names is not None and name not in made and name.lower() not in defined:
+                elif names is not None and name not in made and (name.lower() not in defined or self._exists(name)):
+                    # A name that WITH defines may still mean the table of that name where the definition is not visible.
                     raise PermissionError(f"no access to {name}")
             return self.spark.sql(text)
         finally:
             for name in made:
                 self.spark.catalog.dropTempView(name)
 
+    def _exists(self, name: str) -> bool:
+        """Whether there is a table or view of that name, whatever a query defines itself."""
+        return self.spark.catalog.tableExists(name)
+
     def schemas(self, merge_schema: bool = True, threads: int = 8) -> dict[str, list[tuple[str, str]]]:
         """Columns of every readable table from the file footers; unreadable tables are skipped."""
 

@@ -39,7 +39,7 @@ def _plain(value):
 #: Queries whose order of rows is part of the answer, and is complete.
 ORDERED = frozenset(
     """recent_charges top_products daily_revenue monthly_churn top_products_net signups_vs_won orders_by_weather
-    preview_rows newest_events visible_catalogs lake_sql_cosine""".split()
+    preview_rows newest_events visible_catalogs""".split()
 )
 
 

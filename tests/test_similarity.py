@@ -133,3 +133,16 @@ def test_wrong_length_is_an_error(spark):
 def test_cosine_of_a_row(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert rows(df.select(cosine(F.col("a"), F.col("b")))) == [(0.96,), (None,)]
+
+
+def test_rows_that_share_an_id_are_hits_once_each(spark, tmp_path):
+    same = [("x", [1.0, 0.1 * (i % 3)], f"text {i % 3}", None) for i in range(50)]
+    df = spark.createDataFrame([*same, ("y", [0.0, 1.0], "other", None)], "id string, embedding array<double>, content string, note string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "query_id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    similarity.build_index(df, path, 2, cells=2)
+    for got in (similarity.cosine_topk(df, asked, 5, dim=2), similarity.search_index(spark, path, asked, 5)):
+        found = sorted((r.query_id, r["rank"], r.id, r.content) for r in got.collect())
+        assert found[:5] == [(1, n, "x", "text 0") for n in range(1, 6)]
+        assert found[5:] == [(2, 1, "y", "other")] + [(2, n, "x", "text 2") for n in range(2, 6)]
+        assert got.columns == ["query_id", "id", "content", "note", "score", "rank"]
