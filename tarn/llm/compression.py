@@ -1,4 +1,4 @@
-"""Quality rules: compression bands of whole documents and fixed chunks."""
+"""Quality rules: compression bands of whole documents and fixed chunks, whatever script they are written in."""
 
 from __future__ import annotations
 
@@ -18,9 +18,11 @@ from tarn.llm.words import Texts, passes
 #: Bytes of a chunk, and the largest share of a document's chunks that may lie outside their band; one alone never decides.
 CHUNK_BYTES = 2048
 MOST_ODD_CHUNKS = 1 / 3
-#: Classes of length in an octave; rows that a class takes its statistics from at least, and over how many classes on
-#: each side it looks for them at least and at most.
-STEPS, LEAST_ROWS, NEAR, FAR = 16, 200, 4, 16
+#: Classes of length in an octave; rows that a class takes its statistics from if it can, and over how many classes on
+#: each side it looks for them at least and at most; rows that the fixed bands count for.
+STEPS, WANTED_ROWS, NEAR, FAR, BAND_ROWS = 16, 200, 4, 16, 20
+#: Code points below this are ranked by a table, which is faster than sorting.
+SMALL_POINTS = 0x3000
 #: Spreads that a ratio may lie below and above the centre of its class. Names, keys and rare words push
 #: honest texts up; nothing honest packs far better than its neighbours.
 BELOW, ABOVE, CHUNK_BELOW, CHUNK_ABOVE = 4.5, 6.0, 4.0, 6.0
@@ -59,11 +61,34 @@ FIELDS = (
 )
 
 
-def in_band(sizes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-    """Whether each ratio lies in the band for its number of bytes."""
+def band(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest ratio of the fixed bands for numbers of bytes."""
     limits = np.array(BANDS)
     row = np.searchsorted(limits[:, 0], sizes, side="right") - 1
-    return (ratios >= limits[row, 1]) & (ratios <= limits[row, 2])
+    return limits[row, 1], limits[row, 2]
+
+
+def in_band(sizes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Whether each ratio lies in the band for its number of bytes."""
+    low, high = band(sizes)
+    return (ratios >= low) & (ratios <= high)
+
+
+def own_alphabet(points: np.ndarray) -> bytes:
+    """Code points as numbers of the text's own alphabet, one byte each, or two where it has more than 256 letters.
+
+    How many bytes UTF-8 gives to a letter says nothing about a text; a text written in other letters, one for one, gives the same
+    bytes up to the order of its alphabet.
+    """
+    most = int(points.max(initial=0))
+    if most < SMALL_POINTS:
+        used = np.zeros(most + 1, bool)
+        used[points] = True
+        ranks, letters = (np.cumsum(used) - 1)[points], int(used.sum())
+    else:
+        alphabet, ranks = np.unique(points, return_inverse=True)
+        letters = len(alphabet)
+    return ranks.astype("u1" if letters <= 256 else "<u2" if letters <= 1 << 16 else "<u4").tobytes()
 
 
 def repeats(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,16 +133,23 @@ def base_counts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 def compression(texts: Texts, compressor: zstandard.ZstdCompressor) -> tuple[np.ndarray, np.ndarray, list[list[float]]]:
-    """Sizes in bytes, ratios of whole texts, and the ratios of the chunks of each text that is longer than one."""
-    sizes = np.diff(texts.bounds)
-    ratios, chunks = np.zeros(len(texts)), []
-    view = memoryview(np.ascontiguousarray(texts.data))
-    for i, (start, end) in enumerate(zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist())):
+    """Sizes in bytes, ratios of whole texts, and the ratios of the chunks of each text that is longer than one.
+
+    All of texts in their own alphabets (see ``own_alphabet``).
+    """
+    points = np.frombuffer(texts.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    lead = np.zeros(len(texts.data) + 1, np.int64)
+    np.cumsum((texts.data & 0xC0) != 0x80, out=lead[1:])
+    bounds = lead[texts.bounds].tolist()
+    sizes, ratios, chunks = np.zeros(len(texts), np.int64), np.zeros(len(texts)), []
+    for i, (start, end) in enumerate(zip(bounds, bounds[1:])):
         parts = []
-        if end > start:
-            ratios[i] = len(compressor.compress(view[start:end])) / (end - start)
-        if end - start > CHUNK_BYTES:
-            cuts = [(a, min(a + CHUNK_BYTES, end)) for a in range(start, end, CHUNK_BYTES)]
+        view = memoryview(own_alphabet(points[start:end]))
+        size = sizes[i] = len(view)
+        if size:
+            ratios[i] = len(compressor.compress(view)) / size
+        if size > CHUNK_BYTES:
+            cuts = [(a, min(a + CHUNK_BYTES, size)) for a in range(0, size, CHUNK_BYTES)]
             parts = [len(compressor.compress(view[a:b])) / (b - a) for a, b in cuts]
         chunks.append(parts)
     return sizes, ratios, chunks
@@ -125,23 +157,20 @@ def compression(texts: Texts, compressor: zstandard.ZstdCompressor) -> tuple[np.
 
 @dataclass
 class Limits:
-    """Centre and spread of the ratios by class of length, where enough rows have about that length."""
+    """Least and greatest ratio by class of length, as far as rows have about that length."""
 
     classes: np.ndarray
-    centre: np.ndarray
-    spread: np.ndarray
-    below: float
-    above: float
+    least: np.ndarray
+    greatest: np.ndarray
 
     def inside(self, sizes: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-        """Whether each ratio lies in the fixed band and, where its length has statistics, in theirs."""
+        """Whether each ratio lies in the fixed band and, where rows have its length, in their limits."""
         good = in_band(sizes, ratios)
         if len(self.classes) and len(sizes):
             at = np.log2(np.maximum(sizes, 1)) * STEPS
             known = (at >= self.classes[0]) & (at < self.classes[-1] + 1)
-            off = ratios - np.interp(at - 0.5, self.classes, self.centre)
-            spread = np.interp(at - 0.5, self.classes, self.spread)
-            good &= ~known | ((off >= -self.below * spread) & (off <= self.above * spread))
+            low, high = (np.interp(at - 0.5, self.classes, x) for x in (self.least, self.greatest))
+            good &= ~known | ((ratios >= low) & (ratios <= high))
         return good
 
 
@@ -157,7 +186,8 @@ def fit_limits(classes: np.ndarray, ratios: np.ndarray, counts: np.ndarray, belo
 
     A class looks at its neighbours until it sees enough rows, and takes out how the ratio falls with length there (a line
     through the medians of the shorter and of the longer half). Centre and spread are the median and the quartile
-    range of what is left, so a quarter of the rows may be junk without moving them far.
+    range of what is left, so a quarter of the rows may be junk without moving them far. These limits and those of the fixed band are
+    averaged, the band counting like ``BAND_ROWS`` rows: with few rows the band decides, with many they do.
     """
     order = np.argsort(classes, kind="stable")
     classes, ratios, counts = classes[order], ratios[order], counts[order]
@@ -165,10 +195,8 @@ def fit_limits(classes: np.ndarray, ratios: np.ndarray, counts: np.ndarray, belo
     for k in np.unique(classes).tolist():
         for reach in range(NEAR, FAR + 1):
             near = slice(*np.searchsorted(classes, [k - reach, k + reach + 1]))
-            if counts[near].sum() >= LEAST_ROWS:
+            if counts[near].sum() >= WANTED_ROWS:
                 break
-        else:
-            continue
         x, y, n = classes[near] - k, ratios[near], counts[near]
         shorter = x <= _quantiles(x, n, 0.5)[0]
         slope = 0.0
@@ -177,9 +205,12 @@ def fit_limits(classes: np.ndarray, ratios: np.ndarray, counts: np.ndarray, belo
             y0, y1 = (_quantiles(y[half], n[half], 0.5)[0] for half in (shorter, ~shorter))
             slope = min(0.0, (y1 - y0) / (x1 - x0))
         low, centre, high = _quantiles(y - slope * x, n, 0.25, 0.5, 0.75)
-        found.append((k, centre, max((high - low) / 1.349, LEAST_SPREAD)))
+        spread = max((high - low) / 1.349, LEAST_SPREAD)
+        share = n.sum() / (n.sum() + BAND_ROWS)
+        least, greatest = (float(v) for v in band(np.array(2.0 ** ((k + 0.5) / STEPS))))
+        found.append((k, share * (centre - below * spread) + (1 - share) * least, share * (centre + above * spread) + (1 - share) * greatest))
     table_ = np.array(found, float).reshape(-1, 3)
-    return Limits(table_[:, 0], table_[:, 1], table_[:, 2], below, above)
+    return Limits(table_[:, 0], table_[:, 1], table_[:, 2])
 
 
 def learn_limits(measured: DataFrame, digest: str, size: str, chunks: str) -> list[Limits]:

@@ -98,3 +98,40 @@ def test_limits_come_from_the_rows(spark):
     assert not any(got[400 + i].kept for i in range(12))
     assert all(got[i].odd_chunks > compression.MOST_ODD_CHUNKS for i in range(400, 412))
     assert all(got[412 + i].kept for i in range(300))
+
+
+def test_a_small_script_is_judged_like_the_large_one(spark):
+    """Clean English documents, and the same ones in Cyrillic letters, one for one: what is kept is the same."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    clean = docs.where("lang = 'en'").join(labels.where("quality = 1 AND toxic = 0"), "doc_id", "left_semi").orderBy("doc_id").limit(400)
+    letters = "".join(chr(ord("а") + i) for i in range(26))
+    written = clean.select(
+        (F.col("doc_id") + 10_000_000).alias("doc_id"), F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", letters).alias("text"))
+    plain = clean.select((F.col("doc_id") + 20_000_000).alias("doc_id"), F.lower("text").alias("text"))
+    got = {r.doc_id: r.kept for r in compression.quality_rules(docs.select("doc_id", "text").unionByName(written)).collect()}
+    latin = {r.doc_id: r.kept for r in compression.quality_rules(docs.select("doc_id", "text").unionByName(plain)).collect()}
+    ids = [r.doc_id for r in clean.collect()]
+    assert [got[i + 10_000_000] for i in ids] == [latin[i + 20_000_000] for i in ids]
+    assert all(got[i] == got[i + 10_000_000] for i in ids) and sum(got[i] for i in ids) > 350
+
+
+def test_alphabets():
+    import numpy as np
+
+    points = lambda s: np.array([ord(c) for c in s], np.uint32)
+    assert compression.own_alphabet(points("")) == b"" and compression.own_alphabet(points("aba")) == b"\0\1\0"
+    assert compression.own_alphabet(points("жюж")) == compression.own_alphabet(points("😀😁😀")) == b"\0\1\0"
+    many = points("".join(chr(0x4E00 + i) for i in range(300)))
+    assert len(compression.own_alphabet(many)) == 600
+
+
+def test_few_rows_lean_on_the_bands_and_more_rows_on_themselves():
+    import numpy as np
+
+    def limits(n):
+        return compression.fit_limits(np.full(n, 160), np.full(n, 0.5) + np.arange(n) % 5 / 100, np.ones(n, int), 4, 6)
+
+    widths = [float(x.greatest[0] - x.least[0]) for x in map(limits, (1, 10, 100, 10_000))]
+    assert widths == sorted(widths, reverse=True) and widths[0] > 0.6 and widths[-1] < 0.3
