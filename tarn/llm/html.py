@@ -46,11 +46,8 @@ FRAME = frozenset("html body main".split())
 #: A paragraph beside an article in the page's frame ends like a sentence or is so long.
 LONG_PARAGRAPH = 80
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*(?:>|\Z)"
-    r"|</?[a-zA-Z][^<>]*\Z",
-    re.S,
-)
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _COMMAS = re.compile("[,、，،]")
@@ -58,20 +55,76 @@ _SENTENCE = re.compile("[.!?。！？؟…][\"'”’»)]*$")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "outside", "other", "score", "chars", "linked", "order")
+    __slots__ = ("tag", "parent", "outside", "other", "score", "chars", "linked", "order", "levels")
 
     def __init__(self, tag: str, parent: _Node | None, outside: bool, order: int, other: bool = False):
         self.tag, self.parent, self.outside, self.order, self.other = tag, parent, outside, order, other
         self.score, self.chars, self.linked = 0.0, 0, 0
+        # Points held here, by its children, by theirs, and below these.
+        self.levels = [0.0, 0.0, 0.0, 0.0]
+
+
+class _Tags:
+    """The page's tags in order, read once: no place is looked at again, whatever quotes and brackets are open."""
+
+    def __init__(self, html: str):
+        self.html, self.at = html, 0
+        self.last = {q: html.rfind(q) for q in "\"'>"}
+        self.quotes = True
+
+    def _tag_end(self, at: int) -> int:
+        """The bracket that ends a tag, -1 if none does. Brackets in quotes do not, as long as quotes are closed."""
+        first, start = -1, at
+        while self.quotes:
+            stop = _STOP.search(self.html, at)
+            if stop is None:
+                break
+            at = stop.start()
+            if stop[0] == ">":
+                return at
+            at = self.html.index(stop[0], at + 1) + 1 if self.last[stop[0]] > at else at + 1
+        # No bracket is left outside of quotes: from here on quotes mean nothing.
+        self.quotes = False
+        first = self.html.find(">", start) if self.last[">"] >= start else -1
+        return first
+
+    def next(self) -> tuple[str, str, str, str] | None:
+        """Text up to the next tag, what kind of tag it is (open, close, other or none), its name and its attributes."""
+        html, begin, look = self.html, self.at, self.at
+        while True:
+            at = html.find("<", look)
+            if at < 0:
+                self.at = len(html)
+                return (html[begin:], "none", "", "") if begin < len(html) else None
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                self.at = end + 3 if end >= 0 else len(html)
+                return html[begin:at], "other", "", ""
+            if html.startswith(("<!", "<?"), at):
+                end = html.find(">", at) if self.last[">"] > at else -1
+                self.at = end + 1 if end >= 0 else len(html)
+                return html[begin:at], "other", "", ""
+            closing = html.startswith("/", at + 1)
+            name = _TAG_NAME.match(html, at + 1 + closing)
+            if name is None:
+                look = at + 1
+                continue
+            end = (html.find(">", name.end()) if self.last[">"] >= name.end() else -1) if closing else self._tag_end(name.end())
+            self.at = end + 1 if end >= 0 else len(html)
+            if end < 0:
+                return html[begin:at], "other", "", ""
+            return html[begin:at], "close" if closing else "open", name[0].lower(), html[name.end() : end]
 
 
 def _is_outside(tag: str, attributes: str) -> bool:
     """Whether an element holds something other than the article."""
-    return tag in OUTSIDE or (tag not in KEPT_TAGS and _is_other(attributes))
+    if tag in OUTSIDE or tag in KEPT_TAGS:
+        return tag in OUTSIDE
+    return _is_other(attributes, READERS if tag in PARAGRAPHS else OTHER_WORDS)
 
 
-def _is_other(attributes: str) -> bool:
-    """Whether attributes hide an element or name something other than the article."""
+def _is_other(attributes: str, others: frozenset[str] = OTHER_WORDS) -> bool:
+    """Whether attributes hide an element or name something other than the article, in one of the words ``others``."""
     if not attributes:
         return False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -83,26 +136,24 @@ def _is_other(attributes: str) -> bool:
             return True
         if name in ("class", "id", "role"):
             words = set(_WORDS.findall(value))
-            if words & OTHER_WORDS and (words & READERS or not words & OWN_WORDS):
+            if words & others and (words & READERS or not words & OWN_WORDS):
                 return True
     return False
 
 
-def parse_page(html: str) -> list[tuple[_Node, str, int]]:
-    """The page's blocks of text in order: the element that holds each, its text, and its characters inside links."""
+def parse_page(html: str) -> tuple[list[tuple[_Node, str, int]], list[_Node]]:
+    """The page's blocks of text in order (the element that holds each, its text, its characters inside links), and all elements.
+
+    Time grows with the page's length alone: tags are read once, and of every kind of tag it is known where the innermost open one is.
+    """
     root = _Node("html", None, False, 0)
     open_: list[_Node] = [root]
+    nodes = [root]
+    places: dict[str, list[int]] = {"html": [0]}
     blocks: list[tuple[_Node, str, int]] = []
     words: list[str] = []
     linked = links = 0
-    made, at = 0, 0
-
-    def text(raw: str) -> None:
-        nonlocal linked
-        if raw:
-            words.append(raw)
-            if links:
-                linked += len(raw)
+    tags = _Tags(html)
 
     def flush() -> None:
         nonlocal linked, links
@@ -113,25 +164,25 @@ def parse_page(html: str) -> list[tuple[_Node, str, int]]:
                 blocks.append((open_[-1], said, min(linked, len(said))))
         linked = links = 0
 
-    def close(tag: str) -> None:
-        for depth in range(len(open_) - 1, 0, -1):
-            if open_[depth].tag == tag:
-                del open_[depth:]
-                return
+    def innermost(kinds) -> int:
+        return max((places[t][-1] for t in kinds if places.get(t)), default=0)
 
-    while True:
-        found = _TOKEN.search(html, at)
-        if not found:
-            text(html[at:])
-            break
-        text(html[at : found.start()])
-        at = found.end()
-        if found[1]:
-            tag = found[1].lower()
+    def cut(depth: int) -> None:
+        """Close the element at ``depth`` and all inside it; the root stays."""
+        while depth and len(open_) > depth:
+            places[open_.pop().tag].pop()
+
+    while found := tags.next():
+        raw, kind, tag, attributes = found
+        if raw:
+            words.append(raw)
+            if links:
+                linked += len(raw)
+        if kind == "open":
             if tag in RAW:
-                if not found[2].endswith("/"):
-                    end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(html, at)
-                    at = end.end() if end else len(html)
+                if not attributes.endswith("/"):
+                    end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(html, tags.at)
+                    tags.at = end.end() if end else len(html)
             elif tag == "br":
                 words.append(" ")
             elif tag == "a":
@@ -141,29 +192,47 @@ def parse_page(html: str) -> list[tuple[_Node, str, int]]:
                 if tag in VOID:
                     continue
                 if open_[-1].tag == "p" or (open_[-1].tag in HEADINGS and tag in PARAGRAPHS):
-                    open_.pop()
+                    cut(len(open_) - 1)
                 if tag in CLOSES:
                     shut, until = CLOSES[tag]
-                    for depth in range(len(open_) - 1, 0, -1):
-                        if open_[depth].tag in until:
-                            break
-                        if open_[depth].tag in shut:
-                            del open_[depth:]
-                            break
-                if tag == "html" or (tag == "body" and any(n.tag == "body" for n in open_)):
+                    if innermost(shut) > innermost(until):
+                        cut(innermost(shut))
+                if tag == "html" or (tag == "body" and places.get("body")):
                     continue
-                made += 1
-                outside = open_[-1].outside or _is_outside(tag, found[2])
-                open_.append(_Node(tag, open_[-1], outside, made, tag == "article" and _is_other(found[2])))
-        elif found[3]:
-            tag = found[3].lower()
+                outside = open_[-1].outside or _is_outside(tag, attributes)
+                node = _Node(tag, open_[-1], outside, len(nodes), tag == "article" and _is_other(attributes))
+                places.setdefault(tag, []).append(len(open_))
+                open_.append(node)
+                nodes.append(node)
+        elif kind == "close":
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS or tag in OUTSIDE:
                 flush()
-                close(tag)
+                if places.get(tag):
+                    cut(places[tag][-1])
     flush()
-    return blocks
+    return blocks, nodes
+
+
+def _score(blocks: list[tuple[_Node, str, int]], nodes: list[_Node]) -> None:
+    """Give every element its points and characters, from the innermost outwards; each is looked at once."""
+    for node, said, linked in blocks:
+        holder = node.parent if node.tag in PARAGRAPHS and node.parent else node
+        size = len(said)
+        holder.levels[0] += (min(size, 25) / 25 + len(_COMMAS.findall(said)) + min(size / 100, 3)) * (1 - linked / size)
+        holder.chars += size
+        holder.linked += linked
+    for node in reversed(nodes):
+        own, children, theirs, below = node.levels
+        node.score = own + children / 2 + theirs / 6 + below / 12
+        if node.parent:
+            up = node.parent
+            up.chars += node.chars
+            up.linked += node.linked
+            up.levels[1] += own
+            up.levels[2] += children
+            up.levels[3] += theirs + below
 
 
 def main_text(html: str | None) -> str:
@@ -172,27 +241,19 @@ def main_text(html: str | None) -> str:
     Each paragraph earns points for its length and commas, less by its share of linked text; its parent gets them
     all, the grandparent half, those above a shrinking part. The container with most points (discounted by its own
     share of links) is the article, or the ``article`` or ``main`` element around it, or one inside with at least half
-    of its points; siblings that score like it, and paragraphs beside it, belong to it. So they do beside an ``article``,
-    with the other articles that score like it, wherever they stand, and with what holds the page's title; in ``main``
+    of its points. What stands beside it belongs to it: in a parent that is not the page's frame all siblings that are not
+    mostly links, in the frame (``html``, ``body``, ``main``) siblings that score like it, paragraphs, and the headings before it. So it does beside
+    an ``article``, with the other articles that score like it, wherever they stand, and with what holds the page's title; in ``main``
     all levels up to it count as beside. A ``main`` is whole. Elements that hold something else never count.
     """
-    blocks = [b for b in parse_page(html or "") if not b[0].outside]
-    scored: dict[int, _Node] = {}
-    for node, said, linked in blocks:
-        holder = node.parent if node.tag in PARAGRAPHS and node.parent else node
-        size = len(said)
-        points = (min(size, 25) / 25 + len(_COMMAS.findall(said)) + min(size / 100, 3)) * (1 - linked / size)
-        up, level = holder, 0
-        while up:
-            scored[id(up)] = up
-            up.score += points / (1, 2, 6, 12)[min(level, 3)]
-            up.chars += size
-            up.linked += linked
-            up, level = up.parent, level + 1
+    blocks, nodes = parse_page(html or "")
+    blocks = [b for b in blocks if not b[0].outside]
+    _score(blocks, nodes)
+    scored = [n for n in nodes if n.chars]
     if not scored:
         return ""
-    value = {key: n.score * (1 - n.linked / max(n.chars, 1)) for key, n in scored.items()}
-    best = max(scored.values(), key=lambda n: (value[id(n)], -n.order))
+    value = {id(n): n.score * (1 - n.linked / n.chars) for n in scored}
+    best = max(scored, key=lambda n: (value[id(n)], -n.order))
     if value[id(best)] <= 0:
         return ""
     around, up = best, best
@@ -200,30 +261,43 @@ def main_text(html: str | None) -> str:
         up = up.parent
     if up is None:
         # The page's frame may have a little more than the article in it.
-        named = [n for n in scored.values() if n.tag in ("article", "main") and 2 * value[id(n)] >= value[id(best)]]
+        named = [n for n in scored if n.tag in ("article", "main") and 2 * value[id(n)] >= value[id(best)]]
         up = max(named, key=lambda n: (value[id(n)], -n.order), default=None)
     around = up or best
+    above, up = set(), around
+    while up:
+        above.add(id(up))
+        up = up.parent
     kept = {id(around)}
     levels = {} if around.tag == "main" or not around.parent else _levels(around)
     least = 0.2 * value[id(best)]
-    for key, n in scored.items():
-        near = id(n.parent) in levels or (around.tag == n.tag == "article")
-        if near and not n.other and not _holds(n, around) and value[key] >= least:
-            kept.add(key)
+    for n in scored:
+        if n.other or id(n) in above:
+            continue
+        beside = id(n.parent) in levels
+        whole = beside and around.tag != "article" and n.parent.tag not in FRAME and 2 * n.linked <= n.chars
+        if whole or ((beside or around.tag == n.tag == "article") and value[id(n)] >= least):
+            kept.add(id(n))
+    # The element right below one of the levels that each lies in, and whether it lies in what is kept.
+    branch: dict[int, _Node | None] = {}
+    inside: dict[int, bool] = {}
+    for n in nodes:
+        branch[id(n)] = n if id(n.parent) in levels else branch[id(n.parent)] if n.parent else None
     if around.tag == "article":
-        for node, _, _ in blocks:
-            up = node if node.tag == "h1" else None
-            while up and id(up.parent) not in levels:
-                up = up.parent
-            if up and not up.other and not _holds(up, around):
-                kept.add(id(up))
+        titled = {id(branch[id(node)]): branch[id(node)] for node, _, _ in blocks if node.tag == "h1"}
+    else:
+        # Without an article, what stands before the container and holds nothing but headings.
+        titled = {id(branch[id(node)]): branch[id(node)] for node, _, _ in blocks if node.tag in HEADINGS}
+        for node, said, linked in blocks:
+            if node.tag not in HEADINGS or 2 * linked > len(said) or node.order > around.order:
+                titled.pop(id(branch[id(node)]), None)
+    kept |= {key for key, n in titled.items() if n and not n.other and key not in above}
+    for n in nodes:
+        inside[id(n)] = id(n) in kept or (n.parent is not None and inside[id(n.parent)])
 
     def belongs(node: _Node, said: str, linked: int) -> bool:
-        up: _Node | None = node
-        while up:
-            if id(up) in kept:
-                return True
-            up = up.parent
+        if inside[id(node)]:
+            return True
         paragraph = node.tag in PARAGRAPHS
         holder = levels.get(id(node.parent if paragraph else node))
         if holder is None or node.tag == "li" or linked * 4 > len(said):
@@ -236,15 +310,6 @@ def main_text(html: str | None) -> str:
     return "\n".join(said for node, said, linked in blocks if belongs(node, said, linked))
 
 
-def _holds(node: _Node, inner: _Node) -> bool:
-    up: _Node | None = inner
-    while up:
-        if up is node:
-            return True
-        up = up.parent
-    return False
-
-
 def _levels(around: _Node) -> dict[int, _Node]:
     """The elements whose children stand beside a container: its parent, and for an article in ``main`` all up to that."""
     line, up = [], around.parent

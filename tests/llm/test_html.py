@@ -103,3 +103,53 @@ def test_heading_and_lead_beside_the_article(before, after, text):
         assert html.main_text(wrap.format(f"{before}<article>{LONG}</article>{after}")) == text
     inner = f"<body><p>Site, name</p><main>{before}<div class=row><article>{LONG}</article></div>{after}</main></body>"
     assert html.main_text(inner) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div id=wrap><div>{LONG}</div><div><p>That was all.</p></div></div>", f"{LONG_TEXT}\nThat was all."),
+        (f"<div id=wrap><div>{LONG}</div><div><table><tr><td>a<td>1</table></div></div>", f"{LONG_TEXT}\na\n1"),
+        (f"<div id=wrap><div><h1>Title</h1></div><div>{LONG}</div></div>", f"Title\n{LONG_TEXT}"),
+        (f"<body><div><h1>Title</h1></div><div>{LONG}</div></body>", f"Title\n{LONG_TEXT}"),
+        (f"<body><div><h1><a href=/>Site</a></h1></div><div>{LONG}</div><div><h2>Later</h2></div></body>", LONG_TEXT),
+        (f"<article>{LONG}<p class=share>Shares fell, in sharp trading.</p></article>", f"{LONG_TEXT}\nShares fell, in sharp trading."),
+        (f"<article>{LONG}<p class=advert>Buy, now.</p><div class=share><p>Share, it.</p></div></article>", LONG_TEXT),
+        (f"<div id=wrap><div>{LONG}</div><div class=related><p>More, stories, here.</p></div><div><a href=x>Next</a></div></div>", LONG_TEXT),
+    ],
+)
+def test_nothing_beside_the_container_is_lost(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<p title="x > y">a</p>', "a"),
+        ("<p title='x>Hello</p><p>World</p>", "Hello\nWorld"),
+        ("<p>1 < 2 and <3</p>", "1 < 2 and <3"),
+        ("a<!-- never closed <p>b", "a"),
+        ("<p>a</p><!doctype x", "a"),
+        ("<p>a</p ><p>b</", "a\nb</"),
+        ("<p>x<br/>y<a href='q\">z</p>", "x yz"),
+    ],
+)
+def test_broken_tags(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<a "' * 250_000, "<a '\"" * 200_000, "<div>x y z, " * 80_000, "<div>" * 100_000 + "</p>" * 100_000 + "deep",
+        "<div>" * 80_000 + "<li></li>" * 60_000, "<ul><li><ul>" + "<div>" * 80_000 + "<li></li>" * 60_000, "<" * 1_000_000,
+        "<!--" * 250_000, "<p a=\"b> c\"d" * 80_000, "<h1>t</h1>" * 80_000, "<script>" * 120_000, "<!x" * 300_000, "</a" * 300_000,
+        "<div><h1>x</h1>" * 60_000, "<td><div>" * 100_000, "<a href='x>\"" * 90_000 + ">",
+    ],
+)
+def test_a_hostile_megabyte_takes_little_time(page):
+    import time
+
+    began = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - began < 4
