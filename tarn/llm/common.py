@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.session import configure, cut_lineage
@@ -48,6 +49,30 @@ def drop_stage(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def number_repeats(df: DataFrame, columns: list[str], name: str, slice_rows: int = 1 << 17) -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2 ... among the rows that are equal in ``columns``, nulls equal to each other.
+
+    Which of them gets which number is open. Rows that occur once, mostly all, are not moved for it. Others are numbered within slices of at most
+    ``slice_rows`` rows, and slices are counted, so a third of all rows may be equal and no task sees them together.
+    """
+    high, low, at, part, start = (free_name(df, n) for n in ("high", "low", "at", "part", "start"))
+    known = [F.isnull(F.col(f"`{c}`")) for c in columns]
+    hashes = {n: F.xxhash64(F.lit(seed), *known, *[F.col(f"`{c}`") for c in columns]) for n, seed in ((high, 41), (low, 42))}
+    keyed = df.withColumns(hashes)
+    many = stage(keyed.select(high, low).groupBy(high, low).count().where("count > 1").select(high, low))
+    if many.isEmpty():
+        return df.withColumn(name, F.lit(0).cast("long"))
+    once = keyed.join(many, [high, low], "left_anti").withColumn(name, F.lit(0).cast("long"))
+    again = stage(keyed.join(many, [high, low], "left_semi").withColumn(at, F.monotonically_increasing_id()))
+    again = again.withColumn(part, F.floor(F.col(at) / slice_rows).cast("long"))
+    earlier = W.partitionBy(high, low).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    starts = again.groupBy(high, low, part).agg(F.count("*").alias(start))
+    starts = starts.withColumn(start, F.coalesce(F.sum(start).over(earlier), F.lit(0)))
+    place = F.row_number().over(W.partitionBy(high, low, part).orderBy(at)) - 1
+    numbered = again.withColumn(name, place).join(starts, [high, low, part]).withColumn(name, F.col(name) + F.col(start))
+    return once.select(*df.columns, name).unionByName(numbered.select(*df.columns, name))
+
+
 def drawn(share: float, seed: int, *columns: Column) -> Column:
     """Whether a row is in a sample of ``share``: 53 bits of a hash of ``columns``, exact as a double, decide."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarn.llm.common import free_name, stage, table, word_count
+from tarn.llm.common import free_name, number_repeats, stage, table, word_count
 
 #: Rows that one window of the running sums should hold.
 BUCKET_ROWS = 4096
@@ -56,9 +56,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epo
     )
 
 
-def sampling_key(identity: Column, quality: Column, seed: int) -> Column:
+def sampling_key(identity: Sequence[Column], quality: Column, seed: int) -> Column:
     """An exponential variable with rate ``quality``, fixed by ``identity`` and the seed."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(identity.cast("string"), F.lit("null"))))
+    parts = [F.coalesce(c.cast("string"), F.lit("null")) for c in identity]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     return -F.ln(uniform) / quality
 
@@ -68,7 +69,7 @@ def mix(
     size: str = "size",
     quality: str = "quality",
     source: str = "source",
-    identity: str = "doc_id",
+    identity: Sequence[str] | str = "doc_id",
     weights: Sequence[int] = (1, 2, 3),
     max_epochs: int = 3,
     seed: int = 7,
@@ -85,9 +86,12 @@ def mix(
     Null sources form a source of their own, a null or negative size counts as 0, rows of size 0 give
     nothing, and a quality that is null or not positive counts as 1e-3. An empty table gives an empty table.
     """
-    names = {wish: free_name(df, wish) for wish in ("key", "bucket", "rows", "rate", "upto", "base", "count", "match")}
+    names = {wish: free_name(df, wish) for wish in ("key", "bucket", "rows", "rate", "upto", "base", "count", "match", "turn")}
     key, bucket, count, match = (F.col(names[n]) for n in ("key", "bucket", "count", "match"))
     out = df.drop("source_size", "target", "taken")
+    identity = [identity] if isinstance(identity, str) else list(identity)
+    numbered = number_repeats(out, [*identity, source], names["turn"])
+    drawn_by = [*[F.col(c) for c in identity], F.col(names["turn"])]
     amount = F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("long")
     rate = F.greatest(F.coalesce(F.col(quality).cast("double"), F.lit(0.0)), F.lit(1e-3))
     same = F.struct(F.col(source).isNull(), F.coalesce(F.col(source).cast("string"), F.lit("")))
@@ -104,8 +108,8 @@ def mix(
         F.col("mean_rate").alias(names["rate"]),
     ))
     keyed = (
-        out.withColumn(names["match"], same)
-        .withColumn(names["key"], sampling_key(F.col(identity), rate, seed))
+        numbered.withColumn(names["match"], same)
+        .withColumn(names["key"], sampling_key(drawn_by, rate, seed))
         .join(targets, names["match"])
         .withColumn(
             names["bucket"],
@@ -115,7 +119,7 @@ def mix(
     sums = keyed.groupBy(match, bucket).agg(F.sum(amount).alias(names["upto"]))
     earlier = W.partitionBy(match).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select(match, bucket, F.coalesce(F.sum(names["upto"]).over(earlier), F.lit(0)).alias(names["base"]))
-    ahead = W.partitionBy(match, bucket).orderBy(key, F.col(identity)).rowsBetween(W.unboundedPreceding, -1)
+    ahead = W.partitionBy(match, bucket).orderBy(key, *drawn_by).rowsBetween(W.unboundedPreceding, -1)
     # Whole words that the source gives, its whole epochs, and what is left for the sample.
     words = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
@@ -132,6 +136,11 @@ def mix(
     )
 
 
+def digest_of(text: Column) -> Column:
+    """Tells texts apart, null and empty ones not."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def quality_of(text: Column) -> Column:
     """A rate from 0.5 to 1: half of it falls away with the share of markup symbols."""
     chars = F.greatest(F.char_length(text), F.lit(1))
@@ -142,9 +151,15 @@ def quality_of(text: Column) -> Column:
 def op3_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sized = stage(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), quality_of(F.col("text")).alias("quality"))
+        docs.select(
+            "doc_id",
+            "source",
+            word_count(F.col("text")).alias("size"),
+            quality_of(F.col("text")).alias("quality"),
+            digest_of(F.col("text")).alias("digest"),
+        )
     )
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(sized, identity=("doc_id", "digest")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""
@@ -152,7 +167,8 @@ WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     coalesce(0.5::DOUBLE + 0.5::DOUBLE
       * (length(translate(text, '#*$%&|<>', ''))::DOUBLE / greatest(length(text), 1)::DOUBLE), 0.5::DOUBLE) AS quality,
-    (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE)
+    (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' ||
+        (row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1)), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE)
       / 4503599627370496::DOUBLE AS u
   FROM documents
 ), sizes AS (
@@ -176,14 +192,14 @@ WITH sized AS (
         / (sum(CASE WHEN stopped THEN 0 ELSE weight END) OVER ())::BIGINT::DOUBLE) END AS target
   FROM stopped
 ), keyed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, t.source, -ln(u) / quality AS k,
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.source, u, -ln(u) / quality AS k,
     floor(target)::BIGINT AS words,
     CASE WHEN t.source_size > 0 THEN floor(target)::BIGINT // t.source_size ELSE 0 END AS epochs
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
   (epochs * size + least(size, greatest(words - epochs * source_size - coalesce(sum(size) OVER (
-    PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT, 0)))::BIGINT AS taken
+    PARTITION BY source ORDER BY k, doc_id, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT, 0)))::BIGINT AS taken
 FROM keyed
 """
 

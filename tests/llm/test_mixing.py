@@ -76,3 +76,42 @@ def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     rows = compare.spark_rows(mixing.op3_mix_sources(spark, sf))
     assert compare.difference(rows, compare.oracle_rows(compare.connect(sf), mixing.ORACLE_SQL)) is None
+
+
+def test_repeated_ids_and_rows_mix_alike_on_every_partitioning(spark, monkeypatch, tmp_path):
+    """Half of the rows share an id and differ in size, a third of them are equal and have no id."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(1, " ".join("abcdefg"[: 1 + i % 7]), "s", str(i)) for i in range(100)]
+    rows += [(None, "x y z", "s", "")] * 100 + [(i, "p q", "t", "") for i in range(10, 110)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    df = df.withColumns({"size": mixing.word_count(F.col("text")), "quality": F.lit(1.0), "digest": mixing.digest_of(F.col("text"))}).drop("note")
+    found = []
+    for parts in (1, 3, 8, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts + 1))
+        got = mixing.mix(df.repartition(parts), identity=("doc_id", "digest"), weights=(1, 3)).collect()
+        found.append(sorted((repr(r.doc_id), r.text, r.source, r.taken) for r in got))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert all(f == found[0] for f in found[1:]) and len(found[0]) == 300
+    equal = [t for i, _, _, t in found[0] if i == "None"]
+    assert len(equal) == 100 and len(set(equal)) > 1
+    df.drop("size", "quality", "digest").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = compare.spark_rows(mixing.op3_mix_sources(spark, str(tmp_path)))
+    con = compare.duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare.difference(rows, compare.oracle_rows(con, mixing.ORACLE_SQL)) is None
+
+
+def test_repeats_are_numbered_in_bounded_slices(spark):
+    from tarn.llm.common import number_repeats
+
+    rows = [(None, "a")] * 500 + [(1, "a")] * 3 + [(1, None)] * 2 + [(i, "b") for i in range(200)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "k long, high string").repartition(parts)
+        got = number_repeats(df, ["k", "high"], "n", slice_rows=16)
+        assert got.columns == ["k", "high", "n"]
+        found = {}
+        for r in got.collect():
+            found.setdefault((r.k, r.high), []).append(r.n)
+        assert sorted(found[None, "a"]) == list(range(500)) and sorted(found[1, "a"]) == [0, 1, 2] and sorted(found[1, None]) == [0, 1]
+        assert len(found) == 203 and all(found[i, "b"] == [0] for i in range(200))
+    assert number_repeats(df.limit(0), ["k"], "n").count() == 0

@@ -86,12 +86,15 @@ def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs, position):
     assert apply(spark, no_docs, SF).count() == 0
 
 
-def test_repeated_ids_are_one_document(spark, tmp_path):
-    rows = [(1, "a b c d e f", "en", "s", 1), (1, "x y z", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "q", None, None, None)]
-    docs = spark.createDataFrame(rows, odd_schema())
+def test_near_copies_go_by_row_whatever_the_ids(spark, tmp_path):
+    long = "a b c d e f"
+    rows = [(1, long, "en", "s", 1), (1, "x y z", "en", "s", 1), (1, long, "en", "s", 1), (2, "q", None, None, None), (3, long, "de", "t", 9)]
+    rows += [(None, "no id but words", None, None, None)] * 3 + [(None, long.upper(), None, None, None), (4, None, "x", None, None), (5, "", "y", None, 0)]
+    docs = spark.createDataFrame(rows, odd_schema()).repartition(3)
     docs.write.parquet(str(tmp_path / "d"))
     got = cp.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "d")), SF).collect()
-    assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c d e f"), (2, "q")]
+    expected = [(1, long), (1, "x y z"), (2, "q"), (None, "no id but words"), (4, None), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(expected, key=repr)
 
 
 def odd_schema():
