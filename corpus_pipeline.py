@@ -25,28 +25,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One row of each group of near copies: the one with the smallest id, rows without an id last.
 
-    Rows that repeat an id are one document; of those that would stay, the one with the smallest text does.
-    Documents without an id or without words are no copies of anything.
+    Rows count by themselves, whatever their ids: of rows that repeat an id those with other texts stay, and equal rows without an
+    id are one group. Rows without words are copies of nothing.
     """
-    classes = stage(ngram_join.jaccard_components(docs))
-    copies = stage(classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    repeated = stage(
-        classes.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    )
-    left = docs.select(COLUMNS).join(copies, "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_anti").select(COLUMNS)
-    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    again = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *others)).alias("row"))
-    return once.unionByName(again.select("doc_id", "row.*"))
+    rows = stage(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    classes = ngram_join.jaccard_components(rows, identity="row").select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    kept = classes.join(rows.select("row", "doc_id"), "row").groupBy("group").agg(first).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them whole, and the first words of one that it takes in part."""
     text = F.col("text")
-    sized = docs.select(*COLUMNS, word_count(text).alias("size"), mixing.quality_of(text).alias("quality"))
-    mixed = mixing.mix(sized).where(F.col("taken") > 0)
+    sized = docs.select(
+        *COLUMNS, word_count(text).alias("size"), mixing.quality_of(text).alias("quality"), mixing.digest_of(text).alias("digest")
+    )
+    mixed = mixing.mix(sized, identity=("doc_id", "digest")).where(F.col("taken") > 0)
     copies, part = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
     words = F.filter(F.split(text, SPACE), lambda w: w != "")
     cut = F.when(part > 0, F.array_join(F.slice(words, F.lit(1), part.cast("int")), " "))
