@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm.common import free_name, stage, table
+from tarn.llm.words import Texts, Words, passes
 
 WINDOW = 4096
 #: What is left of a document after whole windows is cut into pieces of at most so many tokens.
@@ -22,54 +23,131 @@ PIECE = 1024
 #: Windows that one differencing balances.
 BATCH_WINDOWS = 128
 END_ID = 2
-#: Words a task remembers the tokens of, twice.
+#: Words that a worker process remembers the tokens of, at about 40 bytes each.
 CACHE_WORDS = 700_000
 
-_GAPS = re.compile(r"[ \t\n\r]+")
-#: Python takes these for white space, the tokenizer does not.
-_NO_GAPS = "\x1c\x1d\x1e\x1f"
 #: ASCII punctuation without the apostrophe: the tokenizer cuts it off a word's letters.
-_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKS = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
+_LETTERS = np.array([chr(b).isascii() and chr(b).isalpha() for b in range(256)])
 
 
-class WordTokens(dict):
-    """Token ids of words as little-endian unsigned 32-bit numbers.
+class WordTokens:
+    """Token ids of words, as one array, with the 64-bit hashes of the words in order to find them.
 
-    The tokenizer never joins words across white space, lowers case and cuts punctuation off, so each word
-    is looked up, then its lower-case letters, and only what is new is encoded. Of ``CACHE_WORDS`` words and
-    those before them, the ones that were used stay.
+    The tokenizer never joins words across ASCII white space, lowers case and cuts punctuation off. So each distinct word
+    of a pass is looked up, then its lower-case letters, and only what is new is encoded. Beyond ``CACHE_WORDS`` words the half
+    that was used last stays.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        # Tasks share the cores already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.older: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            letters = word.rstrip(_PUNCTUATION)
-            # Beyond Latin letters, lower case may depend on neighbours.
-            plain = letters.isalpha() and max(letters) <= "ÿ"
-            if plain and letters != word:
-                ids = self[letters] + self[word[len(letters) :]]
-            elif plain and not word.islower():
-                ids = self[word.lower()]
-            else:
-                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.older = dict(self)
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+        self.hashes, self.starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.used, self.ids, self.turn = np.zeros(0, np.int32), np.zeros(0, "<u4"), 0
+
+    def _store(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode words; where the ids of each begin, and how many there are."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        starts = len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.ids = np.concatenate([self.ids, np.array([i for ids in found for i in ids], "<u4")])
+        return starts, sizes
+
+    def _add(self, hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.starts = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts)
+        self.sizes, self.used = np.insert(self.sizes, at, sizes), np.insert(self.used, at, self.turn)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for a new one."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def _learn(self, words: Words, fresh: np.ndarray, hashes: np.ndarray) -> None:
+        """Add the words number ``fresh``, whose hashes are ``hashes``, in their order.
+
+        A word of plain letters, with or without punctuation behind it, has the ids of its lower-case letters and of its punctuation.
+        Beyond Latin letters lower case may depend on neighbours, so other words are encoded as they are.
+        """
+        texts, starts, ends = words.texts, words.starts[fresh], words.ends[fresh]
+        data, bare = texts.data, ends.copy()
+        while (trailing := (bare > starts) & _MARKS[data[bare - 1]]).any():
+            bare -= trailing
+        odd = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(~_plain(data), out=odd[1:])
+        plain = (bare > starts) & (odd[bare] == odd[starts])
+        begin, size = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int32)
+        spelled = lambda a, b: [data[i:j].tobytes().decode() for i, j in zip(a.tolist(), b.tolist())]
+        begin[~plain], size[~plain] = self._store(spelled(starts[~plain], ends[~plain]))
+
+        cores = texts.span_hashes(starts[plain], bare[plain], lower=True)
+        distinct, first, which = np.unique(cores, return_index=True, return_inverse=True)
+        new = self._find(distinct) < 0
+        at = np.flatnonzero(plain)[first[new]]
+        own = self._store([w.lower() for w in spelled(starts[at], bare[at])])
+        self._add(distinct[new], *own)
+        place = self._find(distinct)[which]
+        begin[plain], size[plain] = self.starts[place], self.sizes[place]
+
+        both = np.flatnonzero(plain & (bare < ends))
+        marks, first, which = np.unique(texts.span_hashes(bare[both], ends[both], lower=False), return_index=True, return_inverse=True)
+        mark_begin, mark_size = self._store(spelled(bare[both][first], ends[both][first]))
+        pairs = np.stack([begin[both], mark_begin[which]], axis=1).ravel(), np.stack([size[both], mark_size[which]], axis=1).ravel()
+        size[both] += mark_size[which]
+        begin[both] = len(self.ids) + np.cumsum(size[both], dtype=np.int64) - size[both]
+        self.ids = np.concatenate([self.ids, self.ids[_ranges(*pairs)]])
+        unknown = self._find(hashes) < 0
+        self._add(hashes[unknown], begin[unknown], size[unknown])
+
+    def _forget(self) -> None:
+        stays = self.used > np.median(self.used)
+        sizes = self.sizes[stays]
+        self.ids = self.ids[_ranges(self.starts[stays], sizes)]
+        self.hashes, self.used, self.sizes = self.hashes[stays], self.used[stays], sizes
+        self.starts = np.cumsum(sizes, dtype=np.int64) - sizes
+
+    def encode_all(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts side by side, and where each text's begin, with the end."""
+        self.turn += 1
+        words = texts.words(lower=False)
+        distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        new = self._find(distinct) < 0
+        if new.any():
+            self._learn(words, first[new], distinct[new])
+        at = self._find(distinct)
+        self.used[at] = self.turn
+        place = at[which]
+        sizes = self.sizes[place]
+        ids = self.ids[_ranges(self.starts[place], sizes)]
+        bounds = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(np.bincount(words.owner, weights=sizes, minlength=len(texts)).astype(np.int64), out=bounds[1:])
+        if len(self.hashes) > CACHE_WORDS:
+            self._forget()
+        return ids, bounds
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text."""
-        words = _GAPS.split(text) if any(c in text for c in _NO_GAPS) else text.split()
-        return b"".join(map(self.__getitem__, words))
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        return b"".join(self.encode_all(part)[0].tobytes() for _, part in passes(pa.array([text], pa.string())))
+
+
+def _plain(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to ASCII letters or to the letters from À to ÿ."""
+    latin = np.zeros(len(data) + 1, bool)
+    latin[:-2] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    out = _LETTERS[data] | latin[:-1]
+    out[1:] |= latin[:-2]
+    return out
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``sizes`` of them, side by side."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 @functools.cache
@@ -141,24 +219,26 @@ def cut_documents(
     names = ("start", "length", "ids_crc32", "doc_tokens", "ids")
     rows = df.select(*[c for c in df.columns if c != text and c.lower() not in names], F.coalesce(F.col(text), F.lit("")).alias(body))
     added = [T.StructField(n, T.LongType()) for n in names[:4]] + [T.StructField("ids", T.BinaryType())] * ids
+    keeps_ids = ids
     schema = T.StructType([*rows.schema.fields[:-1], *added])
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, texts in passes(batch.column(batch.num_columns - 1)):
+                part = batch.slice(at, len(texts))
+                ids, bounds = words.encode_all(texts)
                 row, found = [], ([], [], [], [], [])
-                for i, content in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                    packed = words.encode(content) + end
+                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                    packed = ids[a:b].tobytes() + end
                     for start, length in cuts(len(packed) // 4, window, piece):
                         own = packed[4 * start : 4 * (start + length)]
                         row.append(i)
                         for column, value in zip(found, (start, length, zlib.crc32(own), len(packed) // 4, own)):
                             column.append(value)
                 kept = part.select(list(range(part.num_columns - 1))).take(pa.array(row, pa.int64()))
-                columns = [pa.array(c, pa.int64()) for c in found[:4]] + [pa.array(found[4], pa.binary())] * ids
+                columns = [pa.array(c, pa.int64()) for c in found[:4]] + [pa.array(found[4], pa.binary())] * keeps_ids
                 yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=schema.names)
 
     return rows.mapInArrow(cut, schema)
