@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.llm.common import stage, table
 from tarn.llm.words import Texts, Words, mix, passes
+from tarn.operators.ranking import top_n_per_group
 
 #: Candidates have two to so many words, and occur at least so often.
 MOST_WORDS = 4
@@ -292,8 +292,9 @@ def collocations(
     chunks = stage(parse(df, text, lang, most_words - 1, modulus))
     counts = stage(phrase_counts(chunks, most_words, least_count))
     totals = chunks.groupBy("lang").agg(F.sum(F.col("owned") * F.col("times")).alias("n"))
-    order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = uncovered(scored(counts), percent).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    # In two rounds, as all tasks may have candidates of one language.
+    ranked = top_n_per_group(uncovered(scored(counts), percent), ["lang"], order, top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
