@@ -10,12 +10,12 @@ from tarn.llm.common import SPACE, free_name, let, stage, table
 
 SHINGLE_WORDS = 5
 #: One shingle hash in so many is kept.
-SCALE = 4
+SCALE = 16
 #: Short texts keep at least so many of their smallest hashes.
-LEAST_KEPT = 32
+LEAST_KEPT = 64
 #: Neighbouring ids that one window holds, as a power of two.
 BLOCK_BITS = 8
-LOWEST = -(1 << 63)
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def limit_of(scale: int) -> int:
@@ -38,53 +38,60 @@ def shingle_hashes(text: Column, words: int = SHINGLE_WORDS) -> Column:
 
 
 def sketch(text: Column, scale: int = SCALE, least: int = LEAST_KEPT) -> Column:
-    """Sorted distinct shingle hashes below the scaled limit; at least the ``least`` smallest where there are so many.
+    """``limit`` and ``hashes``: all distinct shingle hashes of the text below the limit, sorted.
 
-    The limit is the same for every text, so sketches of parts merge by union and texts of very unequal length
-    compare. A text with fewer than ``least`` hashes below the limit keeps its smallest ones instead: its own
-    limit is then higher, and :func:`likeness` compares two sketches below the lower limit of the two.
+    The limit is the same fraction of all hashes for every text, so sketches of very unequal texts compare. A text with fewer than
+    ``least`` hashes below it keeps its ``least`` smallest ones, or all it has; its limit is then higher, and the sketch says so.
     """
 
     def keep(hashes: Column) -> Column:
-        below = F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(limit_of(scale)))))
-        smallest = F.slice(F.sort_array(F.array_distinct(hashes)), 1, least)
-        return let(below, lambda b: F.when(F.size(b) >= least, b).otherwise(smallest))
+        below = F.filter(hashes, lambda h: h < F.lit(limit_of(scale)))
+        scaled = F.struct(F.lit(limit_of(scale)).alias("limit"), below.alias("hashes"))
+        whole = F.struct(F.lit(HIGHEST).alias("limit"), hashes.alias("hashes"))
+        # Below the next hash there are just so many.
+        smallest = F.struct(F.get(hashes, F.lit(least)).alias("limit"), F.slice(hashes, 1, least).alias("hashes"))
+        return F.when(F.size(below) >= least, scaled).when(F.size(hashes) <= least, whole).otherwise(smallest)
 
-    return let(shingle_hashes(text), keep)
+    return let(F.sort_array(F.array_distinct(shingle_hashes(text))), keep)
 
 
-def _complete_below(s: Column, scale: int, least: int) -> Column:
-    """Every hash of the text up to this one is in the sketch."""
-    whole = F.size(s) < least  # nothing was left out
-    return F.when(whole, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.lit(limit_of(scale) - 1), F.element_at(s, -1)))
+def _below(s: Column, limit: Column) -> Column:
+    return F.filter(s["hashes"], lambda h: h < limit)
 
 
-def likeness(a: Column, b: Column, scale: int = SCALE, least: int = LEAST_KEPT) -> Column:
+def likeness(a: Column, b: Column) -> Column:
     """Estimated share of the smaller text's shingles that the other has too, 0 to 1; equal sketches give 1.
 
-    Both sketches hold all hashes up to the lower of their limits; only those are counted. A sketch without
-    any hash is like an empty one only.
+    Each sketch has all hashes below its limit, so below the lower of the two limits both are complete; only those are counted. A
+    sketch without any hash there, of an empty text or of a very short one beside a long one, is like an equal one only.
     """
 
     def both(x: Column, y: Column) -> Column:
-        limit = F.least(_complete_below(x, scale, least), _complete_below(y, scale, least))
-        left, right = F.filter(x, lambda h: h <= limit), F.filter(y, lambda h: h <= limit)
-        least_size = F.least(F.size(left), F.size(right))
-        return F.when(x == y, F.lit(1.0)).when(least_size == 0, F.lit(0.0)).otherwise(
-            F.size(F.array_intersect(left, right)) / least_size
+        limit = F.least(x["limit"], y["limit"])
+        return let(
+            F.struct(_below(x, limit).alias("l"), _below(y, limit).alias("r")),
+            lambda p: F.when(x == y, F.lit(1.0))
+            .when(F.least(F.size(p["l"]), F.size(p["r"])) == 0, F.lit(0.0))
+            .otherwise(F.size(F.array_intersect(p["l"], p["r"])) / F.least(F.size(p["l"]), F.size(p["r"]))),
         )
 
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: both(p.getField("a"), p.getField("b")))
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: both(p["a"], p["b"]))
 
 
-def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of two texts together, below the scaled limit."""
-    return F.filter(F.sort_array(F.array_union(a, b)), lambda h: h < F.lit(limit_of(scale)))
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of two texts together: complete below the lower of both limits."""
+
+    def both(x: Column, y: Column) -> Column:
+        limit = F.least(x["limit"], y["limit"])
+        hashes = F.sort_array(F.array_union(_below(x, limit), _below(y, limit)))
+        return F.struct(limit.alias("limit"), hashes.alias("hashes"))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: both(p["a"], p["b"]))
 
 
 def as_text(s: Column) -> Column:
-    """A sketch as hexadecimal numbers of 16 digits, joined."""
-    return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+    """A sketch as hexadecimal numbers of 16 digits, joined: the limit, then the hashes."""
+    return F.array_join(F.transform(F.concat(F.array(s["limit"]), s["hashes"]), lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
 def with_next(

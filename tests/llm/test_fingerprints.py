@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def test_sketch_and_likeness(spark, size):
         fp.likeness(a, c).alias("apart"),
         fp.likeness(d, d).alias("empty"),
         fp.likeness(a, d).alias("none"),
-        F.size(a).alias("n"),
+        F.size(a["hashes"]).alias("n"),
         (fp.merge(b, c) == fp.merge(fp.merge(c, b), a)).alias("merged") if size > 4 else F.lit(True).alias("merged"),
     ).first()
     assert r.same == 1 and r.empty == 1 and r.apart == 0 and r.none == 0 and r.merged
@@ -65,3 +66,60 @@ def test_sketch_and_likeness(spark, size):
         assert r.inside == 1
         whole = size - 4
         assert r.n == min(whole, fp.LEAST_KEPT) if whole < 100 else abs(r.n - whole / fp.SCALE) < 120
+
+
+def shingles(text):
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def test_merged_sketches_hold_their_parts(spark):
+    """Texts of 3 to 3000 words: a merged sketch is like each of its parts, and has what both have below the lower limit."""
+    rng = random.Random(1)
+    make = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([3, 7, 7, 40, 90, 300, 3000])))
+    df = spark.createDataFrame([(make(), make(), make()) for _ in range(300)], "a string, b string, c string")
+    a, b, c = (fp.sketch(F.col(x)) for x in "abc")
+    both = fp.merge(a, b)
+    seen = lambda x: (F.size(F.filter(x["hashes"], lambda h: h < both["limit"])) > 0).cast("double")
+    short = (F.size(F.split("a", " ")) < 60) & (F.size(F.split("b", " ")) < 60)
+    got = df.select(
+        seen(a).alias("seen_a"),
+        seen(b).alias("seen_b"),
+        short.alias("short"),
+        fp.likeness(both, a).alias("with_a"),
+        fp.likeness(both, b).alias("with_b"),
+        fp.likeness(both, c).alias("with_c"),
+        (fp.merge(both, c) == fp.merge(a, fp.merge(c, b))).alias("any_order"),
+        F.size(both["hashes"]).alias("n"),
+        F.size(fp.merge(both, both)["hashes"]).alias("again"),
+    ).collect()
+    assert all(r.with_a == r.seen_a and r.with_b == r.seen_b and r.with_c == 0 and r.any_order and r.n > 0 and r.n == r.again for r in got)
+    # Only a text of a few shingles may have none below the limit of a long one; short texts keep all they have.
+    assert all(r.with_a == r.with_b == 1 for r in got if r.short) and sum(r.short for r in got) > 50
+    assert sum(r.with_a + r.with_b for r in got) > 1.4 * len(got)
+
+
+def test_likeness_estimates_containment(spark):
+    """Every document of the fixture against its first half and the text that follows: the error of the estimate."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    pairs = []
+    for r, after in zip(docs, docs[1:]):
+        half = (r.text or "")[: len(r.text or "") // 2] + (after.text or "")[: len(after.text or "") // 3]
+        pairs.append((r.text, half))
+        pairs.append((r.text, after.text))
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i int, a string, b string").repartition(8)
+    got = {r.i: r.like for r in df.select("i", fp.likeness(fp.sketch(F.col("a")), fp.sketch(F.col("b"))).alias("like")).collect()}
+    errors = []
+    for i, (x, y) in enumerate(pairs):
+        p, q = shingles(x), shingles(y)
+        if p and q:
+            errors.append(abs(got[i] - len(p & q) / min(len(p), len(q))))
+    assert sum(errors) / len(errors) < 0.03 and max(errors) < 0.35
+
+
+def test_sketches_are_small_beside_their_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 4000")
+    r = docs.select(F.length(fp.as_text(fp.sketch(F.col("text")))).alias("n"), F.octet_length("text").alias("m")).agg(F.sum("n"), F.sum("m")).first()
+    assert r[0] < 0.35 * r[1]
