@@ -334,3 +334,18 @@ def test_silver_and_layers(spark):
     silver = layers.to_silver(df, ["id"], [F.col("at").desc()], shape, {"qty": 0, "note": "-"})
     assert rows(silver) == [(1, 0, date(2025, 5, 2), "-"), (2, 7, date(2025, 5, 1), "-")]
     assert layers.layer_of("silver") == "silver" and layers.layer_of("revenue") == "custom"
+
+
+def test_cosine_in_sql(spark, tmp_path):
+    """Pairs are multiplied in batches; conditions of outer joins, which take no Python function, get the same numbers."""
+    made = [(1, [3.0, 4.0]), (2, [4.0, 3.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, None), (6, [1.0, None]), (7, [])]
+    lk = lake.Lake(spark, str(tmp_path))
+    spark.createDataFrame(made, "i int, v array<float>").write.parquet(f"{tmp_path}/v.parquet")
+    lk.register("a.b.v", f"{tmp_path}/v.parquet")
+    pairs = lk.sql("SELECT p.i, q.i AS j, cosine(p.v, q.v) AS c FROM a.b.v p JOIN a.b.v q")
+    assert "ArrowEvalPython" in pairs._jdf.queryExecution().executedPlan().toString()
+    got = {(r.i, r.j): r.c for r in pairs.collect()}
+    assert {k: round(c, 12) for k, c in got.items() if c is not None} == {(1, 1): 1.0, (2, 2): 1.0, (1, 2): 0.96, (2, 1): 0.96, (4, 4): 1.0}
+    outer = lk.sql("SELECT p.i, q.i AS j FROM a.b.v p LEFT JOIN a.b.v q ON p.i <> q.i AND cosine(p.v, q.v) > 0.9")
+    assert rows(outer) == sorted([(1, 2), (2, 1), *((i, None) for i in (3, 4, 5, 6, 7))], key=repr)
+    assert lk.sql("SELECT cosine(array(3, 4), array(4.0, 3.0)) AS c").first().c == pytest.approx(0.96)
