@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarn.functions.text import same_name
@@ -21,6 +22,8 @@ from tarn.session import cut_lineage
 # Role and access names.
 SUPERUSER = "superadmin"
 RANKS = {"read": 1, "write": 2, "owner": 3}
+#: Workspaces of one user, or of one catalog, that are listed beside each of its rows.
+MOST_LISTED = 256
 
 
 def _rank(mode: Column) -> Column:
@@ -135,13 +138,30 @@ def visible_catalogs_of_all(
     A superuser sees all of them and is listed once, without a catalog.
     """
     superusers = users.where(F.col("role") == SUPERUSER).select("user_id")
-    of_workspace = workspace_catalogs(catalogs, grants).select("workspace_id", "catalog_id")
+    sees = workspace_catalogs(catalogs, grants).select("workspace_id", "catalog_id").distinct()
     membership = members.select("user_id", "workspace_id").distinct().join(superusers, "user_id", "left_anti")
-    seen = membership.join(of_workspace, "workspace_id").select("user_id", "catalog_id").distinct()
+    # A pair comes up once for each workspace it has. It is taken at the first of them, which both lists of earlier workspaces tell
+    # on the spot; so the pairs, which are far more than the rows they come from, are not shuffled to drop the repeats.
+    listed, more_listed = _with_earlier(membership, "user_id", "_mine")
+    seen_by, seen_by_more = _with_earlier(sees, "catalog_id", "_others")
+    first = listed.join(seen_by, "workspace_id").where(~F.arrays_overlap("_mine", "_others")).select("user_id", "catalog_id")
+    # Users and catalogs of very many workspaces would make very long lists.
+    every = seen_by.drop("_others").unionByName(seen_by_more)
+    rest = more_listed.join(every, "workspace_id").unionByName(listed.drop("_mine").join(seen_by_more, "workspace_id"))
+    seen = first.unionByName(rest.select("user_id", "catalog_id").distinct())
     kind = catalogs.schema["catalog_id"].dataType
     return seen.unionByName(superusers.withColumn("catalog_id", F.lit(None).cast(kind)))
 
 
+def _with_earlier(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the lower workspaces of the same ``key``; and, without them, those of keys with more than ``MOST_LISTED`` workspaces."""
+    counted = F.count("*").over(W.partitionBy(key))
+    rows = cut_lineage(rows.where(F.col("workspace_id").isNotNull()).withColumn("_n", counted))
+    earlier = W.partitionBy(key).orderBy("workspace_id").rowsBetween(W.unboundedPreceding, -1)
+    few = rows.where(F.col("_n") <= MOST_LISTED).drop("_n").withColumn(name, F.collect_list("workspace_id").over(earlier))
+    return few, rows.where(F.col("_n") > MOST_LISTED).drop("_n")
+
+
 def access_as_of(asked: DataFrame, users: DataFrame, catalogs: DataFrame, members: DataFrame, grants: DataFrame) -> DataFrame:
     """``asked`` (``user_id, catalog_id, day``) with the ``access`` that held on that day: owner, write, read or NULL.
 

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +236,26 @@ def test_grace_period(spark):
     assert spark.range(1).select(retention.purge_date(at).alias("x")).first().x == datetime(2025, 5, 31)
     with pytest.raises(ValueError):
         retention.purge_date(at, 366)
+
+
+@pytest.mark.parametrize("most", [0, 3, 256])
+def test_visible_catalogs_of_all_at_the_first_workspace(spark, monkeypatch, most):
+    """A catalog seen through several workspaces comes once, whether the lists of workspaces are short or too long to carry."""
+    monkeypatch.setattr(access, "MOST_LISTED", most)
+    users = [(u, access.SUPERUSER if u == 3 else "user") for u in range(8)]
+    members = [(u, w) for u in [*range(7), None] for w in range(12) if u is None or (u * w) % 5 < 2] * 2 + [(2, None)]
+    catalogs = [(c, f"c{c}", c % 4, None if c % 6 else date(2024, 1, 1)) for c in range(30)]
+    grants = [(c, w, "read", "approved" if w % 3 else "pending", c == w) for c in range(30) for w in range(12) if (c + w) % 3 == 0 or c == 1]
+    frames = (
+        spark.createDataFrame(users, "user_id long, role string"),
+        spark.createDataFrame(members, "user_id long, workspace_id long"),
+        spark.createDataFrame(catalogs, "catalog_id long, name string, owner_workspace_id long, created_at date").withColumn(
+            "deleted_at", F.when(F.col("created_at").isNotNull(), F.lit("2024-02-01").cast("timestamp"))
+        ),
+        spark.createDataFrame(grants, "catalog_id long, workspace_id long, mode string, status string, suspended boolean"),
+    )
+    live = {c for c, *_, made in catalogs if made is None}
+    sees = {(w, c) for c, _, w, _ in catalogs if c in live} | {(w, c) for c, w, _, s, held in grants if c in live and s == "approved" and not held}
+    expected = {(u, c) for u, w in members if u != 3 for v, c in sees if v == w} | {(3, None)}
+    got = access.visible_catalogs_of_all(*frames)
+    assert rows(got, "user_id", "catalog_id") == sorted(expected, key=repr)
