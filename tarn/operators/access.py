@@ -171,12 +171,17 @@ def access_as_of(asked: DataFrame, users: DataFrame, catalogs: DataFrame, member
     A day asked twice is answered once.
     """
     asked = cut_lineage(asked.select("user_id", "catalog_id", "day").distinct())
-    was_member = cut_lineage(at_day(asked, members.select("user_id", "workspace_id", "valid_from", "valid_to"), ["user_id"], "day", "valid_from", "valid_to"))
-    was_member = was_member.select("user_id", "catalog_id", "day", "workspace_id").distinct()
+    members = cut_lineage(members.select("user_id", "workspace_id", "valid_from", "valid_to"))
+    live = cut_lineage(_in_force(grants).select("catalog_id", "workspace_id", "mode", "valid_from", "valid_to"))
     owners = catalogs.select("catalog_id", F.col("owner_workspace_id").alias("workspace_id"))
+    # Days are looked at for the workspaces only that a user and a catalog have in common, whenever that was.
+    sharing = owners.unionByName(live.select("catalog_id", "workspace_id")).distinct()
+    common = _common_workspaces(asked.select("user_id", "catalog_id").distinct(), members.select("user_id", "workspace_id").distinct(), sharing)
+    points = cut_lineage(asked.join(common, ["user_id", "catalog_id"]))
+    was_member = at_day(points, members, ["user_id", "workspace_id"], "day", "valid_from", "valid_to")
+    was_member = cut_lineage(was_member.select("user_id", "catalog_id", "day", "workspace_id").distinct())
     superusers = users.where(F.col("role") == SUPERUSER).select("user_id")
-    live = _in_force(grants)
-    held = at_day(was_member, live.select("catalog_id", "workspace_id", "mode", "valid_from", "valid_to"), ["catalog_id", "workspace_id"], "day", "valid_from", "valid_to")
+    held = at_day(was_member, live, ["catalog_id", "workspace_id"], "day", "valid_from", "valid_to")
     pair = ["user_id", "catalog_id", "day"]
     found = (
         asked.join(superusers, "user_id", "left_semi").select(*pair, F.lit("owner").alias("access"))
@@ -187,6 +192,19 @@ def access_as_of(asked: DataFrame, users: DataFrame, catalogs: DataFrame, member
     return asked.join(best, pair, "left")
 
 
+def _common_workspaces(pairs: DataFrame, membership: DataFrame, sharing: DataFrame) -> DataFrame:
+    """The workspaces that both lists of a ``(user_id, catalog_id)`` pair have, found through the shorter one. All rows are distinct."""
+    described = cut_lineage(
+        pairs.join(membership.groupBy("user_id").agg(F.count("*").alias("_workspaces")), "user_id")
+        .join(sharing.groupBy("catalog_id").agg(F.count("*").alias("_shares")), "catalog_id")
+        .select("user_id", "catalog_id", (F.col("_workspaces") <= F.col("_shares")).alias("_short"))
+    )
+    by_user = described.where("_short").join(membership, "user_id").join(sharing, ["catalog_id", "workspace_id"], "left_semi")
+    by_catalog = described.where("NOT _short").join(sharing, "catalog_id").join(membership, ["user_id", "workspace_id"], "left_semi")
+    columns = ["user_id", "catalog_id", "workspace_id"]
+    return by_user.select(*columns).unionByName(by_catalog.select(*columns))
+
+
 def catalog_directories(catalogs: DataFrame, workspaces: DataFrame, schemas: DataFrame, grants: DataFrame) -> DataFrame:
     """The directory of every workspace in one pass: all other workspaces' live catalogs that it has asked for.
 

@@ -42,14 +42,22 @@ def at_day(points: DataFrame, intervals: DataFrame, keys: Sequence[str], day: st
     ``start`` and ``end`` are dates; a null one means since ever or for ever. Every interval is cut into blocks of 1, 2, 4 ... days,
     about twice as many as its length has binary digits, and every day lies in one block of each length. So the join is by equality of keys, length
     and block: a key with very many intervals is spread by time, and no pair is formed that does not hold. A day is met in just one
-    block of an interval, so nothing comes up twice. Days without a value meet nothing. Lengths that no interval uses are not looked for.
+    block of an interval, so nothing comes up twice. Days without a value meet nothing. Keys with no more intervals than there are lengths
+    are not cut: their days meet each of the intervals, which are fewer rows than a day by each length.
     """
     number = lambda c: F.unix_date(F.col(c).cast("date"))
     blocks = _blocks(F.coalesce(number(start), F.lit(FIRST_DAY)), F.coalesce(number(end), F.lit(LAST_DAY)))
-    cut = intervals.withColumn("_b", F.explode(blocks)).withColumns({"_level": F.col("_b.level"), "_block": F.col("_b.block")}).drop("_b")
+    counts = intervals.groupBy(*keys).agg(F.count("*").alias("_n"))
+    few = F.col("_n") <= LEVELS + 1
+    # Points whose keys have no interval are not multiplied by the lengths.
+    known = points.where(F.col(day).isNotNull()).join(counts, list(keys))
+    at = F.col(day).cast("date")
+    holds = (F.col(start).isNull() | (F.col(start).cast("date") <= at)) & (F.col(end).isNull() | (at < F.col(end).cast("date")))
+    whole = known.where(few).drop("_n").join(intervals, list(keys)).where(holds)
+    crowded = intervals.join(counts.where(~few).drop("_n"), list(keys), "left_semi")
+    cut = crowded.withColumn("_b", F.explode(blocks)).withColumns({"_level": F.col("_b.level"), "_block": F.col("_b.block")}).drop("_b")
     levels = F.sequence(F.lit(0), F.lit(LEVELS))
     block = F.call_function("shiftright", number(day).cast("bigint"), F.col("_level"))
-    # Points whose keys have no interval are not multiplied by the lengths.
-    known = points.where(F.col(day).isNotNull()).join(intervals.select(*keys).distinct(), list(keys), "left_semi")
-    asked = known.withColumn("_level", F.explode(levels)).withColumn("_block", block)
-    return asked.join(cut, [*keys, "_level", "_block"]).drop("_level", "_block")
+    asked = known.where(~few).drop("_n").withColumn("_level", F.explode(levels)).withColumn("_block", block)
+    spread = asked.join(cut, [*keys, "_level", "_block"]).drop("_level", "_block")
+    return whole.unionByName(spread.select(*whole.columns))

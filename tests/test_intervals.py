@@ -91,3 +91,36 @@ def test_a_refresh_that_could_not_read_a_table_says_nothing(spark):
 
 def test_a_column_listed_twice_counts_once(spark):
     assert history(spark, [("a", "int"), ("a", "text")]) == [("a", "int", False, 0, None, "initial", None)]
+
+
+def test_few_intervals_of_a_key_meet_their_days_uncut(spark):
+    """Keys with a handful of intervals are joined as they are, not by blocks of every length."""
+    points = spark.range(500).select((F.col("id") % 50).alias("k"), F.date_add(F.lit(DAY0), F.col("id").cast("int")).alias("d"))
+    spans = spark.range(100).select((F.col("id") % 50).alias("k"), F.lit(DAY0).alias("a"), F.lit(None).cast("date").alias("b"))
+    found = at_day(points, spans, ["k"], "d", "a", "b")
+    assert found.count() == 1000
+    crowded = spans.unionByName(spark.range(40).select(F.lit(7).cast("long").alias("k"), F.lit(DAY0).alias("a"), F.lit(DAY0).alias("b")))
+    assert at_day(points, crowded, ["k"], "d", "a", "b").count() == 1000
+
+
+def test_access_as_of_looks_at_common_workspaces_only(spark, monkeypatch):
+    """A user of many workspaces is followed into those that the catalog has too, and into no others."""
+    seen = []
+    found = access.at_day
+
+    def counted(points, *rest):
+        seen.append(points.count())
+        return found(points, *rest)
+
+    monkeypatch.setattr(access, "at_day", counted)
+    asked = spark.createDataFrame([(1, c, DAY0) for c in range(10)], "user_id long, catalog_id long, day date")
+    users = spark.createDataFrame([(1, "user")], "user_id long, role string")
+    catalogs = spark.createDataFrame([(c, c) for c in range(10)], "catalog_id long, owner_workspace_id long")
+    ends = "valid_from date, valid_to date"
+    members = spark.createDataFrame([(1, w, None, None) for w in range(5, 200)], f"user_id long, workspace_id long, {ends}")
+    grants = spark.createDataFrame(
+        [(0, 100, "write", "approved", False, None, None)], f"catalog_id long, workspace_id long, mode string, status string, suspended boolean, {ends}"
+    )
+    got = access.access_as_of(asked, users, catalogs, members, grants)
+    assert rows(got, "catalog_id", "access") == sorted([(0, "write"), *((c, None if c < 5 else "owner") for c in range(1, 10))], key=repr)
+    assert seen == [6, 6]
