@@ -44,15 +44,21 @@ def sketch(text: Column, scale: int = SCALE, least: int = LEAST_KEPT) -> Column:
     ``least`` hashes below it keeps its ``least`` smallest ones, or all it has; its limit is then higher, and the sketch says so.
     """
 
-    def keep(hashes: Column) -> Column:
-        below = F.filter(hashes, lambda h: h < F.lit(limit_of(scale)))
-        scaled = F.struct(F.lit(limit_of(scale)).alias("limit"), below.alias("hashes"))
-        whole = F.struct(F.lit(HIGHEST).alias("limit"), hashes.alias("hashes"))
+    def struct(limit: Column, hashes: Column) -> Column:
+        return F.struct(limit.alias("limit"), hashes.alias("hashes"))
+
+    def smallest(hashes: Column) -> Column:
         # Below the next hash there are just so many.
-        smallest = F.struct(F.get(hashes, F.lit(least)).alias("limit"), F.slice(hashes, 1, least).alias("hashes"))
-        return F.when(F.size(below) >= least, scaled).when(F.size(hashes) <= least, whole).otherwise(smallest)
+        cut = struct(F.get(hashes, F.lit(least)), F.slice(hashes, 1, least))
+        return F.when(F.size(hashes) <= least, struct(F.lit(HIGHEST), hashes)).otherwise(cut)
+
+    def keep(hashes: Column) -> Column:
+        # Only what is kept is sorted; all hashes are for short texts alone.
+        below = F.sort_array(F.filter(hashes, lambda h: h < F.lit(limit_of(scale))))
+        short = let(F.sort_array(hashes), smallest)
+        return let(below, lambda b: F.when(F.size(b) >= least, struct(F.lit(limit_of(scale)), b)).otherwise(short))
 
-    return let(F.sort_array(F.array_distinct(shingle_hashes(text))), keep)
+    return let(F.array_distinct(shingle_hashes(text)), keep)
 
 
 def _below(s: Column, limit: Column) -> Column:

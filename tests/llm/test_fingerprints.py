@@ -123,3 +123,15 @@ def test_sketches_are_small_beside_their_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 4000")
     r = docs.select(F.length(fp.as_text(fp.sketch(F.col("text")))).alias("n"), F.octet_length("text").alias("m")).agg(F.sum("n"), F.sum("m")).first()
     assert r[0] < 0.35 * r[1]
+
+
+def test_hashes_below_the_limit_are_picked_once(spark):
+    """Before anything is sorted; the sketch is what sorting all hashes first would give."""
+    texts = [(" ".join(f"w{i * i % 7919}" for i in range(n)),) for n in (0, 3, 40, 68, 69, 900, 1100, 5000)]
+    df = spark.createDataFrame(texts, "t string")
+    plan = df.select(fp.sketch(F.col("t")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") == 2  # words that are not empty, hashes below the limit
+    for r in df.select(fp.sketch(F.col("t")).alias("s"), F.sort_array(F.array_distinct(fp.shingle_hashes(F.col("t")))).alias("all")).collect():
+        below = [h for h in r["all"] if h < fp.limit_of(fp.SCALE)]
+        whole = (fp.HIGHEST, r["all"]) if len(r["all"]) <= fp.LEAST_KEPT else (r["all"][fp.LEAST_KEPT], r["all"][: fp.LEAST_KEPT])
+        assert tuple(r.s) == ((fp.limit_of(fp.SCALE), below) if len(below) >= fp.LEAST_KEPT else whole)
