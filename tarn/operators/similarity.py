@@ -10,23 +10,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.functions.vectors import matrix_of, once
+from tarn.functions.vectors import lists_of, matrix_of, once
 from tarn.operators.ranking import first_per_key, top_n_per_group
 from tarn.session import cut_lineage, remove_path, scratch_path
 
 # Scores are compared after rounding, so the last bits of a sum never decide between copies.
 SCORE_DIGITS = 9
-# Questions that go to every task at a time; more of them are asked in rounds.
+# Questions that go to every task at a time; more of them are dealt to the tasks and asked in rounds.
 QUESTION_BYTES = 64 << 20
 QUERY_BLOCK = 512
+# Rows that a task holds while questions pass by, and any matrix of scores or angles.
+BLOCK_BYTES = 16 << 20
+PRODUCT_BYTES = 32 << 20
+# A block of rows is not cut further for the sake of parallel tasks.
+LEAST_ROWS = 1024
 CELL, ANGLE, BATCH = "_cell", "_angle", "_batch"
-ROW = "_row"
+ROW, BLOCK, FLOOR = "_row", "_block", "_floor"
 # Centres that go to every task.
 CENTRE_BYTES = 64 << 20
 
@@ -51,26 +57,49 @@ def _pick(
     keep = min(k, int(usable.sum()))
     picked, owners, scores = [], [], []
     scale = 1.0 / np.where(usable, norms, 1.0)
-    for start in range(0, len(queries) if keep else 0, QUERY_BLOCK):
-        block = np.round(queries[start : start + QUERY_BLOCK] @ matrix.T * scale, SCORE_DIGITS)
+    for start, stop in _chunks(len(queries) if keep else 0, len(matrix), QUERY_BLOCK):
+        block = queries[start:stop] @ matrix.T * scale
         block[:, ~usable] = -np.inf
+        many = np.arange(stop - start)
+        if floor is not None:
+            # Where few rows come near the floor nothing has to be ranked.
+            level = floor[start:stop]
+            near = (block >= level[:, None] - 2 * 10.0**-SCORE_DIGITS) & usable
+            few = near.sum(axis=1) <= k
+            near[~few] = False
+            who, at = np.nonzero(near)
+            score = np.round(block[who, at], SCORE_DIGITS)
+            reached = score >= level[who]
+            picked.append(at[reached])
+            owners.append(start + who[reached])
+            scores.append(score[reached])
+            many = np.flatnonzero(~few)
+            if not len(many):
+                continue
+        block = np.round(block[many], SCORE_DIGITS)
         edge = np.partition(block, len(matrix) - keep, axis=1)[:, len(matrix) - keep]
         if floor is not None:
-            edge = np.maximum(edge, floor[start : start + QUERY_BLOCK])
+            edge = np.maximum(edge, level[many])
         for i, row in enumerate(block):
-            chosen, level = np.flatnonzero(row > edge[i]), np.flatnonzero(row == edge[i])
+            chosen, level_at = np.flatnonzero(row > edge[i]), np.flatnonzero(row == edge[i])
             wanted = keep - len(chosen)
-            if len(level) > wanted:
-                level = level[np.argsort(ranks()[level], kind="stable")[:wanted]]
-            chosen = np.concatenate([chosen, level])
+            if len(level_at) > wanted:
+                level_at = level_at[np.argsort(ranks()[level_at], kind="stable")[:wanted]]
+            chosen = np.concatenate([chosen, level_at])
             picked.append(chosen)
-            owners.append(np.full(len(chosen), start + i))
+            owners.append(np.full(len(chosen), start + many[i]))
             scores.append(row[chosen])
     if not picked:
         return np.empty(0, int), np.empty(0, int), np.empty(0)
     return np.concatenate(picked), np.concatenate(owners), np.concatenate(scores)
 
 
+def _chunks(count: int, width: int, most: int) -> Iterator[tuple[int, int]]:
+    """``count`` cut so that a chunk's matrix of ``width`` columns stays small."""
+    step = max(1, min(most, PRODUCT_BYTES // (8 * max(1, width))))
+    return ((start, min(start + step, count)) for start in range(0, count, step))
+
+
 def _tie_ranks(rows: pa.Table, ties: list[str]) -> Callable[[], np.ndarray]:
     """Each row's place in the order of the tie columns, nulls first as in Spark."""
 
@@ -143,26 +172,24 @@ def _with_rows(hits: DataFrame, vectors: DataFrame, ties: list[str], vector: str
 
 @dataclass
 class _Asked:
-    """A round of questions: ids, unit vectors and, if they look into some cells only, who looks into which."""
+    """Questions that go to every task: ids and unit vectors."""
 
     ids: pa.Array
     units: np.ndarray
-    cells: dict[int, np.ndarray] | None = None
 
 
-def _rounds(queries: DataFrame, vector: str, dim: int, most: int = QUESTION_BYTES) -> Iterator[_Asked]:
-    """All questions with a direction, in rounds of about ``most`` bytes."""
+def _asked(queries: DataFrame, vector: str, dim: int) -> tuple[DataFrame, int]:
+    """The questions and their number; a vector of another length is an error."""
     asked = queries.select("query_id", F.col(vector).alias("query_vector"))
-    rounds = max(1, -(-asked.count() * 8 * max(dim, 1) // most))
-    for i in range(rounds):
-        part = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == i)
-        rows = part.toArrow()
-        units, usable = _unit_rows(matrix_of(rows["query_vector"].combine_chunks(), dim))
-        yield _Asked(rows["query_id"].combine_chunks().filter(pa.array(usable)), units[usable])
+    length = F.when(F.col("query_vector").isNull(), 0).otherwise(F.size("query_vector"))
+    count, wrong = asked.agg(F.count("*"), F.first(F.when(length != dim, length), ignorenulls=True)).first()
+    if wrong is not None:
+        raise ValueError(f"expected {dim} values, found {wrong}")
+    return asked, count
 
 
 def _scan(rows: DataFrame, asked: _Asked, schema: T.StructType, ties: list[str], vector: str, dim: int, k: int) -> DataFrame:
-    """The best ``k`` rows of each task for each question; questions may look into some cells only.
+    """The best ``k`` rows of each task for each question, where all questions fit into every task.
 
     A task scores its rows in matrix products. After it, ``tasks x questions x k`` keys are shuffled, not the table.
     """
@@ -174,25 +201,94 @@ def _scan(rows: DataFrame, asked: _Asked, schema: T.StructType, ties: list[str],
         pool, floor = None, np.full(len(asked.ids), -np.inf)
         for batch in batches:
             keys, matrix = pa.Table.from_batches([batch]).select(ties), matrix_of(batch.column(vector), dim)
-            if asked.cells is None:
-                parts = [(slice(None), np.arange(len(asked.ids)))]
-            else:
-                cell = np.asarray(batch.column(CELL))
-                parts = [(np.flatnonzero(cell == c), asked.cells[c]) for c in np.unique(cell).tolist() if c in asked.cells]
-            for own, who in parts:
-                part = keys if isinstance(own, slice) else keys.take(pa.array(own))
-                at, owners, scores = _pick(matrix[own], asked.units[who], k, _tie_ranks(part, ties), floor[who])
-                found = _found(part, (at, who[owners], scores))
-                pool = found if pool is None else pa.concat_tables([pool, found])
-            if pool is not None:
-                pool = _prune(pool, ties, k)
-                floor = _floors(pool, len(asked.ids), k)
+            found = _found(keys, _pick(matrix, asked.units, k, _tie_ranks(keys, ties), floor))
+            pool = _prune(found if pool is None else pa.concat_tables([pool, found]), ties, k)
+            floor = _floors(pool, len(asked.ids), k)
         if pool is not None:
             out = pool.append_column("query_id", asked.ids.take(pool["_q"].combine_chunks()))
             yield from out.select(names).combine_chunks().to_batches()
 
-    columns = [*ties, vector, *([CELL] if asked.cells is not None else [])]
-    return rows.select(*columns).mapInArrow(best, schema)
+    return rows.select(*ties, vector).mapInArrow(best, schema)
+
+
+def _block_rows(spark: SparkSession, rows: int, dim: int) -> int:
+    """Rows of a block: what a task may hold, less where that would leave cores without a block."""
+    share = -(-rows // (2 * spark.sparkContext.defaultParallelism))
+    return max(1, min(BLOCK_BYTES // (8 * max(dim, 1)), max(share, LEAST_ROWS)))
+
+
+def _meet(
+    rows: DataFrame, asked: DataFrame, blocks: int, schema: T.StructType, ties: list[str], vector: str, dim: int, k: int, most: int = QUESTION_BYTES
+) -> DataFrame:
+    """The best ``k`` rows of each block for each question dealt to it, scoring at least the question's floor if it has one.
+
+    ``rows`` have a block each, ``asked`` have ``query_id, query_vector`` and a block for every block they look into. Spark brings both
+    to the block's task, its rows first: a task holds one block of rows, and questions pass by in rounds of ``most`` bytes. Neither goes through the driver.
+    """
+    names, first = [f.name for f in schema], "_first"
+    empty = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    floor = F.col(FLOOR) if FLOOR in asked.columns else empty(FLOOR, "double")
+    kinds, asked_kinds = rows.schema, asked.schema
+    held = rows.select(
+        F.col(BLOCK).cast("int").alias(BLOCK), F.lit(0).alias(first), *ties, vector,
+        *[empty(c, asked_kinds[c].dataType) for c in ("query_id", "query_vector")], empty(FLOOR, "double"),
+    ).toDF(*(columns := [BLOCK, first, *(f"t{i}" for i in range(len(ties))), "v", "query_id", "query_vector", FLOOR]))
+    passing = asked.select(
+        F.col(BLOCK).cast("int").alias(BLOCK), F.lit(1).alias(first), *[empty(c, kinds[c].dataType) for c in (*ties, vector)], "query_id", "query_vector", floor
+    ).toDF(*columns)
+    step = max(1, most // (8 * max(dim, 1)))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, ready, count, trim = None, [], None, 0, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            block, later = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(later) != 0)) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
+                part = table.slice(start, stop - start)
+                if not later[start]:
+                    if current != block[start]:
+                        current, parts, count, trim = block[start], [], 0, BLOCK_BYTES // (4 * max(dim, 1))
+                    ready = None
+                    matrix = matrix_of(part["v"].combine_chunks(), dim)
+                    usable = np.sqrt((matrix * matrix).sum(axis=1)) > 0
+                    keys = part.select(columns[2 : 2 + len(ties)]).rename_columns(ties).filter(pa.array(usable))
+                    parts.append((keys, matrix[usable]))
+                    count += int(usable.sum())
+                    if count > trim:
+                        parts = [_without_copies(*_joined(parts), k)]
+                        count = len(parts[0][1])
+                        trim = max(trim, 2 * count)
+                    continue
+                if current != block[start] or not count:
+                    continue
+                if ready is None:
+                    ready = _joined(parts)
+                    parts = [ready]
+                    ranks = _tie_ranks(ready[0], ties)
+                units, usable = _unit_rows(matrix_of(part["query_vector"].combine_chunks(), dim))
+                ids, floors = part["query_id"].combine_chunks(), pc.fill_null(part[FLOOR], -np.inf).to_numpy()
+                who = np.flatnonzero(usable)
+                for at in range(0, len(who), step):
+                    round_ = who[at : at + step]
+                    found = _found(ready[0], _pick(ready[1], units[round_], k, ranks, floors[round_]))
+                    out = found.append_column("query_id", ids.take(pa.array(round_[found["_q"].to_numpy()])))
+                    yield from out.select(names).combine_chunks().to_batches()
+
+    dealt = held.unionAll(passing).repartition(blocks, BLOCK).sortWithinPartitions(BLOCK, first)
+    return dealt.mapInArrow(best, schema)
+
+
+def _joined(parts: list[tuple[pa.Table, np.ndarray]]) -> tuple[pa.Table, np.ndarray]:
+    return pa.concat_tables([keys for keys, _ in parts]).combine_chunks(), np.concatenate([matrix for _, matrix in parts])
+
+
+def _without_copies(keys: pa.Table, matrix: np.ndarray, k: int) -> tuple[pa.Table, np.ndarray]:
+    """At most ``k`` of equal rows, as no question takes more of them."""
+    marks = keys[ROW].to_numpy()
+    order = np.argsort(marks, kind="stable")
+    inside = np.sort(order[np.arange(len(order)) - np.searchsorted(marks[order], marks[order]) < k])
+    return keys.take(pa.array(inside)), matrix[inside]
 
 
 def cosine_topk(
@@ -211,15 +307,27 @@ def cosine_topk(
     these columns travel through the search, the others are joined to the rows that were found. Rows and
     questions of length zero have no cosine and match nothing; a vector of another length is an error.
 
-    Questions go to every task, in as many rounds as they need; each round reads the vectors once.
+    Up to ``question_bytes`` of questions go to every task. More of them are dealt to the tasks: each task holds a block of the vectors and asks
+    all questions in rounds of that size, so that neither the number of reads nor that of tasks grows with the rounds.
     """
     vectors, ties = _marked(vectors), [*ties, ROW]
     dim = _dim_of(queries, vector) if dim is None else dim
     schema = _hit_schema(vectors, ties, queries.schema["query_id"].dataType)
-    rounds = (asked for asked in _rounds(queries, vector, dim, question_bytes) if len(asked.ids))
-    hits = [_scan(vectors, asked, schema, ties, vector, dim, k) for asked in rounds]
-    hits = hits or [vectors.sparkSession.createDataFrame([], schema)]
-    return _with_rows(_final(functools.reduce(DataFrame.unionByName, hits), ties, k), vectors, ties, vector)
+    asked, count = _asked(queries, vector, dim)
+    if not count:
+        hits = vectors.sparkSession.createDataFrame([], schema)
+    elif count * 8 * max(dim, 1) <= question_bytes:
+        rows = asked.toArrow()
+        units, usable = _unit_rows(matrix_of(rows["query_vector"].combine_chunks(), dim))
+        few = _Asked(rows["query_id"].combine_chunks().filter(pa.array(usable)), units[usable])
+        hits = _scan(vectors, few, schema, ties, vector, dim, k)
+    else:
+        rows = vectors.count()
+        blocks = -(-rows // _block_rows(vectors.sparkSession, rows, dim)) or 1
+        dealt = vectors.withColumn(BLOCK, F.pmod(F.col(ROW), F.lit(blocks)))
+        every = asked.withColumn(BLOCK, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        hits = _meet(dealt, every, blocks, schema, ties, vector, dim, k, question_bytes)
+    return _with_rows(_final(hits, ties, k), vectors, ties, vector)
 
 
 def fit_cells(
@@ -248,10 +356,13 @@ def _placed(df: DataFrame, vector: str, centres: np.ndarray, numbers: np.ndarray
     @F.arrow_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
     def nearest(vectors: pa.Array) -> pa.Array:
         units, usable = _unit_rows(matrix_of(vectors, dim))
-        angles = _angles(units, shared.value)
-        cell = angles.argmin(axis=1)
+        cell, angle = np.zeros(len(units), int), np.zeros(len(units))
+        for start, stop in _chunks(len(units), len(cell_numbers), len(units)):
+            angles = _angles(units[start:stop], shared.value)
+            cell[start:stop] = angles.argmin(axis=1)
+            angle[start:stop] = angles[np.arange(stop - start), cell[start:stop]]
         cells = pa.array(cell_numbers[cell].astype(np.int32), mask=~usable)
-        return pa.StructArray.from_arrays([cells, pa.array(angles[np.arange(len(cell)), cell])], names=["cell", "angle"])
+        return pa.StructArray.from_arrays([cells, pa.array(angle)], names=["cell", "angle"])
 
     found = df.withColumn("_nearest", once(nearest)(F.col(vector)))
     found = found.withColumns({CELL: F.col("_nearest.cell"), ANGLE: F.col("_nearest.angle")}).drop("_nearest")
@@ -338,8 +449,11 @@ def search_index(
     """Exact top-k over a stored index, as ``cosine_topk``; only the files of cells that may matter are read.
 
     A question first looks into its ``probes`` nearest cells, which gives it a k-th score. No row of a cell is nearer
-    than the angle to its centre less its radius; so a second look takes the cells that could hold a better row,
+    than the angle to its centre less its radius; so a second look takes the cells that could hold a row as good,
     and no others. ``probes`` changes the work, not the answer. At worst every cell is read.
+
+    Tasks hold the centres and pick the cells of their own questions; Spark brings a question to the rows of its cells. The driver
+    sees the cells that are wanted by any question, no question.
     """
     ties = [*ties, ROW]
     stored, _ = read_centres(spark, path)
@@ -353,39 +467,89 @@ def search_index(
     if not known:
         return _with_rows(_final(spark.createDataFrame([], schema), ties, k), rows.drop(CELL, ANGLE), ties, vector)
     numbers, centres = np.array([r.cell for r in known]), np.array([r.centre for r in known])
-    radius = np.array([r.radius for r in known])
-
-    def look(asked: _Asked, wanted: np.ndarray) -> DataFrame:
-        """Search the cells marked in ``wanted`` (questions x cells)."""
-        cells = {int(numbers[c]): np.flatnonzero(wanted[:, c]) for c in np.flatnonzero(wanted.any(axis=0))}
-        asked = _Asked(asked.ids, asked.units, cells)
-        stored_as = [str(c) for c in cells]
-        own = rows.where(F.col(CELL).cast("string").isin(stored_as))
-        return _scan(own, asked, schema, ties, vector, centres.shape[1], k)
-
-    hits = []
-    for asked in _rounds(queries, vector, centres.shape[1]):
-        if not len(asked.ids):
-            continue
-        angles = _angles(asked.units, centres)
-        best_case = np.maximum(angles - radius, 0)
-        first = np.zeros(angles.shape, bool)
-        np.put_along_axis(first, np.argsort(best_case, axis=1, kind="stable")[:, :probes], True, axis=1)
-        found = cut_lineage(_final(look(asked, first), ties, k).drop("rank"))
-        hits.append(found)
-        # One number per question of this round comes back.
-        reached = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k)
-        kth = {r.query_id: r.score for r in reached.collect()}
-        floor = np.array([kth.get(i, -2.0) for i in asked.ids.to_pylist()])
-        # A margin for rounded scores and angles.
-        second = ~first & (np.cos(best_case) >= floor[:, None] - 1e-6)
-        if second.any():
-            hits.append(look(asked, second))
-    if not hits:
-        hits = [spark.createDataFrame([], schema)]
+    radius, sizes, dim = np.array([r.radius for r in known]), np.array([r.rows for r in known]), centres.shape[1]
+    asked, count = _asked(queries, vector, dim)
+    shared = spark.sparkContext.broadcast((numbers, centres, radius))
+    block_rows = _block_rows(spark, int(sizes.sum()), dim)
+
+    def look(asked: DataFrame, together: bool) -> DataFrame:
+        """Search the cells that each question wants; small ones ``together`` in a block, or each in its own."""
+        starts, counts = _blocks_of(sizes, block_rows, together)
+        asked = cut_lineage(_wanting(asked, shared, starts, counts, probes))
+        wanted = sorted(r[0] for r in asked.select(F.explode("_cells")).distinct().collect())
+        own = rows.where(F.col(CELL).cast("string").isin([str(c) for c in wanted])) if len(wanted) < len(numbers) else rows
+        places = spark.createDataFrame(list(zip(numbers.tolist(), starts.tolist(), counts.tolist())), f"{CELL} int, _start int, _count int")
+        own = own.join(F.broadcast(places), CELL).withColumn(BLOCK, F.col("_start") + F.pmod(ROW, "_count"))
+        asked = asked.withColumn(BLOCK, F.explode("_blocks"))
+        tasks = min(int(starts[-1] + counts[-1]), -(-int(sizes.sum()) // block_rows))
+        return _meet(own, asked, tasks, schema, ties, vector, dim, k)
+
+    if not count:
+        hits = spark.createDataFrame([], schema)
+    else:
+        found = _final(look(asked, False), ties, k)
+        reached = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias(FLOOR)).where(F.col("n") >= k)
+        floors = reached.select(F.col("query_id").alias("_id"), FLOOR)
+        asked = asked.join(floors, F.col("query_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+        hits = look(asked, True)
     # Folders of cells that were split are not part of the index.
     rest = rows.where(F.col(CELL).isin([int(n) for n in numbers])).drop(CELL, ANGLE)
-    return _with_rows(_final(functools.reduce(DataFrame.unionByName, hits), ties, k), rest, ties, vector)
+    return _with_rows(_final(hits, ties, k), rest, ties, vector)
+
+
+def _blocks_of(sizes: np.ndarray, most: int, together: bool) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: large cells have several, and neighbouring small ones share one if ``together``."""
+    counts = np.maximum(1, -(-sizes // most))
+    if not together:
+        return np.concatenate([[0], np.cumsum(counts)[:-1]]), counts
+    starts, block, filled = np.zeros(len(sizes), int), 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if filled and filled + size > most:
+            block, filled = block + 1, 0
+        starts[i] = block
+        if counts[i] > 1:
+            block, filled = block + int(counts[i]), 0
+        else:
+            filled += size
+    return starts, counts
+
+
+def _wanting(asked: DataFrame, shared: Broadcast, starts: np.ndarray, counts: np.ndarray, probes: int) -> DataFrame:
+    """Questions with the blocks that they look into; beside one of each chunk of them, the cells that any of the chunk wants.
+
+    Without a floor the nearest cells are wanted, else those that could hold a row scoring as much. Questions of length zero are left out.
+    """
+    again = FLOOR in asked.columns
+    asked = asked.select("query_id", "query_vector", F.col(FLOOR) if again else F.lit(None).cast("double").alias(FLOOR))
+    edges = np.flatnonzero(np.diff(starts, prepend=-1))
+
+    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, centres, radius = shared.value
+        for batch in batches:
+            units, usable = _unit_rows(matrix_of(batch.column(1), centres.shape[1]))
+            floors = pc.fill_null(batch.column(2), -2.0).to_numpy(zero_copy_only=False)
+            who = np.flatnonzero(usable)
+            for start, stop in _chunks(len(who), len(centres), len(who)):
+                own = who[start:stop]
+                angles = _angles(units[own], centres)
+                if again:
+                    # A margin for rounded scores and angles.
+                    wanted = np.cos(np.maximum(angles - radius, 0)) >= floors[own][:, None] - 1e-6
+                else:
+                    wanted = np.zeros(angles.shape, bool)
+                    near = min(probes, len(centres))
+                    np.put_along_axis(wanted, np.argpartition(angles, near - 1, axis=1)[:, :near], True, axis=1)
+                q, group = np.nonzero(np.logical_or.reduceat(wanted, edges, axis=1))
+                many = counts[edges][group]
+                inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                blocks = lists_of((np.repeat(starts[edges][group], many) + inside).astype(np.int32), np.bincount(q, many, minlength=len(own)).astype(int))
+                cells = numbers[wanted.any(axis=0)].astype(np.int32)
+                once_ = lists_of(cells, np.concatenate([[len(cells)], np.zeros(len(own) - 1, int)]))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(own)) for c in batch.columns), blocks, once_], names=names)
+
+    schema = T.StructType([*asked.schema.fields, *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("_blocks", "_cells"))])
+    names = schema.names
+    return asked.mapInArrow(want, schema)
 
 
 def ann_topk(

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,40 @@ def test_rows_that_share_an_id_are_hits_once_each(spark, tmp_path):
         assert found[:5] == [(1, n, "x", "text 0") for n in range(1, 6)]
         assert found[5:] == [(2, 1, "y", "other")] + [(2, n, "x", "text 2") for n in range(2, 6)]
         assert got.columns == ["query_id", "id", "content", "note", "score", "rank"]
+
+
+def test_many_rounds_are_one_pass_over_the_vectors(spark, data):
+    vectors, queries = data
+    got = similarity.cosine_topk(table(spark, vectors, "id"), table(spark, queries, "query_id"), 12, question_bytes=2 * 8 * DIM)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_searches_bring_no_question_to_the_driver(spark, data, tmp_path, monkeypatch):
+    vectors, queries = data
+    path, asked = str(tmp_path / "index"), table(spark, queries, "query_id")
+    similarity.build_index(table(spark, vectors, "id"), path, DIM, cells=6)
+    monkeypatch.setattr(type(asked), "toArrow", lambda _: pytest.fail("questions came to the driver"))
+    # The cell of the copies is cut into several blocks, small cells share one.
+    monkeypatch.setattr(similarity, "LEAST_ROWS", 40)
+    expected = brute(vectors, queries, 10)
+    got = answers(similarity.search_index(spark, path, asked, 10, probes=2))
+    assert {q: [i for i, _ in h] for q, h in got.items()} == {q: [i for i, _ in h] for q, h in expected.items()}
+
+
+def test_matrices_of_many_cells_are_cut():
+    for width in (10, 700, 131072):
+        cut = list(similarity._chunks(10_000, width, 10_000))
+        assert cut[0][0] == 0 and cut[-1][1] == 10_000 and all(a[1] == b[0] for a, b in zip(cut, cut[1:]))
+        assert all(8 * width * (stop - start) <= similarity.PRODUCT_BYTES for start, stop in cut)
+
+
+def test_cells_and_their_blocks():
+    sizes = np.array([3, 4, 25, 2, 9])
+    assert [x.tolist() for x in similarity._blocks_of(sizes, 10, True)] == [[0, 0, 1, 4, 5], [1, 1, 3, 1, 1]]
+    assert [x.tolist() for x in similarity._blocks_of(sizes, 10, False)] == [[0, 1, 2, 5, 6], [1, 1, 3, 1, 1]]
+
+
+def test_equal_rows_are_held_k_times():
+    keys = pa.table({"id": [1, 2, 1, 1, 3], similarity.ROW: [7, 8, 7, 7, 9]})
+    left, matrix = similarity._without_copies(keys, np.arange(10.0).reshape(5, 2), 2)
+    assert left["id"].to_pylist() == [1, 2, 1, 3] and matrix[:, 0].tolist() == [0, 2, 4, 8]
