@@ -125,7 +125,8 @@ def split_cells(spark: SparkSession, path: str, most_rows: int | None = None, ve
         numbers = [first[c] + i for c in split for i in range(len(split[c]))]
         for number in numbers:  # what a split that died has left
             remove_path(spark, f"{path}/rows/{CELL}={number}")
-        _write_rows(_dealt(rows.where(F.col(CELL).isin(sorted(split))), split, first, vector), path)
+        moved = _settled(rows.where(F.col(CELL).isin(sorted(split))), _applied(spark, path))
+        _write_rows(_dealt(moved, split, first, vector), path)
         made = spark.read.parquet(f"{path}/rows").where(F.col(CELL).isin([str(n) for n in numbers]))
         radii = made.groupBy(F.col(CELL).cast("int").alias("cell")).agg(F.max(ANGLE).alias("radius"), F.count("*").alias("rows"))
         centres = [(first[c] + i, [float(x) for x in centre]) for c in split for i, centre in enumerate(split[c])]
@@ -137,6 +138,12 @@ def split_cells(spark: SparkSession, path: str, most_rows: int | None = None, ve
     return sorted(split)
 
 
+def _settled(rows: DataFrame, applied: DataFrame) -> DataFrame:
+    """Rows of batches that are part of the index go with those of its first build, so that a new cell has one folder, not one per batch."""
+    done = F.broadcast(applied.select(F.col("batch").alias(BATCH), F.lit("first").alias("_settled")).distinct())
+    return rows.join(done, BATCH, "left").withColumn(BATCH, F.coalesce("_settled", BATCH)).drop("_settled")
+
+
 def _dealt(rows: DataFrame, split: dict[int, np.ndarray], first: dict[int, int], vector: str) -> DataFrame:
     """Rows of split cells with the nearest of their cell's new centres."""
     at, cell_at, angle_at = (rows.columns.index(c) for c in (vector, CELL, ANGLE))

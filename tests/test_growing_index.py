@@ -124,3 +124,14 @@ def test_a_cell_of_equal_rows_stays_whole(spark, index):
     growing_index.append_index(spark, path, same.limit(0), "b", most_rows=400)
     assert files(path) == before
     assert exact(spark, path, first, same)
+
+
+def test_a_split_gathers_the_batches_of_a_cell(spark, index):
+    path, first = index
+    one = clusters(spark, [6 * i + 2 for i in range(200, 400)])
+    before = files(path)
+    growing_index.append_index(spark, path, one, "a", most_rows=50)
+    made = {f for f in files(path) if cell_of(f) not in {cell_of(b) for b in before}}
+    assert made and all("_batch=first" in f for f in made)
+    assert not growing_index.append_index(spark, path, one, "a", most_rows=50)
+    assert exact(spark, path, first, one)
