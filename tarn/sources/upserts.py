@@ -10,18 +10,25 @@ from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.functions.moments import like_column
 from tarn.operators.ranking import first_per_key
-from tarn.session import cut_lineage, remove_path
+from tarn.session import cut_lineage, remove_path, scratch_path
 from tarn.sources.lake import is_absent, read_table
 from tarn.sources.paths import PARTITIONS, table_root
 
 STAGED = "_staged"
 READY = "_READY"
 MARKS = "_marks"
+#: The partition a key leaves.
+LOST = [f"_lost_{name}" for name in PARTITIONS]
+#: A day that is rewritten is cut into parts of so many bytes of Parquet.
+PART_BYTES = 32 << 20
+#: The keys of smaller batches go to all stored rows.
+SMALL_BATCH = 1 << 20
 #: Folders that the driver moves at a time.
 THREADS = 8
 
@@ -47,15 +54,6 @@ def _day() -> Column:
     return F.concat_ws("-", *PARTITIONS)
 
 
-def _same(columns: Sequence[str], prefix: str) -> Column:
-    """Equal keys, where nulls are equal too."""
-    return functools.reduce(operator.and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{prefix}{c}`")) for c in columns])
-
-
-def _prefixed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns])
-
-
 def stored_rows(spark: SparkSession, root: str, merge_schema: bool = False) -> DataFrame | None:
     """The rows of a table, or nothing if none was written yet."""
     try:
@@ -76,8 +74,10 @@ def upsert_days(
     without a day lie in a folder of their own. Late rows go to their old day like any others.
 
     Copy on write: keys and versions alone tell which rows of the batch win, and only the days that win or lose
-    rows are read whole and written anew; others keep their files. Spark joins by broadcast where one side is small; stored rows are
-    sorted by no one. With ``day_of_key`` (a key never changes its day) only the days of the batch are looked at, else the key
+    rows are read whole and written anew; others keep their files. The batch is read once and shuffled by key once, where the stored keys meet it;
+    only the rows that win are stored, with the day their key leaves. Old rows, winners and left keys then share one shuffle, by day and
+    part of a day, which is also how the files are cut. Where Spark knows the batch to be small, its keys pick the stored ones first, and
+    stored rows are sorted by no one. With ``day_of_key`` (a key never changes its day) only the days of the batch are looked at, else the key
     columns of the table.
 
     The new days are written beside the table first. Once they are complete they are moved into place day by day, and a run
@@ -87,45 +87,103 @@ def upsert_days(
     spark, key, version = batch.sparkSession, list(key), list(version)
     recover(spark, root)
     others = [f.name for f in batch.schema.fields if f.name not in (*key, *version) and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    order = [F.col(f"`{c}`").desc_nulls_last() for c in version] + [F.col(f"`{c}`") for c in others]
-    incoming = cut_lineage(_with_day(first_per_key(batch, key, order), day))
-    stored = stored_rows(spark, root)
-    lost = None
-    if stored is not None:
-        looked_at = stored.select(*dict.fromkeys([*key, *version]), _day().alias("_day"))
-        if day_of_key:
-            days = [r[0] for r in incoming.select(_day()).distinct().collect()]
-            looked_at = looked_at.where(F.col("_day").isin(days))
-        new = _prefixed(incoming, key, "_k_")
-        met = cut_lineage(looked_at.join(new, _same(key, "_k_"), "left_semi"))
-        best = met.groupBy(*key).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in version])).alias("_best"))
-        best = best.select("_best", *[F.col(f"`{c}`").alias(f"_k_{c}") for c in key])
-        newer = F.struct(*[F.col(f"`{c}`") for c in version]) > F.col("_best")
-        won = incoming.join(best, _same(key, "_k_"), "left").where(F.col("_best").isNull() | newer)
-        incoming = cut_lineage(won.select(*incoming.columns))
-        lost = met.join(_prefixed(incoming, key, "_k_"), _same(key, "_k_"), "left_semi").select("_day")
-    days = {r[0] for r in incoming.select(_day()).distinct().collect()}
-    filled, rows = days, incoming
-    if lost is not None and days:
-        days = days | {r[0] for r in lost.distinct().collect()}
-        kept = stored.where(_day().isin(sorted(days))).join(_prefixed(incoming, key, "_k_"), _same(key, "_k_"), "left_anti")
-        rows = kept.unionByName(incoming, allowMissingColumns=True)
-        filled = filled | {r[0] for r in kept.select(_day()).distinct().collect()} if days != filled else filled
+    order = [F.col(f"`{c}`").desc_nulls_last() for c in version if c not in key] + [F.col(f"`{c}`") for c in others] or [F.lit(0)]
+    staged, stored = f"{root}/{STAGED}", stored_rows(spark, root)
+    if stored is None:
+        rows = _with_day(first_per_key(batch, key, order), day)
+        rows.hint("rebalance", *PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{staged}/rows")
+        days = {r[0] for r in spark.read.schema(rows.schema).parquet(f"{staged}/rows").select(_day()).distinct().collect()}
+        filled = days
+    else:
+        won, path = _winners(batch, stored, key, version, order, day, day_of_key)
+        counts = {r[0]: r[1] for r in won.groupBy(_day()).count().collect()}
+        lost = {r[0] for r in won.where("_met").select(F.concat_ws("-", *LOST)).distinct().collect()}
+        days = lost | set(counts)
+        if days:
+            width = _bytes(spark, path) / sum(counts.values())
+            parts = [(d, 1 + int(_bytes(spark, f"{root}/{_day_path(d)}") + counts.get(d, 0) * width) // PART_BYTES) for d in sorted(days)]
+            rows = _rewritten(stored.where(_day().isin(sorted(days))), won, key, spark.createDataFrame(parts, "_day string, _parts long"))
+            rows.write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{staged}/rows")
+            # Days that only lose rows may have become empty.
+            filled = days if days == set(counts) else {r[0] for r in spark.read.parquet(f"{staged}/rows").select(_day()).distinct().collect()}
     if not days:
+        remove_path(spark, staged)
         return []
-    staged = f"{root}/{STAGED}"
     plan = [(d, d in filled) for d in sorted(days)]
     spark.createDataFrame(plan, "day string, filled boolean").coalesce(1).write.mode("overwrite").parquet(f"{staged}/days")
-    rows.hint("rebalance", *PARTITIONS).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(f"{staged}/rows")
     where, files = _files(spark, f"{staged}/{READY}")
     files.create(where, True).close()
     recover(spark, root)
     return sorted(days)
 
 
-def _folder(root: str, day: str) -> str:
+def _winners(
+    batch: DataFrame, stored: DataFrame, key: list[str], version: list[str], order: list[Column], day: str, day_of_key: bool
+) -> tuple[DataFrame, str]:
+    """Rows of the batch that are new or newer than the stored ones of their key, and where they are kept.
+
+    ``_met`` tells whether the key is stored, ``LOST`` on which day. A key that is stored several times gives one
+    row for each; all but one are marked ``_again``.
+    """
+    spark, columns, looked_at = batch.sparkSession, [c for c in batch.columns if c not in PARTITIONS], stored
+    if day_of_key:
+        days = [r[0] for r in _with_day(batch.select(day), day).select(_day()).distinct().collect()]
+        looked_at = stored.where(_day().isin(days))
+    # As one column keys are equal where nulls are, and the shuffle that finds the first row per key serves the join.
+    whole = F.struct(*[F.col(f"`{c}`") for c in key]).alias("_key")
+    first = first_per_key(batch.select(whole, *[F.col(f"`{c}`") for c in columns if c not in key]), ["_key"], order)
+    offered = F.struct(*[(F.col("_key").getField(c) if c in key else F.col(f"`{c}`")).alias(c) for c in version])
+    held = F.struct(*[F.col(f"`{c}`").alias(c) for c in version])
+    looked_at = looked_at.select(whole, held.alias("_held"), *[F.col(p).alias(lost) for p, lost in zip(PARTITIONS, LOST)])
+    if _known_small(batch):
+        first = cut_lineage(first)
+        looked_at = cut_lineage(looked_at.join(first.select("_key"), "_key", "left_semi"))
+    copies = W.partitionBy("_key").orderBy(*LOST)
+    best = F.max("_held").over(copies.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    looked_at = looked_at.withColumns({"_held": best, "_again": F.row_number().over(copies) > 1})
+    met = first.join(looked_at, "_key", "left").where(F.col("_held").isNull() | (offered > F.col("_held")))
+    won = _with_day(met.withColumns({c: F.col("_key").getField(c) for c in key}), day)
+    marks = F.col("_held").isNotNull().alias("_met"), F.coalesce("_again", F.lit(False)).alias("_again")
+    won = won.select(*[F.col(f"`{c}`") for c in columns], *PARTITIONS, *LOST, *marks)
+    path = scratch_path(spark, "won")
+    won.write.parquet(path)
+    return spark.read.schema(won.schema).parquet(path), path
+
+
+def _rewritten(old: DataFrame, won: DataFrame, key: list[str], parts: DataFrame) -> DataFrame:
+    """The touched days as they will be: old rows whose key does not leave their day, and the winners.
+
+    ``parts`` (``_day, _parts``) tells into how many parts a day is cut; a part is in one task, and is one file.
+    """
+    left = won.where("_met").select(*[F.col(f"`{c}`") for c in key], *[F.col(lost).alias(p) for p, lost in zip(PARTITIONS, LOST)])
+    new = won.where("NOT _again").drop(*LOST, "_met", "_again")
+    kinds = (old.withColumn("_kind", F.lit("old")), new.withColumn("_kind", F.lit("new")), left.withColumn("_kind", F.lit("left")))
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+    keys = [F.col(f"`{c}`") for c in key]
+    rows = rows.withColumn("_day", _day()).join(F.broadcast(parts), "_day")
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*keys), "_parts")).drop("_day", "_parts").repartition(*PARTITIONS, "_part")
+    leaves = F.max(F.col("_kind") == "left").over(W.partitionBy(*PARTITIONS, "_part", *keys))
+    rows = rows.withColumn("_leaves", leaves).where((F.col("_kind") == "new") | ((F.col("_kind") == "old") & ~F.col("_leaves")))
+    return rows.drop("_kind", "_part", "_leaves")
+
+
+def _known_small(df: DataFrame) -> bool:
+    """Whether Spark's own estimate of its Parquet bytes, often too high, says that a batch is small."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL_BATCH
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    where, files = _files(spark, path)
+    return files.getContentSummary(where).getLength() if files.exists(where) else 0
+
+
+def _day_path(day: str) -> str:
     parts = day.split("-") if day else ["__HIVE_DEFAULT_PARTITION__"] * len(PARTITIONS)
-    return "/".join([root, *(f"{name}={value}" for name, value in zip(PARTITIONS, parts))])
+    return "/".join(f"{name}={value}" for name, value in zip(PARTITIONS, parts))
+
+
+def _folder(root: str, day: str) -> str:
+    return f"{root}/{_day_path(day)}"
 
 
 def recover(spark: SparkSession, root: str) -> bool:

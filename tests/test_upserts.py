@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import layers
+from tarn.session import scratch_folder
 from tarn.sources import upserts
 from tarn.sources.contracts import contract
 from tarn.sources.lake import Lake
@@ -223,3 +224,38 @@ def test_overlap_finds_rows_that_became_visible_late(spark, tmp_path):
     assert len(loaded(spark, base)) == 2
     load(late, base, overlap="2 hours")
     assert loaded(spark, base) == [(1, 10.0), (2, 20.0), (3, 30.0)]
+
+
+def test_a_batch_that_changes_nothing_stores_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upserts, "SMALL_BATCH", 0, raising=False)
+    root, n = str(tmp_path / "t"), 20000
+    df = spark.range(n, numPartitions=4).select(
+        F.col("id").alias("k"), F.lit(1).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.lit(DAY).alias("source_date")
+    )
+    upserts.upsert_days(df, root, ["k"], ["v"])
+    kept = lambda: sum(p.stat().st_size for p in Path(scratch_folder(spark).removeprefix("file:")).rglob("*.parquet"))
+    before = kept()
+    assert upserts.upsert_days(df, root, ["k"], ["v"]) == []
+    assert kept() - before < 64 * n / 10
+
+
+@pytest.mark.parametrize("small", [0, 2**62])
+def test_small_and_large_batches_give_the_same(spark, tmp_path, monkeypatch, small):
+    """No broadcasts, days cut into many parts, a key that is stored on two days, null keys."""
+    monkeypatch.setattr(upserts, "SMALL_BATCH", small)
+    monkeypatch.setattr(upserts, "PART_BYTES", 300)
+    root, threshold = str(tmp_path / "t"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        put(spark, root, [(i, 1, "a", at(i % 3)) for i in range(40)] + [(None, 1, "n", None)])
+        write = frame(spark, [(5, 2, "twice", at(1)), (50, 7, "new", at(1))]).withColumns({"year": F.lit("2024"), "month": F.lit("01"), "day": F.lit("31")})
+        write.write.mode("append").partitionBy("year", "month", "day").parquet(root)
+        batch = [(5, 2, "no", at(0)), (6, 2, "b", at(8)), (None, 2, "m", at(0)), (70, None, "c", None)]
+        assert put(spark, root, batch) == ["", "2024-01-30", "2024-02-07"]
+        assert put(spark, root, [(5, 3, "b", at(0))]) == ["2024-01-30", "2024-01-31", "2024-02-01"]
+        assert put(spark, root, batch) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    expected = [(i, 1, "a", at(i % 3)) for i in range(40) if i not in (5, 6)]
+    expected += [(5, 3, "b", at(0)), (6, 2, "b", at(8)), (None, 2, "m", at(0)), (70, None, "c", None), (50, 7, "new", at(1))]
+    assert stored(spark, root) == sorted(expected, key=repr)
