@@ -24,6 +24,8 @@ SUPERUSER = "superadmin"
 RANKS = {"read": 1, "write": 2, "owner": 3}
 #: Workspaces of one user, or of one catalog, that are listed beside each of its rows.
 MOST_LISTED = 256
+#: Workspaces of a catalog that travel with each pair that is asked for.
+MOST_CARRIED = 64
 
 
 def _rank(mode: Column) -> Column:
@@ -46,54 +48,46 @@ def effective_access(
 
     Superusers and members of the owning workspace are owners; others get the strongest grant of any
     of their workspaces. All joins are on keys; pairs nobody asks about never arise.
+
+    A catalog's workspaces travel with its pairs as lists, and meet the user's list where the user's pairs are: a pair is one row all the way,
+    however many workspaces it is looked up in. Catalogs of more than ``MOST_CARRIED`` workspaces and users of more than
+    ``MOST_LISTED`` have no lists; their pairs are looked up by rows, through the shorter of both sides.
     """
-    membership = members.select("user_id", "workspace_id").distinct()
-    own = membership.select(
-        "user_id", F.col("workspace_id").alias("owner_workspace_id"), F.lit(True).alias("_own")
-    )
-    # Stored, as three branches read the asked pairs.
-    described = cut_lineage(
-        asked.select("user_id", "catalog_id")
-        .distinct()
-        .join(users.select("user_id", F.col("role").alias("_role")), "user_id", "left")
-        .join(catalogs.select("catalog_id", "owner_workspace_id"), "catalog_id", "left")
-        .join(own, ["user_id", "owner_workspace_id"], "left")
-        .select(
-            "user_id",
-            "catalog_id",
-            ((F.col("_role") == SUPERUSER) | F.coalesce("_own", F.lit(False))).alias("_owner"),
-        )
-    )
-    # Grants are looked up only for pairs not settled yet, through the shorter of two lists: the user's
-    # workspaces or the workspaces the catalog is shared with. So neither a user in very many
-    # workspaces nor a catalog shared with very many multiplies the pairs it occurs in.
-    force = _in_force(grants).select("catalog_id", "workspace_id", "mode")
-    degrees = (
-        described.where(~F.coalesce("_owner", F.lit(False)))
-        .join(membership.groupBy("user_id").agg(F.count("*").alias("_workspaces")), "user_id")
-        .join(force.groupBy("catalog_id").agg(F.count("*").alias("_shares")), "catalog_id")
-    )
-    short = F.col("_workspaces") <= F.col("_shares")
-    by_user = (
-        degrees.where(short)
-        .join(membership, "user_id")
-        .join(force, ["catalog_id", "workspace_id"])
-        .select("user_id", "catalog_id", "mode")
-    )
-    by_catalog = (
-        degrees.where(~short)
-        .join(force, "catalog_id")
-        .join(membership, ["user_id", "workspace_id"], "left_semi")
-        .select("user_id", "catalog_id", "mode")
-    )
+    membership = members.select("user_id", "workspace_id").where(F.col("workspace_id").isNotNull()).distinct()
+    owners = catalogs.select("catalog_id", F.col("owner_workspace_id").alias("workspace_id"), F.lit(RANKS["owner"]).alias("_rank"))
+    shares = owners.unionByName(_in_force(grants).select("catalog_id", "workspace_id", _rank(F.col("mode")).alias("_rank"))).dropna()
+    levels = sorted(RANKS.values(), reverse=True)
+    few = F.count("*") <= MOST_CARRIED
+    lists = [F.when(few, F.collect_set(F.when(F.col("_rank") == n, F.col("workspace_id")))).alias(f"_shared_{n}") for n in levels]
+    by_catalog = _first_of("catalog_id", shares, MOST_CARRIED + 1).groupBy("catalog_id").agg((~few).alias("_more"), *lists)
+    # A superuser's mark is a row without a workspace, which comes first.
+    superusers = users.where(F.col("role") == SUPERUSER).select("user_id", F.lit(None).alias("workspace_id")).distinct()
+    few = F.count("workspace_id") <= MOST_LISTED
+    mine = F.when(few, F.collect_list("workspace_id")).alias("_mine")
+    by_user = _first_of("user_id", superusers.unionByName(membership), MOST_LISTED + 1).groupBy("user_id")
+    by_user = by_user.agg((~few).alias("_many"), F.bool_or(F.col("workspace_id").isNull()).alias("_super"), mine)
+    level = F.when(F.col("_super"), RANKS["owner"])
+    for n in levels:
+        level = level.when(F.arrays_overlap("_mine", f"_shared_{n}"), n)
+    pairs = asked.select("user_id", "catalog_id").distinct()
+    met = pairs.join(by_catalog, "catalog_id", "left").join(by_user, "user_id", "left")
+    no = F.lit(False)
+    unlisted = (F.coalesce("_more", no) | F.coalesce("_many", no)) & ~F.coalesce("_super", no)
+    known = cut_lineage(met.select("user_id", "catalog_id", level.alias("_rank"), unlisted.alias("_unlisted")))
+    rest = known.where("_unlisted").select("user_id", "catalog_id")
+    if rest.isEmpty():
+        return known.select("user_id", "catalog_id", _mode(F.col("_rank")).alias("access"))
+    common = _common_workspaces(rest, membership, shares.select("catalog_id", "workspace_id").distinct())
+    found = common.join(shares, ["catalog_id", "workspace_id"]).select("user_id", "catalog_id", "_rank")
     # One aggregation over what is known and what was found, instead of a join back.
-    settled = described.select("user_id", "catalog_id", F.when(F.col("_owner"), "owner").alias("mode"))
-    return (
-        settled.unionByName(by_user)
-        .unionByName(by_catalog)
-        .groupBy("user_id", "catalog_id")
-        .agg(_mode(F.max(_rank(F.col("mode")))).alias("access"))
-    )
+    every = known.drop("_unlisted").unionByName(found)
+    return every.groupBy("user_id", "catalog_id").agg(_mode(F.max("_rank")).alias("access"))
+
+
+def _first_of(key: str, rows: DataFrame, n: int) -> DataFrame:
+    """At most ``n`` rows of each ``key``, lowest workspaces first; cut in each task before the shuffle."""
+    place = F.row_number().over(W.partitionBy(key).orderBy("workspace_id"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
 def allowed(access: Column, require: str) -> Column:

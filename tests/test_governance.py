@@ -7,6 +7,7 @@ from tarn.operators import access, retention, storage
 from tarn.sources.lake import write_day
 from tarn.sources.objects import list_objects
 from tests.conftest import rows
+from tests.test_jobs import shuffled_rows
 
 OBJECTS = "key string, size long, last_modified timestamp"
 
@@ -259,3 +260,38 @@ def test_visible_catalogs_of_all_at_the_first_workspace(spark, monkeypatch, most
     expected = {(u, c) for u, w in members if u != 3 for v, c in sees if v == w} | {(3, None)}
     got = access.visible_catalogs_of_all(*frames)
     assert rows(got, "user_id", "catalog_id") == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("carried, listed", [(64, 256), (2, 256), (64, 3), (0, 0)])
+def test_effective_access_with_and_without_lists(spark, monkeypatch, carried, listed):
+    """Users and catalogs that come twice or are null, grants of all kinds, and no row per pair and workspace where lists are short."""
+    monkeypatch.setattr(access, "MOST_CARRIED", carried)
+    monkeypatch.setattr(access, "MOST_LISTED", listed)
+    users = [(u, access.SUPERUSER if u == 3 else "user") for u in range(40)] + [(5, "user"), (6, access.SUPERUSER), (6, None), (None, access.SUPERUSER)]
+    members = [(u, w) for u in [*range(35), None] for w in range(20) if (u or 0) % 9 == 4 or (u or 0) * w % 7 < 3] * 2 + [(2, None)]
+    catalogs = [(c, c % 11 if c % 5 else None) for c in range(30)] + [(7, 1), (None, 2)]
+    modes, states = ["read", "write", "owner", "other", None], ["approved", "approved", "pending"]
+    grants = [(c, w, modes[(c + w * w) % 5], states[(c * w) % 3], w % 8 == 7) for c in range(33) for w in range(20) if (c + w) % 2 or c == 1] + [(4, None, "write", "approved", False)]
+    asked = [(u, c) for u in [*range(42), None] for c in [*range(34), None]]
+    frames = (
+        spark.createDataFrame(asked + asked[:50], "user_id long, catalog_id long"),
+        spark.createDataFrame(users, "user_id long, role string"),
+        spark.createDataFrame(members, "user_id long, workspace_id long"),
+        spark.createDataFrame(catalogs, "catalog_id long, owner_workspace_id long"),
+        spark.createDataFrame(grants, "catalog_id long, workspace_id long, mode string, status string, suspended boolean"),
+    )
+    levels = {(c, w, 3) for c, w in catalogs} | {(c, w, access.RANKS.get(m)) for c, w, m, s, held in grants if s == "approved" and not held}
+    names, expected = {n: mode for mode, n in access.RANKS.items()}, {}
+    for u, c in asked:
+        mine = {w for v, w in members if v == u and w is not None}
+        best = max([3] * (u in (3, 6)) + [n for k, w, n in levels if k == c and w in mine and n and u is not None and c is not None], default=None)
+        expected[u, c] = names.get(best)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows(access.effective_access(*frames)) == sorted(((*k, v) for k, v in expected.items()), key=repr)
+        if carried == 64 and listed == 256:
+            monkeypatch.setattr(access, "cut_lineage", lambda df: df)
+            assert max(shuffled_rows(access.effective_access(*frames))) <= len(asked) + 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
