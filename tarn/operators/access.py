@@ -163,27 +163,82 @@ def access_as_of(asked: DataFrame, users: DataFrame, catalogs: DataFrame, member
     ``valid_from`` to before ``valid_to``; null ends are open. The rules are those of today's access: superusers and members of the
     owning workspace own a catalog, else the strongest approved grant to a workspace counts that the user belonged to then, and that was not suspended.
     A day asked twice is answered once.
+
+    An asked day takes along the workspaces that its catalog had then, and meets the user's list of memberships where the user is: it is one row all
+    the way. Only the workspaces that both had on that day are joined by rows. Catalogs and users with longer lists than ``MOST_CARRIED`` and
+    ``MOST_LISTED`` are looked up by rows, through the shorter of both sides.
     """
-    asked = cut_lineage(asked.select("user_id", "catalog_id", "day").distinct())
-    members = cut_lineage(members.select("user_id", "workspace_id", "valid_from", "valid_to"))
-    live = cut_lineage(_in_force(grants).select("catalog_id", "workspace_id", "mode", "valid_from", "valid_to"))
+    pair, ends = ["user_id", "catalog_id", "day"], ["valid_from", "valid_to"]
+    asked = cut_lineage(asked.select(*pair))
+    members = members.select("user_id", "workspace_id", *ends)
+    live = cut_lineage(_in_force(grants).select("catalog_id", "workspace_id", "mode", *ends))
     owners = catalogs.select("catalog_id", F.col("owner_workspace_id").alias("workspace_id"))
-    # Days are looked at for the workspaces only that a user and a catalog have in common, whenever that was.
-    sharing = owners.unionByName(live.select("catalog_id", "workspace_id")).distinct()
-    common = _common_workspaces(asked.select("user_id", "catalog_id").distinct(), members.select("user_id", "workspace_id").distinct(), sharing)
-    points = cut_lineage(asked.join(common, ["user_id", "catalog_id"]))
-    was_member = at_day(points, members, ["user_id", "workspace_id"], "day", "valid_from", "valid_to")
-    was_member = cut_lineage(was_member.select("user_id", "catalog_id", "day", "workspace_id").distinct())
-    superusers = users.where(F.col("role") == SUPERUSER).select("user_id")
-    held = at_day(was_member, live, ["catalog_id", "workspace_id"], "day", "valid_from", "valid_to")
-    pair = ["user_id", "catalog_id", "day"]
-    found = (
-        asked.join(superusers, "user_id", "left_semi").select(*pair, F.lit("owner").alias("access"))
-        .unionByName(was_member.join(owners, ["catalog_id", "workspace_id"], "left_semi").select(*pair, F.lit("owner").alias("access")))
-        .unionByName(held.select(*pair, F.col("mode").alias("access")))
-    )
-    best = found.groupBy(*pair).agg(_mode(F.max(_rank(F.col("access")))).alias("access"))
-    return asked.join(best, pair, "left")
+    sharing = owners.withColumns({c: F.lit(None).cast(live.schema[c].dataType) for c in ends}).unionByName(live.drop("mode"))
+    near = cut_lineage(_near(asked.dropna(), users, members, sharing))
+    met, rest = near.where(F.col("_kind") == "met"), near.where(F.col("_kind") == "unlisted").select(*pair).distinct()
+    points = met.select(*pair, "workspace_id").distinct()
+    spans = met.select("user_id", "workspace_id", *ends).distinct()
+    if not rest.isEmpty():
+        membership = members.select("user_id", "workspace_id").distinct()
+        common = _common_workspaces(rest.select(*pair[:2]).distinct(), membership, sharing.select("catalog_id", "workspace_id").distinct())
+        more = cut_lineage(rest.join(common, pair[:2]).select(*pair, "workspace_id"))
+        points = points.unionByName(more)
+        spans = spans.unionByName(members.join(more.select("user_id", "workspace_id").distinct(), ["user_id", "workspace_id"], "left_semi"))
+    was_member = at_day(points, spans, ["user_id", "workspace_id"], "day", *ends)
+    was_member = cut_lineage(was_member.select(*pair, "workspace_id").distinct())
+    common = ["catalog_id", "workspace_id"]
+    shared = cut_lineage(live.join(was_member.select(*common).distinct(), common, "left_semi"))
+    held = at_day(was_member, shared, common, "day", *ends)
+    rank = lambda c: c.cast("int").alias("_rank")
+    owner = rank(F.lit(RANKS["owner"]))
+    # One aggregation over what was asked and what was found, instead of a join back. Nearly all rows differ, so nothing is gained, and much held,
+    # by aggregating them before the shuffle.
+    every = (
+        asked.select(*pair, rank(F.lit(None)))
+        .unionByName(near.where(F.col("_kind") == SUPERUSER).select(*pair, owner))
+        .unionByName(was_member.join(owners, common, "left_semi").select(*pair, owner))
+        .unionByName(held.select(*pair, rank(_rank(F.col("mode")))))
+    )
+    return every.repartition(*pair).groupBy(*pair).agg(_mode(F.max("_rank")).alias("access"))
+
+
+def _near(asked: DataFrame, users: DataFrame, members: DataFrame, sharing: DataFrame) -> DataFrame:
+    """``asked`` with each membership of the user that held on the day, in a workspace that the catalog had then: ``_kind`` is met.
+
+    A superuser's days come once, without a membership, and so do those that the lists do not tell: they are unlisted. Workspaces travel as hashes
+    of 16 bits. One too many is found now and then, and has to be sorted out by a join with the catalog's workspaces.
+    """
+    kind = members.select("workspace_id").unionAll(sharing.select("workspace_id")).schema["workspace_id"].dataType
+    mark = lambda c: (F.pmod(F.hash(c.cast(kind)), F.lit(1 << 16)) - (1 << 15)).cast("smallint")
+    number = lambda c: F.unix_date(c.cast("date"))
+    start = F.coalesce(number(F.col("valid_from")), F.lit(-(1 << 31))).alias("start")
+    end = F.coalesce(number(F.col("valid_to")), F.lit((1 << 31) - 1)).alias("end")
+    day = number(F.col("day"))
+    holds = lambda span: (span["start"] <= day) & (day < span["end"])
+    few = F.count("*") <= MOST_CARRIED
+    span = F.struct(mark(F.col("workspace_id")).alias("mark"), start, end)
+    by_catalog = _first_of("catalog_id", sharing.dropna(subset=["catalog_id", "workspace_id"]), MOST_CARRIED + 1).groupBy("catalog_id")
+    by_catalog = by_catalog.agg(F.when(few, F.collect_list(span)).alias("_shared"), F.lit(True).alias("_known"))
+    # A superuser's mark is a row without a workspace, which comes first.
+    superusers = users.where(F.col("role") == SUPERUSER).select("user_id").distinct()
+    nothing = {c: F.lit(None).cast(members.schema[c].dataType) for c in members.columns if c != "user_id"}
+    belongs = F.col("workspace_id").isNotNull()
+    own = superusers.withColumns(nothing).unionByName(members.where(belongs))
+    few = F.count("workspace_id") <= MOST_LISTED
+    span = F.struct("workspace_id", "valid_from", "valid_to", mark(F.col("workspace_id")).alias("mark"), start, end)
+    by_user = _first_of("user_id", own, MOST_LISTED + 1).groupBy("user_id")
+    by_user = by_user.agg(F.when(few, F.collect_list(F.when(belongs, span))).alias("_mine"), F.bool_or(~belongs).alias("_super"))
+    # No list where there are too many workspaces, an empty one where there are none.
+    then = F.transform(F.filter("_shared", holds), lambda s: s["mark"])
+    then = F.when(F.col("_known"), F.array_distinct(then)).otherwise(F.array().cast("array<smallint>"))
+    there = asked.join(by_catalog, "catalog_id", "left").select(*asked.columns, then.alias("_then")).join(by_user, "user_id")
+    found = F.filter("_mine", lambda m: holds(m) & F.array_contains("_then", m["mark"]))
+    row = lambda kind, *values: F.struct(F.lit(kind).alias("_kind"), *[v.alias(c) for c, v in zip(nothing, values)])
+    found = F.transform(found, lambda m: row("met", *[m[c] for c in nothing]))
+    alone = lambda kind: F.array(row(kind, *nothing.values()))
+    unlisted = F.col("_mine").isNull() | F.col("_then").isNull()
+    rows = F.when(F.col("_super"), alone(SUPERUSER)).when(unlisted, alone("unlisted")).otherwise(found)
+    return there.select(*asked.columns, F.inline(rows))
 
 
 def _common_workspaces(pairs: DataFrame, membership: DataFrame, sharing: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 import random
 from datetime import date, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import access
 from tarn.operators.column_history import column_history
 from tarn.operators.intervals import at_day
 from tests.conftest import rows
+from tests.test_jobs import shuffled_rows
 
 DAY0 = date(2020, 1, 1)
 
@@ -124,3 +126,55 @@ def test_access_as_of_looks_at_common_workspaces_only(spark, monkeypatch):
     got = access.access_as_of(asked, users, catalogs, members, grants)
     assert rows(got, "catalog_id", "access") == sorted([(0, "write"), *((c, None if c < 5 else "owner") for c in range(1, 10))], key=repr)
     assert seen == [6, 6]
+
+
+@pytest.mark.parametrize("carried, listed", [(64, 256), (6, 256), (64, 6), (0, 0)])
+def test_access_as_of_with_and_without_lists(spark, monkeypatch, carried, listed):
+    """Rows that come twice or have nulls, grants of all kinds; no row per asked day and workspace where lists are short."""
+    monkeypatch.setattr(access, "MOST_CARRIED", carried)
+    monkeypatch.setattr(access, "MOST_LISTED", listed)
+    rng = random.Random(11)
+    modes, states = ["read", "write", "owner", "other", None], ["approved", "approved", "approved", "pending"]
+
+    def ends(longest):
+        first = rng.randrange(900)
+        return [rng.choice([first] * 9 + [None]), rng.choice([first + rng.randrange(longest)] * 9 + [None])]
+
+    users = [(u, access.SUPERUSER if u == 3 else "user") for u in range(30)] + [(5, "user"), (6, access.SUPERUSER), (6, None), (None, access.SUPERUSER)]
+    members = [(u, w, *ends(60)) for u in [*range(25), None] for w in range(20) if u != 9 or w < 4] + [(2, None, None, None)]
+    members += rng.sample(members, 40) + [(u, w, *ends(60)) for u, w, *_ in rng.sample(members, 60)]
+    catalogs = [(c, 20 + c % 5 if c % 3 else c % 7) for c in range(18)] + [(7, 1), (None, 2), (8, None)]
+    grants = [(c, w, rng.choice(modes), rng.choice(states), rng.random() < 0.1, *ends(40)) for c in range(20) for w in range(20) if c != 5 or w < 3]
+    grants += rng.sample(grants, 40) + [(4, None, "write", "approved", False, None, None)]
+    asked = [(u, c, rng.choice([*range(960), None])) for u in [*range(32), None] for c in [*range(22), None] for _ in range(3)]
+    asked += asked[:50]
+    dates = lambda data, n: [(*r[:-n], *map(day, r[-n:])) for r in data]
+    frames = (
+        spark.createDataFrame(dates(asked, 1), "user_id long, catalog_id long, day date"),
+        spark.createDataFrame(users, "user_id long, role string"),
+        spark.createDataFrame(catalogs, "catalog_id long, owner_workspace_id long"),
+        spark.createDataFrame(dates(members, 2), "user_id long, workspace_id int, valid_from date, valid_to date"),
+        spark.createDataFrame(
+            dates(grants, 2), "catalog_id long, workspace_id long, mode string, status string, suspended boolean, valid_from date, valid_to date"
+        ),
+    )
+    holds = lambda a, b, d: (a is None or a <= d) and (b is None or d < b)
+    names, expected = {n: mode for mode, n in access.RANKS.items()}, {}
+    for u, c, d in asked:
+        levels = []
+        if None not in (u, c, d):
+            mine = {w for v, w, a, b in members if v == u and w is not None and holds(a, b, d)}
+            levels += [3] * (u in (3, 6)) + [3 for k, w in catalogs if k == c and w in mine]
+            levels += [access.RANKS.get(m, 0) for k, w, m, s, held, a, b in grants if k == c and w in mine and s == "approved" and not held and holds(a, b, d)]
+        expected[u, c, d] = names.get(max(levels, default=0))
+    assert set(expected.values()) == {None, "read", "write", "owner"}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = access.access_as_of(*frames)
+        assert rows(got) == sorted(((u, c, day(d), mode) for (u, c, d), mode in expected.items()), key=repr)
+        if (carried, listed) == (64, 256):
+            monkeypatch.setattr(access, "cut_lineage", lambda df: df)
+            assert max(shuffled_rows(access.access_as_of(*frames))) < 1.5 * len(asked)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
