@@ -349,3 +349,20 @@ def test_cosine_in_sql(spark, tmp_path):
     outer = lk.sql("SELECT p.i, q.i AS j FROM a.b.v p LEFT JOIN a.b.v q ON p.i <> q.i AND cosine(p.v, q.v) > 0.9")
     assert rows(outer) == sorted([(1, 2), (2, 1), *((i, None) for i in (3, 4, 5, 6, 7))], key=repr)
     assert lk.sql("SELECT cosine(array(3, 4), array(4.0, 3.0)) AS c").first().c == pytest.approx(0.96)
+
+
+def test_sql_over_all_pairs_is_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """A table of vectors in one file is cut into blocks where every row meets every other, and nowhere else."""
+    monkeypatch.setattr(lake, "BLOCK_ROWS", 200, raising=False)
+    made = spark.range(600).select("id", F.array(F.col("id") + 1.0, F.lit(1.0)).cast("array<float>").alias("v"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/v.parquet")
+    lk = lake.Lake(spark, str(tmp_path))
+    lk.register("a.b.v", f"{tmp_path}/v.parquet")
+    pairs = lk.sql("SELECT p.id, q.id AS j, cosine(p.v, q.v) AS c FROM a.b.v p JOIN a.b.v q ON q.id % 20 = 0")
+    assert pairs.rdd.getNumPartitions() >= 3
+    found = pairs.where("j = 40")
+    assert pairs.count() == 600 * 30 and found.count() == 600
+    assert found.where("id = 40").first().c == pytest.approx(1.0) and found.where("id = 0").first().c == pytest.approx(42 / (2 * (41**2 + 1)) ** 0.5)
+    alone = lk.sql("SELECT p.id FROM a.b.v p JOIN a.b.v q ON p.id = q.id WHERE cosine(p.v, q.v) > 0.5")
+    assert "RoundRobin" not in alone._jdf.queryExecution().executedPlan().toString() and alone.count() == 600
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lake_")]
